@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, substring_dedup
 
-_MODULES = (sharding, exact_dedup, mixing)
+_MODULES = (sharding, substring_dedup, exact_dedup, mixing)
 
 
 def queries() -> dict:
