@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, substring_dedup
+from . import exact_dedup, licenses, mixing, sharding, spot_signatures, substring_dedup
 
-_MODULES = (sharding, substring_dedup, exact_dedup, mixing)
+_MODULES = (sharding, substring_dedup, exact_dedup, spot_signatures, mixing, licenses)
 
 
 def queries() -> dict:
