@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, sharding, spot_signatures, substring_dedup
+from . import exact_dedup, html_text, licenses, mixing, near_dedup, piece_tokens, quality, sharding, spot_signatures, substring_dedup
 
-_MODULES = (sharding, substring_dedup, exact_dedup, spot_signatures, mixing, licenses)
+_MODULES = (sharding, substring_dedup, exact_dedup, spot_signatures, piece_tokens, near_dedup, mixing, licenses, quality, html_text)
 
 
 def queries() -> dict:

@@ -12,19 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder, so that later steps and lost executors reread it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
 
-    The folder is what spark.checkpoint.dir names; only where that is unset (a local
-    session, as in tests) is a folder of this machine used.
+    Only where that is unset (a local session, as in tests) is a folder of this machine used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayline-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, so that later steps and lost executors reread it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
