@@ -50,7 +50,7 @@ TEMPLATES = [
 
 COVERED = 0.7
 NEIGHBOURS = 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -72,13 +72,14 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, text_hash, template, diagonal, mask of matched template runs, n_words and rows; template -1 stands for the text itself."""
     # U+212A is the one letter beyond ASCII whose lower case is an ASCII letter.
     text = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("K"), F.lit("ĸ")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.array_remove(F.split(text, NO_WORD, -1), "").alias("words"))
     texts = texts.withColumn("n_words", F.size("words"))
     two = F.zip_with("words", F.expr("slice(words, 2, n_words)"), lambda a, b: F.xxhash64(a, b))
     runs = texts.select("doc_id", "text_hash", "n_words", two.alias("two"), F.expr("slice(words, 3, n_words)").alias("third"))
     three = F.zip_with("two", "third", lambda h, c: F.xxhash64(h, c))
     hashes = runs.select("doc_id", "text_hash", "n_words", F.concat(F.array(F.lit(0).cast("long")), "two", three).alias("hashes"))
-    each = hashes.select("doc_id", "text_hash", "n_words", F.posexplode("hashes").alias("at", "hash"))
+    each = hashes.select("doc_id", "text_hash", "n_words", F.posexplode_outer("hashes").alias("at", "hash"))
+    # The outer form, as Spark puts a filter that makes the hashes again below the plain one; no array is empty.
     # Place 0 is the text's own row, then come the runs of two words, then those of three.
     kind = F.when(F.col("at") == 0, 0).when(F.col("at") <= F.col("n_words"), 2).otherwise(3)
     start = F.when(F.col("at") == 0, 0).when(F.col("at") <= F.col("n_words"), F.col("at") - 1).otherwise(F.col("at") - 1 - F.col("n_words"))
