@@ -36,7 +36,7 @@ from .shared import cut, same, table
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Members up to which all of a bucket are compared, rounds of comparison to one member, partners of one task.
-SMALL, ROUNDS, PARTNERS = 8, 3, 2000
+SMALL, ROUNDS, PARTNERS = 8, 1, 2000
 #: Below this share of equal places no signature of a pair at the threshold falls (over five deviations).
 NEAR = 0.6
 
@@ -115,24 +115,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, rows), pa.array(n), flat.signed(a), flat.signed(b), lists, packed], ["doc_id", "n", "a", "b", "bands", "sig"])
 
 
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each text, once for every task that needs them."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text with their repeats, 32 bits each, in order."""
     for batch in batches:
         for start, stop, data, offsets in flat.runs(batch.column(1)):
             of, value, count = shingles(data, offsets)
             every = np.repeat((value >> np.uint64(32)).astype(np.uint32), count)
-            cut_at = np.concatenate([[0], np.cumsum(np.bincount(of, count, stop - start).astype(np.int64))])
-            lists = batch.column(2).slice(start, stop - start)
-            n = lists.value_lengths().to_numpy(zero_copy_only=False)
-            to = lists.flatten()
-            raw = every.tobytes()
-            sets = [raw[4 * a : 4 * b] for a, b in zip(cut_at[:-1], cut_at[1:])]
-            row = np.repeat(np.arange(stop - start), n)
-            for lo in range(0, len(row), 2000):
-                part = row[lo : lo + 2000]
-                yield pa.RecordBatch.from_arrays(
-                    [*(to.field(i).slice(lo, len(part)) for i in range(3)), batch.column(0).slice(start, stop - start).take(pa.array(part)), pa.array([sets[i] for i in part], pa.binary())],
-                    ["head", "task", "own", "doc_id", "shingles"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, count, stop - start).astype(np.int64))]) * 4
+            packed = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(every)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), packed], ["id", "shingles"])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -171,29 +162,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "likeness"])
 
 
-def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of a likeness of at least the threshold; texts: doc_id and text, an id once."""
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of a likeness of at least the threshold; sets: id and shingles, an id once."""
     pairs = pairs.select("a", "b").distinct()
     tasks = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / PARTNERS) + 1).alias("tasks"))
     members = pairs.join(tasks, "a").select(F.col("b").alias("id"), F.struct(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), "tasks").alias("task"), F.lit(1).alias("own")).alias("to"))
     spread = tasks.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
     heads = spread.select(F.col("a").alias("id"), F.struct(F.col("a").alias("head"), "task", F.lit(0).alias("own")).alias("to"))
-    wanted = members.unionByName(heads).groupBy("id").agg(F.collect_list("to").alias("to"))
-    rows = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("doc_id", "text", "to")
-    shipped = rows.mapInArrow(_ship, "head bigint, task bigint, own int, doc_id bigint, shingles binary")
+    shipped = members.unionByName(heads).join(sets, "id").select("to.head", "to.task", "to.own", F.col("id").alias("doc_id"), "shingles")
     met = shipped.repartition("head", "task").sortWithinPartitions("head", "task", "own")
     return met.mapInArrow(_verify, "a bigint, b bigint, likeness double").where(F.col("likeness") >= threshold - 1e-9)
 
 
-def components(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """id and component (its least id) of each id, over links (a, b)."""
+def components(links: DataFrame) -> DataFrame:
+    """id and component (its least id) of each id that stands in a link (a, b)."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(ids.select("id", F.col("id").alias("component")))
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component"))
     while True:
+        labels = cut(labels)
         least = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        new = labels.join(least, labels["id"] == least["a"], "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = new.select(F.col("id").alias("at"), F.col("component").alias("further"))
-        new = cut(new.join(jump, F.col("component") == F.col("at")).select("id", "old", F.least("component", "further").alias("component")))
+        jump = labels.select(F.col("id").alias("at"), F.col("component").alias("further"))
+        new = labels.join(least, labels["id"] == least["a"]).join(jump, F.col("component") == F.col("at"))
+        new = cut(new.select("id", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")))
         if new.where("old <> component").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
@@ -216,20 +206,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     members = signed.join(one.select("n", "a", "b", "id"), ["n", "a", "b"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("same_id")).distinct()
     members, one = cut(members), cut(one.select("id", "bands", "sig"))
     in_bands = one.select("id", F.posexplode("bands").alias("band", "key"))
-    sized = in_bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id", "band").alias("draw"), "id")).alias("head"))
+    # One draw for all bands: a group that shares many bands gets one head, and few pairs.
+    sized = in_bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id").alias("draw"), "id")).alias("head"))
     met = cut(in_bands.join(sized.where("size > 1"), ["band", "key"]).select("band", "key", "id", "size", F.col("head.id").alias("head")))
     few, many = met.where(F.col("size") <= SMALL), met.where(F.col("size") > SMALL)
-    other = few.select("band", "key", F.col("id").alias("b"))
-    pairs = few.select("band", "key", F.col("id").alias("a")).join(other, ["band", "key"]).where("a < b").select("a", "b")
+    listed = few.groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    each = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = listed.select(F.explode(each).alias("p")).select("p.*")
     pairs = pairs.union(many.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
     unique = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
-    ids = one.select("id")
-    links = cut(verified(unique, pairs, threshold))
-    joined = components(ids, links)
+    wanted = met.select("id").distinct()
+    sets = cut(unique.join(wanted, unique["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
+    links = cut(verified(sets, pairs, threshold))
+    joined = components(links)
     open_buckets = many.select("band", "key", "id")
     for turn in range(ROUNDS + 1):
         # Buckets of several components, with the largest of them.
-        placed = open_buckets.join(joined, "id")
+        placed = open_buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).alias("pivot"))
         split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component", "pivot")).alias("main")).where("parts > 1")
         apart = cut(placed.join(split, ["band", "key"]).select("band", "key", "id", "component", F.col("main.component").alias("main"), F.col("main.pivot.id").alias("pivot")))
@@ -244,12 +237,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
             all_ = apart.join(one.select("id", "sig"), "id").select("band", "key", F.col("id").alias("b"), F.col("component").alias("of_b"), F.col("sig").alias("sig_b"))
             near = mine.join(all_, ["band", "key"]).where("of_a <> of_b").select("a", "b", "sig_a", "sig_b")
             pairs = near.mapInArrow(_close, "a bigint, b bigint")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        more = cut(verified(unique, pairs, threshold))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = cut(verified(sets, pairs, threshold))
         open_buckets = apart.select("band", "key", "id")
         if not more.isEmpty():
             links = links.union(more)
-            joined = components(ids, links)
+            joined = components(links)
     ends = members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
     ends = cut(ends.groupBy("doc_id").agg(F.min("same_id").alias("same_id"), F.min("class_id").alias("class_id")))
     sizes = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
