@@ -1,9 +1,15 @@
 """The registered queries and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from . import rollups, telemetry
+
+_MODULES = (telemetry, rollups)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
