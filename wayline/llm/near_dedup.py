@@ -9,10 +9,10 @@ shingles occur once is the Jaccard index of the sets.
 
 Texts of equal shingles form a class first, and only one of each goes on, so that copies
 are never paired. Texts that agree on a band meet in a bucket. In a small bucket all are
-compared; in a large one all are compared to one of them, then whoever is not connected
-yet to another of the largest component, and last those still apart to every member
-whose signature is near, so that a large group of near copies costs a few comparisons a
-member. Each pair is verified on the shingles themselves; the texts of a pair meet in a
+compared; in a large one all are compared to one of them. Whoever is still apart from the
+largest component of a large bucket is held by signature against all of the bucket, in
+blocks, and against the nearest of each other component by its shingles; so a large group
+of near copies costs a few comparisons of shingles a member. Each pair is verified on the shingles themselves; the texts of a pair meet in a
 task by the first of the two, and a first with many partners is sent to several tasks.
 Components of the verified links are the classes.
 
@@ -35,10 +35,14 @@ from .shared import cut, same, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Members up to which all of a bucket are compared, rounds of comparison to one member, partners of one task.
-SMALL, ROUNDS, PARTNERS = 8, 1, 2000
-#: Below this share of equal places no signature of a pair at the threshold falls (over five deviations).
-NEAR = 0.6
+#: Members up to which all of a bucket are compared, and partners that one task compares to a head.
+SMALL, PARTNERS = 8, 2000
+#: Rounds for texts still apart in a large bucket, texts in a block of them, and how many of the nearest are verified
+#: for each in each other component and in all of a bucket. Those left out agree less than those verified; what they
+#: would link is linked by other members, other bands or the next round, or is lost (see the README for a count).
+ROUNDS, BLOCK, CLOSEST, NEAREST = 2, 512, 4, 24
+#: Share of equal places (about three deviations below the threshold) that a pair has to have to be verified in these rounds.
+NEAR = 0.7
 
 _PLACES = BANDS * ROWS
 _FILLED = 1.15 * _PLACES * float(np.sum(1 / np.arange(1, _PLACES + 1)))
@@ -189,12 +193,62 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best(found: list[np.ndarray]) -> list[np.ndarray]:
+    """Of (own, other, component, agreeing places) the ``CLOSEST`` others of each own in each component, ``NEAREST`` in all."""
+    own, other, component, agree = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+    order = np.lexsort((other, -agree, component, own))
+    own, other, component, agree = own[order], other[order], component[order], agree[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (component[1:] != component[:-1])
+    head = np.flatnonzero(new)
+    rank = np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own))))
+    keep = rank < CLOSEST
+    own, other, component, agree = own[keep], other[keep], component[keep], agree[keep]
+    order = np.lexsort((other, -agree, own))
+    own, other, component, agree = own[order], other[order], component[order], agree[order]
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    keep = np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own)))) < NEAREST
+    return [own[keep], other[keep], component[keep], agree[keep]]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text still apart in a bucket, the texts of other components whose signatures agree most.
+
+    Rows come sorted by bucket and block, a block's own texts (at most some hundreds) first;
+    all members of the bucket then pass by.
+    """
+    key, own, sig, found = None, None, None, []
+
+    def ended():
+        own_, other, _, _ = _best(found)
+        found.clear()
+        if len(own_):
+            yield pa.RecordBatch.from_arrays([pa.array(own_), pa.array(other)], ["a", "b"])
+
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, _PLACES) for i in (2, 3))
-            near = (x == y).mean(1) >= NEAR
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+        bucket = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        member, ids, component = (batch.column(i).to_numpy() for i in (3, 4, 5))
+        sigs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, _PLACES)
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]).any(1) | (member[1:] != member[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            if lo == hi:
+                continue
+            if tuple(bucket[lo]) != key:
+                yield from ended()
+                key, own, sig = tuple(bucket[lo]), (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros((0, _PLACES), np.uint16)
+            if member[lo] == 0:
+                own = (np.concatenate([own[0], ids[lo:hi]]), np.concatenate([own[1], component[lo:hi]]))
+                sig = np.concatenate([sig, sigs[lo:hi]])
+                continue
+            for at in range(lo, hi, 128):
+                end = min(hi, at + 128)
+                agree = (sig[:, None, :] == sigs[None, at:end, :]).sum(2)
+                x, y = np.nonzero((agree >= NEAR * _PLACES) & (own[1][:, None] != component[None, at:end]))
+                if len(x):
+                    found.append([own[0][x], ids[at + y], component[at + y], agree[x, y]])
+            if sum(len(f[0]) for f in found) > 500_000:
+                found[:] = [_best(found)]
+    yield from ended()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,30 +273,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     sets = cut(unique.join(wanted, unique["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
     links = cut(verified(sets, pairs, threshold))
     joined = components(links)
-    open_buckets = many.select("band", "key", "id")
-    for turn in range(ROUNDS + 1):
+    many = many.select("band", "key", "id")
+    for _ in range(ROUNDS):
         # Buckets of several components, with the largest of them.
-        placed = open_buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).alias("pivot"))
-        split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component", "pivot")).alias("main")).where("parts > 1")
-        apart = cut(placed.join(split, ["band", "key"]).select("band", "key", "id", "component", F.col("main.component").alias("main"), F.col("main.pivot.id").alias("pivot")))
-        if apart.isEmpty():
+        placed = many.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+        split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
+        blocks = F.ceil((F.col("all") - F.col("main.n")) / BLOCK)
+        apart = placed.join(split, ["band", "key"]).join(one.select("id", "sig"), "id").select("band", "key", "id", "component", "sig", blocks.alias("blocks"), (F.col("component") == F.col("main.component")).alias("in_main"))
+        apart = cut(apart)
+        own = apart.where("NOT in_main").select("band", "key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("member"), "id", "component", "sig")
+        other = apart.select("band", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("member"), "id", "component", "sig")
+        met = own.unionByName(other).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "member")
+        near = met.mapInArrow(_nearest, "a bigint, b bigint")
+        near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = cut(verified(sets, near, threshold))
+        if more.isEmpty():
             break
-        left = apart.where("component <> main")
-        if turn < ROUNDS:
-            pairs = left.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        else:
-            # Whoever is still apart is held against all of the bucket, by signature first.
-            mine = left.join(one.select("id", "sig"), "id").select("band", "key", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("sig").alias("sig_a"))
-            all_ = apart.join(one.select("id", "sig"), "id").select("band", "key", F.col("id").alias("b"), F.col("component").alias("of_b"), F.col("sig").alias("sig_b"))
-            near = mine.join(all_, ["band", "key"]).where("of_a <> of_b").select("a", "b", "sig_a", "sig_b")
-            pairs = near.mapInArrow(_close, "a bigint, b bigint")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = cut(verified(sets, pairs, threshold))
-        open_buckets = apart.select("band", "key", "id")
-        if not more.isEmpty():
-            links = links.union(more)
-            joined = components(links)
+        links = links.union(more)
+        joined = components(links)
     ends = members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
     ends = cut(ends.groupBy("doc_id").agg(F.min("same_id").alias("same_id"), F.min("class_id").alias("class_id")))
     sizes = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
