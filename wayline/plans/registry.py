@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rollups, telemetry
+from . import rollups, streams, tables, telemetry
 
-_MODULES = (telemetry, rollups)
+_MODULES = (telemetry, rollups, tables, streams)
 
 
 def queries() -> dict:

@@ -48,14 +48,20 @@ def with_checksum(frames: DataFrame) -> DataFrame:
     body = F.expr("substring(frame, 2, length(frame) - instr(reverse(frame), '*') - 1)")
     given = F.substring_index("frame", "*", -1)
     df = frames.withColumn("body", body).withColumn("given", given).withColumn("name", F.expr("substring(frame, 2, instr(frame, ',') - 2)"))
-    value = F.conv("given", 16, 10).cast("bigint")
+    value = F.when(F.col("given").rlike("^[0-9a-fA-F]+$"), F.conv("given", 16, 10).cast("bigint"))
     ok = F.when(F.startswith("frame", F.lit("$")), (F.length("given") == 2) & (xor_checksum(F.col("body")) == value)).otherwise((F.length("given") == 8) & (crc32_plain(F.col("body")) == value))
     return df.withColumn("checksum_ok", F.coalesce(ok, F.lit(False)))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns made once: later filters and columns refer to values and not to how they were made."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def decode_points(frames: DataFrame, now_s: float, bound_serial: str | None = None) -> DataFrame:
     """Typed points with reject_reason: null for good ones, else the first rule that fails."""
-    df = with_checksum(frames).where(F.col("name").isin(*FIELDS)).withColumn("f", F.split("body", ",", -1))
+    df = with_checksum(frames.where(F.substring_index(F.substring("frame", 2, 20), ",", 1).isin(*FIELDS)))
+    df = settled(df.withColumn("f", F.split("body", ",", -1)).drop("body", "given", "frame"))
     wide = F.col("name") == "GPCHCX"
     get = lambda i: F.try_element_at("f", F.lit(i + 1))
     cols = {"week": get(1).try_cast("int"), "tow": get(2).try_cast("double")}
@@ -65,8 +71,8 @@ def decode_points(frames: DataFrame, now_s: float, bound_serial: str | None = No
         number = get(i).try_cast("double")
         cols[c] = number if i <= 22 else F.when(wide, number)
     cols |= {"status_text": get(21), "_serial": F.when(wide, get(45)).otherwise(F.lit(bound_serial)), "warning": F.when(get(23).rlike("^[0-9A-Fa-f]{1,4}$"), F.conv(get(23), 16, 10).cast("int"))}
-    df = df.withColumns(cols)
-    df = df.withColumns({"device_id": F.col("_serial"), "protocol": F.col("name"), "t": gps_to_unix("week", "tow"), "fix_mode": F.conv(F.substring("status_text", 1, 1), 16, 10).cast("int"), "nav_mode": F.conv(F.substring("status_text", 2, 1), 16, 10).cast("int")})
+    df = settled(df.withColumns(cols | {"_mark": get(33)}))
+    df = settled(df.withColumns({"device_id": F.col("_serial"), "protocol": F.col("name"), "t": gps_to_unix("week", "tow"), "fix_mode": F.conv(F.substring("status_text", 1, 1), 16, 10).cast("int"), "nav_mode": F.conv(F.substring("status_text", 2, 1), 16, 10).cast("int")}))
     numeric = [c for c in POSITIONS if POSITIONS[c] <= 22]
     missing = F.exists(F.array(*[F.col(c).isNull() for c in numeric], F.col("warning").isNull(), F.col("tow").isNull(), F.col("week").isNull(), *[wide & F.col(c).isNull() for c in POSITIONS if POSITIONS[c] > 22]), lambda x: x)
     infinite = F.exists(F.array(*[F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in POSITIONS]), lambda x: F.coalesce(x, F.lit(False)))
@@ -77,10 +83,11 @@ def decode_points(frames: DataFrame, now_s: float, bound_serial: str | None = No
         F.when(~F.col("checksum_ok"), "checksum").when(F.size("f") != F.when(wide, 46).otherwise(24), "field_count")
         .when(F.col("_serial").isNull(), "unidentified_device").when(~F.col("_serial").rlike(SERIAL), "invalid_sn").when(missing, "malformed_number")
         .when(F.col("t").isNull(), "invalid_time").when(~F.col("status_text").rlike("^[0-9A-Fa-f]{2}$") | (F.col("nav_mode") > 3) | (F.col("fix_mode") > 9), "invalid_status")
-        .when(wide & (get(33) != "X"), "separator").when(infinite, "nonfinite").when(any_([outside("lat"), outside("lon")]), "coordinate_range")
+        .when(wide & (F.col("_mark") != "X"), "separator").when(infinite, "nonfinite").when(any_([outside("lat"), outside("lon")]), "coordinate_range")
         .when(any_([outside(c) for c in ("heading", "pitch", "roll")]), "attitude_range").when(any_([outside(c) for c in ("speed", "sat1", "sat2")]), "range")
         .when(any_([F.col(c) < 0 for c in stds]), "negative_quality").when((F.col("t") > now_s + 300) | (F.col("t") < 1262304000), "clock_range"))
-    df = df.withColumn("reject_reason", reason).withColumn("t_ms", F.round(F.col("t") * 1000).cast("bigint")).withColumn("valid_pos", valid_position())
+    df = settled(df.withColumn("reject_reason", reason))
+    df = df.withColumn("t_ms", F.round(F.col("t") * 1000).cast("bigint")).withColumn("valid_pos", valid_position())
     return df.select("device_id", "t_ms", "protocol", "week", "tow", *CHANNELS, "status_text", "fix_mode", "nav_mode", "warning", "valid_pos", "source", "source_offset", "source_length", "reject_reason")
 
 
@@ -99,7 +106,7 @@ def build_frames(points: DataFrame, source: str = "telemetry") -> DataFrame:
     at = {i: F.coalesce(F.col(c) if c in points.columns else F.lit(0.0), F.lit(0.0)).cast("string") for c, i in POSITIONS.items()}
     at |= {0: F.lit("GPCHCX"), 1: week.cast("string"), 2: tow.cast("string"), 21: F.concat(F.hex("fix_mode"), F.hex("nav_mode")), 23: F.hex("warning"), 33: F.lit("X"), 45: F.col("device_id")}
     body = F.concat_ws(",", *[at[i] for i in range(46)])
-    df = points.select("device_id", "t_ms", "protocol", body.alias("_body"))
+    df = settled(points.select("device_id", "t_ms", "protocol", body.alias("_body")))
     frame = F.concat(F.lit("$"), "_body", F.lit("*"), F.lpad(F.hex(xor_checksum(F.col("_body"))), 2, "0"))
     return df.select(F.concat(F.lit(source), F.lit("/"), "device_id").alias("source"), F.col("t_ms").alias("source_offset"), F.length(frame).alias("source_length"), frame.alias("frame"))
 
