@@ -217,7 +217,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows come sorted by bucket and block, a block's own texts (at most some hundreds) first;
     all members of the bucket then pass by.
     """
-    key, own, sig, found = None, None, None, []
+    key, own, sig, bands, found = None, None, None, None, []
 
     def ended():
         own_, other, _, _ = _best(found)
@@ -229,6 +229,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
         member, ids, component = (batch.column(i).to_numpy() for i in (3, 4, 5))
         sigs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, _PLACES)
+        all_bands = batch.column(7).flatten().to_numpy().reshape(-1, BANDS)
         cuts = np.flatnonzero((bucket[1:] != bucket[:-1]).any(1) | (member[1:] != member[:-1])) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
             if lo == hi:
@@ -236,14 +237,18 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if tuple(bucket[lo]) != key:
                 yield from ended()
                 key, own, sig = tuple(bucket[lo]), (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros((0, _PLACES), np.uint16)
+                bands = np.zeros((0, BANDS), np.int64)
             if member[lo] == 0:
                 own = (np.concatenate([own[0], ids[lo:hi]]), np.concatenate([own[1], component[lo:hi]]))
-                sig = np.concatenate([sig, sigs[lo:hi]])
+                sig, bands = np.concatenate([sig, sigs[lo:hi]]), np.concatenate([bands, all_bands[lo:hi]])
                 continue
             for at in range(lo, hi, 128):
                 end = min(hi, at + 128)
                 agree = (sig[:, None, :] == sigs[None, at:end, :]).sum(2)
                 x, y = np.nonzero((agree >= NEAR * _PLACES) & (own[1][:, None] != component[None, at:end]))
+                # A pair that meets in several bands is told in the first of them.
+                first = (bands[x] == all_bands[at + y]).argmax(1) == key[0] if len(x) else np.zeros(0, bool)
+                x, y = x[first], y[first]
                 if len(x):
                     found.append([own[0][x], ids[at + y], component[at + y], agree[x, y]])
             if sum(len(f[0]) for f in found) > 500_000:
@@ -280,10 +285,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
         split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
         blocks = F.ceil((F.col("all") - F.col("main.n")) / BLOCK)
-        apart = placed.join(split, ["band", "key"]).join(one.select("id", "sig"), "id").select("band", "key", "id", "component", "sig", blocks.alias("blocks"), (F.col("component") == F.col("main.component")).alias("in_main"))
+        apart = placed.join(split, ["band", "key"]).join(one, "id").select("band", "key", "id", "component", "sig", "bands", blocks.alias("blocks"), (F.col("component") == F.col("main.component")).alias("in_main"))
         apart = cut(apart)
-        own = apart.where("NOT in_main").select("band", "key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("member"), "id", "component", "sig")
-        other = apart.select("band", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("member"), "id", "component", "sig")
+        own = apart.where("NOT in_main").select("band", "key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("member"), "id", "component", "sig", "bands")
+        other = apart.select("band", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("member"), "id", "component", "sig", "bands")
         met = own.unionByName(other).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "member")
         near = met.mapInArrow(_nearest, "a bigint, b bigint")
         near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
