@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, motion, rollup, series, vibration
 from ..sources.telemetry import telemetry
-from .shared import distance_sql, drift_sql, rounded, sql, view
+from .shared import distance_sql, drift_sql, kept, rounded, sql, view
 from .telemetry import _SEGMENTS as SEGMENTS
 
 QUERIES, SQL = {}, {}
@@ -140,7 +140,11 @@ def vibration_runs(spark, sf_dir):
 
 def _whole(spark, sf_dir):
     """Telemetry without its missing IMU rows is gapless between the long breaks, so that 60 s windows exist."""
-    return vibration.vibration_runs(telemetry(spark, sf_dir).withColumn("ax", F.coalesce("ax", F.lit(1.0))))
+    return kept(vibration.vibration_runs(telemetry(spark, sf_dir).withColumn("ax", F.coalesce("ax", F.lit(1.0)))))
+
+
+def _residual(runs):
+    return kept(vibration.detrend(kept(vibration.window_samples(runs, vibration.best_window(runs)))))
 
 
 _BEST = _RUNS.replace("WHERE ax IS NOT NULL", "").replace("sqrt(ax * ax", "sqrt(coalesce(ax, 1.0) * coalesce(ax, 1.0)") + """,
@@ -170,7 +174,7 @@ res AS (SELECT w0.device_id, t_ms, k, v - a * s - b AS x FROM w0 JOIN ln USING (
 @query(sql(_RESIDUAL + "\nSELECT device_id, round(sqrt(avg(x * x)), 6) + 0.0 AS rms, round(max(abs(x)), 6) + 0.0 AS peak, round(max(x) - min(x), 6) + 0.0 AS peak_to_peak, round(max(abs(x)) / sqrt(avg(x * x)), 6) + 0.0 AS crest FROM res GROUP BY device_id"))
 def vibration_measures(spark, sf_dir):
     runs = _whole(spark, sf_dir)
-    return rounded(vibration.window_measures(vibration.detrend(vibration.window_samples(runs, vibration.best_window(runs)))))
+    return rounded(vibration.window_measures(_residual(runs)))
 
 
 @query(sql(_RESIDUAL + """,
@@ -182,13 +186,13 @@ cs AS (
 SELECT device_id, CAST(bin AS INTEGER) AS bin, round(bin * rate / n, 6) + 0.0 AS hz, round(2 * sqrt(c * c + s * s) / sw, 6) + 0.0 AS amplitude FROM cs"""))
 def vibration_spectrum(spark, sf_dir):
     runs = _whole(spark, sf_dir)
-    return rounded(vibration.spectrum(vibration.detrend(vibration.window_samples(runs, vibration.best_window(runs)))))
+    return rounded(vibration.spectrum(_residual(runs)))
 
 
 @query(sql(_RESIDUAL + "\nSELECT device_id, k, CASE WHEN count(x) OVER w = 10 THEN round(sqrt(avg(x * x) OVER w), 6) + 0.0 END AS envelope FROM res WINDOW w AS (PARTITION BY device_id ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
 def rms_envelope(spark, sf_dir):
     runs = _whole(spark, sf_dir)
-    return rounded(vibration.rms_envelope(vibration.detrend(vibration.window_samples(runs, vibration.best_window(runs)))).select("device_id", "k", "envelope"))
+    return rounded(vibration.rms_envelope(_residual(runs)).select("device_id", "k", "envelope"))
 
 
 @query(sql(f",\nc0 AS (SELECT device_id, bucket_ms, row_number() OVER (PARTITION BY device_id ORDER BY sqrt(greatest(0.0, vib_sq / vib_n - (vib_sum / vib_n) * (vib_sum / vib_n))) DESC, greatest(vib_sum / vib_n - vib_min, vib_max - vib_sum / vib_n) DESC, bucket_ms) AS k FROM ({_rolled(60)}) WHERE vib_n >= 100)\nSELECT DISTINCT device_id, bucket_ms + o AS bucket_ms FROM c0, (SELECT unnest([-60000, 0, 60000]) AS o) WHERE k <= 6"))

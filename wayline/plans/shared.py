@@ -19,6 +19,11 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(telemetry(spark, sf_dir))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df kept for the branches of one query that read it again; what an executor loses is made again."""
+    return df.persist()
+
+
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(assessed(spark, sf_dir))
 

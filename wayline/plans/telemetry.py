@@ -9,7 +9,7 @@ from ..functions.scalars import gps_to_unix, motion_state, warning_codes
 from ..operators import episodes as ep
 from ..operators import lifecycle, motion, quality
 from ..sources.telemetry import telemetry
-from .shared import assessed, distance_sql, rounded, sql, view
+from .shared import assessed, distance_sql, kept, rounded, sql, view
 
 QUERIES, SQL = {}, {}
 
@@ -88,8 +88,8 @@ nr AS (SELECT *, min(away) OVER (PARTITION BY device_id, stop) AS least_away FRO
 rk AS (SELECT *, row_number() OVER (PARTITION BY device_id, stop ORDER BY confidence DESC, away, t_ms) AS k FROM nr WHERE away <= least_away + 2.0)
 SELECT device_id, stop, round(lat, 6) + 0.0 AS anchor_lat, round(lon, 6) + 0.0 AS anchor_lon, t_ms AS anchor_ms, round(confidence, 6) + 0.0 AS confidence FROM rk WHERE k = 1"""))
 def stationary_anchor(spark, sf_dir):
-    v = view(spark, sf_dir)
-    return rounded(motion.stationary_anchor(v, motion.stop_groups(motion.motion_segments(v))))
+    v = kept(view(spark, sf_dir))
+    return rounded(motion.stationary_anchor(v, kept(motion.stop_groups(motion.motion_segments(v)))))
 
 
 @query(sql("\nSELECT device_id, vib AS state, count(*) AS n FROM d GROUP BY ALL"))
@@ -204,8 +204,8 @@ ev AS (SELECT e.*, (SELECT min(t_ms) FROM sk WHERE sk.device_id = e.device_id AN
 
 
 def _episodes(spark, sf_dir):
-    v = view(spark, sf_dir)
-    return v, ep.episodes(v, ep.threshold_signals(v))
+    v = kept(view(spark, sf_dir))
+    return v, ep.episodes(v, kept(ep.threshold_signals(v)))
 
 
 @query(sql(_EPISODES + "\nSELECT device_id, kind, start_ms, end_ms, round(peak, 4) + 0.0 AS peak, peak_ms, samples, threshold FROM ev"))
@@ -217,9 +217,9 @@ _GATED = _EPISODES + ",\nge AS (SELECT ev.* FROM ev JOIN q ON q.device_id = ev.d
 
 
 def _gated(spark, sf_dir):
-    a = assessed(spark, sf_dir)
+    a = kept(assessed(spark, sf_dir))
     v = quality.project(a)
-    return ep.gate_events(ep.episodes(v, ep.threshold_signals(v)), a)
+    return ep.gate_events(ep.episodes(v, kept(ep.threshold_signals(v))), a)
 
 
 @query(sql(_GATED + "\nSELECT device_id, kind, start_ms, end_ms, round(peak, 4) + 0.0 AS peak, samples FROM ge"))
