@@ -276,25 +276,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     unique = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
     wanted = met.select("id").distinct()
     sets = cut(unique.join(wanted, unique["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
-    links = cut(verified(sets, pairs, threshold))
+    tried = cut(pairs.distinct())
+    links = cut(verified(sets, tried, threshold))
     joined = components(links)
-    many = many.select("band", "key", "id")
+    members_of = many.select("band", "key", "id")
     for _ in range(ROUNDS):
         # Buckets of several components, with the largest of them.
-        placed = many.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members_of.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
         split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
         blocks = F.ceil((F.col("all") - F.col("main.n")) / BLOCK)
-        apart = placed.join(split, ["band", "key"]).join(one, "id").select("band", "key", "id", "component", "sig", "bands", blocks.alias("blocks"), (F.col("component") == F.col("main.component")).alias("in_main"))
+        met = placed.join(split, ["band", "key"])
+        # Signatures come to the members of such buckets once; later rounds read them from there.
+        met = met if "sig" in met.columns else met.join(one, "id")
+        apart = met.select("band", "key", "id", "component", "sig", "bands", blocks.alias("blocks"), (F.col("component") == F.col("main.component")).alias("in_main"))
         apart = cut(apart)
         own = apart.where("NOT in_main").select("band", "key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("member"), "id", "component", "sig", "bands")
         other = apart.select("band", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("member"), "id", "component", "sig", "bands")
         met = own.unionByName(other).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "member")
         near = met.mapInArrow(_nearest, "a bigint, b bigint")
-        near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         more = cut(verified(sets, near, threshold))
         if more.isEmpty():
             break
+        tried, members_of = tried.union(near), apart.select("band", "key", "id", "sig", "bands")
         links = links.union(more)
         joined = components(links)
     ends = members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
