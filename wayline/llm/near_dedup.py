@@ -9,12 +9,14 @@ shingles occur once is the Jaccard index of the sets.
 
 Texts of equal shingles form a class first, and only one of each goes on, so that copies
 are never paired. Texts that agree on a band meet in a bucket. In a small bucket all are
-compared; in a large one all are compared to one of them. Whoever is still apart from the
-largest component of a large bucket is held by signature against all of the bucket, in
-blocks, and against the nearest of each other component by its shingles; so a large group
-of near copies costs a few comparisons of shingles a member. Each pair is verified on the shingles themselves; the texts of a pair meet in a
-task by the first of the two, and a first with many partners is sent to several tasks.
-Components of the verified links are the classes.
+compared; in a large one all are compared to one of them. Each pair is verified on the
+shingles themselves; the texts of a pair meet in a task by the first of the two, and a
+first with many partners is sent to several tasks. Components of the verified links follow.
+Whoever is then apart from the largest component of a large bucket is compared to all of
+the bucket that is in other components: such texts form blocks, the members of their
+buckets pass by each block in slices, and each pair is verified there and then, with no
+limit on partners and no row for a pair. Only links that join components leave the task.
+Components of all links are the classes.
 
 A text without words is near to none. Null texts count as empty. Rows that repeat an id
 are one document with all its rows' class; rows with a null id have a class of their own
@@ -37,12 +39,11 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Members up to which all of a bucket are compared, and partners that one task compares to a head.
 SMALL, PARTNERS = 8, 2000
-#: Rounds for texts still apart in a large bucket, texts in a block of them, and how many of the nearest are verified
-#: for each in each other component and in all of a bucket. Those left out agree less than those verified; what they
-#: would link is linked by other members, other bands or the next round, or is lost (see the README for a count).
-ROUNDS, BLOCK, CLOSEST, NEAREST = 2, 512, 4, 24
-#: Share of equal places (about three deviations below the threshold) that a pair has to have to be verified in these rounds.
-NEAR = 0.7
+#: Texts and shingles that a block of texts still apart holds, and how many pass by it in one slice (a longer text is a block of its own).
+BLOCK, SHINGLES, PASSING = 2048, 1_000_000, 8192
+#: Share of equal places that a pair needs to be verified in a block. A pair at the threshold has fewer with a probability
+#: of 1e-7, which is less than that of missing all bands (3e-5).
+NEAR = 0.6
 
 _PLACES = BANDS * ROWS
 _FILLED = 1.15 * _PLACES * float(np.sum(1 / np.arange(1, _PLACES + 1)))
@@ -193,67 +194,119 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _best(found: list[np.ndarray]) -> list[np.ndarray]:
-    """Of (own, other, component, agreeing places) the ``CLOSEST`` others of each own in each component, ``NEAREST`` in all."""
-    own, other, component, agree = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
-    order = np.lexsort((other, -agree, component, own))
-    own, other, component, agree = own[order], other[order], component[order], agree[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (component[1:] != component[:-1])
-    head = np.flatnonzero(new)
-    rank = np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own))))
-    keep = rank < CLOSEST
-    own, other, component, agree = own[keep], other[keep], component[keep], agree[keep]
-    order = np.lexsort((other, -agree, own))
-    own, other, component, agree = own[order], other[order], component[order], agree[order]
-    head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
-    keep = np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own)))) < NEAREST
-    return [own[keep], other[keep], component[keep], agree[keep]]
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text still apart in a bucket, the texts of other components whose signatures agree most.
-
-    Rows come sorted by bucket and block, a block's own texts (at most some hundreds) first;
-    all members of the bucket then pass by.
+class _Block:
+    """Texts still apart, with an index of their shingles, and the components joined so far."""
+
+    def __init__(self, ids: list[int], components: list[int], sigs: list[bytes], raw: list[bytes], threshold: float):
+        self.ids, self.components, self.threshold = ids, np.array(components, np.int64), threshold
+        self.sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, _PLACES)
+        self.words = [np.frombuffer(x, np.uint32) for x in raw]
+        parts = [np.unique(x, return_counts=True) for x in self.words]
+        self.sizes = np.array([len(x) for x, _ in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.plain = np.array([len(x) for x in self.words]) == self.sizes
+        self.weights = np.concatenate([n / n.sum() for _, n in parts])
+        self.all, self.codes = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        self.mark = np.zeros(len(self.all))
+        self.parent, self.root = {}, self.components.copy()
+
+    def find(self, component: int) -> int:
+        while component in self.parent:
+            component = self.parent[component]
+        return component
+
+    def candidates(self, components: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+        """Which of the block (rows) may be near which of those that pass by (columns)."""
+        agree = (self.sig[:, None, :] == sigs[None, :, :]).sum(2, dtype=np.int16)
+        return (agree >= NEAR * _PLACES) & (self.components[:, None] != components[None, :])
+
+    def links(self, id_: int, component: int, x: np.ndarray, raw: bytes) -> Iterator[tuple[int, int]]:
+        """Verifies all of x (rows of the block) against one text; tells the links that join components."""
+        x = x[self.root[x] != self.find(component)]
+        if not len(x):
+            return
+        words = np.frombuffer(raw, np.uint32)
+        values, n = np.unique(words, return_counts=True)
+        at = np.minimum(np.searchsorted(self.all, values), len(self.all) - 1)
+        known = self.all[at] == values
+        self.mark[at[known]] = n[known] / n.sum()
+        sizes = self.sizes[x]
+        places = flat.ragged(self.starts[x], sizes)
+        met, first = self.mark[self.codes[places]], np.cumsum(sizes) - sizes
+        self.mark[at[known]] = 0
+        shared = np.add.reduceat((met > 0).astype(np.int64), first)
+        # The sum of the lesser weights is never below the index; it is worked out where shingles repeat and that is enough.
+        bound = np.add.reduceat(np.minimum(met, self.weights[places]), first)
+        plain = self.plain[x] & (len(values) == len(words))
+        least = self.threshold - 1e-9
+        near = plain & (shared / (sizes + len(values) - shared) >= least)
+        for k in np.flatnonzero(near | (~plain & (bound >= least))):
+            old, new = int(self.root[x[k]]), self.find(component)
+            if old != new and (near[k] or likeness(self.words[x[k]], words) >= least):
+                self.parent[old] = new
+                self.root[self.root == old] = new
+                yield self.ids[x[k]], id_
+
+
+def _in_blocks(threshold: float):
+    """Compares the texts of a block to all that pass by; rows come sorted by block and slice, the block's own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, block = None, None, None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            member, ids, components = (batch.column(i).to_numpy() for i in (4, 5, 6))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (member[1:] != member[:-1])) + 1
+            found = []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+                if lo == hi:
+                    continue
+                if tuple(keys[lo]) != key:
+                    key, own, block = tuple(keys[lo]), ([], [], [], []), None
+                if member[lo] == 0:
+                    for held, column in zip(own, (5, 6, 7, 8)):
+                        held.extend(batch.column(column).slice(lo, hi - lo).to_pylist())
+                    continue
+                block = block or _Block(*own, threshold)
+                for at in range(lo, hi, 64):
+                    end = min(hi, at + 64)
+                    sigs = np.frombuffer(b"".join(batch.column(7).slice(at, end - at).to_pylist()), np.uint16).reshape(-1, _PLACES)
+                    may = block.candidates(components[at:end], sigs)
+                    for y in np.flatnonzero(may.any(0)):
+                        found.extend(block.links(int(ids[at + y]), int(components[at + y]), np.flatnonzero(may[:, y]), batch.column(8)[int(at + y)].as_py()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return run
+
+
+def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of large buckets, as far as any two of their texts are near.
+
+    many: band, key, id and n of the members of large buckets; joined: id and component of
+    linked ids; one: id and signature; sets: id and shingles.
     """
-    key, own, sig, bands, found = None, None, None, None, []
-
-    def ended():
-        own_, other, _, _ = _best(found)
-        found.clear()
-        if len(own_):
-            yield pa.RecordBatch.from_arrays([pa.array(own_), pa.array(other)], ["a", "b"])
-
-    for batch in batches:
-        bucket = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-        member, ids, component = (batch.column(i).to_numpy() for i in (3, 4, 5))
-        sigs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, _PLACES)
-        all_bands = batch.column(7).flatten().to_numpy().reshape(-1, BANDS)
-        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]).any(1) | (member[1:] != member[:-1])) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-            if lo == hi:
-                continue
-            if tuple(bucket[lo]) != key:
-                yield from ended()
-                key, own, sig = tuple(bucket[lo]), (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros((0, _PLACES), np.uint16)
-                bands = np.zeros((0, BANDS), np.int64)
-            if member[lo] == 0:
-                own = (np.concatenate([own[0], ids[lo:hi]]), np.concatenate([own[1], component[lo:hi]]))
-                sig, bands = np.concatenate([sig, sigs[lo:hi]]), np.concatenate([bands, all_bands[lo:hi]])
-                continue
-            for at in range(lo, hi, 128):
-                end = min(hi, at + 128)
-                agree = (sig[:, None, :] == sigs[None, at:end, :]).sum(2)
-                x, y = np.nonzero((agree >= NEAR * _PLACES) & (own[1][:, None] != component[None, at:end]))
-                # A pair that meets in several bands is told in the first of them.
-                first = (bands[x] == all_bands[at + y]).argmax(1) == key[0] if len(x) else np.zeros(0, bool)
-                x, y = x[first], y[first]
-                if len(x):
-                    found.append([own[0][x], ids[at + y], component[at + y], agree[x, y]])
-            if sum(len(f[0]) for f in found) > 500_000:
-                found[:] = [_best(found)]
-    yield from ended()
+    placed = many.select("band", "key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("parts > 1")
+    met = cut(placed.join(split, ["band", "key"]).select("band", "key", "id", "n", "component", "size", (F.col("component") != F.col("main.component")).alias("apart")))
+    # Of two components in a bucket one is not the largest: each text apart meets all of every bucket in which it is.
+    apart = met.where("apart")
+    homes = apart.groupBy("id").agg(F.max(F.struct("size", "band", "key")).alias("home"), F.max("n").alias("n"), F.max("component").alias("component"))
+    homes = homes.select("id", "n", "component", F.col("home.band").alias("home"), F.col("home.key").alias("home_key"))
+    loads = homes.groupBy("home", "home_key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).alias("blocks"))
+    homes = cut(homes.join(loads, ["home", "home_key"]).select("home", "home_key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "component"))
+    visits = apart.select("band", "key", "id").join(homes.drop("component"), "id").select("band", "key", "home", "home_key", "block").distinct()
+    others = cut(met.select("band", "key", "id", "component").join(visits, ["band", "key"]).select("home", "home_key", "block", "id", "component").distinct())
+    slices = others.groupBy("home", "home_key", "block").agg(F.ceil(F.count(F.lit(1)) / PASSING).alias("slices"))
+    numbered = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
+    own = homes.join(slices, ["home", "home_key", "block"]).select("home", "home_key", "block", numbered.alias("slice"), F.lit(0).alias("member"), "id", "component")
+    passing = others.join(slices, ["home", "home_key", "block"])
+    passing = passing.select("home", "home_key", "block", F.pmod(F.xxhash64("id", F.lit(1)), "slices").alias("slice"), F.lit(1).alias("member"), "id", "component")
+    texts = own.unionByName(passing).join(one.select("id", "sig"), "id").join(sets, "id")
+    texts = texts.select("home", "home_key", "block", "slice", "member", "id", "component", "sig", "shingles")
+    dealt = texts.repartition("home", "home_key", "block", "slice").sortWithinPartitions("home", "home_key", "block", "slice", "member", "id")
+    return dealt.mapInArrow(_in_blocks(threshold), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,11 +316,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     # A repeated id is one document: its rows' shingles are compared one by one, its class is shared.
     one = signed.where("n > 0").groupBy("n", "a", "b", "bands", "sig").agg(F.min("doc_id").alias("id"))
     members = signed.join(one.select("n", "a", "b", "id"), ["n", "a", "b"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("same_id")).distinct()
-    members, one = cut(members), cut(one.select("id", "bands", "sig"))
-    in_bands = one.select("id", F.posexplode("bands").alias("band", "key"))
+    members, one = cut(members), cut(one.select("id", "n", "bands", "sig"))
+    in_bands = one.select("id", "n", F.posexplode("bands").alias("band", "key"))
     # One draw for all bands: a group that shares many bands gets one head, and few pairs.
     sized = in_bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id").alias("draw"), "id")).alias("head"))
-    met = cut(in_bands.join(sized.where("size > 1"), ["band", "key"]).select("band", "key", "id", "size", F.col("head.id").alias("head")))
+    met = cut(in_bands.join(sized.where("size > 1"), ["band", "key"]).select("band", "key", "id", "n", "size", F.col("head.id").alias("head")))
     few, many = met.where(F.col("size") <= SMALL), met.where(F.col("size") > SMALL)
     listed = few.groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     each = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -276,32 +329,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     unique = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
     wanted = met.select("id").distinct()
     sets = cut(unique.join(wanted, unique["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
-    tried = cut(pairs.distinct())
-    links = cut(verified(sets, tried, threshold))
+    links = cut(verified(sets, pairs, threshold))
     joined = components(links)
-    members_of = many.select("band", "key", "id")
-    for _ in range(ROUNDS):
-        # Buckets of several components, with the largest of them.
-        placed = members_of.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-        split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("parts > 1")
-        blocks = F.ceil((F.col("all") - F.col("main.n")) / BLOCK)
-        met = placed.join(split, ["band", "key"])
-        # Signatures come to the members of such buckets once; later rounds read them from there.
-        met = met if "sig" in met.columns else met.join(one, "id")
-        apart = met.select("band", "key", "id", "component", "sig", "bands", blocks.alias("blocks"), (F.col("component") == F.col("main.component")).alias("in_main"))
-        apart = cut(apart)
-        own = apart.where("NOT in_main").select("band", "key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("member"), "id", "component", "sig", "bands")
-        other = apart.select("band", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("member"), "id", "component", "sig", "bands")
-        met = own.unionByName(other).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "member")
-        near = met.mapInArrow(_nearest, "a bigint, b bigint")
-        near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        more = cut(verified(sets, near, threshold))
-        if more.isEmpty():
-            break
-        tried, members_of = tried.union(near), apart.select("band", "key", "id", "sig", "bands")
-        links = links.union(more)
-        joined = components(links)
+    more = cut(across(many, joined, one, sets, threshold))
+    if not more.isEmpty():
+        joined = components(links.select("a", "b").union(more))
     ends = members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
     ends = cut(ends.groupBy("doc_id").agg(F.min("same_id").alias("same_id"), F.min("class_id").alias("class_id")))
     sizes = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
