@@ -254,8 +254,8 @@ def _in_blocks(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, block = None, None, None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
-            member, ids, components = (batch.column(i).to_numpy() for i in (4, 5, 6))
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            member, ids, components = (batch.column(i).to_numpy() for i in (3, 4, 5))
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (member[1:] != member[:-1])) + 1
             found = []
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
@@ -264,16 +264,16 @@ def _in_blocks(threshold: float):
                 if tuple(keys[lo]) != key:
                     key, own, block = tuple(keys[lo]), ([], [], [], []), None
                 if member[lo] == 0:
-                    for held, column in zip(own, (5, 6, 7, 8)):
+                    for held, column in zip(own, (4, 5, 6, 7)):
                         held.extend(batch.column(column).slice(lo, hi - lo).to_pylist())
                     continue
                 block = block or _Block(*own, threshold)
                 for at in range(lo, hi, 64):
                     end = min(hi, at + 64)
-                    sigs = np.frombuffer(b"".join(batch.column(7).slice(at, end - at).to_pylist()), np.uint16).reshape(-1, _PLACES)
+                    sigs = np.frombuffer(b"".join(batch.column(6).slice(at, end - at).to_pylist()), np.uint16).reshape(-1, _PLACES)
                     may = block.candidates(components[at:end], sigs)
                     for y in np.flatnonzero(may.any(0)):
-                        found.extend(block.links(int(ids[at + y]), int(components[at + y]), np.flatnonzero(may[:, y]), batch.column(8)[int(at + y)].as_py()))
+                        found.extend(block.links(int(ids[at + y]), int(components[at + y]), np.flatnonzero(may[:, y]), batch.column(7)[int(at + y)].as_py()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
@@ -289,23 +289,24 @@ def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame,
     placed = many.select("band", "key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("parts > 1")
-    met = cut(placed.join(split, ["band", "key"]).select("band", "key", "id", "n", "component", "size", (F.col("component") != F.col("main.component")).alias("apart")))
+    met = cut(placed.join(split, ["band", "key"]).select("band", "key", "id", "n", "component", "size", F.col("main.component").alias("main")))
     # Of two components in a bucket one is not the largest: each text apart meets all of every bucket in which it is.
-    apart = met.where("apart")
-    homes = apart.groupBy("id").agg(F.max(F.struct("size", "band", "key")).alias("home"), F.max("n").alias("n"), F.max("component").alias("component"))
-    homes = homes.select("id", "n", "component", F.col("home.band").alias("home"), F.col("home.key").alias("home_key"))
-    loads = homes.groupBy("home", "home_key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).alias("blocks"))
-    homes = cut(homes.join(loads, ["home", "home_key"]).select("home", "home_key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "component"))
-    visits = apart.select("band", "key", "id").join(homes.drop("component"), "id").select("band", "key", "home", "home_key", "block").distinct()
-    others = cut(met.select("band", "key", "id", "component").join(visits, ["band", "key"]).select("home", "home_key", "block", "id", "component").distinct())
-    slices = others.groupBy("home", "home_key", "block").agg(F.ceil(F.count(F.lit(1)) / PASSING).alias("slices"))
+    # Texts apart from the same component share most of their buckets, so they share blocks.
+    apart = met.where("component <> main")
+    homes = apart.groupBy("id").agg(F.max(F.struct("size", "main")).alias("home"), F.max("n").alias("n"), F.max("component").alias("component"))
+    homes = homes.select("id", "n", "component", F.col("home.main").alias("home"))
+    loads = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).alias("blocks"))
+    homes = cut(homes.join(loads, "home").select("home", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "component"))
+    visits = cut(apart.select("band", "key", "size", "id").join(homes.drop("component"), "id").select("band", "key", "size", "home", "block").distinct())
+    # Slices follow from the sizes of the buckets, so that those who pass by need not be brought together to be counted.
+    slices = visits.groupBy("home", "block").agg(F.ceil(F.greatest(F.max("size"), F.sum("size") / BANDS) / PASSING).alias("slices"))
     numbered = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
-    own = homes.join(slices, ["home", "home_key", "block"]).select("home", "home_key", "block", numbered.alias("slice"), F.lit(0).alias("member"), "id", "component")
-    passing = others.join(slices, ["home", "home_key", "block"])
-    passing = passing.select("home", "home_key", "block", F.pmod(F.xxhash64("id", F.lit(1)), "slices").alias("slice"), F.lit(1).alias("member"), "id", "component")
+    own = homes.join(slices, ["home", "block"]).select("home", "block", numbered.alias("slice"), F.lit(0).alias("member"), "id", "component")
+    passing = met.select("band", "key", "id", "component").join(visits.join(slices, ["home", "block"]), ["band", "key"])
+    passing = passing.select("home", "block", F.pmod(F.xxhash64("id", F.lit(1)), "slices").alias("slice"), F.lit(1).alias("member"), "id", "component").distinct()
     texts = own.unionByName(passing).join(one.select("id", "sig"), "id").join(sets, "id")
-    texts = texts.select("home", "home_key", "block", "slice", "member", "id", "component", "sig", "shingles")
-    dealt = texts.repartition("home", "home_key", "block", "slice").sortWithinPartitions("home", "home_key", "block", "slice", "member", "id")
+    texts = texts.select("home", "block", "slice", "member", "id", "component", "sig", "shingles")
+    dealt = texts.repartition("home", "block", "slice").sortWithinPartitions("home", "block", "slice", "member", "id")
     return dealt.mapInArrow(_in_blocks(threshold), "a bigint, b bigint")
 
 
