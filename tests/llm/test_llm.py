@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import zlib
 from pyspark.sql import functions as F
@@ -178,9 +179,58 @@ def test_near_classes_equal_brute_force(spark):
     assert near_dedup.classes(docs(spark, [(None, "a b"), (1, "a b")])).count() == 2
 
 
-def test_likeness_of_weighted_sets():
-    import numpy as np
+@pytest.mark.parametrize("block, shingles, passing", [(7, 10**6, 16), (2048, 400, 8192), (2048, 10**6, 8192)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block, shingles, passing):
+    """Texts around the threshold, some with repeated shingles: compared whole, however the blocks and slices fall."""
+    for name, value in (("BLOCK", block), ("SHINGLES", shingles), ("PASSING", passing)):
+        monkeypatch.setattr(near_dedup, name, value)
+    draw = random.Random(9)
+    base = ["b%d" % draw.randrange(10**6) for _ in range(200)]
+    texts = {}
+    for i in range(90):
+        w = list(base)
+        for at in draw.sample(range(0, 200, 5), draw.choice([1, 3, 5])):
+            w[at] = "edit%d" % draw.randrange(10**6)
+        texts[i] = w + (w[:40] if i % 6 == 0 else [])
+    tuples = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in texts.items()}
+    codes = {t: c for c, t in enumerate(sorted({t for x in tuples.values() for t in x}))}
+    bags = {i: np.sort(np.array([codes[t] for t in x], np.uint32)) for i, x in tuples.items()}
+    parent = {}
+    find = lambda x: x if parent.get(x, x) == x else find(parent[x])
+    for a in bags:
+        for b in bags:
+            if a < b and near_dedup.likeness(bags[a], bags[b]) >= 0.8 - 1e-9:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i in bags}
+    assert 1 < len(set(want.values())) < 90
+    out = near_dedup.classes(docs(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == want
+
+
+def test_block_tells_every_joining_link():
+    """All pairs of a block and those that pass by, against plain comparison; no pair is left to chance or a limit."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**32, 100, dtype=np.uint32)
+    bags = []
+    for i in range(60):
+        x = base.copy()
+        x[draw.choice(100, draw.integers(2, 14), replace=False)] = draw.integers(0, 2**32, 1, dtype=np.uint32)
+        bags.append(np.sort(np.concatenate([x, x[:20]]) if i % 4 == 0 else x))
+    sig = [np.zeros(near_dedup._PLACES, np.uint16).tobytes()] * 60
+    held = near_dedup._Block(list(range(30)), list(range(30)), sig[:30], [x.tobytes() for x in bags[:30]], 0.8)
+    found = [link for y in range(30, 60) for link in held.links(y, y, np.arange(30), bags[y].tobytes())]
+    parents = []
+    for links in (found, [(a, b) for a in range(30) for b in range(30, 60) if near_dedup.likeness(bags[a], bags[b]) >= 0.8 - 1e-9]):
+        parent = {}
+        find = lambda x: x if parent.get(x, x) == x else find(parent[x])  # noqa: B023, E731
+        for a, b in links:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        parents.append([find(x) for x in range(60)])
+    assert parents[0] == parents[1]
+    assert len(found) == 60 - len(set(parents[0]))
+
 
+def test_likeness_of_weighted_sets():
     assert near_dedup.likeness(np.array([1, 2, 3], np.uint32), np.array([2, 3, 4], np.uint32)) == pytest.approx(0.5)
     assert near_dedup.likeness(np.array([1, 1, 2, 2], np.uint32), np.array([1, 2], np.uint32)) == pytest.approx(1.0)
     x, y = {1: 3 / 4, 2: 1 / 4}, {1: 1 / 2, 2: 1 / 2}
