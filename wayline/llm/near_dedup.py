@@ -42,7 +42,7 @@ SMALL, PARTNERS = 8, 2000
 #: Texts and shingles that a block of texts still apart holds, and how many pass by it in one slice (a longer text is a block of its own).
 BLOCK, SHINGLES, PASSING = 2048, 1_000_000, 8192
 #: Share of equal places that a pair needs to be verified in a block. A pair at the threshold has fewer with a probability
-#: of 1e-7, which is less than that of missing all bands (3e-5).
+#: of 5e-8, which is less than that of missing all bands (3e-5).
 NEAR = 0.6
 
 _PLACES = BANDS * ROWS
