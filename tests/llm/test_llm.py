@@ -296,6 +296,17 @@ def test_html(spark):
     assert len(html_text.extract(rows, chain).collect()) == 3
 
 
+@pytest.mark.parametrize("inline, kept", [
+    ('<svg width="1"/>', ""), ("<svg/>", ""), ("<math/>", ""), ('<object data="x"/>', ""), ("<canvas/>", ""), ('<svg-icon name="a"></svg-icon>', ""), ("<template-x>a</template-x>", "a"),
+    ("<object-list>a</object-list>", "a"), ("<svg><path d='M0'/></svg>", ""), ("<svg><style/><title>a</title></svg>", "a"), ("<math><mi>x</mi></math>", "x"), ("<object>a</object>", "a"),
+    ("<canvas>a</canvas>", "a"), ("<script>a</script>", ""), ("<STYLE media=x>a</style >", ""), ("<template>a</template>", ""), ("<iframe src=x>a</iframe>", ""), ("<textarea>a</textarea>", ""), ("<script>'</scripts>'</script>", "")])
+def test_html_elements_within_text(inline, kept):
+    """Only raw elements hold no text, and none takes what stands behind it."""
+    page = f"<html><body>{inline}<article><p>One {inline} two.</p><p>Three.</p></article><p>{inline} Four.</p></body></html>"
+    texts = [text for text, _, _ in html_text.blocks(page)]
+    assert texts == [kept] * bool(kept) + [" ".join(f"One {kept} two.".split()), "Three.", f"{kept} Four.".strip()]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -11,7 +11,8 @@ from lists by a seeded generator, several hundred pages whatever the corpus, so
 model is the same in every run. ``train`` takes any other labelled blocks as well.
 
 Character references are decoded, white space within a block becomes one space (a line
-break element counts as white space), scripts, styles and comments hold no text. Null
+break element counts as white space). Scripts, styles, templates, text areas, frames and
+comments hold no text; that of any other element is kept as it stands. Null
 and empty pages and pages without main text give an empty text. Pages are handled one by
 one: repeated rows, null ids and null urls keep their rows, an empty table gives none.
 """
@@ -34,7 +35,7 @@ PAGES, SEED, STEPS, DECAY = 700, 5, 250, 0.02
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|template|svg|math|iframe|object|canvas|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|iframe|textarea)(?=[\s/>])([^>]*)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
@@ -57,7 +58,7 @@ def blocks(page: str) -> list[tuple[str, frozenset, list[str]]]:
     out = []
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
     parts: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, in_svg = 0, 0, 0
 
     def close():
         nonlocal linked
@@ -78,16 +79,18 @@ def blocks(page: str) -> list[tuple[str, frozenset, list[str]]]:
                 return
 
     at = 0
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             run = page[at : m.start()]
             parts.append(run)
             if in_link:
                 linked += len(run)
         at = m.end()
-        raw, slash, name, attributes, slash2, name2, attributes2 = m.groups()
+        raw, raw_attributes, slash, name, attributes, slash2, name2, attributes2 = m.groups()
         if raw:
             parts.append(" ")
+            if in_svg and raw_attributes.endswith("/"):  # only there may such an element close itself
+                at = m.end(2) + 1
             continue
         if name is None:
             slash, name, attributes = slash2, name2, attributes2
@@ -100,7 +103,9 @@ def blocks(page: str) -> list[tuple[str, frozenset, list[str]]]:
         if name == "a":
             in_link = 0 if slash else 1
             continue
-        block = name in BLOCKS
+        if name == "svg" and not attributes.endswith("/"):
+            in_svg = max(0, in_svg - 1) if slash else in_svg + 1
+        block = name in BLOCKS and not (in_svg and name == "title")
         if not block and (name in _VOID or not slash and not attributes):
             continue
         if block:
