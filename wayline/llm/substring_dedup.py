@@ -6,11 +6,15 @@ in blocks: of each window the least hash of its ``GRAM``-word chains is its anch
 window's words alone decide, so equal windows agree), and the consecutive windows of
 one anchor are a block, keyed by the anchor. Blocks of one key meet in one place, in
 order of their documents; there every document is factored against all blocks before
-it, each factor as long as it goes on along one reference. What is left of a factor at
-its ends, where it is shorter than a window or crosses into the next block, is checked
-window by window. Factors of at least a window become spans; their words go.
+it. Each window stands for the first document that holds it, and a factor goes on
+while its windows do so along one reference; this is not the greedy parse, which stays with
+a reference as long as it can: the words are the same, but a span may be told in more parts.
+Factors of at least a window become spans; their words go.
 
-Blocks hold no text, only hashes: 64 bits for an anchor and 32 for each window below it.
+Blocks hold no text, only hashes: 64 bits of each window below a key of 32 bits of its anchor.
+The windows of an anchor with many blocks are keyed by their own hash instead, so that
+they are not all in one place; which anchors these are is counted on a share of the ids
+and changes no result.
 Windows that an earlier document of the same run of texts holds are settled before the
 shuffle, so that a passage that stands in a third of all documents sends one block for
 each run of texts and not for each document. A key's blocks pass in a stream, of which
@@ -28,6 +32,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +41,12 @@ from .shared import table
 
 WINDOW, GRAM = 13, 5
 
-_BLOCK = "key bigint, doc bigint, at bigint, n int, home bigint, home_at bigint, windows binary"
+#: An anchor of more blocks than MOST, as counted on one id in SHARE, is frequent.
+MOST, SHARE = 50_000, 16
+
+#: data: of a block, 8 bytes a window; of a settled piece, n (4 bytes), home and home_at.
+_BLOCK = "key int, doc bigint, at bigint, data binary"
+_SETTLED = np.dtype([("n", "<i4"), ("home", "<i8"), ("home_at", "<i8")])
 _PIECE = "doc bigint, at bigint, n int, home bigint, home_at bigint"
 #: Places carry 24 bits of the text's hash above 40 of the word's number: an id may stand on several texts.
 _PLACE = np.int64((1 << 40) - 1)
@@ -62,16 +72,14 @@ def _pieces(doc: np.ndarray, at: np.ndarray, home: np.ndarray, home_at: np.ndarr
     return [doc[first], at[first], np.diff(np.append(first, len(doc))), home[first], home_at[first]]
 
 
-def _rows(key, doc, at, n, home, home_at, windows=None) -> pa.RecordBatch:
-    rows = len(doc)
-    cols = [pa.array(key), pa.array(doc), pa.array(at), pa.array(np.asarray(n, np.int32))]
-    cols += [pa.nulls(rows, pa.int64()) if x is None else pa.array(x) for x in (home, home_at)]
-    cols.append(pa.nulls(rows, pa.binary()) if windows is None else windows)
-    return pa.RecordBatch.from_arrays(cols, ["key", "doc", "at", "n", "home", "home_at", "windows"])
+def _rows(key, doc, at, lengths, data) -> pa.RecordBatch:
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(at), packed], ["key", "doc", "at", "data"])
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of each text, and what texts of the same run settle among themselves."""
+def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of each text, and what texts of the same run settle among themselves; frequent: sorted keys of anchors."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, data, offsets in flat.runs(batch.column(1)):
@@ -103,16 +111,26 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             late = doc > doc[holder]
             pieces = _pieces(doc[late], place[late], doc[holder][late], place[holder][late] & _PLACE)
             if len(pieces[0]):
-                yield _rows(flat.mix(pieces[0].view(np.uint64) + np.uint64(1)).view(np.int64), *pieces)
+                settled = np.empty(len(pieces[0]), _SETTLED)
+                settled["n"], settled["home"], settled["home_at"] = pieces[2:]
+                yield _rows(flat.mix(pieces[0].view(np.uint64) + np.uint64(1)), *pieces[:2], np.full(len(settled), _SETTLED.itemsize), settled)
             sent = np.flatnonzero(~late)
             if len(sent):
+                key = grams[anchor[sent]]
+                many = np.isin((key >> np.uint64(32)).astype(np.uint32).view(np.int32), frequent)
+                key = np.where(many, windows[sent], key)
                 cut = np.ones(len(sent), bool)
-                cut[1:] = (np.diff(sent) != 1) | (np.diff(anchor[sent]) != 0) | (np.diff(which[sent]) != 0) | (np.diff(place[sent]) != 1)
+                cut[1:] = (np.diff(sent) != 1) | (np.diff(anchor[sent]) != 0) | (np.diff(which[sent]) != 0) | (np.diff(place[sent]) != 1) | many[1:]
                 head = np.flatnonzero(cut)
                 n = np.diff(np.append(head, len(sent)))
-                short = (windows[sent] >> np.uint64(32)).astype(np.uint32)
-                packed = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.append(head, len(sent)).astype(np.int32) * 4), pa.py_buffer(short)])
-                yield _rows(grams[anchor[sent[head]]].view(np.int64), doc[sent[head]], place[sent[head]], n, None, None, packed)
+                yield _rows(key[head], doc[sent[head]], place[sent[head]], n * 8, windows[sent])
+
+
+def _packed(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column."""
+    _, where, raw = column.buffers()
+    lo, hi = np.frombuffer(where, np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(raw, np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,28 +142,27 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(np.asarray(n, np.int32)), pa.array(home), pa.array(home_at)], ["doc", "at", "n", "home", "home_at"])
 
     for batch in batches:
-        table_ = pa.Table.from_batches([batch])
-        settled = table_.filter(table_["home"].is_valid()).combine_chunks()
-        if settled.num_rows:
-            yield from settled.select(["doc", "at", "n", "home", "home_at"]).to_batches()
-        blocks = table_.filter(table_["windows"].is_valid()).combine_chunks()
+        size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)
+        done = size == _SETTLED.itemsize
+        if done.any():
+            settled = batch.filter(pa.array(done))
+            n, home, home_at = (np.ascontiguousarray(_packed(settled.column(3)).view(_SETTLED)[c]) for c in _SETTLED.names)
+            yield out(settled.column(1).to_numpy(), settled.column(2).to_numpy(), n, home, home_at)
+        blocks = batch.filter(pa.array(~done))
         if not blocks.num_rows:
             continue
-        key, doc, at, n = (blocks[c].to_numpy() for c in ("key", "doc", "at", "n"))
+        key, doc, at = (blocks.column(c).to_numpy() for c in range(3))
+        n = size[~done].astype(np.int64) // 8
         again = np.zeros(len(key), bool)
         again[1:] = key[1:] == key[:-1]
         again[:-1] |= again[1:]
         if seen_key is not None:
             again |= key == seen_key
         again |= key == key[-1]  # may go on in the next batch
-        part = blocks.filter(pa.array(again)).combine_chunks()
-        key, doc, at, n = key[again], doc[again], at[again], n[again].astype(np.int64)
-        packed = part["windows"].chunk(0)
-        _, where, raw = packed.buffers()
-        lo, hi = np.frombuffer(where, np.int32)[[packed.offset, packed.offset + len(packed)]]
-        short = np.frombuffer(raw, np.uint8)[lo:hi].view(np.uint32)
+        hashes = _packed(blocks.filter(pa.array(again)).column(3)).view(np.uint64)
+        key, doc, at, n = key[again], doc[again], at[again], n[again]
         each = np.repeat(np.arange(len(key)), n)
-        window = key.view(np.uint64)[each] * np.uint64(0x9E3779B97F4A7C15) + short
+        window = key.astype(np.uint64)[each] * np.uint64(0x9E3779B97F4A7C15) + hashes
         w_doc, w_at, w_key = doc[each], at[each] + flat.ragged(np.zeros(len(n), np.int64), n), key[each]
         base = 0
         if seen_key is not None and seen_key == key[0]:
@@ -168,10 +185,19 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (window[kept], w_doc[kept], w_at[kept])
 
 
-def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _frequent(rows: DataFrame, id_col: str, most: int, share: int) -> np.ndarray:
+    """The keys of anchors of more than most blocks, as counted on one id in share."""
+    some = rows.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)
+    blocks = some.mapInArrow(lambda batches: _index(batches, np.zeros(0, np.int32)), _BLOCK).where(F.length("data") != _SETTLED.itemsize)
+    found = blocks.groupBy("key").count().where(F.col("count") * share > most).select("key").collect()
+    return np.sort(np.array([r["key"] for r in found], np.int32))
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, share: int = SHARE) -> DataFrame:
     """doc, at, n, home, home_at: n windows from a place in doc also stand in home, from home_at on."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col))
-    blocks = rows.mapInArrow(_index, _BLOCK).repartition("key").sortWithinPartitions("key", "doc", "at")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, "doc_id", most, share))
+    blocks = rows.mapInArrow(lambda batches: _index(batches, frequent.value), _BLOCK).repartition("key").sortWithinPartitions("key", "doc", "at")
     return blocks.mapInArrow(_factor, _PIECE)
 
 
@@ -220,9 +246,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and spans (start, length, home, home_start) of each row."""
-    found = factors(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "home", "home_at")).alias("parts"))
+    found = factors(docs, id_col, text_col, most, share).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "home", "home_at")).alias("parts"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(found, rows["doc_id"] == found["doc"], "left").select("doc_id", "text", "parts")
     return joined.mapInArrow(_spans, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:bigint,length:bigint,home:bigint,home_start:bigint>>")
