@@ -1,13 +1,15 @@
 """Operators on tiny literal frames."""
 
 import math
+import random
 import zlib
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import scalars as s
-from wayline.operators import episodes, lifecycle, motion, quality, rollup, series, trace, vibration
+from wayline.operators import audit, episodes, lifecycle, motion, quality, rollup, series, trace, vibration
 from wayline.sources import frames
 
 POINT = "device_id string, t_ms bigint, protocol string, fix_mode int, nav_mode int, speed double, ax double, ay double, az double, lat double, lon double, lat_std double, lon_std double"
@@ -131,6 +133,46 @@ def test_scan_resolution_prefers_exact_sequence(spark):
     assert out == {"s1": (70, "ok"), "s2": (71, "ok"), "s3": (None, "unknown")}
 
 
+def test_fit_uses_all_rows(spark):
+    """A row a second, all at one phase: above 50,000 rows none may be left out."""
+    df = spark.range(50_002).select(F.lit("A").alias("device_id"), (F.col("id") * 1000 + 100).alias("t_ms"), F.col("id").cast("double").alias("alt"))
+    assert [tuple(r)[2:4] for r in audit.robust_fit(df, {"alt": 10.0}).collect()] == [(25_000.5, 12_500.5)]
+
+
+def test_context_fit_equals_plain(spark):
+    draw = random.Random(3)
+    names = ["lat", "lon", *audit.FLOORS, "pitch", "roll"]
+    rows = []
+    for i in range(400):
+        turn = [(175 + draw.gauss(0, 6) + 180) % 360 - 180, draw.gauss(-179, 3)]
+        rows.append(("A", i * 100, "GPCHCX", draw.choice([0, 4, 4, 4]), draw.choice([0, 2, 2, 2]), 31 + draw.gauss(0, 1e-4), 121 + draw.gauss(0, 1e-4), *[draw.gauss(2, 1) for _ in audit.FLOORS], *turn))
+    rows += [("B", i, "GPCHCX", 4 * (i < 99), 2, 31.0, 121.0, *[0.0] * 13) for i in range(150)]
+    df = spark.createDataFrame(rows, "device_id string, t_ms bigint, protocol string, fix_mode int, nav_mode int, " + ", ".join(f"{n} double" for n in names))
+    got = {r["field"]: r for r in audit.context_fit(df).collect()}
+    v = [dict(zip(names, r[5:])) for r in rows if r[0] == "A" and r[3] and r[4]]
+    delta = lambda a, b: (a - b + 180) % 360 - 180
+    want = {}
+    for n in names:
+        x = [r[n] for r in v]
+        turned = n in ("pitch", "roll")
+        centre = (x[0] + median(delta(a, x[0]) for a in x) + 180) % 360 - 180 if turned else median(x)
+        mad = median(abs(delta(a, centre) if turned else a - centre) for a in x)
+        floor = {**audit.FLOORS, "pitch": 1.0, "roll": 1.0}.get(n)
+        want[n] = (centre, mad, floor and max(floor, 6 * 1.4826 * mad))
+    a, o = (math.radians(want[n][0]) for n in ("lat", "lon"))
+    radii = []
+    for r in v:
+        b, p = math.radians(r["lat"]), math.radians(r["lon"])
+        radii.append(2 * 6371008.8 * math.asin(math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((p - o) / 2) ** 2)))
+    m = median(radii)
+    d = median(abs(r - m) for r in radii)
+    want["radius"] = (m, d, max(10, m + 6 * 1.4826 * d))
+    want["horizontal"] = (None, None, max(want[n][2] for n in ("speed", "ve", "vn")))
+    assert len(got) == 17 and all(r["device_id"] == "A" and r["population"] == 400 and r["valid_population"] == len(v) for r in got.values())
+    for n, values in want.items():
+        assert [got[n][c] for c in ("centre", "mad", "limit")] == [x if x is None else pytest.approx(x, rel=1e-6, abs=1e-9) for x in values], n
+
+
 def test_entry_imports_without_llm():
     import importlib
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_SPEED
-from ..functions.scalars import local_day, local_hour
+from ..functions.scalars import angle_delta, haversine_m, local_day, local_hour, valid_position
 
 # Floors of a fitted context and metres for a degree.
 FLOORS = {"alt": 10.0, "speed": 0.3, "ve": 0.3, "vn": 0.3, "vu": 0.5, "gx": 0.15, "gy": 0.15, "gz": 0.15, "ax": 0.02, "ay": 0.02, "az": 0.02}
+CIRCULAR = {"pitch": 1.0, "roll": 1.0}
 DEGREE_M = 111195.0
 
 
@@ -22,14 +23,10 @@ def quantiles(df: DataFrame, columns: list[str], at=(0.5, 0.9, 0.95, 0.99, 1.0),
     return out.select("device_id", "metric", *[F.col("q")[i].alias(f"q{round(a * 1000):04d}") for i, a in enumerate(at)])
 
 
-def robust_fit(points: DataFrame, fields: dict[str, float] = FLOORS, least: int = 100, most: int = 50_000) -> DataFrame:
-    """Median, median absolute deviation and limit = max(floor, 6 * 1.4826 * MAD) of each field of a device.
-
-    Devices above ``most`` rows are strided, every k-th row by rank (the stride is the feature).
-    """
+def robust_fit(points: DataFrame, fields: dict[str, float] = FLOORS, least: int = 100) -> DataFrame:
+    """Median, median absolute deviation and limit = max(floor, 6 * 1.4826 * MAD) of each field of a device, over all its rows."""
     total = points.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    rows = points.join(total, "device_id").withColumn("_k", F.ceil(F.col("_n") / most))
-    rows = rows.where(F.pmod(F.floor(F.col("t_ms") / 100), "_k") == 0)
+    rows = points.join(total, "device_id")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.lit(f).alias("floor")) for c, f in fields.items()]))
     long = rows.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
     centre = long.groupBy("device_id", "field", "floor").agg(F.median("value").alias("centre"))
@@ -37,6 +34,45 @@ def robust_fit(points: DataFrame, fields: dict[str, float] = FLOORS, least: int
     return away.select("device_id", "field", "centre", "mad", F.greatest("floor", 6 * 1.4826 * F.col("mad")).alias("limit"))
 
 
+def context_fit(points: DataFrame, least: int = 100) -> DataFrame:
+    """The fitted context of each device: field, centre, mad and limit of fifteen fields, and of two more.
+
+    Only rows with a valid position and a navigation mode count, of which there must be ``least``;
+    all of them are used. Pitch and roll are fitted on the circle, around the first value. lat and
+    lon are the anchor and have no limit; ``radius`` is the distance from it in metres, and
+    ``horizontal`` has the greatest limit of speed, ve and vn only.
+    """
+    total = points.groupBy("device_id").agg(F.count(F.lit(1)).alias("population"))
+    valid = points.where(valid_position() & (F.col("nav_mode") != 0))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("t_ms", "protocol"))).alias(f"_{c}") for c in CIRCULAR]
+    start = valid.groupBy("device_id").agg(F.count(F.lit(1)).alias("valid_population"), *first).where(F.col("valid_population") >= least)
+    rows = valid.join(start, "device_id")
+
+    def fit(df, fields):
+        """Of each field (value, value from which it is measured on the circle, floor): centre and mad."""
+        none = F.lit(None).cast("double")
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"), (F.col(f"_{c}") if c in CIRCULAR else none).cast("double").alias("_from")) for c in fields]))
+        long = df.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
+        by = ["device_id", "field"]
+        centre = long.groupBy(*by).agg(F.median(F.coalesce(angle_delta("value", "_from"), "value")).alias("_c"), F.first("_from").alias("_start"))
+        centre = centre.select(*by, F.coalesce(angle_delta(F.col("_start") + F.col("_c"), F.lit(0.0)), "_c").alias("centre"))
+        turned = F.when(F.col("_from").isNotNull(), angle_delta("value", "centre")).otherwise(F.col("value") - F.col("centre"))
+        return long.join(centre, by).groupBy(*by, "centre").agg(F.median(F.abs(turned)).alias("mad"))
+
+    fields = fit(rows, ["lat", "lon", *FLOORS, *CIRCULAR])
+    anchor = fields.where("field IN ('lat', 'lon')").groupBy("device_id").agg(*[F.max(F.when(F.col("field") == c, F.col("centre"))).alias(f"_{c}") for c in ("lat", "lon")])
+    radius = fit(valid.join(anchor, "device_id").withColumn("radius", haversine_m("lat", "lon", "_lat", "_lon")), ["radius"])
+    floor = F.lit(None).cast("double")
+    for c, f in (FLOORS | CIRCULAR).items():
+        floor = F.when(F.col("field") == c, F.lit(float(f))).otherwise(floor)
+    spread = 6 * 1.4826 * F.col("mad")
+    limited = fields.withColumn("limit", F.when(floor.isNotNull(), F.greatest(floor, spread)))
+    limited = limited.unionByName(radius.withColumn("limit", F.greatest(F.lit(10.0), F.col("centre") + spread)))
+    level = limited.where("field IN ('speed', 've', 'vn')").groupBy("device_id").agg(F.max("limit").alias("limit"))
+    level = level.select("device_id", F.lit("horizontal").alias("field"), F.lit(None).cast("double").alias("centre"), F.lit(None).cast("double").alias("mad"), "limit")
+    return limited.unionByName(level).join(start.select("device_id", "valid_population"), "device_id").join(total, "device_id")
+
+
 def daily_audit(view: DataFrame) -> DataFrame:
     """A row for each device and local day: rows, first, last, greatest raw and accepted speed with its time, share accepted, counts by state."""
     df = view.withColumn("day", local_day("t_ms"))

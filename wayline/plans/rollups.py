@@ -288,6 +288,12 @@ def robust_fit(spark, sf_dir):
     return rounded(audit.robust_fit(telemetry(spark, sf_dir), _FITTED))
 
 
+@query()
+def context_fit(spark, sf_dir):
+    """All fields of the fit, over the valid rows."""
+    return rounded(audit.context_fit(telemetry(spark, sf_dir)))
+
+
 @query(sql(""",
 mn AS (SELECT device_id, CAST(floor(t_ms / 60000) AS BIGINT) * 60 AS minute, count(*) AS n FROM t GROUP BY ALL),
 ds AS (SELECT device_id, minute, CAST(sum(n) OVER (PARTITION BY device_id ORDER BY minute RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS BIGINT) AS rows FROM mn)
