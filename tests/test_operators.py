@@ -173,6 +173,32 @@ def test_context_fit_equals_plain(spark):
         assert [got[n][c] for c in ("centre", "mad", "limit")] == [x if x is None else pytest.approx(x, rel=1e-6, abs=1e-9) for x in values], n
 
 
+def test_every_row_is_probed(spark, tmp_path):
+    """nearest_asof_all and interpolate_track_all against brute force on all rows of a small events table."""
+    from wayline.plans import rollups, shared
+
+    df = spark.range(1, 1201).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit("x").alias("event_type"), (F.pmod(F.col("id") * 7919, F.lit(5000)) / 100.0).alias("value"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    times, speed = [], {}
+    for r in shared.view(spark, str(tmp_path)).select("device_id", "t_ms", "speed").collect():
+        times.append((r["device_id"], r["t_ms"] + 37))
+        if r["speed"] is not None:
+            speed.setdefault(r["device_id"], {})[r["t_ms"]] = r["speed"]
+    near, between = {}, {}
+    for d, t in times:
+        v = speed.get(d, {})
+        b, a = max((x for x in v if x <= t), default=None), min((x for x in v if x >= t), default=None)
+        n = b if b is not None and (a is None or t - b <= a - t) else a
+        near[d, t] = (n, v.get(n), a)
+        inner = b is not None and a is not None and a - b <= 3000
+        value = v.get(n) if not inner or a == b else v[b] + (v[a] - v[b]) * (t - b) / (a - b)
+        between[d, t] = (value if value is None else pytest.approx(value, abs=1e-5), inner)
+    got = rollups.nearest_asof_all(spark, str(tmp_path)).collect()
+    assert len(got) == len(near) == 1200 and {(r[0], r[1]): tuple(r)[2:] for r in got} == near
+    got = rollups.interpolate_track_all(spark, str(tmp_path)).collect()
+    assert len(got) == 1200 and {(r[0], r[1]): tuple(r)[2:] for r in got} == between
+
+
 def test_entry_imports_without_llm():
     import importlib
 

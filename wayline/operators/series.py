@@ -32,8 +32,8 @@ def nearest_asof(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     r = right.select("device_id", "t_ms", F.lit(None).cast(left.schema["key"].dataType).alias("key"), F.struct(F.col("t_ms").cast("bigint").alias("t"), F.col(value).cast("double").alias("v")).alias("r"), F.lit(0).alias("side"))
     both = l.unionByName(r)
     back = Window.partitionBy("device_id").orderBy("t_ms", "side").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("device_id").orderBy("t_ms", F.desc("side")).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_b", F.last("r", ignorenulls=True).over(back)).withColumn("_a", F.first("r", ignorenulls=True).over(on)).where("side = 1")
+    on = Window.partitionBy("device_id").orderBy(F.desc("t_ms"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_b", F.last("r", ignorenulls=True).over(back)).withColumn("_a", F.last("r", ignorenulls=True).over(on)).where("side = 1")
     earlier = F.col("_a").isNull() | (F.col("t_ms") - F.col("_b.t") <= F.col("_a.t") - F.col("t_ms"))
     near = F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a"))
     return found.select("device_id", "t_ms", "key", near["t"].alias("near_ms"), near["v"].alias("near_value"), F.col("_a.t").alias("next_ms"), F.col("_b").alias("before"), F.col("_a").alias("after"))

@@ -247,6 +247,24 @@ def interpolate_track(spark, sf_dir):
     return rounded(series.interpolate(*_probes(spark, sf_dir), "speed").select("device_id", "t_ms", "value", "interpolated"))
 
 
+def _all_probes(spark, sf_dir):
+    """As _probes, of every row."""
+    t = telemetry(spark, sf_dir)
+    return t.select("device_id", (F.col("t_ms") + 37).alias("t_ms"), F.col("t_ms").alias("key")), view(spark, sf_dir).where("speed IS NOT NULL")
+
+
+@query()
+def nearest_asof_all(spark, sf_dir):
+    """nearest_asof for every row; the correlated subqueries of its SQL allow one row in 70."""
+    return series.nearest_asof(*_all_probes(spark, sf_dir), "speed").select("device_id", "t_ms", "near_ms", "near_value", "next_ms")
+
+
+@query()
+def interpolate_track_all(spark, sf_dir):
+    """interpolate_track for every row."""
+    return rounded(series.interpolate(*_all_probes(spark, sf_dir), "speed").select("device_id", "t_ms", "value", "interpolated"))
+
+
 @query(sql(_SEGMENTS + """,
 cv AS (SELECT *, max(end_ms) OVER (PARTITION BY device_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg WHERE end_ms >= 1704067210000 AND start_ms <= 1704067250000)
 SELECT device_id, max(CASE WHEN start_ms > coalesce(reach, 1704067210000) + 1000 THEN 1 ELSE 0 END) = 0 AND max(end_ms) + 1000 >= 1704067250000 AS covered, count(*) AS intervals FROM cv GROUP BY device_id"""))
