@@ -10,10 +10,13 @@ Learning uses labelled rows only, at most ``MOST_LABELLED`` of them (chosen by a
 the id if there are more), and none whose crc32(id as text) mod 4 is 2. Sums of a fixed
 size reach the driver: one matrix for each of ``SUMS`` partitions, and counts by score.
 
-Null and empty texts have zero statistics and get a score like others. A text's score
-depends on the text alone, so repeated rows agree; a null id is never labelled, and of
-several labels of one id the mean counts. Without labels every score is 0.5. An empty
-table gives no rows.
+Null and empty texts have zero statistics and get a score like others; a very long text
+needs memory in proportion to itself. A text's score depends on the text alone, so repeated
+rows agree; a null id is never labelled, of several labels of one id the mean counts, and
+of several texts of a labelled id the one of the least statistics is learned from. Ties of
+score are one knot of the calibration. Without labels every score is 0.5. Columns other
+than id and text are not read, whatever their names; ``stage`` passes them through. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,13 +169,24 @@ def _summed(rows: DataFrame, of) -> np.ndarray | None:
     return sum(parts) if parts else None
 
 
-def fit(statistics: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """The classifier learned from statistics (doc_id, x) and labels (doc_id, quality)."""
-    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y")).where(fold() != 2)
+def learned_from(labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """doc_id and y (the mean label) of the rows that may be learned from, at most about most_labelled."""
+    marked = cut(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y")).where(fold() != 2))
     there = marked.count()
     if there > most_labelled:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most_labelled / there))
-    rows = statistics.dropDuplicates(["doc_id"]).join(marked, "doc_id").select("x", "y", (fold() == 3).alias("apart"))
+    return marked
+
+
+def fit(rows: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
+    """The classifier learned from labels (doc_id, quality) and rows, documents (doc_id, text) or their statistics (doc_id, x).
+
+    Only the labelled rows move: ids to learn from are at most about most_labelled, so they are broadcast.
+    """
+    marked = learned_from(labels, most_labelled)
+    known = rows.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi")
+    statistics = known if "x" in rows.columns else with_stats(known)
+    rows = statistics.groupBy("doc_id").agg(F.min("x").alias("x")).join(marked, "doc_id").select("x", "y", (fold() == 3).alias("apart"))
     rows = cut(rows.repartition(SUMS))
     ours, apart = rows.where("NOT apart"), rows.where("apart")
     moments = _summed(ours, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
@@ -219,7 +233,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
-    model = spark.sparkContext.broadcast(fit(with_stats(docs), table(spark, sf_dir, "labels")))
+    model = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
     at = docs.columns.index("text")
 
     def accepted(batches):
