@@ -7,8 +7,14 @@ length or SHA-256, the rank among them is added, so an identifier is verified. T
 are equal if their ordered identifier lists are; only digests are shuffled, a text's
 bytes are read where they lie and stay there.
 
+Groups are counted in two steps, combined before the shuffle. What was counted of the
+largest groups (at most ``MANY`` of more than ``LARGE`` distinct rows) is broadcast, so
+that no group of copies has to come to one task to learn its keeper.
+
 A null text counts as empty, and all empty texts are equal. Of equal texts the row with
 the largest id stays (null is below every id); of repeated rows with that id one stays.
+A very long text is chunked in its task, in memory in proportion to itself. Columns other
+than id and text are not read, whatever their names; ``keep_last`` passes them through.
 An empty table gives no rows.
 """
 
@@ -26,6 +32,8 @@ from . import flat
 from .shared import cut, same, table
 
 LEAST, MEAN, MOST, WINDOW = 1 << 10, 1 << 12, 1 << 15, 48
+#: A key has so many bytes of the digest. Groups of more distinct rows than LARGE are broadcast, the largest MANY (some 10 MB) of them.
+KEY_BYTES, LARGE, MANY = 8, 500, 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -53,7 +61,7 @@ def boundaries(data: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int
     return np.array([*out, n], np.int64)
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recipes(batches: Iterator[pa.RecordBatch], key_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in flat.runs(batch.column(1)):
             data = _LOWER[data]
@@ -66,19 +74,19 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = 0
                 for end in ends.tolist():
                     digest = hashlib.sha256(whole[start:end]).digest()
-                    keys.append(int.from_bytes(digest[:8], "little", signed=True))
+                    keys.append(int.from_bytes(digest[:key_bytes], "little", signed=True))
                     lengths.append(end - start)
-                    digests.append(digest[8:])
+                    digests.append(digest[key_bytes:])
                     start = end
             entries = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(lengths, pa.int32()), pa.array(digests, pa.binary())], ["key", "length", "digest"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), entries)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(hashes), lists], ["doc_id", "text_sha256", "recipe"])
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = KEY_BYTES) -> DataFrame:
     """doc_id, text_sha256 (of the normalised text) and recipe of each row: the chunks in order."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_recipes, _COLUMNS.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(lambda batches: _recipes(batches, key_bytes), _COLUMNS.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def identified(rows: DataFrame) -> DataFrame:
@@ -98,29 +106,35 @@ def identified(rows: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "text_sha256", F.coalesce("ids", F.array().cast("array<struct<key:bigint,rank:int>>")).alias("ids"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = KEY_BYTES, large: int = LARGE) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and n_chunks of each row of docs."""
-    rows = identified(cut(recipes(docs, id_col, text_col)))
+    rows = identified(cut(recipes(docs, id_col, text_col, key_bytes)))
     # Long lists are compared by what stands for them in one shuffle: length, two hashes of the list.
     listed = rows.select("doc_id", "text_sha256", F.size("ids").alias("n_chunks"), F.xxhash64("ids").alias("a"), F.md5(F.to_json("ids").cast("binary")).alias("b"))
-    counted = listed.groupBy("doc_id", "text_sha256", "n_chunks", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy("n_chunks", "a", "b").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    out = counted.join(totals, ["n_chunks", "a", "b"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    counted = cut(listed.groupBy("doc_id", "text_sha256", "n_chunks", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    key = ["n_chunks", "a", "b"]
+    totals = cut(counted.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("_rows")))
+    hot = F.broadcast(cut(totals.where(F.col("_rows") > large).orderBy(F.desc("_rows"), *key).limit(MANY)))
+    alone = F.broadcast(hot.select(*key))
+    few = counted.join(alone, key, "left_anti").join(totals.join(alone, key, "left_anti"), key)
+    out = counted.join(hot, key).unionByName(few).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select("doc_id", "keep_id", "group_size", (same("doc_id", "keep_id") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "n_chunks")
 
 
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_doc"))
-    once = docs.join(kept, same(docs[id_col], kept["_doc"]), "left_semi")
-    repeated = docs.groupBy(docs[id_col].alias("_doc")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if cut(repeated).isEmpty():
-        return once
+    rows = docs.select(F.col(id_col).alias("_doc"), F.struct(*docs.columns).alias("_row"))
+    kept = cut(groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha")))
+    repeated = cut(docs.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if repeated.isEmpty():
+        return rows.join(kept, same("_doc", "_id"), "left_semi").select("_row.*")
     # Some ids stand on several rows: of those, one row for each text that stays.
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    pairs = groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", sha)
-    return marked.join(pairs, same(marked[id_col], pairs["_doc"]) & (marked["_sha"] == pairs["_kept_sha"]), "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    text = F.coalesce(F.col("_row")[text_col], F.lit(""))
+    sha = F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
+    marked = rows.withColumn("_sha", sha).join(kept, same("_doc", "_id") & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    once = marked.join(repeated, same("_doc", "_id"), "left_anti")
+    several = marked.join(repeated, same("_doc", "_id"), "left_semi").groupBy("_doc", "_sha").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return once.select("_row.*").unionByName(several.select("_row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
