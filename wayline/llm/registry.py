@@ -8,7 +8,8 @@ _MODULES = (sharding, substring_dedup, exact_dedup, spot_signatures, piece_token
 
 
 def queries() -> dict:
-    return {name: getattr(m, name) for m in _MODULES for name in vars(m) if name.startswith("op") and name[2].isdigit()}
+    numbered = {name: getattr(m, name) for m in _MODULES for name in vars(m) if name.startswith("op") and name[2].isdigit()}
+    return numbered | {k: f for m in _MODULES for k, f in getattr(m, "QUERIES", {}).items()}
 
 
 def oracle_sql() -> dict[str, str]:

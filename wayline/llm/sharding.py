@@ -9,7 +9,10 @@ rows a shard); only documents of leaves that are still too large are looked at o
 one. No text is shuffled, and no directory reaches the driver.
 
 Repeated rows get a copy number in their hash, so that they can part. Null and empty
-texts hold 0 bytes. A null id hashes as the word null. An empty table gives no rows.
+texts hold 0 bytes; a text longer than a shard is a shard of its own. A null id hashes as
+the word null. Columns other than id and text are not read by ``assign`` and
+``directory``, whatever their names; ``write`` refuses tables with its own names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import cut, same, table
 
 BITS = 60
-LIMIT_BYTES = 64 << 20
+LIMIT_BYTES, SMALL_LIMIT = 64 << 20, 64 << 10
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,6 +66,11 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_i
     return whole.select("doc_id", "text_md5", "copy", "n_bytes", F.col("shard.depth").alias("depth"), bits.alias("shard_bits"), F.col("shard.shard_bytes").alias("shard_bytes"), F.col("shard.shard_docs").alias("shard_docs")).withColumnRenamed("shard_bits", "shard")
 
 
+def directory(assigned: DataFrame) -> DataFrame:
+    """The directory of what ``assign`` gives: depth, shard (the bits that lead to it), its bytes and documents, a row for each bucket."""
+    return assigned.groupBy("depth", "shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
+
+
 def write(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """docs written under path as a folder for each shard; here the texts move, once."""
     spare = [x for x in ("shard", "_id", "_md5") if x in docs.columns]
@@ -80,8 +88,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents")).select("doc_id", "copy", "n_bytes", "depth", "shard", "shard_bytes", "shard_docs")
 
 
-ORACLE_SQL = {
-    "op1_sharding": f"""
+def shard_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory for shards of at most 64 KiB: at this limit the smallest tables split to several depths."""
+    return directory(assign(table(spark, sf_dir, "documents"), SMALL_LIMIT))
+
+
+QUERIES = {"shard_directory": shard_directory}
+
+
+def _placed_sql(limit_bytes: int) -> str:
+    return f"""
 WITH d AS (
   SELECT doc_id, md5(coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS n_bytes,
          row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) - 1 AS copy
@@ -95,9 +111,16 @@ b AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs
 f AS (
   SELECT x.*, b.shard_bytes, b.shard_docs, row_number() OVER (PARTITION BY x.doc_id, x.hash, x.copy ORDER BY x.depth) AS k
   FROM x JOIN b ON x.depth = b.depth AND x.prefix = b.prefix
-  WHERE b.shard_bytes <= {LIMIT_BYTES} OR b.shard_docs = 1 OR b.depth = {BITS})
-SELECT doc_id, CAST(copy AS BIGINT) AS copy, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth,
+  WHERE b.shard_bytes <= {limit_bytes} OR b.shard_docs = 1 OR b.depth = {BITS})
+"""
+
+
+ORACLE_SQL = {
+    "op1_sharding": _placed_sql(LIMIT_BYTES) + """SELECT doc_id, CAST(copy AS BIGINT) AS copy, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth,
        CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard,
        CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs
-FROM f WHERE k = 1"""
+FROM f WHERE k = 1""",
+    "shard_directory": _placed_sql(SMALL_LIMIT) + """SELECT CAST(depth AS INTEGER) AS depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard,
+       CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs
+FROM f WHERE k = 1 GROUP BY ALL""",
 }
