@@ -14,7 +14,11 @@ Character references are decoded, white space within a block becomes one space (
 break element counts as white space). Scripts, styles, templates, text areas, frames and
 comments hold no text; that of any other element is kept as it stands. Null
 and empty pages and pages without main text give an empty text. Pages are handled one by
-one: repeated rows, null ids and null urls keep their rows, an empty table gives none.
+one: repeated rows, null ids and null urls keep their rows, an empty table gives none. A very
+long page takes time and memory in proportion to its length, whatever stands in it: tags are
+found in one forward scan, and of an ancestor only features that the model knows are kept.
+Of labels that are equally likely "other" is chosen. A column named ``text`` is replaced,
+others are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +37,10 @@ from .shared import table
 
 PAGES, SEED, STEPS, DECAY = 700, 5, 250, 0.02
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|template|iframe|textarea)(?=[\s/>])([^>]*)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+# A tag from its name on; quoted values may hold ">". Both forms end before or at the next "<" or ">", so scanning is linear.
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_WHOLE = re.compile(_NAME.pattern + r"((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+)>")
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "template", "iframe", "textarea")}
 _NAMES = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -53,82 +54,124 @@ _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("d
 _CUES = frozenset("cookie cookies copyright rights reserved subscribe newsletter login log sign menu home share comment comments reply replied sponsored advertisement privacy terms related read posted search".split())
 
 
-def blocks(page: str) -> list[tuple[str, frozenset, list[str]]]:
-    """(text, ancestor features, text features) of each leaf block of a page, in order."""
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of each tag of a page in one forward scan.
+
+    A raw element is one tag up to its end. Comments, declarations and the like have no name. A "<" that
+    begins none of these is text. Where no ">" follows, no tag is sought any more.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    in_svg = 0
+    while (start := page.find("<", at)) >= 0:
+        m = _WHOLE.match(page, start)
+        if m is not None:
+            slash, name, attributes = m.groups()
+            name, end = name.lower(), m.end()
+        elif page.startswith("!--", start + 1) or page.startswith("![CDATA[", start + 1):
+            mark = "-->" if page[start + 2] == "-" else "]]>"
+            end = page.find(mark, start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        elif start > last:
+            return
+        elif (m := _NAME.match(page, start)) is None:
+            at = start + 1
+            if at < size and page[at] in "!?/":
+                at = page.find(">", at) + 1
+                yield start, at, "", False, ""
+            continue
+        else:
+            slash, name = m.group(1), m.group(2).lower()
+            end = page.find(">", m.end()) + 1
+            if not end:
+                return
+            attributes = page[m.end() : end - 1]
+        raw = not slash and name in _RAW
+        if raw:
+            end = page.find(">", m.end(2)) + 1
+            attributes = page[m.end(2) : end - 1]
+        if name == "svg" and not attributes.endswith("/"):
+            in_svg = max(0, in_svg - 1) if slash else in_svg + 1
+        if raw and not (in_svg and attributes.endswith("/")):  # only in svg may such an element close itself
+            close = _RAW[name].search(page, end)
+            end = (page.find(">", close.end()) + 1 or size) if close else size
+        at = end
+        yield start, end, "title-in-svg" if in_svg and name == "title" else name, bool(slash), attributes
+
+
+class _Open:
+    """The open block elements, with the places of each name, so that closing one looks at no other."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset]] = [("", frozenset())]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, features: frozenset) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, features))
+
+    def pop(self, names, stops=()) -> None:
+        """Close down to the innermost open element of these names, if none of stops is further in."""
+        innermost = lambda many: max((self.places[n][-1] for n in many if self.places.get(n)), default=0)
+        k = innermost(names)
+        if k and k >= innermost(stops):
+            for name, _ in reversed(self.stack[k:]):
+                self.places[name].pop()
+            del self.stack[k:]
+
+
+def blocks(page: str, known: frozenset | None = None) -> list[tuple[str, frozenset, list[str]]]:
+    """(text, ancestor features, text features) of each leaf block of a page, in order; of ancestor features those known, if given."""
     out = []
-    stack: list[tuple[str, frozenset]] = [("", frozenset())]
+    opened = _Open()
     parts: list[str] = []
-    linked, in_link, in_svg = 0, 0, 0
+    linked, in_link, at = 0, 0, 0
 
     def close():
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, stack[-1][1], _of_text(text, linked)))
+                out.append((text, opened.stack[-1][1], _of_text(text, linked)))
             parts.clear()
         linked = 0
 
-    def pop(names, stops=()):
-        """Close down to the innermost open element of these names, if none of stops is further in."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in stops:
-                return
-
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            run = page[at : m.start()]
+    for start, end, name, slash, attributes in tags(page):
+        if start > at:
+            run = page[at:start]
             parts.append(run)
             if in_link:
                 linked += len(run)
-        at = m.end()
-        raw, raw_attributes, slash, name, attributes, slash2, name2, attributes2 = m.groups()
-        if raw:
-            parts.append(" ")
-            if in_svg and raw_attributes.endswith("/"):  # only there may such an element close itself
-                at = m.end(2) + 1
-            continue
-        if name is None:
-            slash, name, attributes = slash2, name2, attributes2
-        if name is None:
-            continue
-        name = name.lower()
-        if name == "br":
+        at = end
+        if name in _RAW and not slash or name == "br":
             parts.append(" ")
             continue
         if name == "a":
             in_link = 0 if slash else 1
             continue
-        if name == "svg" and not attributes.endswith("/"):
-            in_svg = max(0, in_svg - 1) if slash else in_svg + 1
-        block = name in BLOCKS and not (in_svg and name == "title")
-        if not block and (name in _VOID or not slash and not attributes):
+        block = name in BLOCKS
+        if not block:
             continue
-        if block:
-            close()
-            in_link = in_link if name in ("div", "p", "span") else 0
+        close()
+        in_link = in_link if name == "div" or name == "p" else 0
         if slash:
-            if block:
-                pop((name,))
+            opened.pop((name,))
             continue
         if name in _ENDS_P:
-            pop(("p",), ("div", "td", "th", "li", "article", "section", "body", "main", "aside", "blockquote", "form"))
+            opened.pop(("p",), ("div", "td", "th", "li", "article", "section", "body", "main", "aside", "blockquote", "form"))
         if name in _ENDS:
             names, stops = _ENDS[name]
-            pop(names.split(), stops)
-        if block and name not in _VOID:
-            stack.append((name, _with(stack[-1][1], name, attributes)))
+            opened.pop(names.split(), stops)
+        if name not in _VOID:
+            opened.push(name, _with(opened.stack[-1][1], name, attributes, known))
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-def _with(above: frozenset, name: str, attributes: str) -> frozenset:
+def _with(above: frozenset, name: str, attributes: str, known: frozenset | None) -> frozenset:
     own = {f"in={name}", f"leaf={name}"}
     if attributes:
         for key, a, b, c in _NAMES.findall(attributes):
@@ -137,7 +180,8 @@ def _with(above: frozenset, name: str, attributes: str) -> frozenset:
                 own.add("hidden")
             elif key != "style":
                 own.update(f"named={x.lower()}" for x in _PART.findall(a or b or c))
-    return frozenset(x for x in above if not x.startswith("leaf=")) | own
+    own.update(x for x in above if x[:5] != "leaf=")
+    return frozenset(own if known is None else own & known)
 
 
 def _of_text(text: str, linked: int) -> list[str]:
@@ -169,7 +213,7 @@ class Chain:
     """A trained chain: a weight for each feature (main against other) and for each step between labels."""
 
     def __init__(self, weights: dict[str, float], steps: np.ndarray):
-        self.weights, self.steps = weights, steps.tolist()
+        self.weights, self.steps, self.known = weights, steps.tolist(), frozenset(weights)
 
     def decode(self, page_features: list[list[str]]) -> list[bool]:
         """Viterbi: whether each block is main."""
@@ -373,7 +417,7 @@ def trained() -> Chain:
 
 
 def extract_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", chain.known)
     return "\n".join(b[0] for b, main in zip(found, chain.decode(features(found))) if main)
 
 
