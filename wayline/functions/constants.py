@@ -69,3 +69,31 @@ METRICS = (
     "speed heading pitch roll gx gy gz ax ay az ve vn vu alt lat_std lon_std alt_std heading_std roll_std pitch_std "
     "age sat1 sat2 ve_std vn_std vu_std course course_std"
 ).split()
+
+# Labels of codes, as users of the model see them.
+NAV_LABELS = {0: "初始化", 1: "卫导模式", 2: "组合导航", 3: "纯惯导"}
+FIX_LABELS = {
+    0: "无定位", 1: "单点定位 / 定向", 2: "伪距差分 / 定向", 3: "组合推算", 4: "RTK 固定解 / 定向",
+    5: "RTK 浮点解 / 定向", 6: "单点定位 / 未定向", 7: "伪距差分 / 未定向", 8: "RTK 固定解 / 未定向", 9: "RTK 浮点解 / 未定向",
+}
+WARNING_LABELS = {
+    0: "GNSS 中断（保留位）", 1: "轮速数据中断", 2: "PPS 中断（保留位）", 3: "陀螺异常（保留位）", 4: "加表异常（保留位）",
+    5: "主天线短路", 6: "主天线断路", 7: "副天线短路", 8: "副天线断路", 9: "移动网络（保留位）",
+    10: "SIM（保留位）", 11: "CORS（保留位）", 12: "倒车状态", 13: "CPU 降频", 14: "CPU 高温",
+}
+UNKNOWN_LABEL = "未知"
+REASON_LABELS = {
+    "invalid_navigation": "导航初始化 / 定位无效（保留显示）",
+    "heading_unavailable": "定向未就绪（保留显示）",
+    "course_unavailable": "静止或低速航迹角（保留显示）",
+    "navigation_position_drift": "显著位置漂移",
+    "navigation_velocity_outlier": "导航速度解算失真（速度 / 垂向速度 / 不确定度）",
+}
+SPEED_LABELS = {
+    "non_gpchcx": "非 GPCHCX 报文不进入地速剖面",
+    "missing_speed": "GPCHCX.speed 缺失或无效",
+    "motion_unknown": "缺少三轴振动值，无法判定运动或静止",
+    "velocity_solution_outlier": "明显导航速度解算失真",
+    "navigation_drift": "明显导航漂移点已隔离",
+}
+OTHER_SPEED_LABEL = "地速证据不足"

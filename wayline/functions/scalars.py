@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ACTIVE_WARNINGS, CHANNELS, EARTH_M, LEAP_DAYS, MAX_SPEED, MAX_VELOCITY_STD, MAX_VERTICAL, MOTION_G
+from .constants import ACTIVE_WARNINGS, CHANNELS, EARTH_M, FIX_LABELS, LEAP_DAYS, MAX_SPEED, MAX_VELOCITY_STD, MAX_VERTICAL, MOTION_G, NAV_LABELS, UNKNOWN_LABEL, WARNING_LABELS
 
 
 def col(x: Column | str) -> Column:
@@ -97,6 +97,15 @@ def norm_sequence(s) -> Column:
     return F.when(s.rlike("^[0-9]{1,4}$"), F.lpad(s, 4, "0"))
 
 
+def norm_digits(s, prefixes: tuple[str, ...] = ()) -> Column:
+    """Digits (a decimal part of zeros is dropped) that begin with one of the prefixes, if there are any; else null."""
+    s = F.regexp_replace(F.trim(col(s)), r"^([0-9]+)\.0+$", "$1")
+    good = s.rlike("^[0-9]+$")
+    if prefixes:
+        good = good & s.rlike("^(" + "|".join(prefixes) + ")")
+    return F.when(good, s)
+
+
 def contains_ci(column, text: str) -> Column:
     return F.contains(F.lower(col(column)), F.lit(text.lower()))
 
@@ -135,6 +144,27 @@ def json_text(column, path: str) -> Column:
     return F.get_json_object(col(column), path)
 
 
+def json_length(column) -> Column:
+    return F.json_array_length(col(column))
+
+
+def _labelled(value, labels: dict[int, str]) -> Column:
+    return F.coalesce(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])[col(value).cast("int")], F.lit(UNKNOWN_LABEL))
+
+
+def nav_label(nav="nav_mode") -> Column:
+    return _labelled(nav, NAV_LABELS)
+
+
+def fix_label(fix="fix_mode") -> Column:
+    return _labelled(fix, FIX_LABELS)
+
+
+def warning_labels(warning="warning") -> Column:
+    """Labels of the warning bits that are set, in bit order."""
+    return bits_to_names(col(warning).cast("bigint"), list(WARNING_LABELS.values()))
+
+
 def gps_to_unix(week, tow) -> Column:
     """UTC seconds from GPS week and seconds of week, null out of range."""
     week, tow = col(week).cast("bigint"), col(tow)

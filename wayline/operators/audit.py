@@ -5,33 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import MAX_SPEED
-from ..functions.scalars import angle_delta, haversine_m, local_day, local_hour, valid_position
+from ..functions.constants import MAX_SPEED, MOTION_G
+from ..functions.scalars import angle_delta, haversine_m, local_day, local_hour, peak_deviation, valid_position
+from .timeline import with_neighbours
 
 # Floors of a fitted context and metres for a degree.
 FLOORS = {"alt": 10.0, "speed": 0.3, "ve": 0.3, "vn": 0.3, "vu": 0.5, "gx": 0.15, "gy": 0.15, "gz": 0.15, "ax": 0.02, "ay": 0.02, "az": 0.02}
 CIRCULAR = {"pitch": 1.0, "roll": 1.0}
 DEGREE_M = 111195.0
 
+STATES = ("moving", "stationary", "unknown")
+# Reasons of the effective speed, and the channels of a window's audit.
+SPEED_REASONS = ("gpchcx_speed", "vibration_stationary", "navigation_drift", "non_gpchcx", "missing_speed", "velocity_solution_outlier", "motion_unknown")
+WINDOW_CHANNELS = ["speed", "heading", "pitch", "roll", "gx", "gy", "gz", "ax", "ay", "az", "ve", "vn", "vu", "alt"]
 
-def quantiles(df: DataFrame, columns: list[str], at=(0.5, 0.9, 0.95, 0.99, 1.0), exact: bool = True) -> DataFrame:
-    """device_id, metric and interpolated quantiles; exact=False gives approximate ones for very long series."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns]))
-    rows = df.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
-    f = F.percentile("value", list(at)) if exact else F.percentile_approx("value", list(at), 10_000)
-    out = rows.groupBy("device_id", "metric").agg(f.alias("q"))
-    return out.select("device_id", "metric", *[F.col("q")[i].alias(f"q{round(a * 1000):04d}") for i, a in enumerate(at)])
+
+def interpolated(rows: DataFrame, by: list[str], at: dict[str, float], value: str = "value") -> DataFrame:
+    """Linearly interpolated quantiles of value for each key, a column for each name in at.
+
+    Equal values are counted before the shuffle; places are running sums over the distinct values, which
+    Spark sorts on disk, so no key's values have to fit in memory.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by)
+    placed = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    # The total is the largest running sum, met when read from the other end.
+    placed = placed.withColumn("_total", F.sum("_n").over(w))
+    out = []
+    for name, q in at.items():
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        holds = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
+        low, high = F.max(F.when(holds(F.floor(place)), F.col("_v"))), F.max(F.when(holds(F.ceil(place)), F.col("_v")))
+        share = F.max(place - F.floor(place))
+        out.append((low + (high - low) * share).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
+def _long(df: DataFrame, columns: list[str], name: str, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
+    return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns])))
+
+
+def quantiles(df: DataFrame, columns: list[str], at=(0.5, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
+    """device_id, metric and interpolated quantiles of each column."""
+    return interpolated(_long(df, columns, "metric"), ["device_id", "metric"], {f"q{round(a * 1000):04d}": a for a in at})
+
+
+def deviation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, centre (median of value) and mad (median distance from it)."""
+    centre = interpolated(rows, by, {"centre": 0.5})
+    away = rows.join(centre, by).select(*by, F.abs(F.col("value") - F.col("centre")).alias("value"))
+    return centre.join(interpolated(away, by, {"mad": 0.5}), by)
 
 
 def robust_fit(points: DataFrame, fields: dict[str, float] = FLOORS, least: int = 100) -> DataFrame:
     """Median, median absolute deviation and limit = max(floor, 6 * 1.4826 * MAD) of each field of a device, over all its rows."""
     total = points.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    rows = points.join(total, "device_id")
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.lit(f).alias("floor")) for c, f in fields.items()]))
-    long = rows.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
-    centre = long.groupBy("device_id", "field", "floor").agg(F.median("value").alias("centre"))
-    away = long.join(centre, ["device_id", "field", "floor"]).groupBy("device_id", "field", "floor", "centre").agg(F.median(F.abs(F.col("value") - F.col("centre"))).alias("mad"))
-    return away.select("device_id", "field", "centre", "mad", F.greatest("floor", 6 * 1.4826 * F.col("mad")).alias("limit"))
+    fitted = deviation(_long(points.join(total, "device_id"), list(fields), "field"), ["device_id", "field"])
+    floor = F.create_map(*[x for c, f in fields.items() for x in (F.lit(c), F.lit(float(f)))])[F.col("field")]
+    return fitted.select("device_id", "field", "centre", "mad", F.greatest(floor, 6 * 1.4826 * F.col("mad")).alias("limit"))
 
 
 def context_fit(points: DataFrame, least: int = 100) -> DataFrame:
@@ -54,10 +85,11 @@ def context_fit(points: DataFrame, least: int = 100) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"), (F.col(f"_{c}") if c in CIRCULAR else none).cast("double").alias("_from")) for c in fields]))
         long = df.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
         by = ["device_id", "field"]
-        centre = long.groupBy(*by).agg(F.median(F.coalesce(angle_delta("value", "_from"), "value")).alias("_c"), F.first("_from").alias("_start"))
+        turned = long.select(*by, F.coalesce(angle_delta("value", "_from"), "value").alias("value"))
+        centre = interpolated(turned, by, {"_c": 0.5}).join(long.groupBy(*by).agg(F.max("_from").alias("_start")), by)
         centre = centre.select(*by, F.coalesce(angle_delta(F.col("_start") + F.col("_c"), F.lit(0.0)), "_c").alias("centre"))
         turned = F.when(F.col("_from").isNotNull(), angle_delta("value", "centre")).otherwise(F.col("value") - F.col("centre"))
-        return long.join(centre, by).groupBy(*by, "centre").agg(F.median(F.abs(turned)).alias("mad"))
+        return centre.join(interpolated(long.join(centre, by).select(*by, F.abs(turned).alias("value")), by, {"mad": 0.5}), by)
 
     fields = fit(rows, ["lat", "lon", *FLOORS, *CIRCULAR])
     anchor = fields.where("field IN ('lat', 'lon')").groupBy("device_id").agg(*[F.max(F.when(F.col("field") == c, F.col("centre"))).alias(f"_{c}") for c in ("lat", "lon")])
@@ -74,14 +106,14 @@ def context_fit(points: DataFrame, least: int = 100) -> DataFrame:
 
 
 def daily_audit(view: DataFrame) -> DataFrame:
-    """A row for each device and local day: rows, first, last, greatest raw and accepted speed with its time, share accepted, counts by state."""
+    """A row for each device and local day: rows, first, last, greatest raw and accepted speed with its time, share accepted, counts by state and by reason."""
     df = view.withColumn("day", local_day("t_ms"))
     n = F.count(F.lit(1))
     accepted = F.when(F.col("speed").isNotNull(), F.struct("speed", -F.col("t_ms")))
     return df.groupBy("device_id", "day").agg(
         n.alias("samples"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), (F.max("ground.raw_speed") * 3.6).alias("raw_max_kmh"), (F.max("speed") * 3.6).alias("accepted_max_kmh"),
         F.max_by("t_ms", accepted).alias("accepted_max_ms"), (F.count("speed") / n * 100).alias("accepted_pct"),
-        *[F.sum((F.col("motion_state") == s).cast("int")).alias(s) for s in ("moving", "stationary", "unknown")])
+        *[F.sum((F.col("motion_state") == s).cast("int")).alias(s) for s in STATES], *[F.count_if(F.col("ground.reason") == r).alias(f"reason_{r}") for r in SPEED_REASONS])
 
 
 def hourly_profile(view: DataFrame) -> DataFrame:
@@ -93,23 +125,24 @@ def hourly_profile(view: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quantiles from p01 to p999 and the median absolute deviation of each column."""
-    q = quantiles(df, columns, (0.01, 0.5, 0.9, 0.99, 0.999))
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns]))
-    long = df.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
-    away = long.join(q.select("device_id", "metric", F.col("q0500").alias("_c")), ["device_id", "metric"]).groupBy("device_id", "metric").agg(F.median(F.abs(F.col("value") - F.col("_c"))).alias("mad"))
-    return q.join(away, ["device_id", "metric"])
+    mad = deviation(_long(df, columns, "metric"), ["device_id", "metric"]).drop("centre")
+    return quantiles(df, columns, (0.01, 0.5, 0.9, 0.99, 0.999)).join(mad, ["device_id", "metric"])
 
 
 def status_histogram(points: DataFrame) -> DataFrame:
     return points.groupBy("device_id", "nav_mode", "fix_mode").agg(F.count(F.lit(1)).alias("n"))
 
 
-def window_audit(view: DataFrame, seconds: int = 60) -> DataFrame:
-    """Ranges of channels and counts of states in each window, with the row that departs most from 1 g."""
+def window_audit(view: DataFrame, seconds: int = 60, channels: list[str] = WINDOW_CHANNELS) -> DataFrame:
+    """Ranges of channels, counts of states and reasons, rows beyond the motion limit in each window, with the first and last row and the one that departs most from 1 g."""
     df = view.withColumn("window_ms", F.floor(F.col("t_ms") / (seconds * 1000)) * seconds * 1000)
-    ranges = [f(c).alias(f"{c}_{s}") for c in ("speed", "heading", "pitch", "roll", "ax") for s, f in (("min", F.min), ("max", F.max))]
-    away = F.abs(F.col("ax") - 1)
-    return df.groupBy("device_id", "window_ms").agg(F.count(F.lit(1)).alias("samples"), *ranges, *[F.sum((F.col("motion_state") == s).cast("int")).alias(s) for s in ("moving", "stationary", "unknown")], F.max_by("t_ms", F.when(away.isNotNull(), F.struct(F.round(away, 9), -F.col("t_ms")))).alias("largest_ms"))
+    ranges = [f(c).alias(f"{c}_{s}") for c in channels for s, f in (("min", F.min), ("max", F.max))]
+    away = F.round(peak_deviation(), 9)
+    ends = F.struct("t_ms", "protocol")
+    return df.groupBy("device_id", "window_ms").agg(
+        F.count(F.lit(1)).alias("samples"), *ranges, *[F.sum((F.col("motion_state") == s).cast("int")).alias(s) for s in STATES],
+        *[F.count_if(F.col("ground.reason") == r).alias(f"reason_{r}") for r in SPEED_REASONS], F.count_if(peak_deviation() > MOTION_G).alias("deviating"),
+        F.min(ends).alias("first"), F.max(ends).alias("last"), F.max_by("t_ms", F.when(away.isNotNull(), F.struct(away, -F.col("t_ms")))).alias("largest_ms"), F.max(away).alias("largest_g"))
 
 
 def velocity_audit(points: DataFrame) -> DataFrame:
@@ -119,15 +152,24 @@ def velocity_audit(points: DataFrame) -> DataFrame:
 
 
 def stream_audit(frames: DataFrame) -> DataFrame:
-    """Counts by file and message type, checksum errors, and auxiliary frames given to the timed frame before them."""
-    w = Window.partitionBy("source").orderBy("source_offset").rowsBetween(Window.unboundedPreceding, 0)
-    df = frames.withColumn("_timed", F.last(F.when(F.col("name").startswith("GPCHC"), F.col("source_offset")), ignorenulls=True).over(w))
-    return df.groupBy("source", "name").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("checksum_ok")).cast("int")).alias("bad"), F.countDistinct("_timed").alias("timed"))
+    """Counts by file and message type: frames, checksum errors and timed frames to which the auxiliary ones are given (the last before each)."""
+    timed = F.when(F.col("name").startswith("GPCHC"), F.col("source_offset"))
+    df = with_neighbours(frames.withColumn("_at", timed), "_at", ["source"], F.shiftright("source_offset", 24), ["source_offset"], "_timed", None)
+    # The distinct timed frames are counted in two steps.
+    by_frame = df.groupBy("source", "name", "_timed").agg(F.count(F.lit(1)).alias("_n"), F.sum((~F.col("checksum_ok")).cast("int")).alias("_bad"))
+    return by_frame.groupBy("source", "name").agg(F.sum("_n").alias("n"), F.sum("_bad").alias("bad"), F.count("_timed").alias("timed"))
+
+
+def stream_histogram(decoded: DataFrame) -> DataFrame:
+    """Frames of each file by GPS week and status byte."""
+    return decoded.groupBy("source", "week", "status_text").agg(F.count(F.lit(1)).alias("n"))
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of all columns."""
-    return df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
+    """Row count and an order-free digest: the sum of 60 bits of the md5 of each row's columns, as text with the null sign \\N."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
 
 
 def densest_window(points: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -152,14 +194,29 @@ def shadow_compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def stationary_audit(points: DataFrame, first_ms: int = 600_000) -> DataFrame:
-    """Distance from the median position of the first minutes: quantiles and counts beyond 15 m and 30 m."""
+    """Of each device the distance from the median position of its first minutes, speed, gyro, acceleration and deviation: quantiles of each, and rows beyond 15 m, 30 m and 5 m of deviation."""
     start = points.groupBy("device_id").agg(F.min("t_ms").alias("_t0"))
-    df = points.join(start, "device_id")
-    anchor = df.where(F.col("t_ms") <= F.col("_t0") + first_ms).groupBy("device_id").agg(F.median("lat").alias("_lat"), F.median("lon").alias("_lon"))
+    early = points.join(start, "device_id").where(F.col("t_ms") <= F.col("_t0") + first_ms)
+    medians = interpolated(_long(early, ["lat", "lon"], "axis"), ["device_id", "axis"], {"m": 0.5})
+    anchor = medians.groupBy("device_id").agg(*[F.max(F.when(F.col("axis") == c, F.col("m"))).alias(f"_{c}") for c in ("lat", "lon")])
+    dy = (F.col("lat") - F.col("_lat")) * DEGREE_M
+    dx = (F.col("lon") - F.col("_lon")) * DEGREE_M * F.cos(F.radians("_lat"))
+    df = points.join(anchor, "device_id").withColumns({
+        "radius": F.sqrt(dx * dx + dy * dy), "gyro": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz")), "accel": peak_deviation(), "spread": F.greatest("lat_std", "lon_std")})
+    parts = ["radius", "speed", "gyro", "accel", "spread"]
+    wide = quantiles(df, parts, (0.5, 0.99)).groupBy("device_id").agg(*[F.max(F.when(F.col("metric") == c, F.col(q))).alias(f"{c}_{n}") for c in parts for q, n in (("q0500", "p50"), ("q0990", "p99"))])
+    counted = df.groupBy("device_id").agg(F.count_if(F.col("radius") > 15).alias("beyond15"), F.count_if(F.col("radius") > 30).alias("beyond30"), F.count_if(F.col("spread") > 5).alias("uncertain"))
+    return wide.join(counted, "device_id")
+
+
+def radius_counts(points: DataFrame, limits: tuple[float, ...] = (5.0, 15.0, 30.0, 100.0)) -> DataFrame:
+    """Rows of each device beyond distances from its median position."""
+    medians = interpolated(_long(points, ["lat", "lon"], "axis"), ["device_id", "axis"], {"m": 0.5})
+    anchor = medians.groupBy("device_id").agg(*[F.max(F.when(F.col("axis") == c, F.col("m"))).alias(f"_{c}") for c in ("lat", "lon")])
     dy = (F.col("lat") - F.col("_lat")) * DEGREE_M
     dx = (F.col("lon") - F.col("_lon")) * DEGREE_M * F.cos(F.radians("_lat"))
-    df = df.join(anchor, "device_id").withColumn("_r", F.sqrt(dx * dx + dy * dy))
-    return df.groupBy("device_id").agg(F.percentile("_r", 0.5).alias("p50"), F.percentile("_r", 0.99).alias("p99"), F.sum((F.col("_r") > 15).cast("int")).alias("beyond15"), F.sum((F.col("_r") > 30).cast("int")).alias("beyond30"))
+    df = points.join(anchor, "device_id").withColumn("radius", F.sqrt(dx * dx + dy * dy))
+    return df.groupBy("device_id").agg(*[F.count_if(F.col("radius") > r).alias(f"beyond{int(r)}") for r in limits])
 
 
 def jump_log(drifted: DataFrame, limit: int = 20) -> DataFrame:

@@ -7,32 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ACTIVE_WARNINGS, BITS, CONTIGUOUS_MS, GROUPS, KINDS, RULES
 from ..functions.scalars import excess, haversine_m, peak_deviation
-from .timeline import SLICE_MS, with_previous, with_running
+from .motion import gaps
+from .timeline import run_number, sliced, with_previous, with_runs
 
 
 def accel_baseline(view: DataFrame, far_ms: int = 1500, near_ms: int = 800) -> DataFrame:
-    """view with ``base`` (t_ms, speed), the oldest row between far and near before each, and ``accel`` in m/s².
-
-    Rows near the end of a slice are also sent to the next one, so that a slice holds all that its rows look back to.
-    """
-    rows = view.withColumn("_slice", F.floor(F.col("t_ms") / SLICE_MS)).withColumn("_own", F.lit(True))
-    late = rows.where(F.pmod("t_ms", F.lit(SLICE_MS)) >= SLICE_MS - far_ms).withColumn("_slice", F.col("_slice") + 1).withColumn("_own", F.lit(False))
-    both = rows.unionByName(late)
+    """view with ``base`` (t_ms, speed), the oldest row between far and near before each, and ``accel`` in m/s²."""
     w = Window.partitionBy("device_id", "_slice").orderBy("t_ms").rangeBetween(-far_ms, -near_ms)
     base = F.min_by(F.struct("t_ms", "speed"), F.struct("t_ms", "protocol")).over(w)
-    out = both.withColumn("base", base).where("_own").drop("_slice", "_own")
+    out = sliced(view, far_ms).withColumn("base", base).where("_own").drop("_slice", "_own")
     return out.withColumn("accel", (F.col("speed") - F.col("base.speed")) / ((F.col("t_ms") - F.col("base.t_ms")) / 1000))
 
 
-def threshold_signals(view: DataFrame, rules: dict = RULES, mount_confirmed: bool = True) -> DataFrame:
-    """A row for each reliable exceedance: device_id, t_ms, protocol, kind, value, threshold."""
+def signal_rows(view: DataFrame, rules: dict = RULES, mount_confirmed: bool = True) -> DataFrame:
+    """Every row (device_id, t_ms, protocol) with ``signals``, its reliable exceedances as structs kind, value, threshold."""
     df = accel_baseline(view)
     kmh, shock = F.col("speed") * 3.6, peak_deviation()
     tests = [("overspeed", kmh, "speed_kmh"), ("acceleration", F.col("accel"), "accel_ms2"), ("braking", -F.col("accel"), "brake_ms2")]
     if mount_confirmed:
         tests += [("roll", F.abs("roll"), "roll_deg"), ("pitch", F.abs("pitch"), "pitch_deg"), ("shock", shock, "shock_g")]
     found = [F.when(value > rules[key], F.struct(F.lit(kind).alias("kind"), F.bround(value, 5).alias("value"), F.lit(rules[key]).alias("threshold"))) for kind, value, key in tests]
-    return df.select("device_id", "t_ms", "protocol", F.explode(F.array_compact(F.array(*found))).alias("s")).select("device_id", "t_ms", "protocol", "s.*")
+    return df.select("device_id", "t_ms", "protocol", F.array_compact(F.array(*found)).alias("signals"))
+
+
+def threshold_signals(view: DataFrame, rules: dict = RULES, mount_confirmed: bool = True) -> DataFrame:
+    """A row for each reliable exceedance: device_id, t_ms, protocol, kind, value, threshold."""
+    return signal_rows(view, rules, mount_confirmed).select("device_id", "t_ms", "protocol", F.inline("signals"))
 
 
 def diagnostic_conditions(points: DataFrame, rules: dict = RULES) -> DataFrame:
@@ -51,30 +51,53 @@ def diagnostic_conditions(points: DataFrame, rules: dict = RULES) -> DataFrame:
         ("hardware_warning", active != 0, active, zero),
         ("diff_age", F.col("age") > rules["age_s"], F.col("age"), F.lit(rules["age_s"])),
         ("position_std", std > rules["position_std_m"], std, F.lit(rules["position_std_m"])),
-        ("data_gap", delta > rules["gap_s"], delta, F.lit(rules["gap_s"])),
         ("position_jump", (delta > 0) & (delta <= rules["gap_s"]) & F.col("valid_pos") & F.col("prev.valid_pos") & (jump > reach), jump, tolerance)]
     found = [F.when(test, F.struct(F.lit(kind).alias("kind"), F.bround(value.cast("double"), 5).alias("value"), threshold.cast("double").alias("threshold"))) for kind, test, value, threshold in tests]
-    return df.select("device_id", "t_ms", "protocol", F.explode(F.array_compact(F.array(*found))).alias("s")).select("device_id", "t_ms", "protocol", "s.*")
+    each = df.select("device_id", "t_ms", "protocol", F.inline(F.array_compact(F.array(*found))))
+    # The row that ends a gap: of several at its time the first.
+    late = gaps(points, int(rules["gap_s"] * 1000))
+    first = points.groupBy("device_id", "t_ms").agg(F.min("protocol").alias("protocol"))
+    waits = late.join(first, (late["device_id"] == first["device_id"]) & (late["end_ms"] == first["t_ms"])).select(
+        late["device_id"], "t_ms", "protocol", F.lit("data_gap").alias("kind"), F.bround((F.col("end_ms") - F.col("start_ms")) / 1000, 5).alias("value"), F.lit(float(rules["gap_s"])).alias("threshold"))
+    return each.unionByName(waits)
+
+
+def episode_parts(rows: DataFrame, gap_ms: int = CONTIGUOUS_MS) -> DataFrame:
+    """The episodes of each slice (_slice, _run); one of _run 0 goes on from the slice before. rows as of signal_rows."""
+    df = with_previous(rows.withColumn("_kinds", F.transform("signals", lambda s: s["kind"])), ["t_ms", "_kinds"], within_ms=gap_ms)
+    near = F.coalesce(F.col("t_ms") - F.col("prev.t_ms") <= gap_ms, F.lit(False))
+    s = df.select("device_id", "t_ms", "protocol", "_slice", near.alias("_near"), F.col("prev._kinds").alias("_had"), F.inline("signals"))
+    s = with_runs(s, ~(F.col("_near") & F.coalesce(F.array_contains("_had", F.col("kind")), F.lit(False))), ("device_id", "kind"))
+    peak = F.struct("value", (-F.col("t_ms")).alias("_before"))
+    return s.groupBy("device_id", "kind", "_slice", "_run").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.max(peak).alias("_peak"), F.count(F.lit(1)).alias("samples"), F.max("threshold").alias("threshold"))
+
+
+def merged_episodes(parts: DataFrame, rule_version: int = 1) -> DataFrame:
+    """Whole episodes from their parts in slices."""
+    parts = parts.withColumn("_number", run_number(("device_id", "kind")))
+    out = parts.groupBy("device_id", "kind", "_number").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("_peak").alias("_peak"), F.sum("samples").alias("samples"), F.max("threshold").alias("threshold"))
+    out = out.select("device_id", "kind", "start_ms", "end_ms", F.col("_peak.value").alias("peak"), (-F.col("_peak._before")).alias("peak_ms"), "samples", "threshold")
+    return out.withColumn("severity", F.lit("warning")).withColumn("rule_version", F.lit(rule_version))
 
 
-def episodes(view: DataFrame, signals: DataFrame, gap_ms: int = CONTIGUOUS_MS, rule_version: int = 1) -> DataFrame:
-    """Runs of consecutive device rows with a signal of one kind, ended by a row without it or a longer gap."""
-    rows = with_running(view.select("device_id", "t_ms", "protocol"), F.lit(1), "idx")
-    s = signals.join(rows, ["device_id", "t_ms", "protocol"])
-    s = with_previous(s, ["idx", "t_ms"], "_prev", ("device_id", "kind"))
-    new = F.coalesce((F.col("idx") - F.col("_prev.idx") > 1) | (F.col("t_ms") - F.col("_prev.t_ms") > gap_ms), F.lit(True))
-    s = with_running(s.withColumn("_new", new).drop("_prev"), F.col("_new").cast("int"), "run", ("device_id", "kind"))
-    out = s.groupBy("device_id", "kind", "run").agg(
-        F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.max("value").alias("peak"), F.max_by("t_ms", F.struct("value", -F.col("t_ms"))).alias("peak_ms"),
-        F.count(F.lit(1)).alias("samples"), F.max("threshold").alias("threshold"))
-    return out.drop("run").withColumn("severity", F.lit("warning")).withColumn("rule_version", F.lit(rule_version))
+def episodes(rows: DataFrame, gap_ms: int = CONTIGUOUS_MS, rule_version: int = 1) -> DataFrame:
+    """Runs of consecutive device rows with a signal of one kind, ended by a row without it or a longer gap; rows as of signal_rows."""
+    return merged_episodes(episode_parts(rows, gap_ms), rule_version)
 
 
-def gate_events(events: DataFrame, assessed: DataFrame) -> DataFrame:
-    """Events at whose peak there is an assessment that hides none of the fields of their kind."""
+def gate_events(events: DataFrame, assessed: DataFrame, version: int | None = None) -> DataFrame:
+    """Events at whose peak there is an assessment (of this version, without a context, where the columns are there) that hides none of the fields of their kind."""
     bits = F.create_map(*[x for kind, (_, fields) in KINDS.items() for x in (F.lit(kind), F.lit(sum(BITS[f] for f in fields)).cast("bigint"))])
-    seen = assessed.select(F.col("device_id").alias("_d"), F.col("t_ms").alias("_t"), F.col("mask").alias("_m")).where("_m IS NOT NULL")
+    good = F.col("mask").isNotNull()
+    if version is not None:
+        good = good & (F.col("version") == version)
+    if "context_id" in assessed.columns:
+        good = good & F.col("context_id").isNull()
+    more = ["protocol"] if "protocol" in events.columns else []
+    seen = assessed.where(good).select(F.col("device_id").alias("_d"), F.col("t_ms").alias("_t"), F.col("mask").alias("_m"), *[F.col(c).alias("_p") for c in more])
     on = (events["device_id"] == seen["_d"]) & (events["peak_ms"] == seen["_t"]) & (seen["_m"].bitwiseAND(bits[events["kind"]]) == 0)
+    for c in more:
+        on = on & (events[c] == seen["_p"])
     return events.join(seen, on, "left_semi")
 
 
@@ -111,18 +134,19 @@ def list_events(events: DataFrame, lo: int, hi: int, cap: int = 2000) -> DataFra
 
 def outlier_intervals(rows: DataFrame, flag, gap_ms: int = 1000) -> DataFrame:
     """Intervals of flagged rows no further apart than the gap."""
-    flagged = with_previous(rows.where(flag), ["t_ms"], "_prev")
-    flagged = flagged.withColumn("_new", F.coalesce(F.col("t_ms") - F.col("_prev.t_ms") > gap_ms, F.lit(True))).drop("_prev")
-    runs = with_running(flagged, F.col("_new").cast("int"), "interval")
-    return runs.groupBy("device_id", "interval").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.count(F.lit(1)).alias("samples"), F.max("speed").alias("max_speed"), F.max(F.abs("vu")).alias("max_vertical"))
+    flagged = with_previous(rows.where(flag), ["t_ms"], within_ms=gap_ms)
+    runs = with_runs(flagged, ~F.coalesce(F.col("t_ms") - F.col("prev.t_ms") <= gap_ms, F.lit(False)))
+    parts = runs.groupBy("device_id", "_slice", "_run").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.count(F.lit(1)).alias("samples"), F.max("speed").alias("max_speed"), F.max(F.abs("vu")).alias("max_vertical"))
+    return parts.withColumn("interval", run_number()).groupBy("device_id", "interval").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("samples").alias("samples"), F.max("max_speed").alias("max_speed"), F.max("max_vertical").alias("max_vertical"))
 
 
-def rebuild_episodes(view: DataFrame, signals: DataFrame, highest_id: int) -> DataFrame:
+def rebuild_episodes(view: DataFrame, highest_id: int, rules: dict = RULES, rule_version: int = 1) -> DataFrame:
     """All episodes anew, with ids that go on above the highest so far.
 
     Ids are given by start; ranks come from counts by day and a rank within the day, so no day waits for another.
     """
-    found = episodes(view, signals)
+    found = episodes(signal_rows(view, rules), rule_version=rule_version)
     found = found.withColumn("_day", F.floor(F.col("start_ms") / 86_400_000))
     days = found.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
     before = days.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -20,10 +20,14 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str], target: DataFr
     return first if target is None else first.join(target.select(*keys), keys, "left_anti")
 
 
-def device_dim(points: DataFrame) -> DataFrame:
-    """first_ms, last_ms, count and latest row of each device."""
+def device_dim(points: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """first_ms, last_ms, count and latest row of each device; with known devices, their rules, those of new ones being the default."""
     latest = F.max_by(F.struct("t_ms", "protocol", "speed", "lat", "lon", "fix_mode", "nav_mode"), F.struct("t_ms", "protocol"))
-    return points.groupBy("device_id").agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.count(F.lit(1)).alias("points"), latest.alias("latest"))
+    dim = points.groupBy("device_id").agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.count(F.lit(1)).alias("points"), latest.alias("latest"))
+    if known is None:
+        return dim
+    default = F.struct(*[F.lit(float(v)).alias(k) for k, v in RULES.items()])
+    return dim.join(known.select("device_id", "rules"), "device_id", "left").withColumn("rules", F.coalesce("rules", default))
 
 
 def device_latest(points: DataFrame) -> DataFrame:
@@ -42,6 +46,12 @@ def merge_package(target: DataFrame, package: DataFrame, keys: list[str], versio
     return both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+def admit_packages(packages: DataFrame, received: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages whose id is new, and those refused as received before."""
+    known = received.select("package_id").distinct()
+    return packages.join(known, "package_id", "left_anti"), packages.join(known, "package_id", "left_semi")
+
+
 def ignore_known(events: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
 
@@ -106,10 +116,17 @@ def close_context(contexts: DataFrame, quality: DataFrame, context_id: str, end_
 
 
 def backfill(points: DataFrame, quality: DataFrame, version: int, assess) -> DataFrame:
-    """quality with assessments for every point that has none of this version."""
+    """quality with assessments for every point that has none of this version.
+
+    Only slices (of an hour, with the one before each, to which a first row looks back) in which a point is missing are assessed.
+    """
+    key = ["device_id", "t_ms", "protocol"]
+    hour = lambda df: df.withColumn("_hour", F.floor(F.col("t_ms") / 3_600_000))
     current = quality.where(F.col("version") == version)
-    missing = points.join(current.select("device_id", "t_ms", "protocol"), ["device_id", "t_ms", "protocol"], "left_anti")
-    fresh = assess(points).join(missing.select("device_id", "t_ms", "protocol"), ["device_id", "t_ms", "protocol"], "left_semi").withColumn("version", F.lit(version))
+    missing = points.select(*key).join(current.select(*key), key, "left_anti")
+    slices = hour(missing).select("device_id", F.explode(F.array(F.col("_hour"), F.col("_hour") - 1)).alias("_hour")).distinct()
+    near = hour(points).join(slices, ["device_id", "_hour"], "left_semi").drop("_hour")
+    fresh = assess(near).join(missing, key, "left_semi").withColumn("version", F.lit(version))
     return current.unionByName(fresh.select(*current.columns))
 
 
@@ -130,20 +147,33 @@ def retention_plan(files: DataFrame, used: float, total: float, now_ms: int, sta
     return df.withColumn("delete", F.col("eligible") & (F.col("freed_before") < needed)).drop("_before", "_inner")
 
 
-def apply_retention(points: DataFrame, quality: DataFrame, events: DataFrame, plan: DataFrame, boundary_ms: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Points, assessments and events that stay, and the device table anew."""
+def apply_retention(points: DataFrame, quality: DataFrame, events: DataFrame, plan: DataFrame, boundary_ms: int, rollups: DataFrame, build) -> dict[str, DataFrame]:
+    """Points, assessments, events and rollups that stay, and the device table anew.
+
+    Buckets of the points that go are built again (build: points to rollups) from those that stay around them.
+    """
     gone = plan.where("delete").select(F.col("path").alias("source"))
+    key = ["device_id", "t_ms", "protocol"]
     kept = points.join(gone, "source", "left_anti")
-    return kept, quality.join(kept.select("device_id", "t_ms", "protocol"), ["device_id", "t_ms", "protocol"], "left_semi"), events.where(F.col("end_ms") >= boundary_ms), device_dim(kept)
+    minute = lambda df: df.withColumn("bucket_ms", F.floor(F.col("t_ms") / 60_000) * 60_000)
+    touched = minute(points.join(gone, "source", "left_semi")).select("device_id", "bucket_ms").distinct()
+    around = touched.select("device_id", F.explode(F.array("bucket_ms", F.col("bucket_ms") - 60_000)).alias("bucket_ms")).distinct()
+    again = build(minute(kept).join(around, ["device_id", "bucket_ms"], "left_semi").drop("bucket_ms")).join(touched, ["device_id", "bucket_ms"], "left_semi")
+    return {
+        "points": kept, "quality": quality.join(kept.select(*key), key, "left_semi"), "events": events.where(F.col("end_ms") >= boundary_ms), "devices": device_dim(kept),
+        "rollups": rollups.join(touched, ["device_id", "bucket_ms"], "left_anti").unionByName(again, allowMissingColumns=True)}
 
 
-def verify_snapshot(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    """A row for each check: whether two tables of the same columns hold the same rows (by count and digest)."""
+def verify_snapshot(raw: DataFrame, copy: DataFrame, quality: DataFrame, rollups: dict[int, DataFrame], version: int) -> DataFrame:
+    """check and passed: the copy's digest is the raw table's, every point has an assessment, all of this version, and each level's points are all."""
     from .audit import table_digest
 
-    out = None
-    for name, a, b in checks:
-        one = table_digest(a).select(F.lit(name).alias("check"), F.struct("rows", "digest").alias("a"))
-        both = one.withColumn("b", table_digest(b).select(F.struct("rows", "digest")).scalar()).select("check", (F.col("a") == F.col("b")).alias("passed"))
-        out = both if out is None else out.unionByName(both)
+    digest = lambda df: table_digest(df).select(F.struct("rows", "digest").alias("d"))
+    total = raw.agg(F.count(F.lit(1)).alias("n"))
+    out = digest(raw).select(F.lit("raw_digest").alias("check"), (F.col("d") == digest(copy).scalar()).alias("passed"))
+    counted = quality.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("version") == version).alias("v"))
+    out = out.unionByName(counted.select(F.lit("row_count").alias("check"), (F.col("n") == total.scalar()).alias("passed")))
+    out = out.unionByName(counted.select(F.lit("versions").alias("check"), (F.col("n") == F.col("v")).alias("passed")))
+    for level, buckets in rollups.items():
+        out = out.unionByName(buckets.agg(F.sum("points").alias("n")).select(F.lit(f"rollup_{level}").alias("check"), (F.col("n") == total.scalar()).alias("passed")))
     return out

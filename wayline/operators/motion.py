@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.constants import CONTIGUOUS_MS
 from ..functions.scalars import haversine_m, position_confidence
 from .quality import drift_evidence
-from .timeline import with_previous, with_running
+from .timeline import ordered, run_number, slice_of, with_neighbours, with_previous, with_rank, with_runs
 
 _STATE = ["t_ms", "lat", "lon", "speed", "valid_pos", "motion_state", "lat_std", "lon_std"]
 
 
 def transitions(view: DataFrame) -> DataFrame:
-    """view with what lies between each row and the one before: delta_ms, contiguous, jump, covered_s, moving_s, distance_m, gap."""
+    """view with what lies between each row and the one before: delta_ms, contiguous, jump, covered_s, moving_s, distance_m, gap.
+
+    Where prev is null, as a slice begins, a gap is before the row or the device begins with it. Keeps prev and _slice.
+    """
     df = with_previous(view, _STATE)
     df = df.withColumn("delta_ms", F.col("t_ms") - F.col("prev.t_ms"))
     contiguous = F.coalesce(F.col("delta_ms").between(1, CONTIGUOUS_MS), F.lit(False))
@@ -37,23 +40,29 @@ def trip_summary(view: DataFrame) -> DataFrame:
     return df.groupBy("device_id").agg(
         n.alias("samples"), (F.sum("distance_m") / 1000).alias("distance_km"), F.sum("moving_s").alias("moving_s"), F.sum("covered_s").alias("covered_s"),
         (F.max("speed") * 3.6).alias("max_kmh"), (F.sum(F.col("fix_mode").isin(4, 8).cast("int")) / n * 100).alias("fixed_pct"),
-        (F.sum(F.col("valid_pos").cast("int")) / n * 100).alias("valid_pct"), F.sum(F.col("gap").cast("int")).alias("gaps"),
+        (F.sum(F.col("valid_pos").cast("int")) / n * 100).alias("valid_pct"), (F.sum(F.col("gap").cast("int")) + F.sum(F.col("prev").isNull().cast("int")) - 1).alias("gaps"),
         (F.count("speed") / n * 100).alias("speed_pct"), F.when(span > 0, (n - 1) / span).alias("sample_hz"))
 
 
 def gaps(points: DataFrame, threshold_ms: int = CONTIGUOUS_MS) -> DataFrame:
     """device_id, start_ms and end_ms of each silence longer than the threshold."""
-    df = with_previous(points, ["t_ms"])
-    return df.where(F.col("t_ms") - F.col("prev.t_ms") > threshold_ms).select("device_id", F.col("prev.t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
+    df = points.withColumn("_slice", slice_of()).withColumn("_before", F.lag("t_ms").over(ordered()))
+    silence = F.when(F.col("t_ms") - F.col("_before") > threshold_ms, F.struct(F.col("_before").alias("start_ms"), F.col("t_ms").alias("end_ms")))
+    slices = df.groupBy("device_id", "_slice").agg(F.min("t_ms").alias("_first"), F.max("t_ms").alias("_last"), F.collect_list(silence).alias("_inner"))
+    before = F.lag("_last").over(Window.partitionBy("device_id").orderBy("_slice"))
+    between = F.when(F.col("_first") - before > threshold_ms, F.array(F.struct(before.alias("start_ms"), F.col("_first").alias("end_ms")))).otherwise(F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>"))
+    return slices.withColumn("_between", between).select("device_id", F.explode(F.concat("_between", "_inner")).alias("g")).select("device_id", "g.*")
 
 
 def motion_segments(view: DataFrame) -> DataFrame:
     """Runs of one motion state: a new one where the state changes, time is not contiguous or the position jumps."""
     df = transitions(view)
     new = F.col("prev").isNull() | (F.col("prev.motion_state") != F.col("motion_state")) | ~F.col("contiguous") | F.col("jump")
-    df = with_running(df.withColumn("_new", new).drop("prev"), F.col("_new").cast("int"), "segment")
+    df = with_runs(df.withColumn("_new", new), F.col("_new"))
     inside = F.when(F.col("_new"), 0.0).otherwise(F.col("distance_m"))
-    return df.groupBy("device_id", "segment", "motion_state").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.sum(inside).alias("distance_m"), (F.max("speed") * 3.6).alias("max_kmh"), F.count(F.lit(1)).alias("samples"))
+    parts = df.groupBy("device_id", "_slice", "_run", "motion_state").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.sum(inside).alias("distance_m"), F.max("speed").alias("_fast"), F.count(F.lit(1)).alias("samples"))
+    return parts.withColumn("segment", run_number()).groupBy("device_id", "segment", "motion_state").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("distance_m").alias("distance_m"), (F.max("_fast") * 3.6).alias("max_kmh"), F.sum("samples").alias("samples"))
 
 
 def segment_report(segments: DataFrame, least_s: float = 30.0, limit: int = 1000) -> DataFrame:
@@ -62,26 +71,26 @@ def segment_report(segments: DataFrame, least_s: float = 30.0, limit: int = 1000
 
 
 def track(view: DataFrame, bucket_s: int = 60) -> DataFrame:
-    """First and last valid points of each unbroken run in a bucket; break_before tells that a run begins."""
-    df = transitions(view).where("valid_pos").drop("prev")
-    latest = df.groupBy("device_id", "t_ms").agg(F.max_by(F.struct("lat", "lon", "speed", "motion_state", "fix_mode", "nav_mode", "lat_std", "lon_std", "valid_pos", "protocol"), "protocol").alias("p"))
-    points = latest.select("device_id", "t_ms", "p.*")
+    """First and last valid points of each unbroken run in a bucket; break_before tells that a run begins. A bucket lies within one slice."""
+    kept = F.struct("lat", "lon", "speed", "motion_state", "fix_mode", "nav_mode", "lat_std", "lon_std", "valid_pos", "protocol")
+    points = view.where("valid_pos").groupBy("device_id", "t_ms").agg(F.max_by(kept, "protocol").alias("p")).select("device_id", "t_ms", "p.*")
     points = with_previous(points, ["t_ms", "lat", "lon", "speed"])
     broken = F.col("prev").isNull() | (F.col("t_ms") - F.col("prev.t_ms") > CONTIGUOUS_MS) | drift_evidence().isNotNull()
-    points = with_running(points.withColumn("break_before", broken).drop("prev"), F.col("break_before").cast("int"), "run")
+    points = with_runs(points.withColumn("break_before", broken), F.col("break_before"))
     points = points.withColumn("bucket_ms", F.floor(F.col("t_ms") / (bucket_s * 1000)) * bucket_s * 1000)
-    ends = points.groupBy("device_id", "bucket_ms", "run").agg(F.min("t_ms").alias("_a"), F.max("t_ms").alias("_b"))
-    return points.join(ends, ["device_id", "bucket_ms", "run"]).where((F.col("t_ms") == F.col("_a")) | (F.col("t_ms") == F.col("_b"))).drop("_a", "_b")
+    run = Window.partitionBy("device_id", "_slice", "bucket_ms", "_run")
+    ends = points.withColumn("_a", F.min("t_ms").over(run)).withColumn("_b", F.max("t_ms").over(run))
+    return ends.where((F.col("t_ms") == F.col("_a")) | (F.col("t_ms") == F.col("_b"))).drop("prev", "_slice", "_run", "_a", "_b")
 
 
 def thin_track(points: DataFrame, most: int = 20_000) -> DataFrame:
     """At most ``most`` points of each device, evenly by rank, the ends kept (thinning is the feature)."""
-    ranked = with_running(points, F.lit(1), "_rank").withColumn("_rank", F.col("_rank") - 1)
-    totals = ranked.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n"))
-    few = totals.where(F.col("_n") <= most).select("device_id")
-    picks = totals.where(F.col("_n") > most).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("device_id", F.bround(F.col("_i") * (F.col("_n") - 1) / (most - 1)).cast("bigint").alias("_rank")).distinct()
-    kept = ranked.join(picks, ["device_id", "_rank"], "left_semi")
-    return ranked.join(few, "device_id", "left_semi").unionByName(kept).drop("_rank")
+    ranked = with_rank(points, "_rank", "_n")
+    # The i-th pick is rank bround(i * (n - 1) / (most - 1)), from 0: a rank is a pick if one of the i next to it gives it.
+    place = F.col("_rank") - 1
+    near = F.round(place * (most - 1) / (F.col("_n") - 1))
+    picked = F.exists(F.array(near - 1, near, near + 1), lambda i: (i >= 0) & (i <= most - 1) & (F.bround(i * (F.col("_n") - 1) / (most - 1)) == place))
+    return ranked.where((F.col("_n") <= most) | picked).drop("_rank", "_n")
 
 
 def stop_groups(segments: DataFrame, gap_ms: int = CONTIGUOUS_MS) -> DataFrame:
@@ -104,15 +113,14 @@ def _in_stop(points: DataFrame, stops: DataFrame) -> DataFrame:
 
 def stop_neighbours(stops: DataFrame, moving: DataFrame) -> DataFrame:
     """stops with the last moving point before and the first after (structs t_ms, lat, lon)."""
-    marks = stops.select("device_id", F.col("start_ms").alias("t_ms"), F.lit(None).cast("struct<t_ms:bigint,lat:double,lon:double>").alias("p"), "stop", F.lit(0).alias("kind"))
-    ends = stops.select("device_id", F.col("end_ms").alias("t_ms"), F.lit(None).cast("struct<t_ms:bigint,lat:double,lon:double>").alias("p"), "stop", F.lit(2).alias("kind"))
-    rows = moving.select("device_id", "t_ms", F.struct(F.col("t_ms").cast("bigint").alias("t_ms"), "lat", "lon").alias("p"), F.lit(None).cast("bigint").alias("stop"), F.lit(1).alias("kind"))
-    both = marks.unionByName(ends).unionByName(rows)
-    back = Window.partitionBy("device_id").orderBy("t_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("device_id").orderBy("t_ms", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_before", F.last("p", ignorenulls=True).over(back)).withColumn("_after", F.first("p", ignorenulls=True).over(on)).where("stop IS NOT NULL")
-    near = found.groupBy("device_id", "stop").agg(F.max(F.when(F.col("kind") == 0, F.col("_before"))).alias("before"), F.max(F.when(F.col("kind") == 2, F.col("_after"))).alias("after"))
-    return stops.join(near, ["device_id", "stop"])
+    point = "struct<t_ms:bigint,lat:double,lon:double>"
+    edge = F.explode(F.array(F.struct(F.col("start_ms").alias("t_ms"), F.lit(0).alias("kind")), F.struct(F.col("end_ms").alias("t_ms"), F.lit(2).alias("kind"))))
+    marks = stops.select("device_id", "stop", F.struct(*stops.columns).alias("_stop"), edge.alias("e")).select("device_id", "e.t_ms", "e.kind", F.lit(None).cast(point).alias("p"), "stop", "_stop")
+    rows = moving.select("device_id", "t_ms", F.lit(1).alias("kind"), F.struct(F.col("t_ms").cast("bigint").alias("t_ms"), "lat", "lon").alias("p"))
+    both = marks.unionByName(rows, allowMissingColumns=True)
+    found = with_neighbours(both, "p", ["device_id"], slice_of(), ["t_ms", "kind"]).where("stop IS NOT NULL")
+    near = found.groupBy("device_id", "stop").agg(F.first("_stop").alias("_stop"), F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("kind") == 2, F.col("after"))).alias("after"))
+    return near.select("_stop.*", "before", "after")
 
 
 def stationary_anchor(view: DataFrame, stops: DataFrame, tolerance_m: float = 2.0) -> DataFrame:
@@ -122,12 +130,11 @@ def stationary_anchor(view: DataFrame, stops: DataFrame, tolerance_m: float = 2.
     """
     around = stop_neighbours(stops, view.where("valid_pos AND motion_state = 'moving'"))
     rows = _in_stop(view.where("valid_pos AND motion_state = 'stationary'").withColumn("confidence", position_confidence()), around)
-    first = rows.groupBy("device_id", "stop").agg(F.min(F.struct("t_ms", "lat", "lon")).alias("_first"))
-    rows = rows.join(first, ["device_id", "stop"])
+    stop = Window.partitionBy("device_id", "stop")
+    rows = rows.withColumn("_first", F.min(F.struct("t_ms", "lat", "lon")).over(stop))
     middle = lambda c: F.coalesce((F.col(f"before.{c}") + F.col(f"after.{c}")) / 2, F.col(f"before.{c}"), F.col(f"after.{c}"), F.col(f"_first.{c}"))
-    rows = rows.withColumn("_away", haversine_m(middle("lat"), middle("lon"), "lat", "lon"))
-    nearest = rows.groupBy("device_id", "stop").agg(F.min("_away").alias("_least"))
-    fit = rows.join(nearest, ["device_id", "stop"]).where(F.col("_away") <= F.col("_least") + tolerance_m)
+    rows = rows.withColumn("_away", haversine_m(middle("lat"), middle("lon"), "lat", "lon")).withColumn("_least", F.min("_away").over(stop))
+    fit = rows.where(F.col("_away") <= F.col("_least") + tolerance_m)
     best = fit.groupBy("device_id", "stop").agg(F.max_by(F.struct("lat", "lon", "t_ms", "confidence"), F.struct("confidence", -F.col("_away"), -F.col("t_ms"))).alias("a"))
     return best.select("device_id", "stop", F.col("a.lat").alias("anchor_lat"), F.col("a.lon").alias("anchor_lon"), F.col("a.t_ms").alias("anchor_ms"), F.col("a.confidence").alias("confidence"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import BITS, CHANNELS, CONTIGUOUS_MS, COURSE_FIELDS, DRIFT_FIELDS, EXCLUDING, HEADING_FIELDS, NAVIGATION_FIELDS, OUTLIER_FIELDS, REASON_BITS, REASONS
+from ..functions.constants import BITS, CHANNELS, CONTIGUOUS_MS, COURSE_FIELDS, DRIFT_FIELDS, EXCLUDING, HEADING_FIELDS, MAX_SPEED, MAX_VELOCITY_STD, MAX_VERTICAL, NAVIGATION_FIELDS, OTHER_SPEED_LABEL, OUTLIER_FIELDS, REASON_BITS, REASON_LABELS, REASONS, SPEED_LABELS
 from ..functions.scalars import bits_to_names, finite, ground_speed, haversine_m, motion_state, present, valid_position, velocity_outlier
 from .timeline import with_previous
 
@@ -60,7 +60,7 @@ def assess(points: DataFrame) -> DataFrame:
         + reason("heading_unavailable", ((F.col("nav_mode") != 2) | ~F.col("fix_mode").between(1, 5)) & _any(HEADING_FIELDS))
         + reason("course_unavailable", (F.col("speed").isNull() | (F.col("speed") < 1) | ~valid) & _any(COURSE_FIELDS))
         + reason("navigation_velocity_outlier", outlier & _any(OUTLIER_FIELDS)) + reason("navigation_position_drift", drift) + reason("speed_unavailable", hidden))
-    return df.withColumn("mask", F.when(hidden, F.col("_mask").bitwiseOR(speed_bit)).otherwise(F.col("_mask"))).withColumn("reasons", reasons.cast("bigint")).withColumn("valid_pos", valid).drop("_mask", "prev")
+    return df.withColumn("mask", F.when(hidden, F.col("_mask").bitwiseOR(speed_bit)).otherwise(F.col("_mask"))).withColumn("reasons", reasons.cast("bigint")).withColumn("valid_pos", valid).drop("_mask", "prev", "_slice")
 
 
 def project(assessed: DataFrame) -> DataFrame:
@@ -80,24 +80,50 @@ def joined_points(points: DataFrame, quality: DataFrame, version: int = VERSION)
 
 
 def quality_records(assessed: DataFrame, reason: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Rows with hidden fields, newest first, with the hidden raw values; at most limit after offset."""
+    """Rows with hidden fields, newest first, with the hidden raw values and whether more follow; at most limit after offset."""
     bits = EXCLUDING if reason is None else REASON_BITS[reason]
     rows = assessed.where((F.col("mask") != 0) & (F.col("reasons").bitwiseAND(F.lit(bits).cast("bigint")) != 0))
     raw = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in CHANNELS]), F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(BITS[c]).cast("bigint")) != 0, F.col(c)) for c in CHANNELS])), lambda k, v: v.isNotNull())
     out = rows.select("device_id", "t_ms", "protocol", bits_to_names("mask", CHANNELS).alias("fields"), bits_to_names("reasons", list(REASONS)).alias("codes"), raw.alias("raw_values"))
-    return out.orderBy(F.desc("t_ms"), "device_id", "protocol").offset(offset).limit(limit)
+    # One row more than the page tells whether more follow.
+    page = out.orderBy(F.desc("t_ms"), "device_id", "protocol").offset(offset).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(F.desc("t_ms"), "device_id", "protocol"))
+    page = page.withColumn("_place", place).withColumn("has_more", F.max("_place").over(Window.partitionBy()) > limit)
+    return page.where(F.col("_place") <= limit).drop("_place")
 
 
 def explain_quality(assessed: DataFrame) -> DataFrame:
-    """A row for each reason of each point, with its category."""
-    named = F.filter(F.array(*[F.when(F.col("reasons").bitwiseAND(F.lit(REASON_BITS[n]).cast("bigint")) != 0, F.struct(F.lit(n).alias("code"), F.lit(k).alias("category"))) for n, k in REASONS.items()]), lambda x: x.isNotNull())
-    return assessed.select("device_id", "t_ms", "protocol", F.explode(named).alias("r"), "mask", "drift").select("device_id", "t_ms", "protocol", "r.code", "r.category", "drift")
+    """A row for each reason of each point: code, label, category, fields, raw values, reference and limit (as texts of structs)."""
+    names = {"invalid_navigation": NAVIGATION_FIELDS, "heading_unavailable": HEADING_FIELDS, "course_unavailable": COURSE_FIELDS, "navigation_velocity_outlier": OUTLIER_FIELDS, "navigation_position_drift": DRIFT_FIELDS, "speed_unavailable": ["speed"]}
+    none = F.lit(None).cast("string")
+    horizontal = F.sqrt(F.col("ve") * F.col("ve") + F.col("vn") * F.col("vn"))
+    spread = F.greatest(F.abs("ve_std"), F.abs("vn_std"), F.abs("vu_std"))
+    reference = {
+        "navigation_velocity_outlier": F.to_json(F.struct(F.col("speed").alias("speed_ms"), horizontal.alias("horizontal_speed_ms"), F.col("vu").alias("vertical_speed_ms"), spread.alias("velocity_std_ms"))),
+        "navigation_position_drift": F.to_json("drift"), "speed_unavailable": F.to_json("ground")}
+    limit = {
+        "navigation_velocity_outlier": F.to_json(F.struct(F.lit(MAX_SPEED).alias("max_speed_ms"), F.lit(MAX_VERTICAL).alias("max_vertical_speed_ms"), F.lit(MAX_VELOCITY_STD).alias("max_velocity_std_ms"))),
+        "navigation_position_drift": F.col("drift.limit_m").cast("string")}
+    speed_label = F.coalesce(F.create_map(*[F.lit(x) for pair in SPEED_LABELS.items() for x in pair])[F.col("ground.reason")], F.lit(OTHER_SPEED_LABEL))
+
+    def one(code: str) -> Column:
+        fields = names[code]
+        there = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]))
+        values = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields])), lambda k, v: v.isNotNull())
+        if code == "speed_unavailable":
+            there = F.array(F.lit("speed"))
+        return F.struct(
+            F.lit(code).alias("code"), (speed_label if code == "speed_unavailable" else F.lit(REASON_LABELS[code])).alias("label"), F.lit(REASONS[code]).alias("category"),
+            there.alias("fields"), values.alias("raw_values"), reference.get(code, none).alias("reference"), limit.get(code, none).alias("limit"))
+
+    found = F.array_compact(F.array(*[F.when(F.col("reasons").bitwiseAND(F.lit(REASON_BITS[c]).cast("bigint")) != 0, one(c)) for c in names]))
+    return assessed.select("device_id", "t_ms", "protocol", F.inline(found))
 
 
 def quality_summary(assessed: DataFrame) -> DataFrame:
-    """Counts by device: total, excluded, anomaly, unavailable, status, and a row for each reason and hidden field."""
+    """Counts by device: total, excluded, anomaly, unavailable, status, pending (no assessment), and a row for each reason and hidden field."""
     base = assessed.groupBy("device_id", "mask", "reasons").agg(F.count(F.lit(1)).alias("n"))
-    items = [("total", F.lit(True)), ("excluded", F.col("mask") != 0)]
+    items = [("total", F.lit(True)), ("pending", F.col("mask").isNull()), ("excluded", F.col("mask") != 0)]
     for kind in ("anomaly", "unavailable", "status"):
         bits = sum(b for n, b in REASON_BITS.items() if REASONS[n] == kind)
         items.append((kind, F.col("reasons").bitwiseAND(F.lit(bits).cast("bigint")) != 0))
@@ -109,14 +135,17 @@ def quality_summary(assessed: DataFrame) -> DataFrame:
 
 def with_context(points: DataFrame, contexts: DataFrame) -> DataFrame:
     """points with context_id, the context of the device that holds t and starts first; an open end is null."""
-    c = contexts.select(F.col("device_id").alias("_d"), "context_id", "start_ms", F.coalesce("end_ms", F.lit(2**62).cast("bigint")).alias("end_ms"))
-    # Day cells make the range join an equality join on (device, day).
     day = 86_400_000
-    cells = c.withColumn("_day", F.explode(F.sequence(F.floor(F.col("start_ms") / day), F.least(F.floor(F.col("end_ms") / day), F.floor(F.col("start_ms") / day) + 36_500))))
-    keyed = points.withColumn("_day", F.floor(F.col("t_ms") / day))
-    hit = keyed.join(cells, (keyed["device_id"] == cells["_d"]) & (keyed["_day"] == cells["_day"]) & F.col("t_ms").between(F.col("start_ms"), F.col("end_ms")), "inner")
-    found = hit.groupBy("device_id", "t_ms", "protocol").agg(F.min_by("context_id", "start_ms").alias("context_id"))
-    return points.join(found, ["device_id", "t_ms", "protocol"], "left")
+    bounded = contexts.where("end_ms IS NOT NULL").select(F.col("device_id").alias("_d"), "context_id", "start_ms", "end_ms", F.explode(F.sequence(F.floor(F.col("start_ms") / day), F.floor(F.col("end_ms") / day))).alias("_day"))
+    keyed = points.select("device_id", "t_ms", "protocol", F.floor(F.col("t_ms") / day).alias("_at"))
+    # Day cells make the range join an equality join on (device, day).
+    on = (keyed["device_id"] == bounded["_d"]) & (keyed["_at"] == bounded["_day"]) & F.col("t_ms").between(F.col("start_ms"), F.col("end_ms"))
+    found = keyed.join(bounded, on).groupBy("device_id", "t_ms", "protocol").agg(F.min(F.struct("start_ms", "context_id")).alias("_bounded"))
+    # Of the open ones only that which starts first can hold a point first.
+    open_ = contexts.where("end_ms IS NULL").groupBy("device_id").agg(F.min(F.struct("start_ms", "context_id")).alias("_open"))
+    df = points.join(found, ["device_id", "t_ms", "protocol"], "left").join(open_, "device_id", "left")
+    reached = F.when(F.col("_open.start_ms") <= F.col("t_ms"), F.col("_open"))
+    return df.withColumn("context_id", F.least("_bounded", reached)["context_id"]).drop("_bounded", "_open")
 
 
 def point_at(assessed: DataFrame, device_id: str, t_ms: int, protocol: str | None = None) -> DataFrame:
@@ -128,5 +157,3 @@ def device_status(devices: DataFrame, now_ms: int) -> DataFrame:
     """devices (last_ms, received_ms) with lag_s and whether they are online."""
     lag = (F.lit(now_ms) - F.col("last_ms")) / 1000
     return devices.withColumn("lag_s", lag).withColumn("online", (F.lit(now_ms) - F.col("received_ms") < 30_000) & (F.abs(lag) < 60))
-
-

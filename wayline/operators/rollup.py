@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CONTIGUOUS_MS, METRICS
 from ..functions.scalars import bucket_start, resultant
 from .motion import transitions
+from .timeline import SLICE_MS, ordered
 from .quality import drift_evidence
 
 _ENDS = ["t_ms", "lat", "lon", "speed", "valid_pos", "motion_state", "lat_std", "lon_std"]
@@ -24,27 +25,54 @@ def _partials(metrics: list[str]):
         yield from (F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), F.sum(m).alias(f"{m}_sum"), F.count(m).alias(f"{m}_n"), F.max_by(m, F.when(F.col(m).isNotNull(), F.col("t_ms"))).alias(f"{m}_last"))
 
 
+def _checked(seconds: int) -> None:
+    if SLICE_MS % (seconds * 1000):
+        raise ValueError("buckets have to divide an hour")
+
+
 def rollup(view: DataFrame, seconds: int = 60, metrics: list[str] = METRICS) -> DataFrame:
-    """One row for each device and bucket; sums over transitions within the bucket only, first and last rows kept for merging."""
+    """One row for each device and bucket; sums over transitions within the bucket only, first and last rows kept for merging.
+
+    ``fixes`` counts rows by fix mode, ``quality`` by mask and reasons (where the view has them). Parts of one bucket,
+    as of the head and tail of a range, are merged by ``rerollup`` of the same seconds.
+    """
+    _checked(seconds)
     df = transitions(view).withColumn("bucket_ms", bucket_start("t_ms", seconds))
     inside = F.coalesce(bucket_start("prev.t_ms", seconds) == F.col("bucket_ms"), F.lit(False))
     # A bucket's own rows make its transitions: a jump or gap from outside is left for the merge.
     sums = {c: F.sum(F.when(inside, F.col(c)).otherwise(0.0)).alias(c) for c in ("covered_s", "moving_s", "distance_m")}
-    force = resultant()
-    # One vibration sample a time: that of the extended protocol, if there are two.
-    best = F.max("protocol").over(Window.partitionBy("device_id", "bucket_ms", "t_ms"))
-    df = df.withColumn("_force", F.when(F.col("protocol") == best, force)).withColumn("_row", F.struct(*_ENDS))
-    return df.groupBy("device_id", "bucket_ms").agg(
+    # One vibration sample a time: that of the extended protocol, the last of a time, if there are two.
+    last = F.coalesce(F.lead("t_ms").over(ordered()) != F.col("t_ms"), F.lit(True))
+    df = df.withColumn("_force", F.when(last, resultant())).withColumn("_row", F.struct(*_ENDS, "protocol"))
+    more = [_histogram(F.col("fix_mode").cast("string")).alias("fixes")]
+    if {"mask", "reasons"} <= set(view.columns):
+        more.append(_histogram(F.concat_ws("/", F.col("mask").cast("string"), F.col("reasons").cast("string"))).alias("quality"))
+    key = ["device_id", "_slice", "bucket_ms"]
+    out = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("points"), F.sum(F.col("fix_mode").isin(4, 8).cast("int")).alias("fixed"), F.sum(F.col("valid_pos").cast("int")).alias("valid"),
         (F.max("speed") * 3.6).alias("max_kmh"), *sums.values(), F.sum((inside & F.col("gap")).cast("int")).alias("gaps"),
         F.min("_force").alias("vib_min"), F.max("_force").alias("vib_max"), F.sum("_force").alias("vib_sum"), F.sum(F.col("_force") * F.col("_force")).alias("vib_sq"), F.count("_force").alias("vib_n"),
-        F.min_by("_row", F.struct("t_ms", "protocol")).alias("first"), F.max_by("_row", F.struct("t_ms", "protocol")).alias("last"), *_partials(metrics))
+        F.min_by("_row", F.struct("t_ms", "protocol")).alias("first"), F.max_by("_row", F.struct("t_ms", "protocol")).alias("last"), *more, *_partials(metrics))
+    return out.drop("_slice")
+
+
+def _histogram(value):
+    """A map of counts by value; the values of a bucket are no more than its rows."""
+    listed = F.sort_array(F.collect_list(value))
+    return F.map_from_entries(F.transform(F.array_distinct(listed), lambda v: F.struct(v, F.size(F.filter(listed, lambda x: x == v)).cast("bigint"))))
+
+
+def _added(column: str):
+    """The sum of maps of counts by name."""
+    entries = F.flatten(F.collect_list(F.map_entries(column)))
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    return F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda a, e: a + e["value"]))))
 
 
 def rerollup(fine: DataFrame, seconds: int = 600, metrics: list[str] = METRICS) -> DataFrame:
-    """Coarser buckets from finer ones; transitions between neighbouring fine buckets of one coarse bucket are added."""
+    """Coarser buckets from finer ones, or parts of a bucket as one; transitions between neighbouring parts of one coarse bucket are added."""
     df = fine.withColumn("_coarse", bucket_start("bucket_ms", seconds))
-    w = Window.partitionBy("device_id", "_coarse").orderBy("bucket_ms")
+    w = Window.partitionBy("device_id", "_coarse").orderBy("first.t_ms", "first.protocol")
     df = df.withColumn("prev", F.lag("last").over(w))
     step = df.withColumns({c: F.col(f"first.{c}") for c in _ENDS})
     contiguous = F.coalesce((F.col("t_ms") - F.col("prev.t_ms")).between(1, CONTIGUOUS_MS), F.lit(False))
@@ -59,30 +87,42 @@ def rerollup(fine: DataFrame, seconds: int = 600, metrics: list[str] = METRICS)
     gap = F.coalesce(F.col("t_ms") - F.col("prev.t_ms") > CONTIGUOUS_MS, F.lit(False)).cast("int")
     merged = []
     for m in metrics:
-        merged += [F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max"), F.sum(f"{m}_sum").alias(f"{m}_sum"), F.sum(f"{m}_n").alias(f"{m}_n"), F.max_by(f"{m}_last", F.when(F.col(f"{m}_n") > 0, F.col("bucket_ms"))).alias(f"{m}_last")]
+        merged += [F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max"), F.sum(f"{m}_sum").alias(f"{m}_sum"), F.sum(f"{m}_n").alias(f"{m}_n"), F.max_by(f"{m}_last", F.when(F.col(f"{m}_n") > 0, F.col("last.t_ms"))).alias(f"{m}_last")]
+    more = [_added(c).alias(c) for c in ("fixes", "quality") if c in fine.columns]
     out = step.groupBy("device_id", "_coarse").agg(
         *[F.sum(c).alias(c) for c in ("points", "fixed", "valid")], F.max("max_kmh").alias("max_kmh"), *[F.sum(F.col(c) + x).alias(c) for c, x in between.items()], F.sum(F.col("gaps") + gap).alias("gaps"),
         F.min("vib_min").alias("vib_min"), F.max("vib_max").alias("vib_max"), F.sum("vib_sum").alias("vib_sum"), F.sum("vib_sq").alias("vib_sq"), F.sum("vib_n").alias("vib_n"),
-        F.min_by("first", "bucket_ms").alias("first"), F.max_by("last", "bucket_ms").alias("last"), *merged)
+        F.min_by("first", F.struct("first.t_ms", "first.protocol")).alias("first"), F.max_by("last", F.struct("last.t_ms", "last.protocol")).alias("last"), *more, *merged)
     return out.withColumnRenamed("_coarse", "bucket_ms")
 
 
-def hybrid_range(view: DataFrame, coarse: DataFrame, start_ms: int, end_ms: int, seconds: int, metrics: list[str] = METRICS) -> DataFrame:
-    """Buckets of a range, end included: whole ones from the rollup, the ragged head and tail from rows."""
+def hybrid_range(view: DataFrame, coarse: DataFrame, start_ms: int, end_ms: int, seconds: int, metrics: list[str] = METRICS, most_rows: int | None = None) -> DataFrame:
+    """Buckets of a range, end included: whole ones from the rollup, the ragged head and tail from rows.
+
+    A range without a whole bucket is read from rows alone; with most_rows, one of more rows is an error.
+    """
     step = seconds * 1000
     lo, hi = -(-start_ms // step) * step, (end_ms + 1) // step * step
     if lo >= hi:
-        return rollup(view.where(F.col("t_ms").between(start_ms, end_ms)), seconds, metrics)
+        rows = view.where(F.col("t_ms").between(start_ms, end_ms))
+        if most_rows is not None and rows.limit(most_rows + 1).count() > most_rows:
+            raise ValueError(f"more than {most_rows} rows; choose a shorter range")
+        return rollup(rows, seconds, metrics)
     edges = view.where(F.col("t_ms").between(start_ms, min(lo - 1, end_ms)) | F.col("t_ms").between(max(hi, start_ms), end_ms))
-    return coarse.where((F.col("bucket_ms") >= lo) & (F.col("bucket_ms") < hi)).unionByName(rollup(edges, seconds, metrics))
+    return coarse.where((F.col("bucket_ms") >= lo) & (F.col("bucket_ms") < hi)).unionByName(rollup(edges, seconds, metrics), allowMissingColumns=True)
+
+
+def range_summary(buckets: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
+    """Buckets of a device and range as one row, with the transitions over the seams between them."""
+    return rerollup(buckets.withColumn("bucket_ms", F.col("bucket_ms") * 0), 1, metrics).drop("bucket_ms")
 
 
 def display_series(buckets: DataFrame, start_ms: int, end_ms: int, bins: int = 288, metrics: list[str] | None = None) -> DataFrame:
-    """Buckets merged into display bins by the middle of each: mean (last, for angles), least and largest of each metric."""
+    """The buckets of a range merged into display bins by the middle of each: mean (last, for angles), least and largest of each metric."""
     metrics = metrics or ["speed", "heading"]
     middle = (F.col("first.t_ms") + F.col("last.t_ms")) / 2
     key = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((middle - start_ms) / (end_ms - start_ms) * bins)))
-    df = buckets.withColumn("bin", key)
+    df = buckets.where((F.col("last.t_ms") >= start_ms) & (F.col("first.t_ms") <= end_ms)).withColumn("bin", key)
     out = []
     for m in metrics:
         mean = F.max_by(f"{m}_last", F.when(F.col(f"{m}_n") > 0, F.col("bucket_ms"))) if m in ("heading", "course") else F.sum(f"{m}_sum") / F.sum(f"{m}_n")
@@ -111,9 +151,12 @@ def vibration_range(buckets: DataFrame) -> DataFrame:
 
 
 def bucket_state(segments: DataFrame, seconds: int = 60) -> DataFrame:
-    """Motion state of most of each bucket by the time of its segments (at least 0.1 s each), ties to moving."""
-    df = segments.withColumn("bucket_ms", bucket_start("start_ms", seconds))
-    weight = F.greatest((F.col("end_ms") - F.col("start_ms")) / 1000, F.lit(0.1))
+    """Motion state of most of each bucket by the time of segments in it (at least 0.1 s each), ties to moving; a segment counts in every bucket that it touches."""
+    step = seconds * 1000
+    first, last = F.floor(F.col("start_ms") / step), F.floor(F.col("end_ms") / step)
+    df = segments.withColumn("_bucket", F.explode(F.sequence(first, last))).withColumn("bucket_ms", F.col("_bucket") * step)
+    within = F.least(F.col("end_ms"), F.col("bucket_ms") + step) - F.greatest(F.col("start_ms"), F.col("bucket_ms"))
+    weight = F.greatest(within / 1000, F.lit(0.1))
     summed = df.groupBy("device_id", "bucket_ms", "motion_state").agg(F.sum(weight).alias("w"))
     order = F.struct(F.round("w", 6), (F.col("motion_state") == "moving").cast("int"), F.col("motion_state"))
     return summed.groupBy("device_id", "bucket_ms").agg(F.max_by("motion_state", order).alias("state"), F.max("w").alias("seconds"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeline import slice_of, with_neighbours
+
 
 def speed_rate(series: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
     """Change of speed from bin to bin in m/s², null across missing values or breaks."""
@@ -14,12 +16,19 @@ def speed_rate(series: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
     return series.withColumn("rate", F.when(step <= most, (F.col("speed") - F.lag("speed").over(w)) / (step / 1000)))
 
 
-def break_series(series: DataFrame, bucket_ms: int = 60_000, angle: str = "heading") -> DataFrame:
-    """series with an empty row 1 ms before every row that follows a break or a turn of more than 180 degrees."""
+def break_series(series: DataFrame, bucket_ms: int = 60_000, angle: str = "heading", gaps: DataFrame | None = None) -> DataFrame:
+    """series with an empty row 1 ms before every row that follows a break, a listed gap (start_ms, end_ms) or a turn of more than 180 degrees."""
     w = Window.partitionBy("device_id").orderBy("t_ms")
-    step = F.col("t_ms") - F.lag("t_ms").over(w)
+    before = F.lag("t_ms").over(w)
     turn = F.abs(F.col(angle) - F.lag(angle).over(w)) > 180
-    df = series.withColumn("_cut", F.coalesce((step > max(3000.0, 2.2 * bucket_ms)) | turn, F.lit(False)))
+    df = series.withColumn("_before", before).withColumn("_cut", F.coalesce((F.col("t_ms") - F.col("_before") > max(3000.0, 2.2 * bucket_ms)) | turn, F.lit(False)))
+    if gaps is not None:
+        # A gap lies between two rows of the series if it begins at or after the first and ends at or before the second.
+        ends = with_neighbours(
+            df.select("device_id", "t_ms", F.lit(None).cast("bigint").alias("start"), F.lit(1).alias("kind"), F.struct(*df.columns).alias("_row"))
+            .unionByName(gaps.select("device_id", F.col("end_ms").alias("t_ms"), F.col("start_ms").alias("start"), F.lit(0).alias("kind")), allowMissingColumns=True),
+            "start", ["device_id"], slice_of(), ["t_ms", "kind"], "last_gap", None)
+        df = ends.where("kind = 1").select("_row.*", "last_gap").withColumn("_cut", F.col("_cut") | F.coalesce(F.col("last_gap") >= F.col("_before"), F.lit(False)))
     rows = F.when(F.col("_cut"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     out = df.withColumn("is_break", F.explode(rows))
     names = [c for c in series.columns if c not in ("device_id", "t_ms")]
@@ -28,15 +37,15 @@ def break_series(series: DataFrame, bucket_ms: int = 60_000, angle: str = "headi
 
 def nearest_asof(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """left (device_id, t_ms, key) with the nearest right row in time, the earlier of two as near, and the next at or after."""
+    kind = left.schema["key"].dataType
+    point = F.struct(F.col("t_ms").cast("bigint").alias("t"), F.col(value).cast("double").alias("v"))
+    # A left row stands between the right rows of its time for the search back (0, 1) and for that on (1, 2).
     l = left.select("device_id", "t_ms", "key", F.lit(None).cast("struct<t:bigint,v:double>").alias("r"), F.lit(1).alias("side"))
-    r = right.select("device_id", "t_ms", F.lit(None).cast(left.schema["key"].dataType).alias("key"), F.struct(F.col("t_ms").cast("bigint").alias("t"), F.col(value).cast("double").alias("v")).alias("r"), F.lit(0).alias("side"))
-    both = l.unionByName(r)
-    back = Window.partitionBy("device_id").orderBy("t_ms", "side").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("device_id").orderBy(F.desc("t_ms"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_b", F.last("r", ignorenulls=True).over(back)).withColumn("_a", F.last("r", ignorenulls=True).over(on)).where("side = 1")
-    earlier = F.col("_a").isNull() | (F.col("t_ms") - F.col("_b.t") <= F.col("_a.t") - F.col("t_ms"))
-    near = F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a"))
-    return found.select("device_id", "t_ms", "key", near["t"].alias("near_ms"), near["v"].alias("near_value"), F.col("_a.t").alias("next_ms"), F.col("_b").alias("before"), F.col("_a").alias("after"))
+    r = right.select("device_id", "t_ms", F.lit(None).cast(kind).alias("key"), point.alias("r"), F.explode(F.array(F.lit(0), F.lit(2))).alias("side"))
+    found = with_neighbours(l.unionByName(r), "r", ["device_id"], slice_of(), ["t_ms", "side"], "_back", "_on").where("side = 1")
+    earlier = F.col("_on").isNull() | (F.col("t_ms") - F.col("_back.t") <= F.col("_on.t") - F.col("t_ms"))
+    near = F.when(F.col("_back").isNotNull() & earlier, F.col("_back")).otherwise(F.col("_on"))
+    return found.select("device_id", "t_ms", "key", near["t"].alias("near_ms"), near["v"].alias("near_value"), F.col("_on.t").alias("next_ms"), F.col("_back").alias("before"), F.col("_on").alias("after"))
 
 
 def interpolate(left: DataFrame, right: DataFrame, value: str, gap_ms: int = 3000) -> DataFrame:
@@ -63,9 +72,10 @@ def coverage(intervals: DataFrame, lo: int, hi: int, joint_ms: int = 1000) -> Da
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """A page (from 0) with whether more follow (paging is the feature)."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.orderBy(*order).offset(number * size).limit(size).withColumn("has_more", total > (number + 1) * size)
+    """A page (from 0, at most the last one) with its number and whether more follow (paging is the feature)."""
+    total = df.count()
+    number = max(0, min(number, (total - 1) // size))
+    return df.orderBy(*order).offset(number * size).limit(size).withColumn("page", F.lit(number)).withColumn("has_more", F.lit(total > (number + 1) * size))
 
 
 def keyset_page(df: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import norm_sequence
+from ..functions.scalars import norm_digits, norm_sequence
 
 
 def expand_requirements(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,6 +30,16 @@ def validate_parts(rows: DataFrame) -> DataFrame:
     return keys.unionByName(many).unionByName(blank)
 
 
+def order_kind(order_no: str = "order_no"):
+    """PRODUCTION or PURCHASE by the prefix of an order number, else null."""
+    return F.when(F.startswith(F.col(order_no), F.lit("2500")), "PRODUCTION").when(F.startswith(F.col(order_no), F.lit("4500")), "PURCHASE")
+
+
+def site_totals(fulfilled: DataFrame) -> DataFrame:
+    """Orders, required, bound and complete orders of each site."""
+    return fulfilled.groupBy("site").agg(F.count(F.lit(1)).alias("orders"), F.sum("required").alias("required"), F.sum("bound").alias("bound"), F.count_if(F.col("state") == "COMPLETE").alias("complete"))
+
+
 def fulfilment(orders: DataFrame, requirements: DataFrame, bindings: DataFrame) -> DataFrame:
     """required, bound and state of each order."""
     r = requirements.groupBy("order_key").agg(F.count(F.lit(1)).alias("required"))
@@ -59,20 +69,58 @@ def latest_per_group(rows: DataFrame, keys: list[str], order: list[str]) -> Data
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def resolve_scans(scans: DataFrame, catalog: DataFrame) -> DataFrame:
-    """scans (scan_id, code as JSON or digits) with the catalog row that fits best and a flag: ok, ambiguous, unknown."""
-    order = F.coalesce(F.get_json_object("code", "$.order"), F.regexp_extract("code", "^([0-9]+)-([0-9]+)", 1))
-    line = F.coalesce(F.get_json_object("code", "$.line"), F.regexp_extract("code", "^([0-9]+)-([0-9]+)", 2))
-    seq = norm_sequence(F.coalesce(F.get_json_object("code", "$.seq"), F.regexp_extract("code", "^[0-9]+-[0-9]+-([0-9]+)", 1)))
-    df = scans.withColumns({"order_key": order.try_cast("bigint"), "line": line.try_cast("int"), "seq": seq})
-    c = catalog.select("order_key", "line", F.col("seq").alias("cat_seq"), "part_key")
-    met = df.join(c, ["order_key", "line"], "left")
-    priority = F.when(F.col("part_key").isNull(), 9).when(F.col("cat_seq") == F.col("seq"), 0).when(F.col("cat_seq").isNull() | (F.col("cat_seq") == ""), 1).otherwise(2)
-    met = met.withColumn("priority", priority)
-    best = met.groupBy("scan_id").agg(F.min("priority").alias("_p"))
-    fit = met.join(best, "scan_id").where(F.col("priority") == F.col("_p"))
-    out = fit.groupBy("scan_id", "order_key", "line", "priority").agg(F.min("part_key").alias("part_key"), F.countDistinct("part_key").alias("fits"))
-    return out.withColumn("flag", F.when(F.col("priority") == 9, "unknown").when(F.col("fits") > 1, "ambiguous").otherwise("ok"))
+def parsed_scans(scans: DataFrame) -> DataFrame:
+    """scans (scan_id, code) with order_no, purchase_line and seq: from JSON keys, or from the digits of the code.
+
+    An order number begins with 2500 (production) or 4500 (purchase); of a production order the line is empty.
+    """
+    text = F.trim(F.coalesce("code", F.lit("")))
+    key = lambda *names: F.coalesce(*[F.when(F.trim(F.get_json_object("_json", f"$.{n}")) != "", F.trim(F.get_json_object("_json", f"$.{n}"))) for n in names], F.lit(""))
+    df = scans.withColumn("_text", text).withColumn("_json", F.when(F.startswith("_text", F.lit("{")), F.col("_text")))
+    df = df.withColumns({
+        "_order": key("part_order_no", "production_order", "purchase_order"), "_line": F.replace(key("purchase_line", "line_no", "line"), F.lit(".0"), F.lit("")),
+        "_seq": F.replace(key("sequence_no", "serial_no", "sequence"), F.lit(".0"), F.lit("")), "_digits": F.regexp_replace("_text", "[^0-9]", ""), "_tokens": F.regexp_extract_all("_text", F.lit("([0-9]+)"), F.lit(1))})
+    run, tail = F.regexp_extract("_digits", "((?:2500|4500)[0-9]{7})(.*)$", 1), F.regexp_extract("_digits", "((?:2500|4500)[0-9]{7})(.*)$", 2)
+    df = df.withColumns({"_run": F.when(F.col("_order") == "", run).otherwise(""), "_tail": tail})
+    long_ = F.length("_tail")
+    production, purchase = F.startswith("_run", F.lit("2500")), F.startswith("_run", F.lit("4500"))
+    df = df.withColumns({
+        "_order": F.when(F.col("_run") != "", F.col("_run")).otherwise(F.col("_order")),
+        "_seq": F.when((production & (long_ >= 4)) | (purchase & (long_ >= 8)), F.right("_tail", F.lit(4))).otherwise(F.col("_seq")),
+        "_line": F.when(purchase & (long_ >= 8), F.expr("substring(_tail, length(_tail) - 7, 4)")).otherwise(F.col("_line"))})
+    named = F.get(F.filter("_tokens", lambda t: t.rlike("^(2500|4500)")), 0)
+    df = df.withColumn("_order", F.when(F.col("_order") == "", F.coalesce(named, F.lit(""))).otherwise(F.col("_order")))
+    n, is_production, is_purchase = F.size("_tokens"), F.startswith("_order", F.lit("2500")), F.startswith("_order", F.lit("4500"))
+    last, second = F.try_element_at("_tokens", F.lit(-1)), F.try_element_at("_tokens", F.lit(-2))
+    blank = F.col("_seq") == ""
+    df = df.withColumns({
+        "_seq": F.when(blank & ((is_production & (n >= 2)) | (is_purchase & (n >= 3))), last).otherwise(F.col("_seq")),
+        "_line": F.when((F.col("_line") == "") & is_purchase & (n >= 3), second).otherwise(F.col("_line"))})
+    known = is_production | is_purchase
+    out = df.withColumns({"order_no": F.when(known, F.col("_order")), "seq": norm_sequence("_seq"), "purchase_line": F.when(is_purchase, norm_digits("_line")).when(is_production, "")})
+    return out.drop("_text", "_json", "_order", "_line", "_seq", "_digits", "_tokens", "_run", "_tail")
+
+
+def resolve_scans(scans: DataFrame, catalog: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """scans with the catalog row (order_no, purchase_line, seq, part_key) that fits best and a flag.
+
+    An exact sequence goes before a blank one and that before others. Flags: unreadable, incomplete, duplicate (its
+    part is among those bound), unknown, ambiguous (several parts on the line), ok.
+    """
+    df = parsed_scans(scans)
+    lines = catalog.groupBy("order_no", "purchase_line").agg(F.min("part_key").alias("_least"), F.max("part_key").alias("_most"))
+    exact = catalog.groupBy("order_no", "purchase_line", "seq").agg(F.min("part_key").alias("_exact"))
+    blank = catalog.where(F.coalesce("seq", F.lit("")) == "").groupBy("order_no", "purchase_line").agg(F.min("part_key").alias("_blank"))
+    key = ["order_no", "purchase_line"]
+    df = df.join(lines, key, "left").join(exact, [*key, "seq"], "left").join(blank, key, "left")
+    again = F.lit(False)
+    if bound is not None:
+        df = df.join(bound.select(*key, "seq").distinct().withColumn("_bound", F.lit(True)), [*key, "seq"], "left")
+        again = F.col("_bound").isNotNull()
+    flag = (
+        F.when(F.col("order_no").isNull(), "unreadable").when(F.col("seq").isNull() | F.col("purchase_line").isNull(), "incomplete").when(again, "duplicate")
+        .when(F.col("_least").isNull(), "unknown").when(F.col("_least") != F.col("_most"), "ambiguous").otherwise("ok"))
+    return df.withColumn("part_key", F.coalesce("_exact", "_blank", "_least")).withColumn("flag", flag).drop("_least", "_most", "_exact", "_blank", "_bound")
 
 
 def reconcile(required: DataFrame, bindings: DataFrame, keys: list[str], new_id: str, old_id: str) -> tuple[DataFrame, DataFrame]:
@@ -96,12 +144,26 @@ def unit_history(units: DataFrame, events: DataFrame) -> DataFrame:
     return units.join(listed, "unit_key", "left")
 
 
-def binding_report(batches: DataFrame, bindings: DataFrame, requirements: DataFrame) -> dict[str, DataFrame]:
-    """detail, summary of batches with a binding, and requirement snapshot by part."""
+def binding_report(batches: DataFrame, bindings: DataFrame, requirements: DataFrame, parts: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """detail, batches with a binding (with its number), requirements by part, stock of parts by state, and the log of those taken off."""
+    held = bindings.groupBy("batch_key").agg(F.count(F.lit(1)).alias("bound"))
     return {
         "detail": bindings.join(batches, "batch_key"),
-        "batches": batches.join(bindings, "batch_key", "left_semi"),
-        "requirements": requirements.groupBy("order_key", "part_key").agg(F.sum("quantity").alias("quantity"))}
+        "batches": batches.join(held, "batch_key"),
+        "requirements": requirements.groupBy("order_key", "part_key").agg(F.sum("quantity").alias("quantity")),
+        "stock": parts.groupBy("part_code", "state").agg(F.count(F.lit(1)).alias("n")),
+        "unbound": log.join(batches, "batch_key", "left")}
+
+
+def component_progress(requirements: DataFrame, bindings: DataFrame, k: int = 8) -> DataFrame:
+    """Components required and bound, the k most required (top k is the feature)."""
+    need = requirements.groupBy("component").agg(F.count(F.lit(1)).alias("required"))
+    have = bindings.groupBy("component").agg(F.count(F.lit(1)).alias("bound"))
+    return need.join(have, "component", "left").select("component", "required", F.coalesce("bound", F.lit(0)).alias("bound")).orderBy(F.desc("required"), "component").limit(k)
+
+
+def old_snapshots(snapshots: DataFrame, today: str, days: int = 180) -> DataFrame:
+    return snapshots.where(F.col("day") < F.date_sub(F.lit(today).cast("date"), days))
 
 
 def unbind(bindings: DataFrame, ids: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -115,7 +177,9 @@ def orphans(parts: DataFrame, bindings: DataFrame, key: str) -> DataFrame:
     return parts.join(bindings.select(key), key, "left_anti")
 
 
-def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+def search(df: DataFrame, text: str, columns: list[str], site: tuple[str, str] | None = None) -> DataFrame:
+    """Rows one of whose columns contains the text, of a site (column, value) if given."""
+    df = df if site is None else df.where(F.col(site[0]) == site[1])
     return df.where(F.exists(F.array(*[F.lower(F.col(c).cast("string")) for c in columns]), lambda x: F.contains(x, F.lit(text.lower()))))
 
 

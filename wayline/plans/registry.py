@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rollups, streams, tables, telemetry
+from . import rollups, streams, tables, telemetry, upkeep
 
-_MODULES = (telemetry, rollups, tables, streams)
+_MODULES = (telemetry, rollups, tables, upkeep, streams)
 
 
 def queries() -> dict:

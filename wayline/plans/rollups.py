@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, motion, rollup, series, vibration
 from ..sources.telemetry import telemetry
-from .shared import distance_sql, drift_sql, kept, rounded, sql, view
+from .shared import assessed, distance_sql, drift_sql, rounded, span, sql, view
 from .telemetry import _SEGMENTS as SEGMENTS
 
 QUERIES, SQL = {}, {}
@@ -56,33 +56,49 @@ def rollup_600(spark, sf_dir):
     return _columns(rollup.rerollup(rollup.rollup(view(spark, sf_dir))))
 
 
-_LO, _HI = 1704067217300, 1704067431200
+#: A range within the data whose ends lie in the middle of buckets.
+_LO, _HI = "(SELECT min(t_ms) + 17300 FROM t)", "(SELECT max(t_ms) - 8800 FROM t)"
 
 
-@query(sql(f"\nSELECT device_id, CAST(sum(points) AS BIGINT) AS points, round(sum(speed_sum), 4) + 0.0 AS speed_sum, round(max(max_kmh), 4) + 0.0 AS max_kmh, count(*) AS buckets FROM ({_rolled(60, f'(SELECT * FROM x WHERE t_ms BETWEEN {_LO} AND {_HI})')}) GROUP BY device_id"))
+@query(sql(f"""
+SELECT device_id, count(*) AS points, round(sum(speed), 4) + 0.0 AS speed_sum, round(max(speed) * 3.6, 4) + 0.0 AS max_kmh,
+  round(sum(CASE WHEN p_t >= {_LO} THEN covered_s ELSE 0 END), 4) + 0.0 AS covered_s, round(sum(CASE WHEN p_t >= {_LO} THEN moving_s ELSE 0 END), 4) + 0.0 AS moving_s,
+  round(sum(CASE WHEN p_t >= {_LO} THEN distance_m ELSE 0 END), 4) + 0.0 AS distance_m, CAST(sum(CASE WHEN p_t >= {_LO} AND gap THEN 1 ELSE 0 END) AS BIGINT) AS gaps,
+  array_to_string(list_sort(list(DISTINCT fix_mode)), ',') AS fixes
+FROM x WHERE t_ms BETWEEN {_LO} AND {_HI} GROUP BY device_id"""))
 def hybrid_range(spark, sf_dir):
+    """The range from whole 60 s buckets and rows at its ends, merged over the seams; the SQL computes it from rows."""
     v = view(spark, sf_dir)
-    h = rollup.hybrid_range(v, rollup.rollup(v), _LO, _HI, 60)
-    return rounded(h.groupBy("device_id").agg(F.sum("points").alias("points"), F.sum("speed_sum").alias("speed_sum"), F.max("max_kmh").alias("max_kmh"), F.count(F.lit(1)).alias("buckets")), 4)
+    lo, hi = span(spark, sf_dir)
+    h = rollup.range_summary(rollup.hybrid_range(v, rollup.rollup(v), lo + 17_300, hi - 8_800, 60))
+    return rounded(h.select("device_id", "points", "speed_sum", "max_kmh", "covered_s", "moving_s", "distance_m", "gaps", F.array_join(F.array_sort(F.map_keys("fixes")), ",").alias("fixes")), 4)
 
 
-_SPAN = (1704067200000, 1704067500000)
+#: The middle half of the data's time, in 60 bins.
+_AT = "(SELECT min(t_ms) + (max(t_ms) - min(t_ms)) // 4 FROM t)"
+_TO = "(SELECT max(t_ms) - (max(t_ms) - min(t_ms)) // 4 FROM t)"
+_BINNED = f""",
+r60 AS ({_rolled(60)}),
+bn AS (SELECT *, least(59, greatest(0, CAST(floor(((first_ms + last_ms) / 2.0::DOUBLE - {_AT}) / ({_TO} - {_AT}) * 60) AS BIGINT))) AS bin FROM r60 WHERE last_ms >= {_AT} AND first_ms <= {_TO})"""
 
 
-@query(sql(f""",
-r60 AS ({_rolled(60)}),
-bn AS (SELECT *, least(3, greatest(0, CAST(floor(((first_ms + last_ms) / 2.0::DOUBLE - {_SPAN[0]}) / {_SPAN[1] - _SPAN[0]}.0::DOUBLE * 4) AS BIGINT))) AS bin FROM r60)
+def _series(spark, sf_dir):
+    lo, hi = span(spark, sf_dir)
+    quarter = (hi - lo) // 4
+    return rollup.display_series(rollup.rollup(view(spark, sf_dir)), lo + quarter, hi - quarter, 60)
+
+
+@query(sql(f"""{_BINNED}
 SELECT device_id, bin, min(first_ms) AS t_ms, CAST(sum(points) AS BIGINT) AS points, round(sum(speed_sum) / sum(speed_n), 4) + 0.0 AS speed, round(min(speed_min), 4) + 0.0 AS speed_min, round(max(speed_max), 4) + 0.0 AS speed_max,
   arg_max(heading_last, bucket_ms) FILTER (heading_n > 0) AS heading, min(heading_min) AS heading_min, max(heading_max) AS heading_max
 FROM bn GROUP BY device_id, bin"""))
 def display_series(spark, sf_dir):
-    return rounded(rollup.display_series(rollup.rollup(view(spark, sf_dir)), *_SPAN, 4), 4)
+    return rounded(_series(spark, sf_dir), 4)
 
 
-@query(sql(f"\nSELECT device_id, round(min(speed_min), 4) + 0.0 AS speed_min, round(max(speed_max), 4) + 0.0 AS speed_max FROM ({_rolled(60)}) GROUP BY device_id"))
+@query(sql(f"{_BINNED}\nSELECT device_id, round(min(speed_min), 4) + 0.0 AS speed_min, round(max(speed_max), 4) + 0.0 AS speed_max, min(heading_min) AS heading_min, max(heading_max) AS heading_max FROM bn GROUP BY device_id"))
 def series_ranges(spark, sf_dir):
-    s = rollup.display_series(rollup.rollup(view(spark, sf_dir)), *_SPAN, 4)
-    return rounded(s.groupBy("device_id").agg(F.min("speed_min").alias("speed_min"), F.max("speed_max").alias("speed_max")), 4)
+    return rounded(rollup.series_ranges(_series(spark, sf_dir), ["speed", "heading"]), 4)
 
 
 @query(sql(f"\nSELECT device_id, bucket_ms, round(vib_sum / vib_n, 6) + 0.0 AS mean, round(sqrt(greatest(0.0, vib_sq / vib_n - (vib_sum / vib_n) * (vib_sum / vib_n))), 6) + 0.0 AS rms, round(greatest(abs(vib_min - 1), abs(vib_max - 1)), 6) + 0.0 AS peak, vib_n AS n FROM ({_rolled(60)}) WHERE vib_n > 0"))
@@ -95,18 +111,29 @@ def vibration_range(spark, sf_dir):
     return rounded(rollup.vibration_range(rollup.rollup(view(spark, sf_dir))))
 
 
-@query(sql(f"\nSELECT r.device_id, CAST(60 AS INTEGER) AS level, count(*) AS buckets, CAST(sum(points) AS BIGINT) AS points, (SELECT count(*) FROM t WHERE t.device_id = r.device_id) AS raw, true AS ready FROM ({_rolled(60)}) r GROUP BY r.device_id UNION ALL SELECT r.device_id, 600, count(*), CAST(sum(points) AS BIGINT), (SELECT count(*) FROM t WHERE t.device_id = r.device_id), true FROM ({_rolled(600)}) r GROUP BY r.device_id"))
+def _status_sql() -> str:
+    raw = "(SELECT count(*) FROM t WHERE t.device_id = r.device_id)"
+    part = lambda level, rows: f"SELECT device_id, CAST({level} AS INTEGER) AS level, count(*) AS buckets, CAST(sum(points) AS BIGINT) AS points, {raw} AS raw, abs(CAST(sum(points) AS BIGINT) - {raw}) <= 600 AS ready FROM ({rows}) r GROUP BY device_id"
+    holed = f"SELECT * FROM ({_rolled(600)}) WHERE device_id <> 'D1' OR bucket_ms > (SELECT min(bucket_ms) FROM ({_rolled(600)}))"
+    return sql(f"\n{part(60, _rolled(60))} UNION ALL {part(600, holed)}")
+
+
+@query(_status_sql())
 def rollup_status(spark, sf_dir):
+    """The 600 s level of one device lacks its first bucket, so that this level isn't ready."""
     v = view(spark, sf_dir)
-    fine = rollup.rollup(v)
-    return rollup.rollup_status(v, {60: fine, 600: rollup.rerollup(fine)})
+    coarse = rollup.rerollup(rollup.rollup(v))
+    start = F.lit(span(spark, sf_dir)[0])
+    holed = coarse.where((F.col("device_id") != "D1") | (F.col("bucket_ms") > start))
+    return rollup.rollup_status(v, {60: rollup.rollup(v), 600: holed})
 
 
 _SEGMENTS = SEGMENTS
 
 
 @query(sql(_SEGMENTS + """,
-bw AS (SELECT device_id, CAST(floor(start_ms / 60000) AS BIGINT) * 60000 AS bucket_ms, motion_state, round(sum(greatest((end_ms - start_ms) / 1000.0::DOUBLE, 0.1)), 6) AS w FROM seg GROUP BY ALL)
+sb AS (SELECT *, unnest(range(CAST(floor(start_ms / 60000) AS BIGINT), CAST(floor(end_ms / 60000) AS BIGINT) + 1)) * 60000 AS bucket_ms FROM seg),
+bw AS (SELECT device_id, bucket_ms, motion_state, round(sum(greatest((least(end_ms, bucket_ms + 60000) - greatest(start_ms, bucket_ms)) / 1000.0::DOUBLE, 0.1)), 6) AS w FROM sb GROUP BY ALL)
 SELECT device_id, bucket_ms, motion_state AS state, w + 0.0 AS seconds FROM bw QUALIFY row_number() OVER (PARTITION BY device_id, bucket_ms ORDER BY w DESC, motion_state = 'moving' DESC, motion_state DESC) = 1"""))
 def bucket_state(spark, sf_dir):
     return rounded(rollup.bucket_state(motion.motion_segments(view(spark, sf_dir))))
@@ -140,11 +167,11 @@ def vibration_runs(spark, sf_dir):
 
 def _whole(spark, sf_dir):
     """Telemetry without its missing IMU rows is gapless between the long breaks, so that 60 s windows exist."""
-    return kept(vibration.vibration_runs(telemetry(spark, sf_dir).withColumn("ax", F.coalesce("ax", F.lit(1.0)))))
+    return vibration.vibration_runs(telemetry(spark, sf_dir).withColumn("ax", F.coalesce("ax", F.lit(1.0))))
 
 
 def _residual(runs):
-    return kept(vibration.detrend(kept(vibration.window_samples(runs, vibration.best_window(runs)))))
+    return vibration.detrend(vibration.window_samples(runs, vibration.best_window(runs)))
 
 
 _BEST = _RUNS.replace("WHERE ax IS NOT NULL", "").replace("sqrt(ax * ax", "sqrt(coalesce(ax, 1.0) * coalesce(ax, 1.0)") + """,
@@ -195,9 +222,40 @@ def rms_envelope(spark, sf_dir):
     return rounded(vibration.rms_envelope(_residual(runs)).select("device_id", "k", "envelope"))
 
 
-@query(sql(f",\nc0 AS (SELECT device_id, bucket_ms, row_number() OVER (PARTITION BY device_id ORDER BY sqrt(greatest(0.0, vib_sq / vib_n - (vib_sum / vib_n) * (vib_sum / vib_n))) DESC, greatest(vib_sum / vib_n - vib_min, vib_max - vib_sum / vib_n) DESC, bucket_ms) AS k FROM ({_rolled(60)}) WHERE vib_n >= 100)\nSELECT DISTINCT device_id, bucket_ms + o AS bucket_ms FROM c0, (SELECT unnest([-60000, 0, 60000]) AS o) WHERE k <= 6"))
+_CANDIDATES = f""",
+cb AS ({_rolled(60)}),
+c0 AS (SELECT device_id, bucket_ms, vib_n, row_number() OVER (PARTITION BY device_id ORDER BY vib_n >= 100 DESC, sqrt(greatest(0.0, vib_sq / vib_n - (vib_sum / vib_n) * (vib_sum / vib_n))) DESC, greatest(vib_sum / vib_n - vib_min, vib_max - vib_sum / vib_n) DESC, bucket_ms) AS k,
+  min(bucket_ms) OVER (PARTITION BY device_id) AS lo, max(bucket_ms) OVER (PARTITION BY device_id) AS hi FROM cb),
+cand AS (SELECT DISTINCT device_id, bucket_ms + o AS bucket_ms FROM c0, (SELECT unnest([-60000, 0, 60000]) AS o) WHERE (vib_n >= 100 AND k <= 2) OR bucket_ms IN (lo, hi))"""
+
+
+@query(sql(f"{_CANDIDATES}\nSELECT * FROM cand"))
 def vibration_candidates(spark, sf_dir):
-    return vibration.candidates(rollup.rollup(view(spark, sf_dir)))
+    """The two best buckets, the edges and their neighbours."""
+    return vibration.candidates(rollup.rollup(view(spark, sf_dir)), 2)
+
+
+@query(sql(_CANDIDATES + _BEST.replace("FROM t", "FROM (SELECT * FROM t WHERE EXISTS (SELECT 1 FROM cand WHERE cand.device_id = t.device_id AND t.t_ms BETWEEN cand.bucket_ms AND cand.bucket_ms + 59999))", 1) + "\nSELECT device_id, t_ms, CAST(n AS BIGINT) AS n, round(rms, 6) + 0.0 AS rms FROM best"))
+def vibration_two_stage(spark, sf_dir):
+    """The best window searched in candidate buckets only."""
+    filled = telemetry(spark, sf_dir).withColumn("ax", F.coalesce("ax", F.lit(1.0)))
+    best = vibration.two_stage(filled, vibration.candidates(rollup.rollup(view(spark, sf_dir)), 2), 10_000.0)
+    return rounded(best.select("device_id", "t_ms", F.col("n").cast("bigint").alias("n"), "rms"))
+
+
+@query(sql(_RUNS + """,
+st AS (SELECT *, (t_ms - lag(t_ms) OVER (PARTITION BY device_id, run ORDER BY idx)) / 1000.0::DOUBLE AS step FROM runs),
+fit AS (SELECT device_id, run, count(*) AS samples, 1 / median(step) AS hz FROM st GROUP BY ALL),
+fr AS (SELECT *, CASE WHEN hz IS NULL OR samples < 100 OR samples < greatest(100, round_even(hz * 60, 0)) THEN 2 WHEN NOT hz BETWEEN 8.0 AND 10.5 THEN 1 ELSE 0 END AS k FROM fit),
+dv AS (SELECT device_id, min(k) AS k FROM fr GROUP BY device_id)
+SELECT 'run' AS level, device_id, run, samples, round(hz, 6) + 0.0 AS hz, CASE k WHEN 2 THEN 'short' WHEN 1 THEN 'rate' END AS reason FROM fr
+UNION ALL SELECT 'device', device_id, NULL, NULL, NULL, CASE k WHEN 2 THEN 'short' WHEN 1 THEN 'rate' END FROM dv"""))
+def vibration_admission(spark, sf_dir):
+    """Why runs and devices have no window: with the missing samples left out most runs are short."""
+    t = telemetry(spark, sf_dir)
+    runs = vibration.vibration_runs(t)
+    each = vibration.admit_runs(runs).select(F.lit("run").alias("level"), "device_id", "run", "samples", "hz", "reason")
+    return rounded(each.unionByName(vibration.device_admission(t, runs).withColumn("level", F.lit("device")), allowMissingColumns=True))
 
 
 _TEN = "s10 AS (SELECT device_id, CAST(floor(t_ms / 10000) AS BIGINT) * 10000 AS t_ms, avg(speed) AS speed, arg_max(heading, t_ms) AS heading FROM v GROUP BY ALL)"
@@ -221,18 +279,16 @@ def break_series(spark, sf_dir):
     return series.break_series(_ten(spark, sf_dir), 10_000).select("device_id", "t_ms", "heading", "is_break")
 
 
-_PROBES = "pr AS (SELECT device_id, t_ms + 37 AS t_ms, t_ms AS key FROM t WHERE t_ms % 7000 = 0), tv AS (SELECT device_id, t_ms, speed FROM v WHERE speed IS NOT NULL)"
+_NEIGHBOURS = """,
+pr AS (SELECT device_id, t_ms + 37 AS t_ms, t_ms AS key FROM t), tv AS (SELECT device_id, t_ms, speed FROM v WHERE speed IS NOT NULL),
+nb AS (SELECT pr.*, x1.t_ms AS b, x1.speed AS bv FROM pr ASOF LEFT JOIN tv x1 ON pr.device_id = x1.device_id AND pr.t_ms >= x1.t_ms),
+nv AS (SELECT nb.*, x2.t_ms AS a, x2.speed AS av FROM nb ASOF LEFT JOIN tv x2 ON nb.device_id = x2.device_id AND nb.t_ms <= x2.t_ms)"""
 
 
 def _probes(spark, sf_dir):
+    """Every row's time a little later, and the rows with a speed."""
     t = telemetry(spark, sf_dir)
-    return t.where("t_ms % 7000 = 0").select("device_id", (F.col("t_ms") + 37).alias("t_ms"), F.col("t_ms").alias("key")), view(spark, sf_dir).where("speed IS NOT NULL")
-
-
-_NEIGHBOURS = f""",
-{_PROBES},
-nb AS (SELECT pr.*, (SELECT max(tv.t_ms) FROM tv WHERE tv.device_id = pr.device_id AND tv.t_ms <= pr.t_ms) AS b, (SELECT min(tv.t_ms) FROM tv WHERE tv.device_id = pr.device_id AND tv.t_ms >= pr.t_ms) AS a FROM pr),
-nv AS (SELECT nb.*, x1.speed AS bv, x2.speed AS av FROM nb LEFT JOIN tv x1 ON x1.device_id = nb.device_id AND x1.t_ms = b LEFT JOIN tv x2 ON x2.device_id = nb.device_id AND x2.t_ms = a)"""
+    return t.select("device_id", (F.col("t_ms") + 37).alias("t_ms"), F.col("t_ms").alias("key")), view(spark, sf_dir).where("speed IS NOT NULL")
 
 
 @query(sql(_NEIGHBOURS + "\nSELECT device_id, t_ms, CASE WHEN b IS NOT NULL AND (a IS NULL OR t_ms - b <= a - t_ms) THEN b ELSE a END AS near_ms, CASE WHEN b IS NOT NULL AND (a IS NULL OR t_ms - b <= a - t_ms) THEN bv ELSE av END AS near_value, a AS next_ms FROM nv"))
@@ -247,35 +303,20 @@ def interpolate_track(spark, sf_dir):
     return rounded(series.interpolate(*_probes(spark, sf_dir), "speed").select("device_id", "t_ms", "value", "interpolated"))
 
 
-def _all_probes(spark, sf_dir):
-    """As _probes, of every row."""
-    t = telemetry(spark, sf_dir)
-    return t.select("device_id", (F.col("t_ms") + 37).alias("t_ms"), F.col("t_ms").alias("key")), view(spark, sf_dir).where("speed IS NOT NULL")
-
-
-@query()
-def nearest_asof_all(spark, sf_dir):
-    """nearest_asof for every row; the correlated subqueries of its SQL allow one row in 70."""
-    return series.nearest_asof(*_all_probes(spark, sf_dir), "speed").select("device_id", "t_ms", "near_ms", "near_value", "next_ms")
-
-
-@query()
-def interpolate_track_all(spark, sf_dir):
-    """interpolate_track for every row."""
-    return rounded(series.interpolate(*_all_probes(spark, sf_dir), "speed").select("device_id", "t_ms", "value", "interpolated"))
-
-
 @query(sql(_SEGMENTS + """,
-cv AS (SELECT *, max(end_ms) OVER (PARTITION BY device_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg WHERE end_ms >= 1704067210000 AND start_ms <= 1704067250000)
-SELECT device_id, max(CASE WHEN start_ms > coalesce(reach, 1704067210000) + 1000 THEN 1 ELSE 0 END) = 0 AND max(end_ms) + 1000 >= 1704067250000 AS covered, count(*) AS intervals FROM cv GROUP BY device_id"""))
+cv AS (SELECT *, max(end_ms) OVER (PARTITION BY device_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg)
+SELECT device_id, max(CASE WHEN start_ms > coalesce(reach, (SELECT min(t_ms) FROM t)) + 1000 THEN 1 ELSE 0 END) = 0 AND max(end_ms) + 1000 >= (SELECT max(t_ms) FROM t) AS covered, count(*) AS intervals FROM cv GROUP BY device_id"""))
 def coverage(spark, sf_dir):
-    return series.coverage(motion.motion_segments(view(spark, sf_dir)), 1704067210000, 1704067250000)
+    return series.coverage(motion.motion_segments(view(spark, sf_dir)), *span(spark, sf_dir))
+
+
+_REASON_COUNTS = ", ".join(f"CAST(count(*) FILTER (reason = '{r}') AS BIGINT) AS reason_{r}" for r in audit.SPEED_REASONS)
 
 
 @query(sql("""
 SELECT device_id, strftime(make_timestamp((t_ms + 28800000) * 1000), '%Y-%m-%d') AS day, count(*) AS samples, min(t_ms) AS first_ms, max(t_ms) AS last_ms,
   round(max(CASE WHEN protocol = 'GPCHCX' THEN raw_speed END) * 3.6, 6) + 0.0 AS raw_max_kmh, round(max(speed) * 3.6, 6) + 0.0 AS accepted_max_kmh, arg_max(t_ms, speed * 1000000 - (t_ms - 1704067200000) / 1000000.0) FILTER (speed IS NOT NULL) AS accepted_max_ms,
-  round(count(speed) / count(*) * 100, 6) + 0.0 AS accepted_pct, CAST(sum(CASE WHEN motion_state = 'moving' THEN 1 ELSE 0 END) AS BIGINT) AS moving, CAST(sum(CASE WHEN motion_state = 'stationary' THEN 1 ELSE 0 END) AS BIGINT) AS stationary, CAST(sum(CASE WHEN motion_state = 'unknown' THEN 1 ELSE 0 END) AS BIGINT) AS unknown
+  round(count(speed) / count(*) * 100, 6) + 0.0 AS accepted_pct, CAST(sum(CASE WHEN motion_state = 'moving' THEN 1 ELSE 0 END) AS BIGINT) AS moving, CAST(sum(CASE WHEN motion_state = 'stationary' THEN 1 ELSE 0 END) AS BIGINT) AS stationary, CAST(sum(CASE WHEN motion_state = 'unknown' THEN 1 ELSE 0 END) AS BIGINT) AS unknown, """ + _REASON_COUNTS + """
 FROM v GROUP BY ALL"""))
 def daily_audit(spark, sf_dir):
     return rounded(audit.daily_audit(view(spark, sf_dir)))
@@ -297,7 +338,7 @@ def distribution(spark, sf_dir):
     return rounded(audit.distribution(telemetry(spark, sf_dir), _METRICS))
 
 
-_FITTED = {"alt": 10.0, "speed": 0.3, "gx": 0.15}
+_FITTED = audit.FLOORS
 _FLONG = " UNION ALL ".join(f"SELECT device_id, '{m}' AS field, {m} AS value, {f}::DOUBLE AS fl FROM t WHERE {m} IS NOT NULL" for m, f in _FITTED.items())
 
 
@@ -325,9 +366,17 @@ def velocity_audit(spark, sf_dir):
     return rounded(audit.velocity_audit(telemetry(spark, sf_dir)))
 
 
-@query(sql("\nSELECT device_id, CAST(floor(t_ms / 60000) AS BIGINT) * 60000 AS window_ms, count(*) AS samples, min(speed) AS speed_min, max(heading) AS heading_max, CAST(count(*) FILTER (motion_state = 'moving') AS BIGINT) AS moving, CAST(count(*) FILTER (motion_state = 'unknown') AS BIGINT) AS unknown FROM v GROUP BY ALL"))
+_FORCE = "abs(sqrt(ax * ax + ay * ay + az * az) - 1)"
+
+
+@query(sql(f"""
+SELECT device_id, CAST(floor(t_ms / 60000) AS BIGINT) * 60000 AS window_ms, count(*) AS samples, {", ".join(f"min({c}) AS {c}_min, max({c}) AS {c}_max" for c in audit.WINDOW_CHANNELS)},
+  {", ".join(f"CAST(count(*) FILTER (motion_state = '{x}') AS BIGINT) AS {x}" for x in audit.STATES)}, {_REASON_COUNTS}, CAST(count(*) FILTER ({_FORCE} > 0.01::DOUBLE) AS BIGINT) AS deviating, min(t_ms) AS first_ms, max(t_ms) AS last_ms,
+  arg_min(t_ms, struct_pack(a := -round({_FORCE}, 9), b := t_ms)) FILTER (ax IS NOT NULL) AS largest_ms, max(round({_FORCE}, 9)) AS largest_g
+FROM v GROUP BY ALL"""))
 def window_audit(spark, sf_dir):
-    return audit.window_audit(view(spark, sf_dir)).select("device_id", "window_ms", "samples", "speed_min", "heading_max", "moving", "unknown")
+    w = audit.window_audit(view(spark, sf_dir))
+    return w.withColumns({"first_ms": F.col("first.t_ms"), "last_ms": F.col("last.t_ms")}).drop("first", "last")
 
 
 @query(sql("\nSELECT device_id, nav_mode, fix_mode, count(*) AS n FROM t GROUP BY ALL"))
@@ -335,16 +384,38 @@ def status_histogram(spark, sf_dir):
     return audit.status_histogram(telemetry(spark, sf_dir))
 
 
-@query(sql("\nSELECT device_id, count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM q GROUP BY device_id"))
+@query(sql("\nSELECT device_id, count(*) AS rows, CAST(count(*) FILTER (speed < 5 AND reason = 'gpchcx_speed') AS BIGINT) AS mismatches FROM q GROUP BY device_id"))
 def shadow_compare(spark, sf_dir):
-    from .shared import assessed
+    """Estimates against those of another version, which takes slow rows as unknown."""
+    old = assessed(spark, sf_dir)
+    slow = (F.col("speed") < 5) & (F.col("ground.reason") == "gpchcx_speed")
+    other = F.struct(F.when(~slow, F.col("ground.value")).alias("value"), F.when(slow, "unknown").otherwise(F.col("ground.state")).alias("state"), F.col("ground.reason").alias("reason"), F.col("ground.raw_speed").alias("raw_speed"))
+    return audit.shadow_compare(old, old.withColumn("ground", other))
 
-    return audit.shadow_compare(assessed(spark, sf_dir), assessed(spark, sf_dir))
 
+_DIGESTED = ["device_id", "fix_mode", "nav_mode", "protocol", "t_ms", "warning"]
 
-@query()
+
+@query(sql(f"""
+SELECT count(*) AS rows, CAST(sum(CAST(concat('0x', left(md5(concat_ws('|', {", ".join(f"CAST({c} AS VARCHAR)" for c in _DIGESTED)})), 15)) AS HUGEINT)) AS VARCHAR) AS digest FROM t"""))
 def table_digest(spark, sf_dir):
-    return audit.table_digest(telemetry(spark, sf_dir))
+    return audit.table_digest(telemetry(spark, sf_dir).select(_DIGESTED))
+
+
+_RADIUS = """,
+an AS (SELECT device_id, median(lat) AS y, median(lon) AS o FROM t {early} GROUP BY device_id),
+rd AS (SELECT t.*, sqrt(pow((lat - y) * 111195.0::DOUBLE, 2) + pow((lon - o) * 111195.0::DOUBLE * cos(radians(y)), 2)) AS radius, sqrt(gx * gx + gy * gy + gz * gz) AS gyro, abs(sqrt(ax * ax + ay * ay + az * az) - 1) AS accel, greatest(lat_std, lon_std) AS spread FROM t JOIN an USING (device_id))"""
+_PARTS = ["radius", "speed", "gyro", "accel", "spread"]
+
+
+@query(sql(_RADIUS.format(early="WHERE t_ms <= 1704067200000 + 60000") + "\nSELECT device_id, " + ", ".join(f"round(quantile_cont({c}, {q}), 5) + 0.0 AS {c}_{n}" for c in _PARTS for q, n in ((0.5, "p50"), (0.99, "p99"))) + ", CAST(count(*) FILTER (radius > 15) AS BIGINT) AS beyond15, CAST(count(*) FILTER (radius > 30) AS BIGINT) AS beyond30, CAST(count(*) FILTER (spread > 5) AS BIGINT) AS uncertain FROM rd GROUP BY device_id"))
+def stationary_audit(spark, sf_dir):
+    return rounded(audit.stationary_audit(telemetry(spark, sf_dir), 60_000), 5)
+
+
+@query(sql(_RADIUS.format(early="") + "\nSELECT device_id, " + ", ".join(f"CAST(count(*) FILTER (radius > {r}) AS BIGINT) AS beyond{r}" for r in (5, 15, 30, 100)) + " FROM rd GROUP BY device_id"))
+def radius_counts(spark, sf_dir):
+    return audit.radius_counts(telemetry(spark, sf_dir))
 
 
 @query(sql(""",

@@ -19,9 +19,9 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(telemetry(spark, sf_dir))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df kept for the branches of one query that read it again; what an executor loses is made again."""
-    return df.persist()
+def span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The first and the last time of the telemetry."""
+    return tuple(telemetry(spark, sf_dir).agg(F.min("t_ms"), F.max("t_ms")).first())
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:

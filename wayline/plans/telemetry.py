@@ -9,7 +9,7 @@ from ..functions.scalars import gps_to_unix, motion_state, warning_codes
 from ..operators import episodes as ep
 from ..operators import lifecycle, motion, quality
 from ..sources.telemetry import telemetry
-from .shared import assessed, distance_sql, kept, rounded, sql, view
+from .shared import assessed, distance_sql, drift_sql, rounded, span, sql, view
 
 QUERIES, SQL = {}, {}
 
@@ -54,9 +54,9 @@ def motion_segments(spark, sf_dir):
     return rounded(motion.motion_segments(view(spark, sf_dir)))
 
 
-@query(sql(_SEGMENTS + "\nSELECT device_id, segment, motion_state, start_ms, end_ms, samples FROM seg WHERE end_ms - start_ms >= 500 ORDER BY start_ms, device_id, segment LIMIT 1000"))
+@query(sql(_SEGMENTS + "\nSELECT device_id, segment, motion_state, start_ms, end_ms, samples FROM seg WHERE end_ms - start_ms >= 4000 ORDER BY start_ms, device_id, segment LIMIT 1000"))
 def segment_report(spark, sf_dir):
-    return motion.segment_report(motion.motion_segments(view(spark, sf_dir)), 0.5).select("device_id", "segment", "motion_state", "start_ms", "end_ms", "samples")
+    return motion.segment_report(motion.motion_segments(view(spark, sf_dir)), 4.0).select("device_id", "segment", "motion_state", "start_ms", "end_ms", "samples")
 
 
 _STOPS = _SEGMENTS + """,
@@ -88,8 +88,8 @@ nr AS (SELECT *, min(away) OVER (PARTITION BY device_id, stop) AS least_away FRO
 rk AS (SELECT *, row_number() OVER (PARTITION BY device_id, stop ORDER BY confidence DESC, away, t_ms) AS k FROM nr WHERE away <= least_away + 2.0)
 SELECT device_id, stop, round(lat, 6) + 0.0 AS anchor_lat, round(lon, 6) + 0.0 AS anchor_lon, t_ms AS anchor_ms, round(confidence, 6) + 0.0 AS confidence FROM rk WHERE k = 1"""))
 def stationary_anchor(spark, sf_dir):
-    v = kept(view(spark, sf_dir))
-    return rounded(motion.stationary_anchor(v, kept(motion.stop_groups(motion.motion_segments(v)))))
+    v = view(spark, sf_dir)
+    return rounded(motion.stationary_anchor(v, motion.stop_groups(motion.motion_segments(v))))
 
 
 @query(sql("\nSELECT device_id, vib AS state, count(*) AS n FROM d GROUP BY ALL"))
@@ -109,7 +109,7 @@ def quality_mask(spark, sf_dir):
 
 
 def _summary_sql() -> str:
-    items = [("total", "true"), ("excluded", "mask <> 0")]
+    items = [("total", "true"), ("pending", "mask IS NULL"), ("excluded", "mask <> 0")]
     items += [(k, f"(reasons & {sum(b for n, b in REASON_BITS.items() if REASONS[n] == k)}) <> 0") for k in ("anomaly", "unavailable", "status")]
     items += [(f"reason:{n}", f"(reasons & {b}) <> 0") for n, b in REASON_BITS.items()] + [(f"field:{n}", f"(mask & {b}) <> 0") for n, b in BITS.items()]
     parts = " UNION ALL ".join(f"SELECT device_id, '{n}' AS item, count(*) AS n FROM q WHERE {c} GROUP BY device_id" for n, c in items)
@@ -126,12 +126,13 @@ def _names(column: str, names) -> str:
 
 
 @query(sql(f"""
-SELECT device_id, t_ms, protocol, {_names('mask', CHANNELS)} AS fields, {_names('reasons', REASONS)} AS codes
+SELECT device_id, t_ms, protocol, {_names('mask', CHANNELS)} AS fields, {_names('reasons', REASONS)} AS codes,
+  (SELECT count(*) FROM q WHERE mask <> 0 AND (reasons & {sum(b for n, b in REASON_BITS.items() if REASONS[n] in ('anomaly', 'unavailable'))}) <> 0) > 120 AS has_more
 FROM q WHERE mask <> 0 AND (reasons & {sum(b for n, b in REASON_BITS.items() if REASONS[n] in ('anomaly', 'unavailable'))}) <> 0
 ORDER BY t_ms DESC, device_id, protocol LIMIT 100 OFFSET 20"""))
 def quality_records(spark, sf_dir):
     rows = quality.quality_records(assessed(spark, sf_dir), offset=20, limit=100)
-    return rows.select("device_id", "t_ms", "protocol", F.array_join("fields", "|").alias("fields"), F.array_join("codes", "|").alias("codes"))
+    return rows.select("device_id", "t_ms", "protocol", F.array_join("fields", "|").alias("fields"), F.array_join("codes", "|").alias("codes"), "has_more")
 
 
 @query(sql("\nSELECT device_id, code, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT device_id, '{n}' AS code FROM q WHERE (reasons & {b}) <> 0" for n, b in REASON_BITS.items()) + ") GROUP BY ALL"))
@@ -204,22 +205,19 @@ ev AS (SELECT e.*, (SELECT min(t_ms) FROM sk WHERE sk.device_id = e.device_id AN
 
 
 def _episodes(spark, sf_dir):
-    v = kept(view(spark, sf_dir))
-    return v, ep.episodes(v, kept(ep.threshold_signals(v)))
+    return ep.episodes(ep.signal_rows(view(spark, sf_dir)))
 
 
 @query(sql(_EPISODES + "\nSELECT device_id, kind, start_ms, end_ms, round(peak, 4) + 0.0 AS peak, peak_ms, samples, threshold FROM ev"))
 def episodes(spark, sf_dir):
-    return rounded(_episodes(spark, sf_dir)[1].select("device_id", "kind", "start_ms", "end_ms", "peak", "peak_ms", "samples", "threshold"), 4)
+    return rounded(_episodes(spark, sf_dir).select("device_id", "kind", "start_ms", "end_ms", "peak", "peak_ms", "samples", "threshold"), 4)
 
 
 _GATED = _EPISODES + ",\nge AS (SELECT ev.* FROM ev JOIN q ON q.device_id = ev.device_id AND q.t_ms = ev.peak_ms WHERE (q.mask & CASE ev.kind " + " ".join(f"WHEN '{k}' THEN {sum(BITS[f] for f in fields)}" for k, (_, fields) in KINDS.items()) + " END) = 0)"
 
 
 def _gated(spark, sf_dir):
-    a = kept(assessed(spark, sf_dir))
-    v = quality.project(a)
-    return ep.gate_events(ep.episodes(v, kept(ep.threshold_signals(v))), a)
+    return ep.gate_events(_episodes(spark, sf_dir), assessed(spark, sf_dir))
 
 
 @query(sql(_GATED + "\nSELECT device_id, kind, start_ms, end_ms, round(peak, 4) + 0.0 AS peak, samples FROM ge"))
@@ -243,22 +241,27 @@ def event_groups(spark, sf_dir):
 
 
 @query(sql(_GATED + """
-SELECT device_id, kind, start_ms, (SELECT count(*) FROM ge WHERE start_ms <= 1704067300000 AND end_ms >= 1704067200000) AS total
-FROM ge WHERE start_ms <= 1704067300000 AND end_ms >= 1704067200000 ORDER BY start_ms DESC, device_id, kind LIMIT 50"""))
+SELECT device_id, kind, start_ms, (SELECT count(*) FROM ge WHERE start_ms <= (SELECT max(t_ms) FROM t)) AS total, (SELECT count(*) FROM ge) > 50 AS truncated
+FROM ge ORDER BY start_ms DESC, device_id, kind LIMIT 50"""))
 def event_list(spark, sf_dir):
-    return ep.list_events(_gated(spark, sf_dir), 1704067200000, 1704067300000, 50).select("device_id", "kind", "start_ms", "total")
+    return ep.list_events(_gated(spark, sf_dir), *span(spark, sf_dir), 50).select("device_id", "kind", "start_ms", "total", "truncated")
 
 
-@query(sql("""
+@query(sql(""",
+dj AS (
+  SELECT *, """ + distance_sql("p_lat", "p_lon", "lat", "lon") + """ AS jump
+  FROM (SELECT *, lag(fix_mode) OVER w AS p_fix, lag(lat_std) OVER w AS p_lat_std, lag(lon_std) OVER w AS p_lon_std FROM l WINDOW w AS (PARTITION BY device_id ORDER BY t_ms, protocol)))
 SELECT kind, count(*) AS n FROM (
   SELECT 'fix_degraded' AS kind FROM t WHERE fix_mode NOT IN (4, 8) UNION ALL SELECT 'heading_unavailable' FROM t WHERE nav_mode <> 2 OR fix_mode IN (0, 6, 7, 8, 9)
   UNION ALL SELECT 'hardware_warning' FROM t WHERE (warning & 25058) <> 0 UNION ALL SELECT 'diff_age' FROM t WHERE age > 10
-  UNION ALL SELECT 'position_std' FROM t WHERE greatest(lat_std, lon_std) > 2 UNION ALL SELECT 'data_gap' FROM l WHERE t_ms - p_t > 3000) GROUP BY kind"""))
+  UNION ALL SELECT 'position_std' FROM t WHERE greatest(lat_std, lon_std) > 2 UNION ALL SELECT 'data_gap' FROM l WHERE t_ms - p_t > 3000
+  UNION ALL SELECT 'position_jump' FROM dj WHERE t_ms - p_t BETWEEN 1 AND 3000 AND p_fix BETWEEN 1 AND 9 AND fix_mode BETWEEN 1 AND 9
+    AND jump > (greatest(speed, p_speed) + 15) * (t_ms - p_t) / 1000.0::DOUBLE + greatest(20.0, 5 * lat_std, 5 * lon_std, 5 * p_lat_std, 5 * p_lon_std)) GROUP BY kind"""))
 def diagnostic_conditions(spark, sf_dir):
     from ..functions.scalars import valid_position
 
     found = ep.diagnostic_conditions(telemetry(spark, sf_dir).withColumn("valid_pos", valid_position()))
-    return found.where("kind <> 'position_jump'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("\nSELECT device_id, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(*) AS points, arg_max(speed, t_ms) AS latest_speed FROM t GROUP BY device_id"))

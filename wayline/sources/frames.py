@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHANNELS
@@ -21,12 +21,14 @@ def frames_in(raw: DataFrame) -> DataFrame:
     """source, source_offset, source_length and frame of each frame in files (path, content as binary)."""
     text = F.decode("content", "ISO-8859-1")
     df = raw.select(F.col("path").alias("source"), text.alias("_text"))
-    # One character is one byte; a frame's offset is the length of what stands before it.
-    parts = df.withColumn("_frames", F.regexp_extract_all("_text", F.lit(FRAME), F.lit(1))).withColumn("_between", F.split("_text", FRAME, -1)).withColumn("_whole", F.regexp_extract_all("_text", F.lit(FRAME), F.lit(0)))
-    lengths = F.zip_with("_between", "_whole", lambda a, b: F.struct(F.length(a).cast("bigint").alias("a"), F.coalesce(F.length(b), F.lit(0)).cast("bigint").alias("b")))
-    start = F.aggregate(lengths, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["a"] + x["b"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["a"])).alias("out")), lambda acc: acc["out"])
-    each = parts.withColumn("_at", start).select("source", "_at", F.posexplode("_frames").alias("k", "frame"))
-    return each.select("source", F.element_at("_at", F.col("k") + 1).alias("source_offset"), F.length("frame").alias("source_length"), "frame")
+    # One character is one byte; a frame's offset is the length of what stands before it, a running sum in the file's order.
+    pieces = F.zip_with(
+        F.zip_with(F.split("_text", FRAME, -1), F.regexp_extract_all("_text", F.lit(FRAME), F.lit(0)), lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b"))),
+        F.regexp_extract_all("_text", F.lit(FRAME), F.lit(1)), lambda x, f: F.struct(x["a"].alias("a"), x["b"].alias("b"), f.alias("frame")))
+    each = df.select("source", F.posexplode(pieces).alias("k", "p")).select("source", "k", "p.*")
+    w = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(F.col("a").cast("bigint") + F.coalesce("b", F.lit(0))).over(w)
+    return each.withColumn("source_offset", upto - F.coalesce("b", F.lit(0))).where("frame IS NOT NULL").select("source", "source_offset", F.length("frame").alias("source_length"), "frame")
 
 
 def scan_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +37,12 @@ def scan_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xor_checksum(body: Column) -> Column:
-    return F.aggregate(F.transform(F.split(body, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, b: a.bitwiseXOR(b))
+    """XOR of the bytes of an ASCII text: folded seven bytes a step, then the seven into one."""
+    step = lambda a, k: a.bitwiseXOR(F.conv(F.hex(F.substring(body, k, F.lit(7))), 16, 10).cast("bigint"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body)), F.lit(7)), F.lit(0).cast("bigint"), step)
+    for bits in (32, 16, 8):
+        folded = folded.bitwiseXOR(F.shiftright(folded, bits))
+    return folded.bitwiseAND(F.lit(255).cast("bigint")).cast("int")
 
 
 def crc32_plain(body: Column) -> Column:
@@ -91,21 +98,42 @@ def decode_points(frames: DataFrame, now_s: float, bound_serial: str | None = No
     return df.select("device_id", "t_ms", "protocol", "week", "tow", *CHANNELS, "status_text", "fix_mode", "nav_mode", "warning", "valid_pos", "source", "source_offset", "source_length", "reject_reason")
 
 
-def ingest_counters(decoded: DataFrame) -> DataFrame:
-    """A map of counters for each source: points, rejected, protocol:X and error:X."""
-    names = F.array_compact(F.array(F.lit("valid_ascii"), F.concat(F.lit("protocol:"), "protocol"), F.when(F.col("reject_reason").isNull(), "points").otherwise("rejected"), F.when(F.col("reject_reason").isNotNull(), F.concat(F.lit("error:"), "reject_reason"))))
-    counted = decoded.select("source", F.explode(names).alias("name")).groupBy("source", "name").agg(F.count(F.lit(1)).alias("n"))
+def ingest_counters(decoded: DataFrame, frames: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """A map of counters for each source: valid_ascii, points, duplicates, rejected, protocol:X, error:X; with all frames auxiliary_ascii, with files (path, content) read_bytes and unparsed_bytes too."""
+    good = F.col("reject_reason").isNull()
+    first = F.row_number().over(Window.partitionBy("device_id", "t_ms", "protocol", good).orderBy("source", "source_offset")) == 1
+    marked = decoded.select("source", "protocol", "reject_reason", (good & ~first).alias("again"))
+    names = F.array_compact(F.array(
+        F.lit("valid_ascii"), F.concat(F.lit("protocol:"), "protocol"), F.when(F.col("again"), "duplicates").when(good, "points").otherwise("rejected"), F.when(~good, F.concat(F.lit("error:"), "reject_reason"))))
+    counted = marked.select("source", F.explode(names).alias("name")).groupBy("source", "name").agg(F.count(F.lit(1)).alias("n"))
+    if frames is not None:
+        other = frames.where(~F.substring_index(F.substring("frame", 2, 20), ",", 1).isin(*FIELDS))
+        counted = counted.unionByName(other.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("auxiliary_ascii")))
+    if files is not None:
+        size = files.select(F.col("path").alias("source"), F.length("content").cast("bigint").alias("n"))
+        parsed = frames.groupBy("source").agg(F.sum(F.col("source_length")).alias("_parsed"))
+        counted = counted.unionByName(size.withColumn("name", F.lit("read_bytes")))
+        counted = counted.unionByName(size.join(parsed, "source", "left").select("source", (F.col("n") - F.coalesce("_parsed", F.lit(0))).alias("n"), F.lit("unparsed_bytes").alias("name")))
     return counted.groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("counters"))
 
 
-def build_frames(points: DataFrame, source: str = "telemetry") -> DataFrame:
-    """Extended frames with good checksums from points: the fixture for decoding jobs."""
+def build_frames(points: DataFrame, source: str = "telemetry", changes: dict[int, Column] | None = None, basic: Column | None = None, more: Column | None = None) -> DataFrame:
+    """Frames with good checksums from points: the fixture for decoding jobs.
+
+    changes replaces fields, basic says which frames are basic ones (24 fields), more is put at the end of the body.
+    """
     day = 604_800_000
     gps = F.col("t_ms") - 315_964_800_000 + 18_000
     week, tow = F.floor(gps / day), F.pmod(gps, F.lit(day)) / 1000
     at = {i: F.coalesce(F.col(c) if c in points.columns else F.lit(0.0), F.lit(0.0)).cast("string") for c, i in POSITIONS.items()}
     at |= {0: F.lit("GPCHCX"), 1: week.cast("string"), 2: tow.cast("string"), 21: F.concat(F.hex("fix_mode"), F.hex("nav_mode")), 23: F.hex("warning"), 33: F.lit("X"), 45: F.col("device_id")}
+    for i, c in (changes or {}).items():
+        at[i] = F.coalesce(c, at[i])
     body = F.concat_ws(",", *[at[i] for i in range(46)])
+    if basic is not None:
+        body = F.when(basic, F.concat_ws(",", F.lit("GPCHC"), *[at[i] for i in range(1, 24)])).otherwise(body)
+    if more is not None:
+        body = F.concat(body, more)
     df = settled(points.select("device_id", "t_ms", "protocol", body.alias("_body")))
     frame = F.concat(F.lit("$"), "_body", F.lit("*"), F.lpad(F.hex(xor_checksum(F.col("_body"))), 2, "0"))
     return df.select(F.concat(F.lit(source), F.lit("/"), "device_id").alias("source"), F.col("t_ms").alias("source_offset"), F.length(frame).alias("source_length"), frame.alias("frame"))

@@ -6,13 +6,19 @@ increments. State that a restart needs is in the checkpoint and in the tables wr
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.constants import RULES
 from ..functions.scalars import bucket_start
+from ..operators.episodes import episode_parts, merged_episodes, signal_rows
 from ..operators.lifecycle import dedup_first
-from ..operators.rollup import rollup, touched_buckets
+from ..operators.rollup import rerollup, rollup, touched_buckets
+from ..operators.timeline import slice_of
 from ..sources.frames import decode_points, frames_in
 
 KEY = ["device_id", "t_ms", "protocol"]
@@ -29,10 +35,23 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def stream_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of new log files."""
-    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(path)
-    return frames_in(raw.select("path", "content"))
+def stream_logs(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
+    """New log files (path, content); their frames are found batch by batch."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return raw.select("path", "content")
+
+
+def each_batch(work):
+    """A function of (batch, batch_id) that keeps the batch while work reads it, so that its source is read once."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            work(held, batch_id)
+        finally:
+            held.unpersist()
+
+    return run
 
 
 def admit(batch: DataFrame, now_s: float) -> DataFrame:
@@ -41,57 +60,106 @@ def admit(batch: DataFrame, now_s: float) -> DataFrame:
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, order: list[str]) -> DataFrame:
-    """New keys of a batch, written as its own partition; a replayed batch overwrites itself."""
+    """New keys of a batch, written as its own partition; a replayed batch overwrites itself.
+
+    Of the points so far only those of the batch's time are read.
+    """
     spark = batch.sparkSession
     have = stored(spark, path)
     if have is not None and "batch" in have.columns:
-        have = have.where(F.col("batch") < batch_id)
+        lo, hi = batch.agg(F.min("t_ms"), F.max("t_ms")).first()
+        have = have.where((F.col("batch") < batch_id) & F.col("t_ms").between(lo, hi)) if lo is not None else None
     fresh = dedup_first(batch, KEY, order, have)
     fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return spark.read.schema(fresh.schema).parquet(f"{path}/batch={batch_id}")
 
 
-def maintain_rollups(fresh: DataFrame, batch_id: int, points_path: str, rollup_path: str, project, seconds: int = 60, metrics: list[str] | None = None) -> None:
-    """Buckets that a batch touches, computed anew from all their points; readers take the latest of a bucket."""
+def maintain_rollups(fresh: DataFrame, batch_id: int, points_path: str, rollup_path: str, project, seconds: int = 60, metrics: list[str] | None = None, parents: tuple[int, ...] = ()) -> None:
+    """Buckets that a batch touches, computed anew from all their points, then their parents from them; readers take the latest of a bucket."""
     spark = fresh.sparkSession
     touched = touched_buckets(fresh, (seconds,)).select("device_id", "bucket_ms")
     points = stored(spark, points_path)
     # A bucket's first row looks back at most one row: the bucket before is read as well.
     around = touched.unionByName(touched.withColumn("bucket_ms", F.col("bucket_ms") - seconds * 1000)).distinct()
     rows = points.where(F.col("batch") <= batch_id).withColumn("bucket_ms", bucket_start("t_ms", seconds)).join(around, ["device_id", "bucket_ms"], "left_semi").drop("bucket_ms", "batch")
-    out = rollup(project(rows), seconds, **({"metrics": metrics} if metrics else {})).join(touched, ["device_id", "bucket_ms"], "left_semi")
+    more = {"metrics": metrics} if metrics else {}
+    out = rollup(project(rows), seconds, **more).join(touched, ["device_id", "bucket_ms"], "left_semi")
     out.write.mode("overwrite").parquet(f"{rollup_path}/batch={batch_id}")
+    for level in parents:
+        wide = touched.select("device_id", bucket_start("bucket_ms", level).alias("_wide")).distinct()
+        fine = latest_rollups(spark, rollup_path, batch_id).withColumn("_wide", bucket_start("bucket_ms", level))
+        rerollup(fine.join(wide, ["device_id", "_wide"], "left_semi").drop("_wide"), level, **more).write.mode("overwrite").parquet(f"{rollup_path}-{level}/batch={batch_id}")
 
 
-def latest_rollups(spark: SparkSession, path: str) -> DataFrame:
+def maintain_episodes(fresh: DataFrame, batch_id: int, points_path: str, path: str, project, rules: dict = RULES) -> None:
+    """Parts of episodes in the slices that a batch touches, found anew from all their points; late rows are rows like others."""
+    spark = fresh.sparkSession
+    own = fresh.select("device_id", slice_of().alias("_slice")).distinct()
+    # The slice after a touched one begins anew or goes on; a slice looks back into the one before.
+    touched = own.select("device_id", F.explode(F.array("_slice", F.col("_slice") + 1)).alias("_slice")).distinct()
+    around = touched.select("device_id", F.explode(F.array("_slice", F.col("_slice") - 1)).alias("_slice")).distinct()
+    rows = stored(spark, points_path).where(F.col("batch") <= batch_id).withColumn("_slice", slice_of()).join(around, ["device_id", "_slice"], "left_semi").drop("_slice", "batch")
+    touched.write.mode("overwrite").parquet(f"{path}-touched/batch={batch_id}")
+    episode_parts(signal_rows(project(rows), rules)).join(touched, ["device_id", "_slice"], "left_semi").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def latest_episodes(spark: SparkSession, path: str) -> DataFrame:
+    """Episodes from the parts of the last batch that touched each slice."""
+    last = spark.read.parquet(f"{path}-touched").groupBy("device_id", "_slice").agg(F.max("batch").alias("batch"))
+    return merged_episodes(spark.read.parquet(path).join(last, ["device_id", "_slice", "batch"], "left_semi"))
+
+
+def latest_rollups(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
+    rows = rows if upto is None else rows.where(F.col("batch") <= upto)
     cols = [c for c in rows.columns if c not in ("device_id", "bucket_ms", "batch")]
     return rows.groupBy("device_id", "bucket_ms").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("device_id", "bucket_ms", "r.*")
 
 
-def run_rollups(points: DataFrame, folder: str, project, seconds: int = 60, order: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
-    """A stream of points to rollups under folder, until its input is used up."""
+def run_rollups(points: DataFrame, folder: str, project, seconds: int = 60, order: list[str] | None = None, metrics: list[str] | None = None, parents: tuple[int, ...] = (), rules: dict | None = None) -> DataFrame:
+    """A stream of points to rollups (and, with rules, episodes) under folder, until its input is used up."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         fresh = upsert_batch(batch, batch_id, f"{folder}/points", order or ["t_ms"])
-        maintain_rollups(fresh, batch_id, f"{folder}/points", f"{folder}/rollups", project, seconds, metrics)
+        maintain_rollups(fresh, batch_id, f"{folder}/points", f"{folder}/rollups", project, seconds, metrics, parents)
+        if rules is not None:
+            maintain_episodes(fresh, batch_id, f"{folder}/points", f"{folder}/episodes", project, rules)
 
-    query = points.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = points.writeStream.foreachBatch(each_batch(each)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    record_health(points.sparkSession, query.recentProgress, f"{folder}/health")
     return latest_rollups(points.sparkSession, f"{folder}/rollups")
 
 
-def start_ingest(spark: SparkSession, logs: str, folder: str, now_s: float, trigger: dict | None = None):
-    """Continuous ingest of log files to a point table; returns the running query."""
+def start_ingest(spark: SparkSession, logs: str, folder: str, now_s: float, trigger: dict | None = None, glob: str = "*.log", retired: DataFrame | None = None):
+    """Continuous ingest of log files to a point table; files of the retired list (path) are passed over. Returns the running query."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        good = admit(decode_points(batch, now_s).where("reject_reason IS NULL").drop("reject_reason"), now_s)
+        if retired is not None:
+            batch = batch.join(retired.select("path"), "path", "left_anti")
+        good = admit(decode_points(frames_in(batch), now_s).where("reject_reason IS NULL").drop("reject_reason"), now_s)
         upsert_batch(good, batch_id, f"{folder}/points", ["source", "source_offset"])
 
-    return stream_frames(spark, logs).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"processingTime": "1 second"})).start()
+    return stream_logs(spark, logs, glob).writeStream.foreachBatch(each_batch(each)).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+HEALTH = "batch bigint, rows bigint, at timestamp, behind bigint"
+
+
+def record_health(spark: SparkSession, progress: list, path: str) -> None:
+    """A row for each of a query's recent batches, added to a table: rows, time and bytes or files still to be read."""
+    rows = []
+    for p in progress:
+        p = p if isinstance(p, dict) else json.loads(p.json)
+        behind = sum(int((s.get("metrics") or {}).get("numBytesOutstanding", 0) or 0) for s in p.get("sources", []))
+        rows.append((p["batchId"], p["numInputRows"], dt.datetime.fromisoformat(p["timestamp"].replace("Z", "+00:00")), behind))
+    spark.createDataFrame(rows, HEALTH).write.mode("append").parquet(path)
 
 
-def ingest_health(progress: list[dict]) -> dict:
-    """Freshness and backlog from a query's recent progress."""
-    last = progress[-1] if progress else {}
-    return {"batches": len(progress), "rows": sum(p.get("numInputRows", 0) for p in progress), "rate": last.get("processedRowsPerSecond"), "batch": last.get("batchId")}
+def ingest_health(table: DataFrame, now_s: float, fresh_s: float = 30.0) -> DataFrame:
+    """batches, rows, behind (of the last batch), age_s and whether the ingest is ready: fresh and with nothing left to read."""
+    # A batch may tell its progress more than once.
+    batches = table.groupBy("batch").agg(F.max("rows").alias("rows"), F.max("at").alias("at"), F.max_by("behind", "at").alias("behind"))
+    age = F.lit(now_s) - F.unix_millis(F.max("at")) / 1000
+    out = batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("rows"), F.max_by("behind", "batch").alias("behind"), age.alias("age_s"))
+    return out.withColumn("ready", (F.col("age_s") < fresh_s) & (F.col("behind") == 0))
