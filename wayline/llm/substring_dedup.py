@@ -1,257 +1,325 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 A stretch of ``WINDOW`` or more words that also stands in a document of a smaller id is
-a duplicate span. Every document is a reference for those of larger ids. It is indexed
-in blocks: of each window the least hash of its ``GRAM``-word chains is its anchor (a
-window's words alone decide, so equal windows agree), and the consecutive windows of
-one anchor are a block, keyed by the anchor. Blocks of one key meet in one place, in
-order of their documents; there every document is factored against all blocks before
-it. Each window stands for the first document that holds it, and a factor goes on
-while its windows do so along one reference; this is not the greedy parse, which stays with
-a reference as long as it can: the words are the same, but a span may be told in more parts.
-Factors of at least a window become spans; their words go.
-
-Blocks hold no text, only hashes: 64 bits of each window below a key of 32 bits of its anchor.
-The windows of an anchor with many blocks are keyed by their own hash instead, so that
-they are not all in one place; which anchors these are is counted on a share of the ids
-and changes no result.
-Windows that an earlier document of the same run of texts holds are settled before the
-shuffle, so that a passage that stands in a third of all documents sends one block for
-each run of texts and not for each document. A key's blocks pass in a stream, of which
-only the distinct windows of the current key are kept.
+a duplicate span. Documents are parted by ranges of their ids, so that of two parts the
+earlier holds the smaller ids. Four steps, each over whole texts:
+
+1. Every part indexes its windows: of each distinct one a key and the place of its first
+   holder go to a range of keys.
+2. A range tells each part where an earlier part holds windows of its own.
+3. A part asks the earlier ones for reference blocks, the longest stretches of places that
+   it was told; they answer with the words.
+4. Every document is parsed greedily against the blocks and the part's own earlier
+   documents: from a window that the index knows a factor is taken on along its reference,
+   word by word, as long as both agree; the search goes on at the last windows that the
+   factor doesn't hold whole, so that none across the factor's end is missed. The words of
+   all factors, each of at least a window, go.
+
+Words alone decide in the end: a key that misleads yields no factor. A key has 48 bits below
+those of its range (8 or more); with N windows about N * N / 2**57 meet another's key and may
+so miss a holder, which leaves their words only if no window beside them covers these.
+
+A part is about ``PART_BYTES`` of text and a range a bounded number of keys, as a part sends
+a window once however often it holds it; a part asks for a place once and is sent each stretch
+once. So no passage, be it in a third of all documents, brings more to one task than a few
+parts' worth. Parts are put in the same order wherever they are made again.
 
 Ids are integers; rows with a null id are neither references nor changed. Rows that
-repeat an id are judged each by itself, against smaller ids only. Null and empty texts
-have no words. An empty table gives no rows.
+repeat an id stand in one part and are judged each by itself, against smaller ids only.
+Null and empty texts have no words; a very long text makes its part larger. Columns other
+than id and text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import compress
+import math
+from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import table
-
-WINDOW, GRAM = 13, 5
-
-#: An anchor of more blocks than MOST, as counted on one id in SHARE, is frequent.
-MOST, SHARE = 50_000, 16
-
-#: data: of a block, 8 bytes a window; of a settled piece, n (4 bytes), home and home_at.
-_BLOCK = "key int, doc bigint, at bigint, data binary"
-_SETTLED = np.dtype([("n", "<i4"), ("home", "<i8"), ("home_at", "<i8")])
-_PIECE = "doc bigint, at bigint, n int, home bigint, home_at bigint"
-#: Places carry 24 bits of the text's hash above 40 of the word's number: an id may stand on several texts.
-_PLACE = np.int64((1 << 40) - 1)
-
-
-def _marked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The upper bits of the places in each text."""
-    used = offsets[1:] > offsets[:-1]
-    out = np.zeros(len(used), np.int64)
-    if len(data):
-        h = flat.span_hashes(data, offsets[:-1][used], offsets[1:][used])
-        out[used] = (h >> np.uint64(40)).astype(np.int64) << 40
-    return out
-
-
-def _pieces(doc: np.ndarray, at: np.ndarray, home: np.ndarray, home_at: np.ndarray) -> list[np.ndarray]:
-    """Windows in order, joined while they go on along one reference: doc, at, n, home, home_at."""
-    if not len(doc):
-        return [np.zeros(0, np.int64)] * 5
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (home[1:] != home[:-1]) | (home_at[1:] != home_at[:-1] + 1)
+from .shared import partitions, table
+
+WINDOW = 13
+PART_BYTES, RANGE_KEYS = 16 << 20, 2_000_000
+KEY_BYTES = 6
+
+_KEYS = "range int, part int, keys binary, places binary"
+_HOLDERS = "part int, homes binary, places binary"
+_ASKED = "part int, asker int, stretches binary"
+_BLOCKS = "part int, doc bigint, at bigint, words binary"
+_PARSED = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:bigint,length:bigint,home:bigint,home_start:bigint>>"
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+class _Part:
+    """The texts of a part by id, their words one after another, and their windows, each distinct one with its first holder."""
+
+    def __init__(self, rows: pa.Table):
+        ids = _column(rows, "doc_id")
+        order = np.lexsort((_column(rows, "mark"), ids))
+        texts = rows.column("text").take(pa.array(order)).combine_chunks()
+        self.ids = ids[order]
+        data, hashes, starts, ends, counts, base = [], [], [], [], [], 0
+        for _, _, raw, offsets in flat.runs(texts):
+            a, b, at = flat.words(raw, offsets)
+            hashes.append(flat.span_hashes(raw, a, b))
+            starts.append(a + base)
+            ends.append(b + base)
+            counts.append(np.diff(at))
+            data.append(raw)
+            base += len(raw)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.data = join(data, np.uint8).tobytes()
+        self.starts, self.ends = join(starts, np.int64), join(ends, np.int64)
+        self.first = np.append(0, np.cumsum(join(counts, np.int64)))
+        text = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        self.place = np.flatnonzero(text[: max(0, len(text) - WINDOW + 1)] == text[WINDOW - 1 :])
+        self.text = text[self.place]
+        windows = flat.chain_hashes(join(hashes, np.uint64), WINDOW)
+        self.windows = windows[self.place] if len(windows) else windows
+        self.distinct, self.head, self.which = np.unique(self.windows, return_index=True, return_inverse=True)
+
+    def words(self, a: int, b: int) -> bytes:
+        """What stands from word a to word b of one text."""
+        return self.data[self.starts[a] : self.ends[b]]
+
+    def words_of(self, text: int) -> list[bytes]:
+        a, b = self.first[text], self.first[text + 1]
+        return self.words(a, b - 1).split() if b > a else []
+
+    def ranges(self, bits: int) -> np.ndarray:
+        """Where the ranges begin among the distinct windows, and their end."""
+        return np.searchsorted(self.distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Integers as their lowest bytes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _index(bits: int):
+    """Step 1, for a part."""
+
+    def index(rows: pa.Table) -> pa.Table:
+        part = _Part(rows)
+        edges = part.ranges(bits)
+        keys = (part.distinct << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+        places = part.place[part.head] if len(part.head) else np.zeros(0, np.int64)
+        width = 3 if len(part.starts) < 1 << 24 else 5
+        used = np.flatnonzero(np.diff(edges))
+        cut = [(edges[r], edges[r + 1]) for r in used]
+        return pa.table({
+            "range": pa.array(used, pa.int32()), "part": pa.array(np.full(len(used), rows.column("part")[0].as_py()), pa.int32()),
+            "keys": pa.array([_packed(keys[a:b], KEY_BYTES) for a, b in cut], pa.binary()), "places": pa.array([_packed(places[a:b], width) for a, b in cut], pa.binary())})
+
+    return index
+
+
+def _holders(rows: pa.Table) -> pa.Table:
+    """Step 2, for a range: of each window of a part that an earlier part holds, the first such part and the place in it."""
+    parts = _column(rows, "part").astype(np.int64)
+    packed = rows.column("keys").to_pylist()
+    keys = [_unpacked(k, KEY_BYTES) for k in packed]
+    n = np.array([len(k) for k in keys])
+    places = np.concatenate([_unpacked(x, len(x) // c) for x, c in zip(rows.column("places").to_pylist(), n.tolist())]).astype(np.int64)
+    key, part = np.concatenate(keys), np.repeat(parts, n)
+    order = np.lexsort((part, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    home = np.empty(len(order), np.int64)
+    home[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    held = part[home] < part
+    out, at = [], 0
+    for p, k in zip(parts.tolist(), n.tolist()):
+        first = home[at : at + k][held[at : at + k]]
+        if len(first):
+            out.append((p, part[first].astype(np.int32).tobytes(), _packed(places[first], 5)))
+        at += k
+    return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "homes": pa.array([o[1] for o in out], pa.binary()), "places": pa.array([o[2] for o in out], pa.binary())})
+
+
+def _ask(holders: pa.Table) -> pa.Table:
+    """Step 3, for a part: the stretches of places in each earlier part that hold windows of its own."""
+    homes = np.concatenate([np.frombuffer(x, np.int32) for x in holders.column("homes").to_pylist()]).astype(np.int64)
+    places = np.concatenate([_unpacked(x, 5) for x in holders.column("places").to_pylist()]).astype(np.int64)
+    order = np.lexsort((places, homes))
+    homes, places = homes[order], places[order]
+    new = np.ones(len(homes), bool)
+    new[1:] = (homes[1:] != homes[:-1]) | (places[1:] > places[:-1] + 1)
     first = np.flatnonzero(new)
-    return [doc[first], at[first], np.diff(np.append(first, len(doc))), home[first], home_at[first]]
-
-
-def _rows(key, doc, at, lengths, data) -> pa.RecordBatch:
-    ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-    return pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(at), packed], ["key", "doc", "at", "data"])
-
-
-def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The blocks of each text, and what texts of the same run settle among themselves; frequent: sorted keys of anchors."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for first, last, data, offsets in flat.runs(batch.column(1)):
-            starts, ends, at = flat.words(data, offsets)
-            if len(starts) < WINDOW:
-                continue
-            h = flat.span_hashes(data, starts, ends)
-            text = np.repeat(np.arange(last - first), np.diff(at))
-            whole = np.flatnonzero(text[: len(h) - WINDOW + 1] == text[WINDOW - 1 :])
-            if not len(whole):
+    last = np.append(first[1:], len(homes)) - 1
+    stretches, of = np.stack([places[first], places[last]], 1), homes[first]
+    asked = np.unique(of)
+    edges = np.searchsorted(of, np.append(asked, asked[-1] + 1))
+    return pa.table({
+        "part": pa.array(asked, pa.int32()), "asker": pa.array(np.full(len(asked), holders.column("part")[0].as_py()), pa.int32()),
+        "stretches": pa.array([stretches[a:b].astype("<i8").tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
+
+
+def _answer(rows: pa.Table, asked: pa.Table) -> pa.Table:
+    """Step 3, for a part that is asked: the words of each stretch with their document and place in it."""
+    out: dict[str, list] = {"part": [], "doc": [], "at": [], "words": []}
+    if rows.num_rows and asked.num_rows:
+        part = _Part(rows)
+        for asker, data in zip(asked.column("asker").to_pylist(), asked.column("stretches").to_pylist()):
+            stretches = np.frombuffer(data, "<i8").reshape(-1, 2)
+            text = np.searchsorted(part.first, stretches[:, 0], "right") - 1
+            out["part"] += [asker] * len(stretches)
+            out["doc"] += part.ids[text].tolist()
+            out["at"] += (stretches[:, 0] - part.first[text]).tolist()
+            out["words"] += [part.words(a, b + WINDOW - 1) for a, b in stretches.tolist()]
+    return pa.table({"part": pa.array(out["part"], pa.int32()), "doc": pa.array(out["doc"], pa.int64()), "at": pa.array(out["at"], pa.int64()), "words": pa.array(out["words"], pa.binary())})
+
+
+def parse(words: list[bytes], known: list[int], references) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, home, home_start) of a text.
+
+    known: the windows that the index knows, in order. references(window): the (words, place, home, home_start)
+    of each reference to try. A factor goes on along its reference as far as both agree.
+    """
+    out, at, k = [], 0, 0
+    while True:
+        k = bisect_left(known, at, k)
+        if k == len(known):
+            return out
+        i, at = known[k], known[k] + 1
+        for other, j, home, start in references(i):
+            if words[i : i + WINDOW] != other[j : j + WINDOW]:
                 continue
-            grams = flat.chain_hashes(h, GRAM)
-            reach = WINDOW - GRAM + 1
-            least = flat.sliding_min(grams, reach)
-            anchor = np.zeros(len(least), np.int64)
-            for j in range(reach - 1, -1, -1):
-                anchor[grams[j : j + len(least)] == least] = j
-            anchor = (anchor + np.arange(len(least)))[whole]
-            windows = flat.chain_hashes(h, WINDOW)[whole]
-            which = text[whole]
-            doc = ids[first:last].astype(np.int64)[which]
-            place = _marked(data, offsets)[which] + (whole - at[which])
-            # The run's own first holder of each window.
-            order = np.lexsort((place, doc, windows))
-            new = np.ones(len(order), bool)
-            new[1:] = windows[order][1:] != windows[order][:-1]
-            holder = np.empty(len(order), np.int64)
-            holder[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            late = doc > doc[holder]
-            pieces = _pieces(doc[late], place[late], doc[holder][late], place[holder][late] & _PLACE)
-            if len(pieces[0]):
-                settled = np.empty(len(pieces[0]), _SETTLED)
-                settled["n"], settled["home"], settled["home_at"] = pieces[2:]
-                yield _rows(flat.mix(pieces[0].view(np.uint64) + np.uint64(1)), *pieces[:2], np.full(len(settled), _SETTLED.itemsize), settled)
-            sent = np.flatnonzero(~late)
-            if len(sent):
-                key = grams[anchor[sent]]
-                many = np.isin((key >> np.uint64(32)).astype(np.uint32).view(np.int32), frequent)
-                key = np.where(many, windows[sent], key)
-                cut = np.ones(len(sent), bool)
-                cut[1:] = (np.diff(sent) != 1) | (np.diff(anchor[sent]) != 0) | (np.diff(which[sent]) != 0) | (np.diff(place[sent]) != 1) | many[1:]
-                head = np.flatnonzero(cut)
-                n = np.diff(np.append(head, len(sent)))
-                yield _rows(key[head], doc[sent[head]], place[sent[head]], n * 8, windows[sent])
-
-
-def _packed(column: pa.Array) -> np.ndarray:
-    """The bytes of a binary column."""
-    _, where, raw = column.buffers()
-    lo, hi = np.frombuffer(where, np.int32)[[column.offset, column.offset + len(column)]]
-    return np.frombuffer(raw, np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
-
-
-def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors of each block against the blocks of smaller ids; rows come sorted by key, doc and at."""
-    none = np.zeros(0, np.int64)
-    seen_key, seen = None, (none.astype(np.uint64), none, none)  # of the last key: its windows, their first doc and place
-
-    def out(doc, at, n, home, home_at):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(np.asarray(n, np.int32)), pa.array(home), pa.array(home_at)], ["doc", "at", "n", "home", "home_at"])
-
-    for batch in batches:
-        size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)
-        done = size == _SETTLED.itemsize
-        if done.any():
-            settled = batch.filter(pa.array(done))
-            n, home, home_at = (np.ascontiguousarray(_packed(settled.column(3)).view(_SETTLED)[c]) for c in _SETTLED.names)
-            yield out(settled.column(1).to_numpy(), settled.column(2).to_numpy(), n, home, home_at)
-        blocks = batch.filter(pa.array(~done))
-        if not blocks.num_rows:
-            continue
-        key, doc, at = (blocks.column(c).to_numpy() for c in range(3))
-        n = size[~done].astype(np.int64) // 8
-        again = np.zeros(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        again[:-1] |= again[1:]
-        if seen_key is not None:
-            again |= key == seen_key
-        again |= key == key[-1]  # may go on in the next batch
-        hashes = _packed(blocks.filter(pa.array(again)).column(3)).view(np.uint64)
-        key, doc, at, n = key[again], doc[again], at[again], n[again]
-        each = np.repeat(np.arange(len(key)), n)
-        window = key.astype(np.uint64)[each] * np.uint64(0x9E3779B97F4A7C15) + hashes
-        w_doc, w_at, w_key = doc[each], at[each] + flat.ragged(np.zeros(len(n), np.int64), n), key[each]
-        base = 0
-        if seen_key is not None and seen_key == key[0]:
-            base = len(seen[0])
-            window, w_doc, w_at = (np.concatenate(x) for x in zip(seen, (window, w_doc, w_at)))
-            w_key = np.concatenate([np.full(base, seen_key), w_key])
-        order = np.argsort(window, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = window[order][1:] != window[order][:-1]
-        heads = order[new]
-        holder = np.empty(len(order), np.int64)
-        holder[order] = heads[np.cumsum(new) - 1]
-        late = w_doc > w_doc[holder]
-        late[:base] = False
-        pieces = _pieces(w_doc[late], w_at[late], w_doc[holder][late], w_at[holder][late] & _PLACE)
-        if len(pieces[0]):
-            yield out(*pieces)
-        seen_key = key[-1]
-        kept = heads[w_key[heads] == seen_key]
-        seen = (window[kept], w_doc[kept], w_at[kept])
-
-
-def _frequent(rows: DataFrame, id_col: str, most: int, share: int) -> np.ndarray:
-    """The keys of anchors of more than most blocks, as counted on one id in share."""
-    some = rows.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)
-    blocks = some.mapInArrow(lambda batches: _index(batches, np.zeros(0, np.int32)), _BLOCK).where(F.length("data") != _SETTLED.itemsize)
-    found = blocks.groupBy("key").count().where(F.col("count") * share > most).select("key").collect()
-    return np.sort(np.array([r["key"] for r in found], np.int32))
-
-
-def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, share: int = SHARE) -> DataFrame:
-    """doc, at, n, home, home_at: n windows from a place in doc also stand in home, from home_at on."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col))
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, "doc_id", most, share))
-    blocks = rows.mapInArrow(lambda batches: _index(batches, frequent.value), _BLOCK).repartition("key").sortWithinPartitions("key", "doc", "at")
-    return blocks.mapInArrow(_factor, _PIECE)
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes from each text the words of its factors."""
-    for batch in batches:
-        for first, last, data, offsets in flat.runs(batch.column(1)):
-            raw = data.tobytes()
-            marks = _marked(data, offsets)
-            lists = batch.column(2).slice(first, last - first)
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            parts = lists.flatten()
-            at, n, home, home_at = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            n_words, n_removed, kept, spans, k = [], [], [], [], 0
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                words = raw[a:b].split()
-                own = np.arange(k, k + counts[i])
-                k += counts[i]
-                own = own[(at[own] & ~_PLACE) == marks[i]]
-                start = at[own] & _PLACE
-                order = np.argsort(start, kind="stable")
-                own, start = own[order], start[order]
-                found = []
-                if len(own):
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, start, 1)
-                    np.add.at(gone, start + n[own] + WINDOW - 1, -1)
-                    keep = np.cumsum(gone)[:-1] == 0
-                    diagonal = home_at[own] - start
-                    fresh = np.ones(len(own), bool)  # a factor goes on over adjoining pieces of one reference
-                    fresh[1:] = (start[1:] > start[:-1] + n[own][:-1]) | (home[own][1:] != home[own][:-1]) | (diagonal[1:] != diagonal[:-1])
-                    head = np.flatnonzero(fresh)
-                    tail = np.append(head[1:], len(own)) - 1
-                    found = [{"start": int(start[x]), "length": int(start[y] + n[own][y] + WINDOW - 1 - start[x]), "home": int(home[own][x]), "home_start": int(home_at[own][x])} for x, y in zip(head, tail)]
-                    left = list(compress(words, keep.tolist()))
+            n, most = WINDOW, min(len(words) - i, len(other) - j)
+            step = 64
+            while n < most:
+                if words[i + n : i + n + step] == other[j + n : j + n + step]:
+                    n = min(most, n + step)
+                elif step == 1:
+                    break
                 else:
-                    left = words
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
-                kept.append(b" ".join(left).decode())
-                spans.append(found)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("home", pa.int64()), ("home_start", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)],
-                ["doc_id", "n_words", "n_removed", "kept_text", "spans"],
-            )
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, share: int = SHARE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and spans (start, length, home, home_start) of each row."""
-    found = factors(docs, id_col, text_col, most, share).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "home", "home_at")).alias("parts"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(found, rows["doc_id"] == found["doc"], "left").select("doc_id", "text", "parts")
-    return joined.mapInArrow(_spans, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:bigint,length:bigint,home:bigint,home_start:bigint>>")
+                    step = max(1, step // 8)
+            out.append((i, n, home, start))
+            at = i + n - WINDOW + 1
+            break
+
+
+def _parsed(rows: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Step 4, for a part."""
+    out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "spans": []}
+    if rows.num_rows:
+        part = _Part(rows)
+        # What the blocks hold: of each window one block and the place in it.
+        at = np.zeros(0, np.int64)
+        if blocks.num_rows:
+            column = blocks.column("words").cast(pa.string()).combine_chunks()
+            found, block, place, base = [], [], [], 0
+            for first, last, raw, offsets in flat.runs(column):
+                a, b, edge = flat.words(raw, offsets)
+                windows = flat.chain_hashes(flat.span_hashes(raw, a, b), WINDOW)
+                of = np.repeat(np.arange(last - first), np.diff(edge))
+                inside = np.flatnonzero(of[: len(windows)] == of[WINDOW - 1 :])
+                found.append(windows[inside])
+                block.append(of[inside] + first)
+                place.append(inside - edge[of[inside]])
+            found, at = np.unique(np.concatenate(found), return_index=True)
+            block, place = np.concatenate(block)[at], np.concatenate(place)[at]
+            near = np.minimum(np.searchsorted(found, part.distinct), max(0, len(found) - 1))
+            met = np.where(found[near] == part.distinct, near, -1)[part.which] if len(found) and len(part.distinct) else np.full(len(part.which), -1)
+            docs, starts = _column(blocks, "doc"), _column(blocks, "at")
+            raws = blocks.column("words")
+        else:
+            met = np.full(len(part.which), -1)
+        own = part.head[part.which] if len(part.which) else np.zeros(0, np.int64)
+        earlier = part.ids[part.text[own]] < part.ids[part.text] if len(own) else np.zeros(0, bool)
+        known = (met >= 0) | earlier
+        edges = np.searchsorted(part.text, np.arange(len(part.ids) + 1))
+        texts: dict[int, list[bytes]] = {}
+        held: dict[int, list[bytes]] = {}
+        for t in range(len(part.ids)):
+            words = texts.pop(t, None) or part.words_of(t)
+            lo, hi = edges[t], edges[t + 1]
+            mine = np.flatnonzero(known[lo:hi])
+            factors = []
+            if len(mine):
+                first = part.first[t]
+
+                def references(i):
+                    w = lo + i
+                    if met[w] >= 0:
+                        b = int(block[met[w]])
+                        if b not in held:
+                            held[b] = raws[b].as_py().split()
+                        j = int(place[met[w]])
+                        yield held[b], j, int(docs[b]), int(starts[b]) + j
+                    if earlier[w]:
+                        o = int(part.text[own[w]])
+                        if o not in texts:
+                            texts[o] = part.words_of(o)
+                        j = int(part.place[own[w]] - part.first[o])
+                        yield texts[o], j, int(part.ids[o]), j
+
+                # Windows of a text stand at consecutive words from its first.
+                factors = parse(words, mine.tolist(), references)
+            gone = np.zeros(len(words) + 1, np.int32)
+            for i, n, _, _ in factors:
+                gone[i] += 1
+                gone[i + n] -= 1
+            left = words
+            if factors:
+                keep = np.cumsum(gone)[:-1] == 0
+                left = [words[k] for k in np.flatnonzero(keep).tolist()]
+            out["doc_id"].append(int(part.ids[t]))
+            out["n_words"].append(len(words))
+            out["n_removed"].append(len(words) - len(left))
+            out["kept_text"].append(b" ".join(left).decode())
+            out["spans"].append([{"start": i, "length": n, "home": home, "home_start": start} for i, n, home, start in factors])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("home", pa.int64()), ("home_start", pa.int64())]))
+    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string()), "spans": pa.array(out["spans"], span)})
+
+
+def _unchanged(rows: DataFrame) -> DataFrame:
+    """Rows without an id, whose words all stay."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    none = F.array().cast("array<struct<start:bigint,length:bigint,home:bigint,home_start:bigint>>")
+    return rows.select("doc_id", F.size(words).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.array_join(words, " ").alias("kept_text"), none.alias("spans"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and spans (start, length, home, home_start: the factors) of each row."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = rows.where("doc_id IS NOT NULL")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(math.ceil(size / part_bytes), partitions(spark))
+    quantiles = known.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
+    # The ids at which parts begin, so that no id is in two of them.
+    bounds = spark.sparkContext.broadcast(np.unique(np.array(quantiles or [], np.int64)))
+    bits = max(8, math.ceil(math.log2(max(2 * partitions(spark), size / 6 / RANGE_KEYS))))
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(), "right").astype(np.int32))
+
+    # Read by all steps; Spark shuffles it once.
+    parts = known.select("doc_id", "text", F.xxhash64("text").alias("mark"), part_of("doc_id").alias("part")).repartition(n, "part")
+    keyed = parts.groupBy("part")
+    to_part = lambda df: df.repartition(n, "part").groupBy("part")
+    holders = keyed.applyInArrow(_index(bits), _KEYS).groupBy("range").applyInArrow(_holders, _HOLDERS)
+    asked = holders.groupBy("part").applyInArrow(_ask, _ASKED)
+    blocks = keyed.cogroup(to_part(asked)).applyInArrow(_answer, _BLOCKS)
+    parsed = keyed.cogroup(to_part(blocks)).applyInArrow(_parsed, _PARSED)
+    return parsed.unionByName(_unchanged(rows.where("doc_id IS NULL")))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
