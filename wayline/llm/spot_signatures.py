@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs.
 
 A spot is a common word (an anchor) with the chain of the next ``CHAIN`` content words;
-other common words between them are passed over, up to the anchor after next. The start
-of a text is an anchor too, so that every text with a word has a signature. A text's
+other common words between them are passed over, and only the end of the text makes a chain
+shorter. The start of a text is an anchor too, so that every text with a word has a signature. A text's
 fingerprint is the set of its spots, hashed to 31 bits, sorted and written as eight hex
 digits each; likeness is the Jaccard index of two such sets.
 
@@ -17,7 +17,8 @@ the range before, and each range is ordered by itself.
 Null and empty texts have no spot: their fingerprint is empty, and two empty
 fingerprints are alike (1.0). Rows with a null id come after all others; repeated ids
 follow each other in the order of their texts. Where no id is known, a row is its own
-successor. An empty table gives no rows. Uses DataFrame functions only.
+successor. Very long texts are texts like others; columns other than id and text are not
+read, whatever their names. An empty table gives no rows. Uses DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -40,16 +41,16 @@ ANCHORS = (
 def with_spots(df: DataFrame, text: Column, name: str, chain: int = CHAIN) -> DataFrame:
     """df with the sorted set of the hashed spots of a text, as bigint between 2**31 and 2**32.
 
-    The pieces are a column of their own, so that they are made once though used twice.
+    The words and the content words are columns of their own, so that they are made once though used twice.
     """
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ", -1)
-    marked = F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit("\x01"), w, F.lit("\x02"))).otherwise(F.concat(w, F.lit(" "))))
-    df = df.withColumn("_pieces", F.split(F.concat(F.lit("\x02"), F.array_join(marked, "")), "\x01"))
-    # A piece is an anchor, \x02 and the content words up to the next anchor; the piece after it lends words.
-    after = F.slice(F.transform("_pieces", lambda p: F.substring_index(p, "\x02", -1)), 2, 1 << 30)
-    hashed = F.zip_with("_pieces", after, lambda p, t: F.xxhash64(F.substring_index(F.concat(p, F.coalesce(t, F.lit(""))), " ", chain)).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")) + F.lit(0x80000000).cast("bigint"))
-    wordless = F.col("_pieces") == F.array(F.lit("\x02 "))
-    return df.withColumn(name, F.when(wordless, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(hashed)))).drop("_pieces")
+    df = df.withColumn("_words", words).withColumn("_content", F.filter("_words", lambda w: ~w.isin(ANCHORS)))
+    anchors = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(ANCHORS))
+    hashed = lambda word, first: F.xxhash64(F.concat_ws(" ", F.concat(word, F.lit("\x02")), *[F.get(F.col("_content"), first + k) for k in range(chain)])).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")) + F.lit(0x80000000).cast("bigint")
+    # Before the r-th anchor stand as many content words as its place less r.
+    spots = F.concat(F.array(hashed(F.lit(""), F.lit(0))), F.transform(anchors, lambda x, r: hashed(x["word"], x["at"] - r)))
+    bare = (F.size("_content") == 1) & (F.size("_words") == 1) & (F.get("_words", 0) == "")
+    return df.withColumn(name, F.when(bare, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(spots)))).drop("_words", "_content")
 
 
 def written(spots_: Column) -> Column:
