@@ -18,9 +18,11 @@ buckets pass by each block in slices, and each pair is verified there and then,
 limit on partners and no row for a pair. Only links that join components leave the task.
 Components of all links are the classes.
 
-A text without words is near to none. Null texts count as empty. Rows that repeat an id
-are one document with all its rows' class; rows with a null id have a class of their own
-(null). An empty table gives no rows. Ids are integers.
+A text without words is near to none. Null texts count as empty; a very long text is signed
+in memory in proportion to itself. Rows that repeat an id are one document: each of its texts
+is compared, and the classes of all of them are one. Rows with a null id have a class of their
+own (null). Columns other than id and text are not read, whatever their names; ``stage`` passes
+them through. An empty table gives no rows. Ids are integers.
 """
 
 from __future__ import annotations
@@ -197,8 +199,8 @@ def components(links: DataFrame) -> DataFrame:
 class _Block:
     """Texts still apart, with an index of their shingles, and the components joined so far."""
 
-    def __init__(self, ids: list[int], components: list[int], sigs: list[bytes], raw: list[bytes], threshold: float):
-        self.ids, self.components, self.threshold = ids, np.array(components, np.int64), threshold
+    def __init__(self, ids: list[int], components: list[int], sigs: list[bytes], raw: list[bytes], threshold: float, agree: float = NEAR):
+        self.ids, self.components, self.threshold, self.agree = ids, np.array(components, np.int64), threshold, agree
         self.sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, _PLACES)
         self.words = [np.frombuffer(x, np.uint32) for x in raw]
         parts = [np.unique(x, return_counts=True) for x in self.words]
@@ -218,7 +220,7 @@ class _Block:
     def candidates(self, components: np.ndarray, sigs: np.ndarray) -> np.ndarray:
         """Which of the block (rows) may be near which of those that pass by (columns)."""
         agree = (self.sig[:, None, :] == sigs[None, :, :]).sum(2, dtype=np.int16)
-        return (agree >= NEAR * _PLACES) & (self.components[:, None] != components[None, :])
+        return (agree >= self.agree * _PLACES) & (self.components[:, None] != components[None, :])
 
     def links(self, id_: int, component: int, x: np.ndarray, raw: bytes) -> Iterator[tuple[int, int]]:
         """Verifies all of x (rows of the block) against one text; tells the links that join components."""
@@ -248,7 +250,7 @@ class _Block:
                 yield self.ids[x[k]], id_
 
 
-def _in_blocks(threshold: float):
+def _in_blocks(threshold: float, agree: float):
     """Compares the texts of a block to all that pass by; rows come sorted by block and slice, the block's own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,7 @@ def _in_blocks(threshold: float):
                     for held, column in zip(own, (4, 5, 6, 7)):
                         held.extend(batch.column(column).slice(lo, hi - lo).to_pylist())
                     continue
-                block = block or _Block(*own, threshold)
+                block = block or _Block(*own, threshold, agree)
                 for at in range(lo, hi, 64):
                     end = min(hi, at + 64)
                     sigs = np.frombuffer(b"".join(batch.column(6).slice(at, end - at).to_pylist()), np.uint16).reshape(-1, _PLACES)
@@ -280,7 +282,7 @@ def _in_blocks(threshold: float):
     return run
 
 
-def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame, threshold: float, agree: float = NEAR) -> DataFrame:
     """Links (a, b) that join the components of large buckets, as far as any two of their texts are near.
 
     many: band, key, id and n of the members of large buckets; joined: id and component of
@@ -307,16 +309,14 @@ def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame,
     texts = own.unionByName(passing).join(one.select("id", "sig"), "id").join(sets, "id")
     texts = texts.select("home", "block", "slice", "member", "id", "component", "sig", "shingles")
     dealt = texts.repartition("home", "block", "slice").sortWithinPartitions("home", "block", "slice", "member", "id")
-    return dealt.mapInArrow(_in_blocks(threshold), "a bigint, b bigint")
+    return dealt.mapInArrow(_in_blocks(threshold, agree), "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, same_id (least id of equal shingles), class_id (least id of its class) and class_size: a row for each row of docs."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+def _of_texts(texts: DataFrame, threshold: float, agree: float) -> DataFrame:
+    """doc_id, same_id and class_id of texts (doc_id, text), an id once."""
     signed = cut(texts.mapInArrow(_sign, "doc_id bigint, n bigint, a bigint, b bigint, bands array<bigint>, sig binary"))
-    # A repeated id is one document: its rows' shingles are compared one by one, its class is shared.
     one = signed.where("n > 0").groupBy("n", "a", "b", "bands", "sig").agg(F.min("doc_id").alias("id"))
-    members = signed.join(one.select("n", "a", "b", "id"), ["n", "a", "b"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("same_id")).distinct()
+    members = signed.join(one.select("n", "a", "b", "id"), ["n", "a", "b"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("same_id"))
     members, one = cut(members), cut(one.select("id", "n", "bands", "sig"))
     in_bands = one.select("id", "n", F.posexplode("bands").alias("band", "key"))
     # One draw for all bands: a group that shares many bands gets one head, and few pairs.
@@ -327,16 +327,36 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     each = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = listed.select(F.explode(each).alias("p")).select("p.*")
     pairs = pairs.union(many.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
-    unique = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
     wanted = met.select("id").distinct()
-    sets = cut(unique.join(wanted, unique["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
+    sets = cut(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
     links = cut(verified(sets, pairs, threshold))
     joined = components(links)
-    more = cut(across(many, joined, one, sets, threshold))
+    more = cut(across(many, joined, one, sets, threshold, agree))
     if not more.isEmpty():
         joined = components(links.select("a", "b").union(more))
-    ends = members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
-    ends = cut(ends.groupBy("doc_id").agg(F.min("same_id").alias("same_id"), F.min("class_id").alias("class_id")))
+    return members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
+
+
+def _of_repeated(texts: DataFrame, threshold: float, agree: float) -> DataFrame:
+    """As _of_texts where an id may stand on several texts: each gets a number of its own, and what shares an id is one."""
+    numbered = cut(texts.groupBy("doc_id", "text").agg(F.lit(1).alias("one")).drop("one").withColumn("number", F.monotonically_increasing_id()))
+    found = _of_texts(numbered.select(F.col("number").alias("doc_id"), "text"), threshold, agree)
+    known = cut(numbered.select("doc_id", "number").join(found.withColumnRenamed("doc_id", "number"), "number").select("doc_id", "same_id", "class_id"))
+    least = lambda key: known.groupBy(key).agg(F.min("doc_id").alias("least"))
+    # Documents linked to the least document of each of their classes.
+    links = known.join(least("class_id"), "class_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b")
+    joined = components(links)
+    same_ = known.join(least("same_id"), "same_id").groupBy("doc_id").agg(F.min("least").alias("same_id"))
+    return same_.join(joined, same_["doc_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "doc_id").alias("class_id"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", agree: float = NEAR) -> DataFrame:
+    """doc_id, same_id (least id of equal shingles), class_id (least id of its class) and class_size: a row for each row of docs.
+
+    With agree=0 no pair of a large bucket is left to the agreement of its signatures.
+    """
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    ends = cut((_of_repeated if _repeats(texts) else _of_texts)(texts, threshold, agree))
     sizes = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     found = ends.join(sizes, "class_id").select(F.col("doc_id").alias("_doc"), "same_id", "class_id", "class_size")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"))
