@@ -63,25 +63,6 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring_dedup.dedup(docs(spark, [(None, "a b")])).first()["kept_text"] == "a b"
 
 
-def test_frequent_anchors_are_spread_without_loss(spark):
-    rows = corpus()
-    plain = lambda out: sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect())
-    assert plain(substring_dedup.dedup(docs(spark, rows), most=0, share=1)) == plain(substring_dedup.dedup(docs(spark, rows)))
-    texts = ["a b c d e " + " ".join(f"x{i}{j}" for j in range(8)) for i in range(50)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], ["doc_id", "text"])
-    key = lambda frequent: [k for b in substring_dedup._index([batch], frequent) for k in b.column(0).to_pylist()]
-    assert len(set(key(np.sort(np.array(key(np.zeros(0, np.int32)), np.int32))))) == 50
-
-
-def test_windows_of_equal_upper_bits_differ(monkeypatch):
-    """Two texts under one anchor whose windows agree in the upper 32 bits of their hashes only."""
-    whole = substring_dedup.flat.chain_hashes
-    monkeypatch.setattr(substring_dedup.flat, "chain_hashes", lambda h, k: whole(h, k) & np.uint64(0xFFFFFFFF) if k == 13 else whole(h, k) * np.uint64(0) + np.uint64(7) if k == 5 else whole(h, k))
-    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([" ".join(f"{w}{j}" for j in range(13))])], ["doc_id", "text"]) for i, w in enumerate("xyzx")]
-    blocks = [b for x in batches for b in substring_dedup._index([x], np.zeros(0, np.int32))]
-    assert [(d, h) for b in substring_dedup._factor(blocks) for d, h in zip(b.column(0).to_pylist(), b.column(3).to_pylist())] == [(3, 0)]
-
-
 def test_exact_dedup_equals_brute_force(spark):
     rows = corpus() + [(400 + i, "long " * 9000 + str(i % 2)) for i in range(4)]
     low = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -271,7 +252,7 @@ def test_mix(spark):
         target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
     assert sum(target.values()) == pytest.approx(sum(size.values()))
     for s in target:
-        assert target[s] <= 3 * size[s] + 1e-6 and abs(taken[s] - target[s]) <= 60
+        assert target[s] <= 3 * size[s] + 1e-6 and abs(taken[s] - target[s]) <= 10
     assert sorted(map(tuple, mixing.sample(d).collect()), key=repr) == sorted(map(tuple, out), key=repr)
     assert mixing.sample(d.limit(0)).count() == 0
 
