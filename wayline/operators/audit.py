@@ -36,8 +36,8 @@ def interpolated(rows: DataFrame, by: list[str], at: dict[str, float], value: st
         place = F.lit(float(q)) * (F.col("_total") - 1)
         holds = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
         low, high = F.max(F.when(holds(F.floor(place)), F.col("_v"))), F.max(F.when(holds(F.ceil(place)), F.col("_v")))
-        share = F.max(place - F.floor(place))
-        out.append((low + (high - low) * share).alias(name))
+        up, down = F.max(F.ceil(place) - place), F.max(place - F.floor(place))
+        out.append(F.when(down == 0, low).otherwise(up * low + down * high).alias(name))
     return placed.groupBy(*by).agg(*out)
 
 
