@@ -1,4 +1,7 @@
-"""Times the headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
+"""Times the headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
+
+``queries`` and ``value`` are first runs, planning and compilation included; ``again`` are second runs. Nothing is cached between them.
+"""
 
 from __future__ import annotations
 
@@ -25,12 +28,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     spark.range(1000).selectExpr("sum(id)").collect()
-    took = {}
-    for name in HEADLINE:
-        began = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    took, again = {}, {}
+    for times in (took, again):
+        for name in HEADLINE:
+            spark.catalog.clearCache()
+            began = time.perf_counter()
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - began, 3)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "again": again, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

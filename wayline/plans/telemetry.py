@@ -54,9 +54,9 @@ def motion_segments(spark, sf_dir):
     return rounded(motion.motion_segments(view(spark, sf_dir)))
 
 
-@query(sql(_SEGMENTS + "\nSELECT device_id, segment, motion_state, start_ms, end_ms, samples FROM seg WHERE end_ms - start_ms >= 4000 ORDER BY start_ms, device_id, segment LIMIT 1000"))
+@query(sql(_SEGMENTS + "\nSELECT device_id, segment, motion_state, start_ms, end_ms, samples FROM seg WHERE end_ms - start_ms >= 1000 ORDER BY start_ms, device_id, segment LIMIT 1000"))
 def segment_report(spark, sf_dir):
-    return motion.segment_report(motion.motion_segments(view(spark, sf_dir)), 4.0).select("device_id", "segment", "motion_state", "start_ms", "end_ms", "samples")
+    return motion.segment_report(motion.motion_segments(view(spark, sf_dir)), 1.0).select("device_id", "segment", "motion_state", "start_ms", "end_ms", "samples")
 
 
 _STOPS = _SEGMENTS + """,

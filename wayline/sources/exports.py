@@ -70,11 +70,12 @@ def import_violations(rows: DataFrame, now_s: float | None = None, most_rows: in
     unknown = lambda names, known: F.size(F.array_except(names, F.array(*[F.lit(n) for n in known]))) > 0
     infinite = true([~finite(c) & F.col(c).isNotNull() for c in [*CHANNELS, "t", "tow"]])
     outside = true([F.col(c).isNull() | ~F.col(c).between(*b) for c, b in INTEGERS.items()])
-    field = lambda name: F.get_json_object("ground_speed_json", f"$.{name}")
-    value, raw, state = field("value").cast("double"), field("raw_speed").cast("double"), field("state")
+    # The speed record is read once a row.
+    rows = rows.withColumn("_speed", F.from_json("ground_speed_json", "value double, state string, reason string, raw_speed double"))
+    value, raw, state = F.col("_speed.value"), F.col("_speed.raw_speed"), F.col("_speed.state")
     coherent = (
         state.isin("moving", "stationary", "unknown") & value.eqNullSafe(F.col("speed"))
-        & F.when(F.col("protocol") == "GPCHCX", raw.isNotNull()).otherwise(field("reason").eqNullSafe(F.lit("non_gpchcx")))
+        & F.when(F.col("protocol") == "GPCHCX", raw.isNotNull()).otherwise(F.col("_speed.reason").eqNullSafe(F.lit("non_gpchcx")))
         & F.when(state == "moving", value.eqNullSafe(raw) & (motion_state() == "moving")).when(state == "stationary", (value == 0) & (motion_state() == "stationary")).otherwise(value.isNull()))
     rules = [
         ("protocol", ~F.coalesce(F.col("protocol").isin("GPCHC", "GPCHCX"), F.lit(False))), ("serial", ~F.coalesce(F.col("device_id").rlike("^[A-Za-z0-9_-]{1,40}$"), F.lit(False))),

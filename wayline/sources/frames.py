@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,10 @@ def scan_frames(spark: SparkSession, path: str) -> DataFrame:
 def xor_checksum(body: Column) -> Column:
     """XOR of the bytes of an ASCII text: folded seven bytes a step, then the seven into one."""
     step = lambda a, k: a.bitwiseXOR(F.conv(F.hex(F.substring(body, k, F.lit(7))), 16, 10).cast("bigint"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body)), F.lit(7)), F.lit(0).cast("bigint"), step)
-    for bits in (32, 16, 8):
-        folded = folded.bitwiseXOR(F.shiftright(folded, bits))
-    return folded.bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    eight = lambda acc: [F.shiftright(acc, 8 * k) for k in range(8)]
+    # The fold is finished inside the aggregate: outside, it would be worked out anew for every mention.
+    last = lambda acc: reduce(lambda x, y: x.bitwiseXOR(y), eight(acc)).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body)), F.lit(7)), F.lit(0).cast("bigint"), step, last)
 
 
 def crc32_plain(body: Column) -> Column:
@@ -54,7 +56,7 @@ def with_checksum(frames: DataFrame) -> DataFrame:
     """frames with name, body, given and checksum_ok."""
     body = F.expr("substring(frame, 2, length(frame) - instr(reverse(frame), '*') - 1)")
     given = F.substring_index("frame", "*", -1)
-    df = frames.withColumn("body", body).withColumn("given", given).withColumn("name", F.expr("substring(frame, 2, instr(frame, ',') - 2)"))
+    df = settled(frames.withColumn("body", body).withColumn("given", given).withColumn("name", F.expr("substring(frame, 2, instr(frame, ',') - 2)")))
     value = F.when(F.col("given").rlike("^[0-9a-fA-F]+$"), F.conv("given", 16, 10).cast("bigint"))
     ok = F.when(F.startswith("frame", F.lit("$")), (F.length("given") == 2) & (xor_checksum(F.col("body")) == value)).otherwise((F.length("given") == 8) & (crc32_plain(F.col("body")) == value))
     return df.withColumn("checksum_ok", F.coalesce(ok, F.lit(False)))
