@@ -5,6 +5,14 @@ Parquet to the shared folder and reads it again as the documents of the next sta
 Documents that the quality classifier rejects, repeated texts, near copies, and
 documents that the mix doesn't take are gone for the stages after; what remains is
 encoded. Repeats in the mix stand on rows of their own.
+
+Null and empty texts are scored like others, are one text for exact dedup and near to
+none; where they stay, the mix takes no words of them and they encode to no ids. Rows with a
+null id are never labelled, lose to any id among equal texts, and are near to none. Repeated
+rows are one after exact dedup; ties go to the largest id there and to the least in near
+dedup. Very long texts need memory in proportion to themselves. Further columns, whatever
+their names, pass through all stages but the last. Without labels every score is 0.5, so that
+no document stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
