@@ -8,7 +8,7 @@ from ..functions.scalars import angle_delta, capped_rate, contains_ci, json_leng
 from ..operators import audit, lifecycle, rollup, series, trace
 from ..operators.quality import assess, project
 from ..sources import exports, frames
-from ..sources.telemetry import table, telemetry
+from ..sources.telemetry import spread, table, telemetry
 from .shared import rounded, sql, view
 
 QUERIES, SQL = {}, {}
@@ -33,7 +33,7 @@ REASONS = ["checksum", "field_count", "unidentified_device", "invalid_sn", "malf
 
 def _frames(spark, sf_dir):
     """Frames built from telemetry, of which 14 in 64 are spoiled, each for another reason."""
-    t = telemetry(spark, sf_dir).withColumn("ax", F.coalesce("ax", F.lit(1.0))).withColumn("protocol", F.lit("GPCHCX"))
+    t = spread(telemetry(spark, sf_dir)).withColumn("ax", F.coalesce("ax", F.lit(1.0))).withColumn("protocol", F.lit("GPCHCX"))
     k = F.pmod(F.floor(F.col("t_ms") / 100), F.lit(64))
     bad = lambda reason, value: F.when(k == REASONS.index(reason) + 1, F.lit(value))
     changes = {

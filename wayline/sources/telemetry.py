@@ -42,5 +42,11 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TELEMETRY_SQL, events=events)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer parts than there are cores, dealt to all cores: for work that is heavy for each row. Of scans of many parts nothing moves."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
