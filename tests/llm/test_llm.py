@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 import zlib
 from pyspark.sql import functions as F
 
-from wayline.llm import exact_dedup, html_text, licenses, mixing, near_dedup, piece_tokens, quality, sharding, spot_signatures, substring_dedup
+from wayline.llm import exact_dedup, html_text, licenses, mixing, near_dedup, piece_tokens, quality, shared, sharding, spot_signatures, substring_dedup
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string, hash string, key string"
 
@@ -180,10 +181,20 @@ def test_near_classes_equal_brute_force(spark):
     assert near_dedup.classes(docs(spark, [(None, "a b"), (1, "a b")])).count() == 2
 
 
-@pytest.mark.parametrize("block, shingles, passing", [(7, 10**6, 16), (2048, 400, 8192), (2048, 10**6, 8192)])
-def test_large_buckets_lose_no_link(spark, monkeypatch, block, shingles, passing):
-    """Texts around the threshold, some with repeated shingles: compared whole, however the blocks and slices fall."""
-    for name, value in (("BLOCK", block), ("SHINGLES", shingles), ("PASSING", passing)):
+def test_rows_of_large_keys_meet_their_table(spark):
+    """Every row once, whether its key is large, beyond the number of keys that are broadcast, or small."""
+    rows = [(k, i) for k, n in enumerate((50, 40, 30, 3, 1)) for i in range(n)]
+    d = spark.createDataFrame([*rows, (9, 0)], "k bigint, i bigint")
+    one = spark.createDataFrame([(k, 10 * k, n) for k, n in enumerate((50, 40, 30, 3, 1))], "k bigint, tenfold bigint, n bigint")
+    for large, many in ((1000, 10), (10, 10), (10, 2), (0, 1)):
+        out = shared.meet(d, one, ["k"], "n", large, many).select("k", "i", "tenfold").collect()
+        assert sorted(map(tuple, out)) == sorted((k, i, 10 * k) for k, i in rows)
+
+
+@pytest.mark.parametrize("block, shingles, passing, large", [(7, 10**6, 16, 3), (2048, 400, 8192, 1000), (2048, 10**6, 8192, 10)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block, shingles, passing, large):
+    """Texts around the threshold, some with repeated shingles: compared whole, however the blocks, slices and large keys fall."""
+    for name, value in (("BLOCK", block), ("SHINGLES", shingles), ("PASSING", passing), ("LARGE", large), ("meet", partial(shared.meet, large=large, many=2 * large))):
         monkeypatch.setattr(near_dedup, name, value)
     draw = random.Random(9)
     base = ["b%d" % draw.randrange(10**6) for _ in range(200)]

@@ -18,6 +18,9 @@ buckets pass by each block in slices, and each pair is verified there and then,
 limit on partners and no row for a pair. Only links that join components leave the task.
 Components of all links are the classes.
 
+What holds many rows of one key (equal shingles, a bucket, a head, a neighbour, a component, a
+class) is joined by broadcasting the largest keys, or in parts, so that no key meets in one task.
+
 A text without words is near to none. Null texts count as empty; a very long text is signed
 in memory in proportion to itself. Rows that repeat an id are one document: each of its texts
 is compared, and the classes of all of them are one. Rows with a null id have a class of their
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import cut, same, table
+from .shared import LARGE, cut, meet, same, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -171,9 +174,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of a likeness of at least the threshold; sets: id and shingles, an id once."""
-    pairs = pairs.select("a", "b").distinct()
-    tasks = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / PARTNERS) + 1).alias("tasks"))
-    members = pairs.join(tasks, "a").select(F.col("b").alias("id"), F.struct(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), "tasks").alias("task"), F.lit(1).alias("own")).alias("to"))
+    pairs = cut(pairs.select("a", "b").distinct())
+    tasks = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    tasks = cut(tasks.withColumn("tasks", F.floor((F.col("n") - 1) / PARTNERS) + 1))
+    members = meet(pairs, tasks, ["a"], "n").select(F.col("b").alias("id"), F.struct(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), "tasks").alias("task"), F.lit(1).alias("own")).alias("to"))
     spread = tasks.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
     heads = spread.select(F.col("a").alias("id"), F.struct(F.col("a").alias("head"), "task", F.lit(0).alias("own")).alias("to"))
     shipped = members.unionByName(heads).join(sets, "id").select("to.head", "to.task", "to.own", F.col("id").alias("doc_id"), "shingles")
@@ -184,16 +188,20 @@ def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id and component (its least id) of each id that stands in a link (a, b)."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component"))
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"), F.count(F.lit(1)).alias("degree"))
+    labels = labels.select("id", F.least("id", "near").alias("component"), "degree")
     while True:
         labels = cut(labels)
-        least = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("id").alias("at"), F.col("component").alias("further"))
-        new = labels.join(least, labels["id"] == least["a"]).join(jump, F.col("component") == F.col("at"))
-        new = cut(new.select("id", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")))
+        # An id with many neighbours, or a component with many ids, is broadcast to them.
+        ends = labels.select(F.col("id").alias("b"), F.col("component").alias("theirs"), "degree")
+        least = meet(edges, ends, ["b"], "degree").groupBy("a").agg(F.min("theirs").alias("near"))
+        held = labels.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+        jump = cut(labels.select(F.col("id").alias("at"), F.col("component").alias("further")).join(held, F.col("at") == F.col("component")).select("component", "further", "held"))
+        new = meet(labels.join(least, labels["id"] == least["a"]), jump, ["component"], "held")
+        new = cut(new.select("id", F.col("component").alias("old"), F.least("component", "near", "further").alias("component"), "degree"))
         if new.where("old <> component").isEmpty():
             return new.select("id", "component")
-        labels = new.select("id", "component")
+        labels = new.select("id", "component", "degree")
 
 
 class _Block:
@@ -288,23 +296,29 @@ def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame,
     many: band, key, id and n of the members of large buckets; joined: id and component of
     linked ids; one: id and signature; sets: id and shingles.
     """
-    placed = many.select("band", "key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Buckets go to tasks in parts of some LARGE members.
+    parted = F.ceil(F.col("size") / LARGE)
+    part, each_part = F.pmod(F.xxhash64("id"), parted).alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parted - 1)).alias("part")
+    placed = many.select("band", "key", "id", "n", "size").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("parts > 1")
-    met = cut(placed.join(split, ["band", "key"]).select("band", "key", "id", "n", "component", "size", F.col("main.component").alias("main")))
+    split = split.select("band", "key", F.col("main.component").alias("main"), each_part)
+    met = cut(placed.withColumn("part", part).join(split, ["band", "key", "part"]).select("band", "key", "id", "n", "component", "size", "main"))
     # Of two components in a bucket one is not the largest: each text apart meets all of every bucket in which it is.
     # Texts apart from the same component share most of their buckets, so they share blocks.
     apart = met.where("component <> main")
     homes = apart.groupBy("id").agg(F.max(F.struct("size", "main")).alias("home"), F.max("n").alias("n"), F.max("component").alias("component"))
     homes = homes.select("id", "n", "component", F.col("home.main").alias("home"))
-    loads = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).alias("blocks"))
-    homes = cut(homes.join(loads, "home").select("home", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "component"))
+    homes = cut(homes)
+    loads = cut(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).alias("blocks")))
+    homes = cut(meet(homes, loads, ["home"], "size").select("home", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "component"))
     visits = cut(apart.select("band", "key", "size", "id").join(homes.drop("component"), "id").select("band", "key", "size", "home", "block").distinct())
     # Slices follow from the sizes of the buckets, so that those who pass by need not be brought together to be counted.
     slices = visits.groupBy("home", "block").agg(F.ceil(F.greatest(F.max("size"), F.sum("size") / BANDS) / PASSING).alias("slices"))
     numbered = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
     own = homes.join(slices, ["home", "block"]).select("home", "block", numbered.alias("slice"), F.lit(0).alias("member"), "id", "component")
-    passing = met.select("band", "key", "id", "component").join(visits.join(slices, ["home", "block"]), ["band", "key"])
+    calls = visits.join(slices, ["home", "block"]).select("band", "key", "home", "block", "slices", each_part)
+    passing = met.select("band", "key", "id", "component", part).join(calls, ["band", "key", "part"])
     passing = passing.select("home", "block", F.pmod(F.xxhash64("id", F.lit(1)), "slices").alias("slice"), F.lit(1).alias("member"), "id", "component").distinct()
     texts = own.unionByName(passing).join(one.select("id", "sig"), "id").join(sets, "id")
     texts = texts.select("home", "block", "slice", "member", "id", "component", "sig", "shingles")
@@ -315,13 +329,14 @@ def across(many: DataFrame, joined: DataFrame, one: DataFrame, sets: DataFrame,
 def _of_texts(texts: DataFrame, threshold: float, agree: float) -> DataFrame:
     """doc_id, same_id and class_id of texts (doc_id, text), an id once."""
     signed = cut(texts.mapInArrow(_sign, "doc_id bigint, n bigint, a bigint, b bigint, bands array<bigint>, sig binary"))
-    one = signed.where("n > 0").groupBy("n", "a", "b", "bands", "sig").agg(F.min("doc_id").alias("id"))
-    members = signed.join(one.select("n", "a", "b", "id"), ["n", "a", "b"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("same_id"))
-    members, one = cut(members), cut(one.select("id", "n", "bands", "sig"))
+    # Equal shingles have one signature but for rounding, so the one of the least id stands for all.
+    least = signed.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    one = cut(least.select("n", "a", "b", "copies", F.col("x.doc_id").alias("id"), "x.bands", "x.sig"))
     in_bands = one.select("id", "n", F.posexplode("bands").alias("band", "key"))
     # One draw for all bands: a group that shares many bands gets one head, and few pairs.
     sized = in_bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id").alias("draw"), "id")).alias("head"))
-    met = cut(in_bands.join(sized.where("size > 1"), ["band", "key"]).select("band", "key", "id", "n", "size", F.col("head.id").alias("head")))
+    sized = cut(sized.where("size > 1").select("band", "key", "size", F.col("head.id").alias("head")))
+    met = cut(meet(in_bands, sized, ["band", "key"], "size").select("band", "key", "id", "n", "size", "head"))
     few, many = met.where(F.col("size") <= SMALL), met.where(F.col("size") > SMALL)
     listed = few.groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     each = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -334,7 +349,9 @@ def _of_texts(texts: DataFrame, threshold: float, agree: float) -> DataFrame:
     more = cut(across(many, joined, one, sets, threshold, agree))
     if not more.isEmpty():
         joined = components(links.select("a", "b").union(more))
-    return members.join(joined, members["same_id"] == joined["id"], "left").select("doc_id", "same_id", F.coalesce("component", "same_id").alias("class_id"))
+    named = cut(one.select("n", "a", "b", "id", "copies").join(joined, "id", "left").select("n", "a", "b", "copies", F.col("id").alias("same_id"), F.coalesce("component", "id").alias("class_id")))
+    some = meet(signed.select("doc_id", "n", "a", "b"), named, ["n", "a", "b"], "copies").select("doc_id", "same_id", "class_id")
+    return some.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("same_id"), F.col("doc_id").alias("class_id")))
 
 
 def _of_repeated(texts: DataFrame, threshold: float, agree: float) -> DataFrame:
@@ -357,8 +374,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     ends = cut((_of_repeated if _repeats(texts) else _of_texts)(texts, threshold, agree))
-    sizes = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    found = ends.join(sizes, "class_id").select(F.col("doc_id").alias("_doc"), "same_id", "class_id", "class_size")
+    sizes = cut(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
+    found = meet(ends, sizes, ["class_id"], "class_size").select(F.col("doc_id").alias("_doc"), "same_id", "class_id", "class_size")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"))
     return rows.join(found, rows["doc_id"] == found["_doc"], "left").drop("_doc")
 
