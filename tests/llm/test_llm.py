@@ -191,7 +191,7 @@ def test_rows_of_large_keys_meet_their_table(spark):
         assert sorted(map(tuple, out)) == sorted((k, i, 10 * k) for k, i in rows)
 
 
-@pytest.mark.parametrize("block, shingles, passing, large", [(7, 10**6, 16, 3), (2048, 400, 8192, 1000), (2048, 10**6, 8192, 10)])
+@pytest.mark.parametrize("block, shingles, passing, large", [(7, 10**6, 16, 3), (2048, 400, 8192, 100_000), (2048, 10**6, 8192, 10)])
 def test_large_buckets_lose_no_link(spark, monkeypatch, block, shingles, passing, large):
     """Texts around the threshold, some with repeated shingles: compared whole, however the blocks, slices and large keys fall."""
     for name, value in (("BLOCK", block), ("SHINGLES", shingles), ("PASSING", passing), ("LARGE", large), ("meet", partial(shared.meet, large=large, many=2 * large))):

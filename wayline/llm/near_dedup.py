@@ -189,16 +189,20 @@ def components(links: DataFrame) -> DataFrame:
     """id and component (its least id) of each id that stands in a link (a, b)."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"), F.count(F.lit(1)).alias("degree"))
-    labels = labels.select("id", F.least("id", "near").alias("component"), "degree")
+    labels = cut(labels.select("id", F.least("id", "near").alias("component"), "degree"))
+    # Components of more than LARGE ids are broadcast to them; fewer ids hold none.
+    wide = labels.count() > LARGE
     while True:
-        labels = cut(labels)
-        # An id with many neighbours, or a component with many ids, is broadcast to them.
         ends = labels.select(F.col("id").alias("b"), F.col("component").alias("theirs"), "degree")
         least = meet(edges, ends, ["b"], "degree").groupBy("a").agg(F.min("theirs").alias("near"))
-        held = labels.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
-        jump = cut(labels.select(F.col("id").alias("at"), F.col("component").alias("further")).join(held, F.col("at") == F.col("component")).select("component", "further", "held"))
-        new = meet(labels.join(least, labels["id"] == least["a"]), jump, ["component"], "held")
-        new = cut(new.select("id", F.col("component").alias("old"), F.least("component", "near", "further").alias("component"), "degree"))
+        met = labels.join(least, labels["id"] == least["a"])
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        if wide:
+            held = labels.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+            met = meet(met, cut(jump.join(held, "component")), ["component"], "held")
+        else:
+            met = met.join(jump, "component")
+        new = cut(met.select("id", F.col("component").alias("old"), F.least("component", "near", "further").alias("component"), "degree"))
         if new.where("old <> component").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component", "degree")

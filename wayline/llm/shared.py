@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows from which a key counts as large, and how many such keys are broadcast at once.
-LARGE, MANY = 1000, 10_000
+#: Rows from which a key counts as large (some 6 MB of the short rows that are joined so), and how many such keys are broadcast at once.
+LARGE, MANY = 100_000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
