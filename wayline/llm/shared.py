@@ -8,9 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows from which a key counts as large (some 6 MB of the short rows that are joined so), and how many such keys are broadcast at once.
-LARGE, MANY = 100_000, 10_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,20 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def meet(rows: DataFrame, one: DataFrame, key: list[str], size: str, large: int = LARGE, many: int = MANY) -> DataFrame:
-    """rows joined (inner) with one, which has a row a key and tells in ``size`` how many rows have that key.
-
-    The keys of more than ``large`` rows, the ``many`` largest at most, are broadcast, so that their rows stay where they
-    are; any other key holds less than one in ``many`` of all rows. one is read twice: give a table that is written.
-    """
-    hot = cut(one.where(F.col(size) > large).orderBy(F.desc(size), *key).limit(many))
-    if hot.isEmpty():
-        return rows.join(one, key)
-    alone = F.broadcast(hot.select(*key))
-    few = rows.join(alone, key, "left_anti").join(one.join(alone, key, "left_anti"), key)
-    return rows.join(F.broadcast(hot), key).unionByName(few)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
