@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, licenses, mixing, near_dedup, piece_tokens, quality, sharding, spot_signatures, substring_dedup, token_alignment, vector_codes
+from . import exact_dedup, html_text, licenses, mixing, near_dedup, piece_tokens, quality, sharding, spot_signatures, substring_dedup, token_alignment, vector_codes, vector_dedup
 
-_MODULES = (sharding, substring_dedup, exact_dedup, spot_signatures, piece_tokens, near_dedup, mixing, licenses, quality, html_text, vector_codes, token_alignment)
+_MODULES = (sharding, substring_dedup, exact_dedup, spot_signatures, piece_tokens, near_dedup, mixing, licenses, quality, html_text, vector_codes, token_alignment, vector_dedup)
 
 
 def queries() -> dict:
