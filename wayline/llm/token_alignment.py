@@ -36,8 +36,10 @@ from .shared import cut, shared_folder, table
 
 #: Pairs that are broadcast with their counts (12 bytes each).
 FREQUENT = 1 << 19
-#: Bytes of text worked on at once, and pieces of up to SHORT characters whose tokens a task remembers.
-RUN_BYTES, REMEMBERED, SHORT = 8 << 20, 1 << 17, 40
+#: Bytes of text worked on together, and of distinct pieces encoded at once.
+RUN_BYTES, AT_ONCE = 4 << 20, 1 << 17
+#: Pairs that are looked up together.
+PAIRS = 1 << 20
 #: Fixed by the byte-level vocabulary: how a text is parted before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -73,20 +75,45 @@ class Tokenizers:
         self.n_b = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.n_b)))]
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.known: dict[str, tuple | None] = {}
-
-    def encode(self, piece: str) -> tuple[list[int], list[int]] | None:
-        """Ids of a space and the piece, by A and by B; None where B's bytes are others."""
-        if piece in self.known:
-            return self.known[piece]
-        ids = self.a.encode_ordinary(" " + piece), self.b.encode(piece)
+        # An id with what follows it within a group and at the group's end.
+        self.a_names = [np.array([f"{i}{sep}" for i in range(len(self.a_size))], object) for sep in ",|"]
+        self.b_names = [np.array([f"{i}{sep}" for i in range(self.n_b)], object) for sep in (",", ";")]
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by A and by B of each piece with a space before it, the numbers of these, and which pieces B gives again."""
+        good = np.array(["▁" not in p for p in pieces], bool)
+        a, b = [], []
+        n_a, n_b = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        rows = np.flatnonzero(good)
+        sizes = np.array([1 + len(pieces[i].encode()) for i in rows], np.int64)
+        # Pieces part at spaces as in any text, so many are encoded as one; those that begin or end with white space stand alone.
+        alone = np.array([pieces[i][0].isspace() or pieces[i][-1].isspace() for i in rows], bool)
+        cuts = np.flatnonzero((np.diff(np.cumsum(sizes) // AT_ONCE) > 0) | alone[1:] | alone[:-1]) + 1 if len(rows) else rows
+        for part, size in zip(np.split(rows, cuts), np.split(sizes, cuts)):
+            if not len(part):
+                continue
+            ids_a, ids_b, whole = self._encode_joined([pieces[i] for i in part])
+            if not whole:  # told apart one by one
+                for i in part:
+                    ids_a, ids_b, whole = self._encode_joined([pieces[i]])
+                    good[i] = whole
+                    if whole:
+                        n_a[i], n_b[i] = len(ids_a), len(ids_b)
+                        a.append(ids_a)
+                        b.append(ids_b)
+                continue
+            ends = np.cumsum(size)
+            for ids, of, n, all_ in ((ids_a, self.a_size, n_a, a), (ids_b, self.b_size, n_b, b)):
+                n[part] = np.bincount(np.searchsorted(ends, np.cumsum(of[ids]), "left"), minlength=len(part))
+                all_.append(ids)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b]), n_a, n_b, good
+
+    def _encode_joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, bool]:
+        text = " ".join(pieces)
+        ids_a, ids_b = self.a.encode_ordinary(" " + text), self.b.encode(text)
         raw = self.b_bytes
-        found = ids if b"".join([raw[i] for i in ids[1]]) == (" " + piece).encode() else None
-        if len(piece) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = found
-        return found
+        return np.array(ids_a, np.int64), np.array(ids_b, np.int64), b"".join([raw[i] for i in ids_b]) == (" " + text).encode()
 
 
 def components(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,36 +128,33 @@ def components(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.n
         to = further
 
 
-def counted(*keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sum of the weights (or the number) of each."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(order))) if weights is None else np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
-    return (*[k[first] for k in keys], times)
+def counted(first: np.ndarray, second: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (of numbers below 2**32) in order, and the sum of the weights (or the number) of each."""
+    keys = (first.astype(np.int64) << 32) | second
+    if weights is None:
+        keys, times = np.unique(keys, return_counts=True)
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        keys, times = keys[at], np.add.reduceat(weights[order], at) if len(at) else np.zeros(0, np.int64)
+    return keys >> 32, keys & 0xFFFFFFFF, times
 
 
 class Pieces:
     """Distinct pieces encoded and aligned: numbers of tokens, groups and links, the groups as text, id pairs with their numbers."""
 
     def __init__(self, pieces: list[str], tokenizers: Tokenizers):
-        ids = [tokenizers.encode(p) for p in pieces]
-        self.good = np.array([x is not None for x in ids], bool)
-        ids = [x or ([], []) for x in ids]
-        self.n_a, self.n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for x in ids for i in x[k]), np.int64) for k in (0, 1))
+        a, b, self.n_a, self.n_b, self.good = tokenizers.encode(pieces)
         group_a, group_b = components(np.cumsum(tokenizers.a_size[a]), np.cumsum(tokenizers.b_size[b])) if len(a) else (a, b)
         last = np.unique(group_a)
-        piece = np.repeat(np.arange(len(ids)), self.n_a)[last]
+        piece = np.repeat(np.arange(len(pieces)), self.n_a)[last]
         group_a, group_b = np.searchsorted(last, group_a), np.searchsorted(last, group_b)
-        self.n_groups = np.bincount(piece, minlength=len(ids))
+        self.n_groups = np.bincount(piece, minlength=len(pieces))
         in_a, in_b = (np.bincount(g, minlength=len(last)) for g in (group_a, group_b))
-        self.n_links = np.zeros(len(ids), np.int64)
+        self.n_links = np.zeros(len(pieces), np.int64)
         np.add.at(self.n_links, piece, in_a * in_b)
-        self.texts = self._texts(a.tolist(), b.tolist(), np.cumsum(in_a).tolist(), np.cumsum(in_b).tolist())
+        self.texts = self._texts(tokenizers, a, b, in_a, in_b)
         # Distinct ids of each group, then distinct pairs of each piece.
         at_a, id_a, times_a = counted(group_a, a)
         at_b, id_b, times_b = counted(group_b, b)
@@ -139,16 +163,19 @@ class Pieces:
         with_b = flat.ragged((np.cumsum(per_b) - per_b)[at_a], width)
         pair = np.repeat(id_a * tokenizers.n_b, width) + id_b[with_b]
         of, self.pairs, self.times = counted(np.repeat(piece[at_a], width), pair, weights=np.repeat(times_a, width) * times_b[with_b])
-        self.n_pairs = np.bincount(of, minlength=len(ids))
+        self.n_pairs = np.bincount(of, minlength=len(pieces))
         self.first = np.cumsum(self.n_pairs) - self.n_pairs
 
-    def _texts(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[str]:
-        groups, i, j = [], 0, 0
-        for m, n in zip(ends_a, ends_b):
-            groups.append(f"{a[i]}|{b[j]}" if m == i + 1 and n == j + 1 else f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-            i, j = m, n
-        ends = np.cumsum(self.n_groups).tolist()
-        return [";".join(groups[end - n : end]) for end, n in zip(ends, self.n_groups.tolist())]
+    def _texts(self, tokenizers: Tokenizers, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[str]:
+        """The groups of each piece, with a ; after each."""
+        names = np.empty(len(a) + len(b), object)
+        before = np.cumsum(in_a + in_b) - in_a - in_b
+        for ids, n, at, (within, end) in ((a, in_a, before, tokenizers.a_names), (b, in_b, before + in_a, tokenizers.b_names)):
+            places, last = flat.ragged(at, n), np.cumsum(n) - 1
+            names[places] = within[ids]
+            names[places[last]] = end[ids[last]]
+        ends, listed = np.cumsum(self.n_a + self.n_b).tolist(), names.tolist()
+        return ["".join(listed[x:y]) for x, y in zip([0, *ends], ends)]
 
 
 def aligned(texts: list[str | None], tokenizers: Tokenizers) -> tuple:
@@ -167,7 +194,7 @@ def aligned(texts: list[str | None], tokenizers: Tokenizers) -> tuple:
     links = np.zeros(len(texts), np.int64)
     np.add.at(links, doc, pieces.n_links[piece])
     listed = pieces.texts
-    digests = [hashlib.sha256(";".join([listed[i] for i in x]).encode()).hexdigest() if g else "" for x, g in zip(parts, good.tolist())]
+    digests = [hashlib.sha256("".join([listed[i] for i in x])[:-1].encode()).hexdigest() if g else "" for x, g in zip(parts, good.tolist())]
     doc, piece, times = counted(doc, piece)
     width = pieces.n_pairs[piece]
     at = flat.ragged(pieces.first[piece], width)
@@ -200,21 +227,29 @@ def _looked_up(frequent, best, n_b: int):
     """The sums of each row over frequent pairs, and its other pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = whole.column(1).offsets.to_numpy().astype(np.int64)
+            first = 0
+            while first < whole.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + PAIRS, "right")) - 1)
+                yield sums(whole.slice(first, last - first))
+                first = last
+
+    def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, counts = frequent.value
         most = best.value
-        for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            pairs, times = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(known, pairs), max(0, len(known) - 1))
-            found = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
-            n = counts[at[found]]
-            total, high = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            np.add.at(total, row[found], times[found] * n)
-            np.add.at(high, row[found], times[found] * (n == most[pairs[found] // n_b]))
-            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[~found], minlength=len(sizes)))]).astype(np.int32))
-            rest = [pa.ListArray.from_arrays(bounds, pa.array(x[~found])) for x in (pairs, times)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(3, batch.num_columns))), pa.array(high), pa.array(total), *rest], [batch.schema.names[0], *batch.schema.names[3:], "n_best", "count_sum", "pairs", "times"])
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        pairs, times = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.minimum(np.searchsorted(known, pairs), max(0, len(known) - 1))
+        found = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
+        n = counts[at[found]]
+        total, high = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        np.add.at(total, row[found], times[found] * n)
+        np.add.at(high, row[found], times[found] * (n == most[pairs[found] // n_b]))
+        bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[~found], minlength=len(sizes)))]).astype(np.int32))
+        rest = [pa.ListArray.from_arrays(bounds, pa.array(x[~found])) for x in (pairs, times)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, *range(3, batch.num_columns))), pa.array(high), pa.array(total), *rest], [batch.schema.names[0], *batch.schema.names[3:], "n_best", "count_sum", "pairs", "times"])
 
     return work
 
