@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.constants import RULES
 from ..operators.quality import assess, project
 from ..sources.frames import build_frames
+from ..sources.logs import growing_logs
 from ..sources.telemetry import TELEMETRY_SQL, telemetry
 from ..streaming.episodes import stream_episodes as episodes_of
-from ..streaming.ingest import admit, ingest_health, latest_episodes, latest_rollups, run_rollups, start_ingest, stored
+from ..streaming.ingest import admit, counters, health_table, ingest_health, latest_episodes, latest_rollups, rejected, run_rollups, start_ingest, stored_points
 from .rollups import _rolled
-from .shared import rounded, sql
-from .tables import NOW_S
+from .shared import rounded, span, sql
 from .telemetry import _EPISODES
 
 QUERIES, SQL = {}, {}
@@ -68,19 +68,19 @@ def _run_late(spark, sf_dir, parents=(), rules=None):
 
 def stream_parents(spark, sf_dir):
     """600 s rollups kept from the 60 s ones by a stream that is restarted twice, with late and repeated rows."""
-    out = latest_rollups(spark, f"{_run_late(spark, sf_dir, (600,))}/rollups-600")
+    out = latest_rollups(spark, _run_late(spark, sf_dir, (600,)), 600)
     return rounded(out.select("device_id", "bucket_ms", "points", "fixed", "valid", "speed_sum"), 4)
 
 
 def stream_late_episodes(spark, sf_dir):
     """Episodes of all kinds by the same stream; late rows change those that they touch."""
-    out = latest_episodes(spark, f"{_run_late(spark, sf_dir, (), RULES)}/episodes")
+    out = latest_episodes(spark, _run_late(spark, sf_dir, (), RULES))
     return rounded(out.select("device_id", "kind", "start_ms", "end_ms", "peak", "samples"), 4)
 
 
 def stream_health(spark, sf_dir):
-    """Batches and rows of the same stream, as its progress table tells them."""
-    table = spark.read.parquet(f"{_run_late(spark, sf_dir)}/health")
+    """Batches and rows of the same stream, as its state tells them."""
+    table = health_table(spark, _run_late(spark, sf_dir))
     now = table.agg(F.unix_millis(F.max("at"))).first()[0] / 1000 + 5
     return ingest_health(table.where("rows > 0"), now).select("rows", "behind", "ready")
 
@@ -90,20 +90,41 @@ def _frames_of(spark, sf_dir):
     return build_frames(t)
 
 
-def stream_ingest(spark, sf_dir):
-    """Log files landed in two parts (a file of a device and minute each), some of them twice and some retired; the ingest is restarted between."""
+def _ingest(spark, sf_dir):
+    """Log files landed in two parts (a file of a device and minute each), some of them retired, and an ingest that is restarted between.
+
+    At first its clock stands in the middle of the telemetry, so that what is more than 300 s later is refused; then it has gone on by a day.
+    """
     folder = _folder(spark)
-    name = F.concat(F.element_at(F.split("source", "/"), -1), F.lit("-"), F.floor(F.col("source_offset") / 60_000).cast("string"))
-    rows = _frames_of(spark, sf_dir).select(name.alias("minute"), F.concat("frame", F.lit("\r")).alias("value"), (F.floor(F.col("source_offset") / 60_000) % 2).alias("half"))
+    lo, hi = span(spark, sf_dir)
+    minute = F.floor(F.col("source_offset") / 60_000)
+    name = F.concat(F.element_at(F.split("source", "/"), -1), F.lit("-"), minute.cast("string"))
+    rows = _frames_of(spark, sf_dir).select(name.alias("minute"), F.concat("frame", F.lit("\r")).alias("value"), (minute % 2).alias("half"))
     for k, part in enumerate((rows.where("half = 0"), rows)):
         part.select("minute", "value").repartition("minute").write.partitionBy("minute").text(f"{folder}/logs/{k}")
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{folder}/logs").select("path")
+        files = growing_logs(spark, f"{folder}/logs", "*.txt").select("path").distinct()
         retired = files.where(F.contains("path", F.lit("minute=D3-")))
-        start_ingest(spark, f"{folder}/logs", folder, NOW_S, {"availableNow": True}, "*.txt", retired).awaitTermination()
-    points = stored(spark, f"{folder}/points")
+        clock = (lo + hi) / 2000 + 86_400 * k
+        start_ingest(spark, f"{folder}/logs", folder, {"availableNow": True}, "*.txt", retired, lambda at=clock: at).awaitTermination()
+    return folder
+
+
+def stream_ingest(spark, sf_dir):
+    """The points of the ingest."""
+    points = stored_points(spark, _ingest(spark, sf_dir))
     return rounded(points.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.sum("speed").alias("speed_sum")), 4)
 
 
+def stream_rejects(spark, sf_dir):
+    """What the same ingest refused by its clock, as the reject table and the files' counters tell it."""
+    folder = _ingest(spark, sf_dir)
+    refused = rejected(spark, folder).groupBy("device_id", "reject_reason").agg(F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("first_ms"))
+    get = lambda name: F.coalesce(F.col("counters")[name], F.lit(0))
+    device = F.regexp_extract("source", "minute=(D[0-9])-", 1).alias("device_id")
+    files = counters(spark, folder).groupBy(device).agg(*[F.sum(get(c)).alias(c) for c in ("points", "duplicates", "rejected", "valid_ascii", "unparsed_bytes")])
+    return files.join(refused, "device_id", "left")
+
+
 def admitted_rows(spark, sf_dir):
     """Rows of the future and of before 2010 are refused, however old others are."""
     t = telemetry(spark, sf_dir)
@@ -134,7 +155,7 @@ def _run_states(rows, folder, version):
 
 
 def _episodes_in(spark, folder):
-    last = stored(spark, f"{folder}/updates").groupBy("device_id", "kind", "start_ms").agg(F.max_by(F.struct("end_ms", "peak", "samples"), F.struct("end_ms", "samples")).alias("e"))
+    last = spark.read.parquet(f"{folder}/updates").groupBy("device_id", "kind", "start_ms").agg(F.max_by(F.struct("end_ms", "peak", "samples"), F.struct("end_ms", "samples")).alias("e"))
     return rounded(last.select("device_id", "kind", "start_ms", "e.*"), 4)
 
 
@@ -145,7 +166,7 @@ def stream_episodes(spark, sf_dir):
     return _episodes_in(spark, folder)
 
 
-QUERIES |= {f.__name__: f for f in (stream_rollup, stream_episodes, stream_parents, stream_late_episodes, stream_health, stream_ingest, admitted_rows, stream_rule_change)}
+QUERIES |= {f.__name__: f for f in (stream_rollup, stream_episodes, stream_parents, stream_late_episodes, stream_health, stream_ingest, stream_rejects, admitted_rows, stream_rule_change)}
 SQL["stream_rollup"] = sql(f"\nSELECT device_id, bucket_ms, points, fixed, valid, round(speed_sum, 4) + 0.0 AS speed_sum FROM ({_rolled(60)})")
 SQL["stream_episodes"] = sql(""",
 se AS (SELECT device_id, t_ms, CASE WHEN speed * 3.6 > 85 AND protocol = 'GPCHCX' THEN speed * 3.6 END AS value FROM t),
@@ -156,6 +177,10 @@ SELECT device_id, 'overspeed' AS kind, min(t_ms) AS start_ms, max(t_ms) AS end_m
 SQL["stream_parents"] = sql(f"\nSELECT device_id, bucket_ms, points, fixed, valid, round(speed_sum, 4) + 0.0 AS speed_sum FROM ({_rolled(600)})")
 SQL["stream_late_episodes"] = sql(_EPISODES + "\nSELECT device_id, kind, start_ms, end_ms, round(peak, 4) + 0.0 AS peak, samples FROM ev")
 SQL["stream_health"] = "WITH m AS (SELECT max(event_id) AS n FROM events) SELECT count(*) FILTER (event_id BETWEEN n // 3 AND 2 * n // 3) + count(*) FILTER (event_id BETWEEN 2 * n // 3 - 100 AND n) + count(*) FILTER (event_id BETWEEN 0 AND n // 3) AS rows, CAST(0 AS BIGINT) AS behind, true AS ready FROM events, m"
+_REFUSED = """, m AS (SELECT *, CAST(floor(t_ms / 60000) AS BIGINT) % 2 = 0 AS early, t_ms / 1000.0 > (min(t_ms) OVER () + max(t_ms) OVER ()) / 2000.0 + 300 AS ahead FROM t), i AS (SELECT *, early AND ahead AS refused FROM m WHERE device_id <> 'D3')"""
+SQL["stream_rejects"] = sql(_REFUSED + """
+SELECT device_id, count(*) AS points, count(*) FILTER (early AND NOT ahead) AS duplicates, count(*) FILTER (refused) AS rejected, count(*) + count(*) FILTER (early) AS valid_ascii, CAST(0 AS BIGINT) AS unparsed_bytes,
+  CASE WHEN count(*) FILTER (refused) > 0 THEN 'clock_range' END AS reject_reason, CASE WHEN count(*) FILTER (refused) > 0 THEN count(*) FILTER (refused) END AS n, min(t_ms) FILTER (refused) AS first_ms FROM i GROUP BY device_id""")
 SQL["stream_ingest"] = sql("\nSELECT device_id, count(*) AS n, min(t_ms) AS first_ms, max(t_ms) AS last_ms, round(sum(speed), 4) + 0.0 AS speed_sum FROM t WHERE device_id <> 'D3' GROUP BY device_id")
 SQL["admitted_rows"] = sql("""
 , mo AS (SELECT device_id, CASE WHEN t_ms // 100 % 13 = 0 THEN t_ms + 3155760000000 WHEN t_ms // 100 % 17 = 0 THEN 1262303999999 WHEN t_ms // 100 % 19 = 0 THEN 1262304000000 ELSE t_ms END AS t_ms FROM t)

@@ -69,16 +69,16 @@ def reject_summary(spark, sf_dir):
 
 
 @query(sql(f"""
-SELECT concat('telemetry/', device_id) AS source, 2 * count(*) AS frames, count(*) AS auxiliary, count(*) FILTER (NOT {_SPOILED} BETWEEN 1 AND 14) AS points, count(*) FILTER (NOT {_SPOILED} BETWEEN 1 AND 14) AS duplicates,
-  2 * count(*) FILTER ({_SPOILED} BETWEEN 1 AND 14) AS rejected, 2 * count(*) FILTER ({_SPOILED} = 1) AS bad, 2 * count(*) FILTER ({_SPOILED} = 3) AS basic FROM t GROUP BY ALL"""))
+SELECT concat('telemetry/', device_id) AS source, 2 * count(*) FILTER (NOT {_SPOILED} BETWEEN 1 AND 13) + count(*) AS frames, count(*) AS auxiliary, count(*) FILTER (NOT {_SPOILED} BETWEEN 1 AND 14) AS points, count(*) FILTER (NOT {_SPOILED} BETWEEN 1 AND 14) AS duplicates,
+  2 * count(*) FILTER ({_SPOILED} BETWEEN 1 AND 14) AS rejected, 2 * count(*) FILTER ({_SPOILED} = 1) AS bad, 2 * count(*) FILTER ({_SPOILED} = 14) AS ahead FROM t GROUP BY ALL"""))
 def ingest_counters(spark, sf_dir):
     """Every frame comes twice, and once more as an auxiliary message."""
     f = _frames(spark, sf_dir)
     twice = f.withColumn("source_offset", F.explode(F.array(F.col("source_offset"), F.col("source_offset") + 1)))
-    other = f.withColumn("frame", F.lit("$GPAUX,1*00"))
+    other = f.withColumn("frame", F.lit("$GPAUX,1*46"))
     c = frames.ingest_counters(frames.decode_points(twice, NOW_S), twice.unionByName(other))
     get = lambda name: F.coalesce(F.col("counters")[name], F.lit(0)).cast("bigint")
-    return c.select("source", get("valid_ascii").alias("frames"), get("auxiliary_ascii").alias("auxiliary"), get("points").alias("points"), get("duplicates").alias("duplicates"), get("rejected").alias("rejected"), get("error:checksum").alias("bad"), get("protocol:GPCHC").alias("basic"))
+    return c.select("source", get("valid_ascii").alias("frames"), get("auxiliary_ascii").alias("auxiliary"), get("points").alias("points"), get("duplicates").alias("duplicates"), get("rejected").alias("rejected"), get("error:checksum").alias("bad"), get("error:clock_range").alias("ahead"))
 
 
 _LOGS = """
@@ -103,12 +103,14 @@ def frame_scan(spark, sf_dir):
     return frames.frames_in(_logs(spark, sf_dir))
 
 
-@query(_LOGS + "\nSELECT source, CAST(sum(before + length + 2) AS BIGINT) AS read_bytes, CAST(sum(before + 2) AS BIGINT) AS unparsed_bytes, count(*) AS auxiliary FROM r GROUP BY source")
+@query(_LOGS + "\nSELECT source, CAST(sum(before + length + 2) AS BIGINT) AS read_bytes, CAST(sum(before) AS BIGINT) AS unparsed_bytes, count(*) FILTER (sum_ok) AS auxiliary, count(*) FILTER (NOT sum_ok) AS rejected "
+       "FROM (SELECT *, list_reduce(list_transform(range(2, strlen(body) + 1), lambda i: ascii(body[i])), lambda a, b: xor(a, b)) = 0 AS sum_ok FROM r) GROUP BY source")
 def file_counters(spark, sf_dir):
     files = _logs(spark, sf_dir)
-    found = frames.frames_in(files)
+    found = frames.matches_in(files)
     c = frames.ingest_counters(frames.decode_points(found, NOW_S), found, files)
-    return c.select("source", F.col("counters")["read_bytes"].alias("read_bytes"), F.col("counters")["unparsed_bytes"].alias("unparsed_bytes"), F.col("counters")["auxiliary_ascii"].alias("auxiliary"))
+    get = lambda name: F.coalesce(F.col("counters")[name], F.lit(0)).cast("bigint")
+    return c.select("source", get("read_bytes").alias("read_bytes"), get("unparsed_bytes").alias("unparsed_bytes"), get("auxiliary_ascii").alias("auxiliary"), get("rejected").alias("rejected"))
 
 
 @query(sql(f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CHANNELS
 from ..functions.scalars import gps_to_unix, valid_position
+from .logs import STEP, growing_logs
 
 # The shape of a frame and where the channels stand in it.
 FRAME = r"([$#][A-Z][A-Z0-9]+,[\x20-\x7e]{1,4096}?\*[0-9a-fA-F]{2,8})\r?\n"
@@ -20,22 +21,29 @@ FRAME_COLUMNS = "source string, source_offset bigint, source_length int, frame s
 
 
 def frames_in(raw: DataFrame) -> DataFrame:
-    """source, source_offset, source_length and frame of each frame in files (path, content as binary)."""
+    """source, source_offset, source_length and frame of each frame in files (path, content as binary) or in ranges of files (with their start)."""
+    return matches_in(raw).drop("matched")
+
+
+def matches_in(raw: DataFrame) -> DataFrame:
+    """As frames_in, with matched: the bytes of a frame and of its line's end."""
     text = F.decode("content", "ISO-8859-1")
-    df = raw.select(F.col("path").alias("source"), text.alias("_text"))
-    # One character is one byte; a frame's offset is the length of what stands before it, a running sum in the file's order.
+    start = F.col("start") if "start" in raw.columns else F.lit(0).cast("bigint")
+    df = raw.select(F.col("path").alias("source"), start.alias("_start"), text.alias("_text"))
+    # One character is one byte; a frame's offset is the length of what stands before it, a running sum in the range's order.
     pieces = F.zip_with(
         F.zip_with(F.split("_text", FRAME, -1), F.regexp_extract_all("_text", F.lit(FRAME), F.lit(0)), lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b"))),
         F.regexp_extract_all("_text", F.lit(FRAME), F.lit(1)), lambda x, f: F.struct(x["a"].alias("a"), x["b"].alias("b"), f.alias("frame")))
-    each = df.select("source", F.posexplode(pieces).alias("k", "p")).select("source", "k", "p.*")
-    w = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.col("a").cast("bigint") + F.coalesce("b", F.lit(0))).over(w)
-    return each.withColumn("source_offset", upto - F.coalesce("b", F.lit(0))).where("frame IS NOT NULL").select("source", "source_offset", F.length("frame").alias("source_length"), "frame")
+    each = df.select("source", "_start", F.posexplode(pieces).alias("k", "p")).select("source", "_start", "k", "p.*")
+    w = Window.partitionBy("source", "_start").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_start") + F.sum(F.col("a").cast("bigint") + F.coalesce("b", F.lit(0))).over(w)
+    out = each.withColumn("source_offset", upto - F.coalesce("b", F.lit(0))).where("frame IS NOT NULL")
+    return out.select("source", "source_offset", F.length("frame").alias("source_length"), "frame", F.col("b").cast("bigint").alias("matched"))
 
 
-def scan_frames(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").load(path)
-    return frames_in(raw.select("path", "content"))
+def scan_frames(spark: SparkSession, path: str, glob: str = "*.log", step: int = STEP) -> DataFrame:
+    """The frames of all log files under a path; a file is read in ranges, each by a task of its own."""
+    return frames_in(growing_logs(spark, path, glob, step))
 
 
 def xor_checksum(body: Column) -> Column:
@@ -100,23 +108,42 @@ def decode_points(frames: DataFrame, now_s: float, bound_serial: str | None = No
     return df.select("device_id", "t_ms", "protocol", "week", "tow", *CHANNELS, "status_text", "fix_mode", "nav_mode", "warning", "valid_pos", "source", "source_offset", "source_length", "reject_reason")
 
 
-def ingest_counters(decoded: DataFrame, frames: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """A map of counters for each source: valid_ascii, points, duplicates, rejected, protocol:X, error:X; with all frames auxiliary_ascii, with files (path, content) read_bytes and unparsed_bytes too."""
-    good = F.col("reject_reason").isNull()
-    first = F.row_number().over(Window.partitionBy("device_id", "t_ms", "protocol", good).orderBy("source", "source_offset")) == 1
-    marked = decoded.select("source", "protocol", "reject_reason", (good & ~first).alias("again"))
-    names = F.array_compact(F.array(
-        F.lit("valid_ascii"), F.concat(F.lit("protocol:"), "protocol"), F.when(F.col("again"), "duplicates").when(good, "points").otherwise("rejected"), F.when(~good, F.concat(F.lit("error:"), "reject_reason"))))
-    counted = marked.select("source", F.explode(names).alias("name")).groupBy("source", "name").agg(F.count(F.lit(1)).alias("n"))
+def counter_rows(decoded: DataFrame, fresh: DataFrame, frames: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """source, name and n of what was read.
+
+    decoded are the points of all frames, fresh those that are new. Frames that parse count as valid_ascii and by protocol, even
+    if their clock is refused; with all frames (as matches_in gives them) those of other kinds count as auxiliary_ascii, or as rejected where
+    their checksum is wrong; with files or ranges of files, read_bytes and unparsed_bytes (all but frames with their line ends).
+    """
+    def named(rows, names):
+        return rows.select("source", F.explode(F.array_compact(F.array(*names))).alias("name"), "n")
+
+    one = F.count(F.lit(1)).alias("n")
+    parsed, bad = F.col("reject_reason").isNull() | (F.col("reject_reason") == "clock_range"), F.col("reject_reason").isNotNull()
+    kinds = decoded.groupBy("source", "protocol", "reject_reason").agg(one)
+    out = named(kinds, [F.when(parsed, "valid_ascii"), F.when(parsed, F.concat(F.lit("protocol:"), "protocol")), F.when(bad, "rejected"), F.when(bad, F.concat(F.lit("error:"), "reject_reason"))])
+    new = fresh.groupBy("source").agg(one)
+    good = kinds.where(~bad).groupBy("source").agg(F.sum("n").alias("n"))
+    again = good.join(new.withColumnRenamed("n", "_new"), "source", "left").select("source", F.lit("duplicates").alias("name"), (F.col("n") - F.coalesce("_new", F.lit(0))).alias("n"))
+    out = out.unionByName(new.select("source", F.lit("points").alias("name"), "n")).unionByName(again.where("n > 0"))
     if frames is not None:
-        other = frames.where(~F.substring_index(F.substring("frame", 2, 20), ",", 1).isin(*FIELDS))
-        counted = counted.unionByName(other.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("auxiliary_ascii")))
+        other = with_checksum(frames.where(~F.substring_index(F.substring("frame", 2, 20), ",", 1).isin(*FIELDS))).groupBy("source", "name", "checksum_ok").agg(one).withColumnRenamed("name", "kind")
+        ok = F.col("checksum_ok")
+        out = out.unionByName(named(other, [F.when(ok, "valid_ascii"), F.when(ok, F.concat(F.lit("protocol:"), "kind")), F.when(ok, "auxiliary_ascii"), F.when(~ok, "rejected"), F.when(~ok, "error:checksum")]))
     if files is not None:
-        size = files.select(F.col("path").alias("source"), F.length("content").cast("bigint").alias("n"))
-        parsed = frames.groupBy("source").agg(F.sum(F.col("source_length")).alias("_parsed"))
-        counted = counted.unionByName(size.withColumn("name", F.lit("read_bytes")))
-        counted = counted.unionByName(size.join(parsed, "source", "left").select("source", (F.col("n") - F.coalesce("_parsed", F.lit(0))).alias("n"), F.lit("unparsed_bytes").alias("name")))
-    return counted.groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("counters"))
+        size = files.groupBy(F.col("path").alias("source")).agg(F.sum(F.length("content").cast("bigint")).alias("n"))
+        matched = frames.groupBy("source").agg(F.sum("matched").alias("_matched"))
+        out = out.unionByName(size.select("source", F.lit("read_bytes").alias("name"), "n"))
+        out = out.unionByName(size.join(matched, "source", "left").select("source", F.lit("unparsed_bytes").alias("name"), (F.col("n") - F.coalesce("_matched", F.lit(0))).alias("n")))
+    return out.groupBy("source", "name").agg(F.sum("n").alias("n"))
+
+
+def ingest_counters(decoded: DataFrame, frames: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """A map of counters (see counter_rows) for each source; of repeated points the first is new."""
+    good = decoded.where("reject_reason IS NULL")
+    first = good.groupBy("device_id", "t_ms", "protocol").agg(F.min(F.struct("source", "source_offset")).alias("_first")).select("_first.source")
+    rows = counter_rows(decoded, first, frames, files)
+    return rows.groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("counters"))
 
 
 def build_frames(points: DataFrame, source: str = "telemetry", changes: dict[int, Column] | None = None, basic: Column | None = None, more: Column | None = None) -> DataFrame:
