@@ -121,7 +121,6 @@ def test_dedup_keeps_first_and_known(spark):
 def test_intervals_and_breaks(spark):
     i = spark.createDataFrame([("A", 0, 10), ("A", 5, 20), ("A", 40, 50)], "device_id string, start_ms bigint, end_ms bigint")
     assert sorted(map(tuple, rollup.coalesce_intervals(i).collect())) == [("A", 0, 20), ("A", 40, 50)]
-    assert lifecycle.overlap_conflicts(spark.createDataFrame([("A", 15, 30)], i.schema), i).count() == 1
     b = spark.createDataFrame([("A", 0, 1.0, 10.0), ("A", 60_000, 2.0, 350.0), ("A", 400_000, 3.0, 351.0)], "device_id string, t_ms bigint, speed double, heading double")
     assert series.break_series(b).where("is_break").count() == 2
 
@@ -335,3 +334,88 @@ def test_entry_imports_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'trip_summary' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_contexts_with_open_ends_and_against_each_other(spark):
+    cols = "context_id string, device_id string, start_ms bigint, end_ms bigint"
+    old = spark.createDataFrame([("a", "A", 0, 10), ("b", "A", 100, None), ("c", "B", 50, 60)], cols)
+    new = spark.createDataFrame([
+        ("in-open", "A", 500, 600), ("ends-at-start", "A", 60, 100), ("touches", "A", 10, 20), ("free", "A", 20, 30), ("second", "A", 25, 40), ("third", "A", 31, 90),
+        ("open", "B", 70, None), ("after-open", "B", 1000, 1001), ("over-all", "B", 0, None), ("before", "B", 0, 49), ("back", "B", 9, 9), ("c", "B", 50, None), ("b", "A", 101, 102), ("late", "C", 5000, None), ("first", "C", 0, 7)], cols)
+    there, installed, refused = lifecycle.install_contexts(old, new, now_ms=4000)
+    assert {r["context_id"] for r in installed.collect()} == {"free", "third", "open", "before", "first"}
+    assert there.count() == 8
+    assert {(r["context_id"], r["refused"]) for r in refused.collect()} == {
+        ("in-open", "overlap"), ("ends-at-start", "overlap"), ("touches", "overlap"), ("second", "overlap"), ("after-open", "overlap"), ("over-all", "overlap"), ("back", "invalid"), ("b", "frozen"), ("late", "invalid")}
+    points = spark.createDataFrame([("A", t) for t in (0, 20, 30, 95)] + [("B", 10**15), ("D", 1)], "device_id string, t_ms bigint")
+    assert _rows(lifecycle.without_spans(points, installed)) == [("A", 0), ("A", 95), ("D", 1)]
+    assert lifecycle.install_contexts(old.limit(0), new.limit(0))[0].count() == 0
+
+
+def test_contexts_are_closed_once(spark):
+    old = spark.createDataFrame([("a", "A", 0, None), ("b", "B", 0, None), ("c", "B", 0, 5)], "context_id string, device_id string, start_ms bigint, end_ms bigint")
+    quality = spark.createDataFrame([("A", 10), ("A", 11), ("B", 99)], "device_id string, t_ms bigint")
+    changes = spark.createDataFrame([("a", 10, "moved"), ("a", 20, "again"), ("b", 5000, "future"), ("b", 0, "no time"), ("b", 7, " "), ("c", 7, "closed"), ("x", 7, "unknown")], "context_id string, end_ms bigint, note string")
+    cut, left, audit, refused = lifecycle.close_contexts(old, quality, changes, 1000)
+    assert _rows(cut.select("context_id", "end_ms")) == [("a", 10), ("b", None), ("c", 5)] and _rows(left) == [("A", 10), ("B", 99)]
+    assert _rows(audit) == [("a", "context_close", 10, "moved")]
+    assert _rows(refused.select("context_id", "end_ms", "refused")) == [("a", 20, "not_open"), ("b", 0, "end"), ("b", 5000, "end"), ("b", 7, "note"), ("c", 7, "not_open"), ("x", 7, "not_open")]
+
+
+def test_changes_of_one_key_are_made_in_order(spark):
+    events = spark.createDataFrame([(1, "open", None), (2, "open", "n")], "event_id int, status string, note string")
+    changes = spark.createDataFrame([(1, 1, "acknowledged", None), (1, 2, "resolved", " "), (1, 3, "resolved", " done "), (1, 4, "open", None), (3, 1, "open", None), (2, 1, None, "x")], "event_id int, seq int, new_status string, new_note string")
+    out, audit, refused = lifecycle.review_events(events, changes)
+    assert _rows(out) == [(1, "open", ""), (2, "open", "n")]
+    assert _rows(audit) == [(1, 1, "open", "acknowledged", ""), (1, 3, "acknowledged", "resolved", "done"), (1, 4, "resolved", "open", "")]
+    assert [(r[0], r[1], r[-1]) for r in _rows(refused)] == [(1, 2, "note"), (2, 1, "status"), (3, 1, "unknown_event")]
+    devices = spark.createDataFrame([("A", 1, 80.0, None), ("B", 7, 80.0, 2.0)], "device_id string, version int, speed double, roll double")
+    rules = spark.createDataFrame([("A", 1, 90.0, None), ("A", 2, 90.0, None), ("A", 3, None, 5.0), ("A", 4, 500.0, None), ("A", 5, 80.0, 5.0), ("Z", 1, 90.0, None)], "device_id string, seq int, speed double, roll double")
+    out, log, refused = lifecycle.update_devices(devices, rules, {"speed": (10.0, 200.0), "roll": (1.0, 90.0)})
+    assert _rows(out.select("device_id", "version", "speed", "roll")) == [("A", 4, 80.0, 5.0), ("B", 7, 80.0, 2.0)]
+    assert _rows(log.drop("action")) == [("A", 1, 2, 90.0, None), ("A", 3, 3, 90.0, 5.0), ("A", 5, 4, 80.0, 5.0)]
+    assert [(r[0], r[1], r[-1]) for r in _rows(refused)] == [("A", 4, "bounds"), ("Z", 1, "unknown_device")]
+
+
+def test_quantiles_of_distinct_values_need_no_task_for_a_key(spark, monkeypatch):
+    """All values of one device differ: no task after the sketch reads more than a fraction of them."""
+    import numpy as np
+
+    from wayline.operators import audit
+
+    monkeypatch.setattr(audit, "SMALL", 2000)
+    n = 300_000
+    df = spark.range(n).select(F.lit("A").alias("k"), (F.exp(F.randn(4) * 3) * F.randn(5)).alias("value")).unionByName(spark.createDataFrame([(None, 1.0), (None, 3.0), ("B", None), ("C", 5.0)], "k string, value double")).persist()
+    at = {"a": 0.5, "b": 0.9, "z": 0.0, "m": 1.0, "c": 0.999, "d": 0.01}
+    rows = audit.interpolated(df, ["k"], at)
+    got = {r["k"]: r for r in rows.collect()}
+    values = np.array([r["value"] for r in df.where("k = 'A'").collect()])
+    assert all(got["A"][c] == pytest.approx(np.quantile(values, q), rel=1e-12, abs=1e-12) for c, q in at.items())
+    assert got[None]["a"] == 2.0 and got[None]["b"] == pytest.approx(2.8) and got["C"]["m"] == 5.0 and "B" not in got
+    # What goes on to the ordered part are marks and the values near a quantile.
+    low, high = (float(np.quantile(values, min(1, max(0, 0.5 + d)))) for d in (-2 * audit.MARGIN, 2 * audit.MARGIN))
+    assert ((values >= low) & (values <= high)).sum() < n / 200
+    df.unpersist()
+
+
+def test_median_steps_of_jittered_runs(spark):
+    """Rates of runs over days with many different steps, in time in proportion to the days."""
+    import time
+
+    import numpy as np
+
+    took = []
+    for days in (1, 8):
+        n = days * 864_000 // 4
+        rows = spark.range(n).select(F.lit("A").alias("device_id"), (F.lit(1_704_067_200_000) + F.col("id") * 120 + F.pmod(F.xxhash64("id"), F.lit(30))).alias("t_ms"), F.lit("GPCHCX").alias("protocol"), F.lit(1.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("az"))
+        began = time.perf_counter()
+        got = vibration.vibration_runs(rows).groupBy("run").agg(F.count("*").alias("n"), F.max("hz").alias("hz"), F.max("idx").alias("last"), F.max("samples").alias("samples")).collect()
+        took.append(time.perf_counter() - began)
+        t = np.array([r[0] for r in rows.select("t_ms").orderBy("t_ms").collect()])
+        assert [(r["n"], r["last"], r["samples"]) for r in got] == [(n, n - 1, n)]
+        assert got[0]["hz"] == pytest.approx(1000 / np.median(np.diff(t)))
+    assert took[1] < 12 * took[0] + 5

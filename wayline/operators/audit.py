@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +22,44 @@ SPEED_REASONS = ("gpchcx_speed", "vibration_stationary", "navigation_drift", "no
 WINDOW_CHANNELS = ["speed", "heading", "pitch", "roll", "gx", "gy", "gz", "ax", "ay", "az", "ve", "vn", "vu", "alt"]
 
 
+#: Quantiles of keys of up to SMALL rows are read off all their values; of larger keys, off those within MARGIN of a quantile, told by a sketch of
+#: an error of 1 / ACCURACY.
+SMALL, MARGIN, ACCURACY = 20_000, 5e-4, 20_000
+
+
 def interpolated(rows: DataFrame, by: list[str], at: dict[str, float], value: str = "value") -> DataFrame:
-    """Linearly interpolated quantiles of value for each key, a column for each name in at.
+    """Linearly interpolated quantiles of value for each key, a column for each name in at; exact.
 
-    Equal values are counted before the shuffle; places are running sums over the distinct values, which
-    Spark sorts on disk, so no key's values have to fit in memory.
+    A sketch of each key (merged over tasks) gives for each quantile a bracket of values in which its place lies. A second pass counts,
+    before the shuffle, the rows below each bracket, and the equal values within it: so no key's values meet in one task, but about a
+    thousandth of them for each quantile, and those of small keys.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    placed = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    # The total is the largest running sum, met when read from the other end.
-    placed = placed.withColumn("_total", F.sum("_n").over(w))
+    names, m = sorted(at, key=lambda k: at[k]), len(at)
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    low, high = ([float(min(1.0, max(0.0, at[k] + d))) for k in names] for d in (-MARGIN, MARGIN))
+    sketch = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", low + high, ACCURACY).alias("_q"))
+    few = F.col("_total") <= SMALL
+    sketch = sketch.select(
+        *[F.col(k).alias(f"_k_{k}") for k in by], "_total", F.when(few, F.array_repeat("_min", m)).otherwise(F.slice("_q", 1, m)).alias("_low"), F.when(few, F.array_repeat("_max", m)).otherwise(F.slice("_q", m + 1, m)).alias("_high"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
+    joined = known.join(sketch, same)
+    # A row counts below the brackets whose lower ends are above it (a mark, _j the first of them), and stands in those that hold it.
+    first = F.size(F.filter("_low", lambda x: x <= F.col("_v")))
+    mark = F.array(F.struct(F.lit(True).alias("below"), first.alias("_j"), F.lit(None).cast("double").alias("_v")))
+    inside = F.filter(F.transform(F.arrays_zip("_low", "_high"), lambda x, i: F.when((x["_low"] <= F.col("_v")) & (F.col("_v") <= x["_high"]), F.struct(F.lit(False).alias("below"), i.alias("_j"), F.col("_v").alias("_v")))), lambda x: x.isNotNull())
+    placed = joined.select(*by, "_total", F.inline(F.concat(mark, inside))).groupBy(*by, "_total", "below", "_j", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    each = F.when(~F.col("below"), F.array("_j")).when(F.col("_j") < m, F.sequence("_j", F.lit(m - 1)))
+    placed = placed.select(*by, "_total", "_n", "_v", F.explode(each).alias("_j"))
+    w = Window.partitionBy(*by, "_j").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_upto", F.sum("_n").over(w)).where("_v IS NOT NULL")
     out = []
-    for name, q in at.items():
-        place = F.lit(float(q)) * (F.col("_total") - 1)
-        holds = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
-        low, high = F.max(F.when(holds(F.floor(place)), F.col("_v"))), F.max(F.when(holds(F.ceil(place)), F.col("_v")))
+    for name in at:
+        j = names.index(name)
+        place = F.lit(float(at[name])) * (F.col("_total") - 1)
+        holds = lambda k, j=j: (F.col("_j") == j) & (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
+        lower, upper = F.max(F.when(holds(F.floor(place)), F.col("_v"))), F.max(F.when(holds(F.ceil(place)), F.col("_v")))
         up, down = F.max(F.ceil(place) - place), F.max(place - F.floor(place))
-        out.append(F.when(down == 0, low).otherwise(up * low + down * high).alias(name))
+        out.append(F.when(down == 0, lower).otherwise(up * lower + down * upper).alias(name))
     return placed.groupBy(*by).agg(*out)
 
 

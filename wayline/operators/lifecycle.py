@@ -71,48 +71,127 @@ def migrate_rules(devices: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moved.drop("_legacy"), audit
 
 
-def update_devices(devices: DataFrame, changes: DataFrame, bounds: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
-    """Devices with changed rules, version up where something changed, and the changes out of bounds (not applied)."""
+def _in_order(key: str):
+    """A key's changes in the order in which they were made, and those before one."""
+    w = Window.partitionBy(key).orderBy("seq")
+    return w, w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def update_devices(devices: DataFrame, changes: DataFrame, bounds: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Devices with changed rules, an audit row for each change that changes something, and the changes refused (out of bounds, or of no known device).
+
+    Changes (device_id, seq and some of the rules; null leaves one as it is) of a device are made one after another; each that
+    changes something brings the version up by one.
+    """
     wrong = F.exists(F.array(*[~F.col(k).between(*b) for k, b in bounds.items()]), lambda x: F.coalesce(x, F.lit(False)))
-    bad = changes.where(wrong)
-    new = changes.where(~wrong).select("device_id", *[F.col(k).alias(f"_{k}") for k in bounds])
-    df = devices.join(new, "device_id", "left")
-    changed = F.exists(F.array(*[F.col(f"_{k}").isNotNull() & ~F.col(f"_{k}").eqNullSafe(F.col(k)) for k in bounds]), lambda x: x)
-    df = df.withColumn("version", F.col("version") + changed.cast("int")).withColumns({k: F.coalesce(f"_{k}", k) for k in bounds})
-    return df.drop(*[f"_{k}" for k in bounds]), bad
+    known = devices.select("device_id", "version", *[F.col(k).alias(f"_{k}") for k in bounds])
+    marked = changes.join(known, "device_id", "left").withColumn("refused", F.when(wrong, "bounds").when(F.col("version").isNull(), "unknown_device"))
+    _, before = _in_order("device_id")
+    steps = marked.where("refused IS NULL")
+    steps = steps.withColumns({f"_was_{k}": F.coalesce(F.last(k, ignorenulls=True).over(before), f"_{k}") for k in bounds})
+    changed = F.exists(F.array(*[F.col(k).isNotNull() & ~F.col(k).eqNullSafe(F.col(f"_was_{k}")) for k in bounds]), lambda x: x)
+    steps = steps.withColumn("_changed", changed)
+    steps = steps.withColumn("_version", F.col("version") + F.sum(F.col("_changed").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    log = steps.where("_changed").select("device_id", "seq", F.lit("device_update").alias("action"), F.col("_version").alias("version"), *[F.coalesce(k, f"_was_{k}").alias(k) for k in bounds])
+    last = steps.groupBy("device_id").agg(F.max("_version").alias("_version"), *[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("seq"))).alias(f"_{k}") for k in bounds])
+    out = devices.join(last, "device_id", "left").withColumns({"version": F.coalesce("_version", "version")} | {k: F.coalesce(f"_{k}", k) for k in bounds})
+    return out.drop("_version", *[f"_{k}" for k in bounds]), log, marked.where("refused IS NOT NULL").select(*changes.columns, "refused")
 
 
 def review_events(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events with new states, an audit row for each, and the changes refused (resolved without a note, unknown state)."""
-    good = F.col("new_status").isin("open", "acknowledged", "resolved") & ((F.col("new_status") != "resolved") | (F.trim(F.coalesce("new_note", F.lit(""))) != ""))
-    refused = changes.where(~good)
-    df = events.join(changes.where(good), "event_id", "left")
-    audit = df.where("new_status IS NOT NULL").select("event_id", F.col("status").alias("old_status"), "new_status", "new_note")
-    return df.withColumns({"status": F.coalesce("new_status", "status"), "note": F.coalesce("new_note", "note")}).drop("new_status", "new_note"), audit, refused
+    """Events with new states, an audit row for each change, and the changes refused: an unknown state, resolved without a note, no such event.
+
+    Changes (event_id, seq, new_status, new_note) of an event are made one after another; notes are trimmed and cut at 1,000 characters.
+    """
+    note = F.substring(F.trim(F.coalesce("new_note", F.lit(""))), 1, 1000)
+    known = events.select("event_id", F.col("status").alias("_status"), F.lit(True).alias("_there"))
+    reason = F.when(~F.coalesce(F.col("new_status").isin("open", "acknowledged", "resolved"), F.lit(False)), "status").when((F.col("new_status") == "resolved") & (note == ""), "note").when(F.col("_there").isNull(), "unknown_event")
+    marked = changes.join(known, "event_id", "left").withColumn("refused", reason)
+    steps = marked.where("refused IS NULL").withColumn("new_note", note)
+    w, _ = _in_order("event_id")
+    audit = steps.select("event_id", "seq", F.coalesce(F.lag("new_status").over(w), "_status").alias("old_status"), "new_status", "new_note")
+    last = steps.groupBy("event_id").agg(F.max_by(F.struct("new_status", "new_note"), "seq").alias("_last"))
+    out = events.join(last, "event_id", "left").withColumns({"status": F.coalesce("_last.new_status", "status"), "note": F.coalesce("_last.new_note", "note")})
+    return out.drop("_last"), audit, marked.where("refused IS NOT NULL").select(*changes.columns, "refused")
+
+
+#: A time after all others: where an interval without an end ends.
+OPEN_END = 1 << 62
+
+
+def _ended(df: DataFrame) -> DataFrame:
+    return df.withColumn("_end", F.coalesce("end_ms", F.lit(OPEN_END)))
 
 
 def overlap_conflicts(new: DataFrame, old: DataFrame) -> DataFrame:
-    """New intervals that overlap one of the device's old ones."""
-    day = 86_400_000
-    cell = lambda d: d.withColumn("_c", F.explode(F.sequence(F.floor(F.col("start_ms") / day), F.floor(F.col("end_ms") / day))))
-    a, b = cell(new), cell(old).select(F.col("device_id").alias("_d"), F.col("_c").alias("_oc"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
-    hit = a.join(b, (a["device_id"] == b["_d"]) & (a["_c"] == b["_oc"]) & (a["start_ms"] <= b["_e"]) & (a["end_ms"] >= b["_s"]), "left_semi")
-    return hit.drop("_c").distinct()
-
-
-def install_contexts(contexts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """contexts with the new ones that are unknown and overlap none; and those refused."""
-    fresh = new.join(contexts.select("context_id"), "context_id", "left_anti")
-    refused = overlap_conflicts(fresh, contexts)
-    return contexts.unionByName(fresh.join(refused.select("context_id"), "context_id", "left_anti")), refused
-
-
-def close_context(contexts: DataFrame, quality: DataFrame, context_id: str, end_ms: int) -> tuple[DataFrame, DataFrame]:
-    """contexts with one cut at end_ms, and the assessments without that device's later ones."""
-    cut = contexts.withColumn("end_ms", F.when(F.col("context_id") == context_id, F.lit(end_ms)).otherwise(F.col("end_ms")))
-    device = contexts.where(F.col("context_id") == context_id).select("device_id").distinct()
-    stale = quality.where(F.col("t_ms") > end_ms).join(device, "device_id", "left_semi").select("device_id", "t_ms", "protocol")
-    return cut, quality.join(stale, ["device_id", "t_ms", "protocol"], "left_anti")
+    """New intervals that overlap one of the device's old ones; an interval whose end_ms is null goes on for ever.
+
+    Starts and ends of a device stand in order of time: an interval overlaps as many as start up to its end less those
+    that end before its start.
+    """
+    known = _ended(old).select("device_id", F.inline(F.array(_event("start_ms", 1, 0), _event("_end", 0, 1))))
+    asked = _ended(new.select("context_id", "device_id", "start_ms", "end_ms"))
+    probes = asked.select("device_id", F.inline(F.array(_event("_end", 0, 0, "context_id", "last"), _event("start_ms", 0, 0, "context_id", "first"))))
+    # At one time starts come first, then the probes, then ends: what ends before a start ends earlier.
+    w = Window.partitionBy("device_id").orderBy("at", F.desc("starts"), "ends").rowsBetween(Window.unboundedPreceding, 0)
+    placed = known.unionByName(probes, allowMissingColumns=True).withColumns({"_starts": F.sum("starts").over(w), "_ends": F.sum("ends").over(w)}).where("probe IS NOT NULL")
+    hit = placed.groupBy("context_id").agg((F.max(F.when(F.col("probe") == "last", F.col("_starts"))) - F.max(F.when(F.col("probe") == "first", F.col("_ends")))).alias("_n")).where("_n > 0")
+    return new.join(hit.select("context_id"), "context_id", "left_semi")
+
+
+def _event(at: str, starts: int, ends: int, context: str | None = None, probe: str | None = None):
+    more = [F.col(context).alias("context_id"), F.lit(probe).alias("probe")] if context else []
+    return F.struct(F.col(at).alias("at"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"), *more)
+
+
+def install_contexts(contexts: DataFrame, new: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """contexts with the new ones (of unknown ids) that overlap neither an old nor an admitted one; those installed; and those refused, with the reason.
+
+    A device's new intervals are admitted in order of (start_ms, context_id). Refused are those that don't end after their start or, with now_ms, start
+    in the future (invalid), those of a known id that say something else of it (frozen; what says the same is passed over, also where the known one was closed
+    meanwhile), and those that overlap.
+    """
+    known = contexts.select("context_id", F.col("device_id").alias("_d"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
+    invalid = (F.col("start_ms") >= F.coalesce("end_ms", F.lit(OPEN_END))) | (F.col("start_ms") > (OPEN_END if now_ms is None else now_ms))
+    same = (F.col("_d") == F.col("device_id")) & (F.col("_s") == F.col("start_ms")) & (F.col("_e").eqNullSafe(F.col("end_ms")) | F.col("end_ms").isNull())
+    marked = new.join(known, "context_id", "left").withColumn("refused", F.when(invalid, "invalid").when(F.col("_d").isNotNull() & ~F.coalesce(same, F.lit(False)), "frozen"))
+    fresh = marked.where("refused IS NULL AND _d IS NULL").select(*new.columns)
+    against = overlap_conflicts(fresh, contexts).select("context_id")
+    free = fresh.join(against, "context_id", "left_anti")
+    # One after another: an interval is admitted if it starts after the end of the last one that was.
+    each = F.array_sort(F.collect_list(F.struct("start_ms", "context_id", F.coalesce("end_ms", F.lit(OPEN_END)).alias("end"))))
+    none = F.struct(F.lit(-OPEN_END).cast("bigint").alias("end"), F.array_repeat(F.lit(None).cast(new.schema["context_id"].dataType), F.lit(0)).alias("ids"))
+    admit = lambda a, x: F.when(x["start_ms"] > a["end"], F.struct(x["end"].alias("end"), F.array_append(a["ids"], x["context_id"]).alias("ids"))).otherwise(a)
+    admitted = free.groupBy("device_id").agg(F.aggregate(each, none, admit)["ids"].alias("ids")).select(F.explode("ids").alias("context_id"))
+    installed = free.join(admitted, "context_id", "left_semi")
+    overlapping = fresh.join(admitted, "context_id", "left_anti").withColumn("refused", F.lit("overlap"))
+    refused = marked.where("refused IS NOT NULL").select(*new.columns, "refused").unionByName(overlapping)
+    return contexts.unionByName(installed), installed, refused
+
+
+def without_spans(quality: DataFrame, spans: DataFrame) -> DataFrame:
+    """Assessments but for those within a span (device_id, start_ms, end_ms or null) of their device: they are made anew."""
+    listed = spans.groupBy("device_id").agg(F.collect_list(F.struct("start_ms", F.coalesce("end_ms", F.lit(OPEN_END)).alias("end"))).alias("_spans"))
+    inside = F.exists("_spans", lambda s: F.col("t_ms").between(s["start_ms"], s["end"]))
+    return quality.join(listed, "device_id", "left").where(~F.coalesce(inside, F.lit(False))).drop("_spans")
+
+
+def close_contexts(contexts: DataFrame, quality: DataFrame, changes: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """contexts with open ones ended by changes (context_id, end_ms, note), the assessments without those devices' later ones, an audit row each, and the changes refused.
+
+    Refused are changes of a context that isn't there or isn't open (not_open), whose end isn't after the start or is in the future (end), and
+    those without a note (note). Of several changes of one context the earliest end closes it; the others find it closed.
+    """
+    known = contexts.select("context_id", "device_id", F.col("start_ms").alias("_start"), F.col("end_ms").alias("_end"))
+    reason = F.when(F.col("device_id").isNull() | F.col("_end").isNotNull(), "not_open").when(F.col("end_ms").isNull() | (F.col("end_ms") <= F.col("_start")) | (F.col("end_ms") > now_ms), "end").when(F.trim(F.coalesce("note", F.lit(""))) == "", "note")
+    marked = changes.join(known, "context_id", "left").withColumn("refused", reason)
+    first = F.row_number().over(Window.partitionBy("context_id", F.col("refused").isNull()).orderBy("end_ms", "note")) == 1
+    marked = marked.withColumn("refused", F.when(F.col("refused").isNull() & ~first, "not_open").otherwise(F.col("refused")))
+    closed = marked.where("refused IS NULL").select("context_id", "device_id", F.col("end_ms").alias("_at"), F.trim("note").alias("note"))
+    out = contexts.join(closed.select("context_id", "_at"), "context_id", "left").withColumn("end_ms", F.coalesce("_at", "end_ms")).drop("_at").select(*contexts.columns)
+    later = closed.select("device_id", (F.col("_at") + 1).alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"))
+    audit = closed.select("context_id", F.lit("context_close").alias("action"), F.col("_at").alias("end_ms"), "note")
+    return out, without_spans(quality, later), audit, marked.where("refused IS NOT NULL").select(*changes.columns, "refused")
 
 
 def backfill(points: DataFrame, quality: DataFrame, version: int, assess) -> DataFrame:

@@ -31,15 +31,19 @@ def vibration_runs(points: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     part = ["device_id", "_slice", "_run"]
     steps = v.groupBy(*part, "_step").agg(F.count(F.lit(1)).alias("_n"))
     parts = steps.groupBy(*part).agg(F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_step").isNotNull(), F.struct("_step", "_n"))).alias("_steps"))
-    parts = parts.withColumn("run", run_number())
-    run = Window.partitionBy("device_id", "run")
-    # The (at most gap_ms) steps of a run, each with its count, in order; the median is the middle of the list that they stand for.
-    merged = parts.withColumn("_all", F.flatten(F.collect_list("_steps").over(run))).withColumn("samples", F.sum("_n").over(run))
-    merged = merged.withColumn("_before", F.coalesce(F.sum("_n").over(run.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    below = lambda x: F.aggregate(F.filter("_all", lambda s: s["_step"] <= x), F.lit(0).cast("bigint"), lambda a, s: a + s["_n"])
-    at = lambda k: F.array_min(F.filter(F.transform("_all", lambda s: s["_step"]), lambda x: below(x) > k))
-    middle = (at(F.floor((F.col("samples") - 2) / 2)) + at(F.floor((F.col("samples") - 1) / 2))) / 2000
-    merged = merged.withColumn("hz", 1 / middle).withColumn("n", F.greatest(F.lit(LEAST), F.bround(F.col("hz") * WINDOW_S)).cast("bigint"))
+    # Once a run: at most gap_ms steps of each of its slices with their counts, in order; the median is read off their running sum.
+    runs = parts.withColumn("run", run_number()).groupBy("device_id", "run").agg(
+        F.sum("_n").alias("samples"), F.array_sort(F.flatten(F.collect_list("_steps"))).alias("_all"), F.collect_list(F.struct("_slice", "_run", "_n")).alias("_parts"))
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
+    past = lambda a, x, k: a["upto"] + x["_n"] > F.floor(k / 2)
+    step = lambda a, x: F.struct(
+        (a["upto"] + x["_n"]).alias("upto"), F.coalesce(a["low"], F.when(past(a, x, F.col("samples") - 2), x["_step"])).alias("low"),
+        F.coalesce(a["high"], F.when(past(a, x, F.col("samples") - 1), x["_step"])).alias("high"))
+    runs = runs.withColumn("_middle", F.aggregate("_all", start, step)).withColumn("hz", 1 / ((F.col("_middle.low") + F.col("_middle.high")) / 2000))
+    runs = runs.withColumn("n", F.greatest(F.lit(LEAST), F.bround(F.col("hz") * WINDOW_S)).cast("bigint"))
+    merged = runs.select("device_id", "run", "samples", "hz", "n", F.inline("_parts"))
+    before = Window.partitionBy("device_id", "run").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    merged = merged.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     place = F.row_number().over(Window.partitionBy(*part).orderBy("t_ms"))
     rows = v.withColumn("_place", place).join(merged.select(*part, "run", "samples", "hz", "n", "_before"), part)
     return rows.select("device_id", "run", (F.col("_before") + F.col("_place") - 1).alias("idx"), "t_ms", "v", "samples", "hz", "n")

@@ -525,11 +525,3 @@ def rule_migration(spark, sf_dir):
     d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"), F.lit(1).alias("version"))
     own = {k: F.lit(v) for k, v in LEGACY_RULES.items()} | {"speed_kmh": F.when(F.col("device_id") % 3 == 2, 90.0).otherwise(80.0), "roll_deg": F.when(F.col("device_id") % 3 == 1, 16.0).otherwise(15.0)}
     return lifecycle.migrate_rules(d.withColumns(own))[0].select("device_id", "speed_kmh", "version")
-
-
-@query("SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 4 = 0 THEN 'acknowledged' WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 'resolved' ELSE 'open' END AS status FROM orders")
-def event_review(spark, sf_dir):
-    """Every fourth event is acknowledged, every fourth resolved, which needs a note."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("note"))
-    changes = o.where("event_id % 4 < 2").select("event_id", F.when(F.col("event_id") % 4 == 0, "acknowledged").otherwise("resolved").alias("new_status"), F.when(F.col("event_id") % 3 == 0, "seen").alias("new_note"))
-    return lifecycle.review_events(o, changes)[0].select("event_id", "status")

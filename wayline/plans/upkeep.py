@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BITS, KINDS
@@ -122,34 +123,77 @@ def gated_in_context(spark, sf_dir):
     return episodes.gate_events(found, stored, quality.VERSION).groupBy("device_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Intervals of customers: those of even orders are there, those of odd ones are new.
-_INTERVALS = "i AS (SELECT o_custkey AS device_id, o_orderkey AS context_id, CAST(epoch_ms(o_orderdate) AS BIGINT) AS start_ms, CAST(epoch_ms(o_orderdate) AS BIGINT) + 2592000000 AS end_ms FROM orders)"
+# Intervals of customers: of the contexts that are there (one for each customer and quarter, whose last is open for one customer in five) and of new ones,
+# which overlap those and each other; some are open, some end before they start, some have a known id.
+_INTERVALS = """
+o AS (SELECT o_custkey AS device_id, o_orderkey AS id, CAST(epoch_ms(o_orderdate) AS BIGINT) AS at FROM orders),
+l AS (SELECT device_id, id, at, row_number() OVER (PARTITION BY device_id ORDER BY at, id) AS k, row_number() OVER (PARTITION BY device_id ORDER BY at DESC, id DESC) AS r, lead(at) OVER (PARTITION BY device_id ORDER BY at, id) AS next_at FROM o),
+old AS (SELECT id AS context_id, device_id, at AS start_ms, CASE WHEN r = 1 AND device_id % 5 = 0 THEN NULL ELSE at + least(864000000, greatest(coalesce(next_at, at + 864000000) - at - 1, 1)) END AS end_ms FROM l WHERE k % 3 = 1 AND (r = 1 OR next_at > at + 1)),
+new AS (SELECT CASE WHEN id % 11 = 0 THEN id ELSE -id END AS context_id, device_id, at + 1000 AS start_ms, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 13 = 0 THEN at ELSE at + 1000 + 86400000 * (id % 40) END AS end_ms FROM l)"""
 
 
 def _intervals(spark, sf_dir):
-    start = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("bigint")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("context_id"), start.alias("start_ms"), (start + 2_592_000_000).alias("end_ms"))
+    """The contexts that are there and the new ones."""
+    at = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("bigint")
+    w = Window.partitionBy("device_id")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("id"), at.alias("at"))
+    rows = rows.withColumns({"k": F.row_number().over(w.orderBy("at", "id")), "r": F.row_number().over(w.orderBy(F.desc("at"), F.desc("id"))), "next_at": F.lead("at").over(w.orderBy("at", "id"))})
+    ten = F.lit(864_000_000)
+    end = F.when((F.col("r") == 1) & (F.col("device_id") % 5 == 0), None).otherwise(F.col("at") + F.least(ten, F.greatest(F.coalesce("next_at", F.col("at") + ten) - F.col("at") - 1, F.lit(1))))
+    old = rows.where("k % 3 = 1 AND (r = 1 OR next_at > at + 1)").select(F.col("id").alias("context_id"), "device_id", F.col("at").alias("start_ms"), end.cast("bigint").alias("end_ms"))
+    ends = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 13 == 0, F.col("at")).otherwise(F.col("at") + 1000 + F.col("id") % 40 * 86_400_000)
+    new = rows.select(F.when(F.col("id") % 11 == 0, F.col("id")).otherwise(-F.col("id")).alias("context_id"), "device_id", (F.col("at") + 1000).alias("start_ms"), ends.cast("bigint").alias("end_ms"))
+    return old, new
+
+
+_INSTALLED = f"""
+WITH RECURSIVE {_INTERVALS.strip()},
+e AS (SELECT *, coalesce(end_ms, 9000000000000000) AS e FROM new),
+m AS (SELECT n.*, CASE WHEN n.start_ms >= n.e THEN 'invalid' WHEN o.context_id IS NOT NULL THEN 'frozen' WHEN EXISTS (SELECT 1 FROM old p WHERE p.device_id = n.device_id AND p.start_ms <= n.e AND coalesce(p.end_ms, 9000000000000000) >= n.start_ms) THEN 'overlap' END AS refused FROM e n LEFT JOIN old o USING (context_id)),
+f AS (SELECT device_id, context_id, start_ms, e, row_number() OVER (PARTITION BY device_id ORDER BY start_ms, context_id) AS place FROM m WHERE refused IS NULL),
+-- One after another: what was the end of the last admitted one when an interval came, and whether it was admitted.
+s AS (SELECT device_id, place, context_id, e AS upto, true AS ok FROM f WHERE place = 1
+      UNION ALL SELECT f.device_id, f.place, f.context_id, CASE WHEN f.start_ms > s.upto THEN f.e ELSE s.upto END, f.start_ms > s.upto FROM s JOIN f ON f.device_id = s.device_id AND f.place = s.place + 1)"""
+
+
+@query(_INSTALLED + """
+SELECT context_id, 'old' AS outcome FROM old UNION ALL SELECT context_id, CASE WHEN ok THEN 'installed' ELSE 'overlap' END FROM s UNION ALL SELECT context_id, refused FROM m WHERE refused IS NOT NULL""")
+def context_install(spark, sf_dir):
+    """New contexts against those that are there and against each other, with open ends."""
+    old, new = _intervals(spark, sf_dir)
+    there, installed, refused = lifecycle.install_contexts(old, new)
+    first = there.join(installed.select("context_id"), "context_id", "left_anti").select("context_id", F.lit("old").alias("outcome"))
+    return first.unionByName(installed.select("context_id", F.lit("installed").alias("outcome"))).unionByName(refused.select("context_id", F.col("refused").alias("outcome")))
 
 
-@query(f"""
-WITH {_INTERVALS},
-r AS (SELECT DISTINCT n.context_id FROM i n JOIN i o ON n.device_id = o.device_id AND n.context_id % 2 = 1 AND o.context_id % 2 = 0 AND n.start_ms <= o.end_ms AND n.end_ms >= o.start_ms)
-SELECT 'refused' AS outcome, context_id FROM r UNION ALL SELECT 'there', context_id FROM i WHERE context_id % 2 = 0 OR context_id NOT IN (SELECT context_id FROM r)""")
-def context_install(spark, sf_dir):
-    i = _intervals(spark, sf_dir)
-    there, refused = lifecycle.install_contexts(i.where("context_id % 2 = 0"), i.where("context_id % 2 = 1"))
-    return there.select(F.lit("there").alias("outcome"), "context_id").unionByName(refused.select(F.lit("refused").alias("outcome"), "context_id"))
+@query(_INSTALLED + """
+, p AS (SELECT o_custkey AS device_id, o_orderkey AS point, CAST(epoch_ms(o_orderdate) AS BIGINT) + 43200000 AS t_ms FROM orders),
+i AS (SELECT f.* FROM f JOIN s USING (device_id, place) WHERE ok)
+SELECT device_id, count(*) AS n, max(point) AS last FROM p WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.device_id = p.device_id AND p.t_ms BETWEEN i.start_ms AND i.e) GROUP BY device_id""")
+def context_reassess(spark, sf_dir):
+    """The assessments that stay when contexts are installed: those outside of the new spans."""
+    _, installed, _ = lifecycle.install_contexts(*_intervals(spark, sf_dir))
+    at = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("bigint") + 43_200_000
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("point"), at.alias("t_ms"))
+    return lifecycle.without_spans(rows, installed).groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.max("point").alias("last"))
 
 
 @query(sql(_CONTEXTS + """
-SELECT q.device_id, count(*) AS n, max(t_ms) AS last_ms, (SELECT max(CASE WHEN context_id = 'D1-2' THEN a + 7000 ELSE ctx.end_ms END) FROM ctx JOIN fl USING (device_id) WHERE ctx.device_id = q.device_id) AS end_ms
-FROM q WHERE device_id <> 'D1' OR t_ms <= (SELECT a + 7000 FROM fl WHERE device_id = 'D1') GROUP BY q.device_id"""))
+SELECT q.device_id, count(*) AS n, max(t_ms) AS last_ms, CAST(count(*) FILTER (t_ms > a + (b - a) // 2 + 6000) AS BIGINT) AS later, CASE WHEN q.device_id = 'D1' THEN max(a + (b - a) // 2 + 6000) END AS closed_ms, (SELECT count(*) - 1 FROM ctx) AS refused
+FROM q JOIN fl USING (device_id) WHERE device_id <> 'D1' OR t_ms <= a + (b - a) // 2 + 6000 GROUP BY q.device_id"""))
 def context_close(spark, sf_dir):
-    """A context cut short; that device's later assessments are dropped."""
+    """An open context is closed, and that device's later assessments are dropped; changes of closed ones, without a note, of the future or repeated are refused."""
     contexts = _contexts(spark, sf_dir)
-    end = contexts.where("context_id = 'D1-1'").first()["start_ms"] + 6000
-    cut, left = lifecycle.close_context(contexts, assessed(spark, sf_dir).select(*KEY, "mask"), "D1-2", end)
-    return left.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.max("t_ms").alias("last_ms")).join(cut.groupBy("device_id").agg(F.max("end_ms").alias("end_ms")), "device_id")
+    ids = contexts.select("context_id", "start_ms", "end_ms")
+    last = 4_000_000_000_000
+    late = F.when(F.col("context_id") == "D2-3", last + 1).otherwise(F.col("start_ms") + 6000)
+    note = F.when(F.col("context_id") != "D3-3", "seen to move")
+    again = ids.where("context_id = 'D1-3'").select("context_id", (F.col("start_ms") + 7000).alias("end_ms"), F.lit("again").alias("note"))
+    changes = ids.where("context_id <> 'D0-3'").select("context_id", late.cast("bigint").alias("end_ms"), note.alias("note")).unionByName(again)
+    cut, left, audit, refused = lifecycle.close_contexts(contexts, assessed(spark, sf_dir).select(*KEY, "mask"), changes, last)
+    closed = cut.join(audit.select("context_id", F.col("end_ms").alias("_at")), "context_id").where("end_ms = _at").select("device_id", F.col("end_ms").alias("closed_ms"))
+    counted = left.join(contexts.where("context_id LIKE '%-3'").select("device_id", "start_ms"), "device_id").groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.max("t_ms").alias("last_ms"), F.count_if(F.col("t_ms") > F.col("start_ms") + 6000).alias("later"))
+    return counted.join(closed, "device_id", "left").withColumn("refused", refused.agg(F.count(F.lit(1))).scalar())
 
 
 @query(sql("""
@@ -218,25 +262,68 @@ def rebuilt_episodes(spark, sf_dir):
     return out.select(F.col("event_id").cast("bigint").alias("event_id"), "device_id", "kind", "start_ms", "end_ms", "samples", "rule_version")
 
 
-@query("""
-WITH c AS (SELECT s_suppkey AS device_id, CASE s_suppkey % 4 WHEN 0 THEN 85.0::DOUBLE WHEN 1 THEN 95.0 WHEN 2 THEN 999.0 END AS new FROM supplier)
-SELECT device_id, CASE WHEN new BETWEEN 10 AND 200 THEN new ELSE 85.0 END AS speed_kmh, CAST(CASE WHEN new = 95 THEN 2 ELSE 1 END AS INTEGER) AS version, coalesce(new = 999, false) AS refused FROM c""")
+# Of each device two changes: the first of a quarter changes nothing, that of another is out of bounds; a second, of every third device, changes one rule or both.
+_CHANGES = """
+c AS (SELECT s_suppkey AS device_id, 1 AS seq, CASE s_suppkey % 4 WHEN 0 THEN 85.0::DOUBLE WHEN 1 THEN 95.0 WHEN 2 THEN 999.0 END AS speed_kmh, NULL::DOUBLE AS pitch_deg FROM supplier WHERE s_suppkey % 4 < 3
+  UNION ALL SELECT s_suppkey, 2, CASE WHEN s_suppkey % 2 = 0 THEN 95.0::DOUBLE END, 20.0 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT -1, 1, 90.0, NULL),
+g AS (SELECT * FROM c WHERE device_id > 0 AND coalesce(speed_kmh, 85) BETWEEN 10 AND 200),
+one AS (SELECT s_suppkey AS device_id, coalesce(a.speed_kmh, 85.0) AS s1, coalesce(b.speed_kmh, a.speed_kmh, 85.0) AS s2, CASE WHEN b.device_id IS NULL THEN 15.0 ELSE 20.0 END AS p2, b.device_id IS NOT NULL AS twice FROM supplier LEFT JOIN g a ON a.device_id = s_suppkey AND a.seq = 1 LEFT JOIN g b ON b.device_id = s_suppkey AND b.seq = 2)"""
+
+
+def _changed(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"), F.lit(85.0).alias("speed_kmh"), F.lit(15.0).alias("pitch_deg"), F.lit(1).alias("version"))
+    k, none = F.col("device_id") % 4, F.lit(None).cast("double")
+    first = d.where(k < 3).select("device_id", F.lit(1).alias("seq"), F.when(k == 0, 85.0).when(k == 1, 95.0).otherwise(999.0).alias("speed_kmh"), none.alias("pitch_deg"))
+    second = d.where("device_id % 3 = 0").select("device_id", F.lit(2).alias("seq"), F.when(F.col("device_id") % 2 == 0, 95.0).alias("speed_kmh"), F.lit(20.0).alias("pitch_deg"))
+    nobody = d.limit(1).select(F.lit(-1).cast(d.schema["device_id"].dataType).alias("device_id"), F.lit(1).alias("seq"), F.lit(90.0).alias("speed_kmh"), none.alias("pitch_deg"))
+    return lifecycle.update_devices(d, first.unionByName(second).unionByName(nobody), {"speed_kmh": (10.0, 200.0), "pitch_deg": (1.0, 90.0)})
+
+
+@query(f"WITH {_CHANGES.strip()} SELECT device_id, s2 AS speed_kmh, CAST(p2 AS DOUBLE) AS pitch_deg, CAST(1 + CASE WHEN s1 <> 85 THEN 1 ELSE 0 END + CASE WHEN twice THEN 1 ELSE 0 END AS INTEGER) AS version FROM one")
 def device_update(spark, sf_dir):
-    """A quarter of the changes change nothing, a quarter is out of bounds, a quarter of the devices has none."""
-    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"), F.lit(85.0).alias("speed_kmh"), F.lit(1).alias("version"))
-    k = F.col("device_id") % 4
-    changes = d.where(k < 3).select("device_id", F.when(k == 0, 85.0).when(k == 1, 95.0).otherwise(999.0).alias("speed_kmh"))
-    new, bad = lifecycle.update_devices(d, changes, {"speed_kmh": (10.0, 200.0)})
-    return new.join(bad.select("device_id", F.lit(True).alias("_bad")), "device_id", "left").select("device_id", "speed_kmh", "version", F.coalesce("_bad", F.lit(False)).alias("refused"))
+    """Devices after up to two changes each."""
+    return _changed(spark, sf_dir)[0].select("device_id", "speed_kmh", "pitch_deg", "version")
 
 
-@query("SELECT o_orderkey AS event_id, 'open' AS old_status, CASE WHEN o_orderkey % 4 = 0 THEN 'acknowledged' ELSE 'resolved' END AS new_status, 'audit' AS table_ FROM orders WHERE o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND o_orderkey % 3 = 0) UNION ALL SELECT o_orderkey, NULL, 'resolved', 'refused' FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 3 <> 0")
-def review_audit(spark, sf_dir):
-    """The audit rows of a review and the changes that it refuses."""
+@query(f"""WITH {_CHANGES.strip()} SELECT device_id, CAST(1 AS INTEGER) AS seq, CAST(2 AS INTEGER) AS version, s1 AS speed_kmh, CAST(15 AS DOUBLE) AS pitch_deg, 'changed' AS outcome FROM one WHERE s1 <> 85
+UNION ALL SELECT device_id, 2, CAST(2 + CASE WHEN s1 <> 85 THEN 1 ELSE 0 END AS INTEGER), s2, 20, 'changed' FROM one WHERE twice
+UNION ALL SELECT device_id, seq, NULL, speed_kmh, pitch_deg, CASE WHEN speed_kmh = 999 THEN 'bounds' ELSE 'unknown_device' END FROM c WHERE speed_kmh = 999 OR device_id < 0""")
+def device_audit(spark, sf_dir):
+    """The audit rows of those changes and the changes refused."""
+    _, log, refused = _changed(spark, sf_dir)
+    no = refused.select("device_id", "seq", F.lit(None).cast("int").alias("version"), "speed_kmh", "pitch_deg", F.col("refused").alias("outcome"))
+    return log.select("device_id", "seq", "version", "speed_kmh", "pitch_deg", F.lit("changed").alias("outcome")).unionByName(no)
+
+
+# Every fourth event is acknowledged and then, of every fifth, resolved; every fourth is resolved, which needs a note.
+_REVIEWS = """
+r AS (SELECT o_orderkey AS event_id, 1 AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'acknowledged' ELSE 'resolved' END AS new_status, CASE WHEN o_orderkey % 3 = 0 THEN ' seen ' END AS new_note FROM orders WHERE o_orderkey % 4 < 2
+  UNION ALL SELECT o_orderkey, 2, 'resolved', 'done' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 3, 'closed', 'x' FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT -1, 1, 'open', NULL),
+k AS (SELECT *, CASE WHEN new_status = 'closed' THEN 'status' WHEN new_status = 'resolved' AND new_note IS NULL THEN 'note' WHEN event_id < 0 THEN 'unknown_event' END AS refused FROM r)"""
+
+
+def _reviewed(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("note"))
-    changes = o.where("event_id % 4 < 2").select("event_id", F.when(F.col("event_id") % 4 == 0, "acknowledged").otherwise("resolved").alias("new_status"), F.when(F.col("event_id") % 3 == 0, "seen").alias("new_note"))
-    _, log, refused = lifecycle.review_events(o, changes)
-    return log.select("event_id", "old_status", "new_status", F.lit("audit").alias("table_")).unionByName(refused.select("event_id", F.lit(None).cast("string").alias("old_status"), "new_status", F.lit("refused").alias("table_")))
+    one = lambda rows, seq, status, note: rows.select("event_id", F.lit(seq).alias("seq"), status.alias("new_status"), note.cast("string").alias("new_note"))
+    e = F.col("event_id")
+    changes = one(o.where(e % 4 < 2), 1, F.when(e % 4 == 0, "acknowledged").otherwise("resolved"), F.when(e % 3 == 0, " seen "))
+    changes = changes.unionByName(one(o.where(e % 5 == 0), 2, F.lit("resolved"), F.lit("done"))).unionByName(one(o.where(e % 10 == 0), 3, F.lit("closed"), F.lit("x")))
+    nothing = o.limit(1).withColumn("event_id", F.lit(-1).cast(o.schema["event_id"].dataType))
+    return lifecycle.review_events(o, changes.unionByName(one(nothing, 1, F.lit("open"), F.lit(None))))
+
+
+@query(f"WITH {_REVIEWS.strip()} SELECT o_orderkey AS event_id, coalesce(arg_max(new_status, seq), 'open') AS status, arg_max(trim(coalesce(new_note, '')), seq) AS note FROM orders LEFT JOIN k ON event_id = o_orderkey AND refused IS NULL GROUP BY o_orderkey")
+def event_review(spark, sf_dir):
+    """Events after up to three changes each: one row an event."""
+    return _reviewed(spark, sf_dir)[0].select("event_id", "status", "note")
+
+
+@query(f"""WITH {_REVIEWS.strip()} SELECT event_id, seq, coalesce(lag(new_status) OVER (PARTITION BY event_id ORDER BY seq), 'open') AS old_status, new_status, 'audit' AS table_ FROM k WHERE refused IS NULL
+UNION ALL SELECT event_id, seq, refused, new_status, 'refused' FROM k WHERE refused IS NOT NULL""")
+def review_audit(spark, sf_dir):
+    """The audit rows of a review and the changes that it refuses, with the reason."""
+    _, log, refused = _reviewed(spark, sf_dir)
+    return log.select("event_id", "seq", "old_status", "new_status", F.lit("audit").alias("table_")).unionByName(refused.select("event_id", "seq", F.col("refused").alias("old_status"), "new_status", F.lit("refused").alias("table_")))
 
 
 @query("SELECT s_suppkey AS device_id, 'rules_migrated' AS action, CAST(2 AS INTEGER) AS version FROM supplier WHERE s_suppkey % 3 = 0")
