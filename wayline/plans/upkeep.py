@@ -126,10 +126,10 @@ def gated_in_context(spark, sf_dir):
 # Intervals of customers: of the contexts that are there (one for each customer and quarter, whose last is open for one customer in five) and of new ones,
 # which overlap those and each other; some are open, some end before they start, some have a known id.
 _INTERVALS = """
-o AS (SELECT o_custkey AS device_id, o_orderkey AS id, CAST(epoch_ms(o_orderdate) AS BIGINT) AS at FROM orders),
-l AS (SELECT device_id, id, at, row_number() OVER (PARTITION BY device_id ORDER BY at, id) AS k, row_number() OVER (PARTITION BY device_id ORDER BY at DESC, id DESC) AS r, lead(at) OVER (PARTITION BY device_id ORDER BY at, id) AS next_at FROM o),
-old AS (SELECT id AS context_id, device_id, at AS start_ms, CASE WHEN r = 1 AND device_id % 5 = 0 THEN NULL ELSE at + least(864000000, greatest(coalesce(next_at, at + 864000000) - at - 1, 1)) END AS end_ms FROM l WHERE k % 3 = 1 AND (r = 1 OR next_at > at + 1)),
-new AS (SELECT CASE WHEN id % 11 = 0 THEN id ELSE -id END AS context_id, device_id, at + 1000 AS start_ms, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 13 = 0 THEN at ELSE at + 1000 + 86400000 * (id % 40) END AS end_ms FROM l)"""
+o AS (SELECT o_custkey AS device_id, o_orderkey AS id, CAST(epoch_ms(o_orderdate) AS BIGINT) AS ts FROM orders),
+l AS (SELECT device_id, id, ts, row_number() OVER (PARTITION BY device_id ORDER BY ts, id) AS k, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, id DESC) AS r, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, id) AS next_ts FROM o),
+old AS (SELECT id AS context_id, device_id, ts AS start_ms, CASE WHEN r = 1 AND device_id % 5 = 0 THEN NULL ELSE ts + least(864000000, greatest(coalesce(next_ts, ts + 864000000) - ts - 1, 1)) END AS end_ms FROM l WHERE k % 3 = 1 AND (r = 1 OR next_ts > ts + 1)),
+new AS (SELECT CASE WHEN id % 11 = 0 THEN id ELSE -id END AS context_id, device_id, ts + 1000 AS start_ms, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 13 = 0 THEN ts ELSE ts + 1000 + 86400000 * (id % 40) END AS end_ms FROM l)"""
 
 
 def _intervals(spark, sf_dir):
@@ -266,7 +266,7 @@ def rebuilt_episodes(spark, sf_dir):
 _CHANGES = """
 c AS (SELECT s_suppkey AS device_id, 1 AS seq, CASE s_suppkey % 4 WHEN 0 THEN 85.0::DOUBLE WHEN 1 THEN 95.0 WHEN 2 THEN 999.0 END AS speed_kmh, NULL::DOUBLE AS pitch_deg FROM supplier WHERE s_suppkey % 4 < 3
   UNION ALL SELECT s_suppkey, 2, CASE WHEN s_suppkey % 2 = 0 THEN 95.0::DOUBLE END, 20.0 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT -1, 1, 90.0, NULL),
-g AS (SELECT * FROM c WHERE device_id > 0 AND coalesce(speed_kmh, 85) BETWEEN 10 AND 200),
+g AS (SELECT * FROM c WHERE device_id >= 0 AND coalesce(speed_kmh, 85) BETWEEN 10 AND 200),
 one AS (SELECT s_suppkey AS device_id, coalesce(a.speed_kmh, 85.0) AS s1, coalesce(b.speed_kmh, a.speed_kmh, 85.0) AS s2, CASE WHEN b.device_id IS NULL THEN 15.0 ELSE 20.0 END AS p2, b.device_id IS NOT NULL AS twice FROM supplier LEFT JOIN g a ON a.device_id = s_suppkey AND a.seq = 1 LEFT JOIN g b ON b.device_id = s_suppkey AND b.seq = 2)"""
 
 
