@@ -69,21 +69,25 @@ def _added(column: str):
     return F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda a, e: a + e["value"]))))
 
 
-def rerollup(fine: DataFrame, seconds: int = 600, metrics: list[str] = METRICS) -> DataFrame:
-    """Coarser buckets from finer ones, or parts of a bucket as one; transitions between neighbouring parts of one coarse bucket are added."""
-    df = fine.withColumn("_coarse", bucket_start("bucket_ms", seconds))
-    w = Window.partitionBy("device_id", "_coarse").orderBy("first.t_ms", "first.protocol")
-    df = df.withColumn("prev", F.lag("last").over(w))
-    step = df.withColumns({c: F.col(f"first.{c}") for c in _ENDS})
+def seams(buckets: DataFrame, key: list[str]) -> DataFrame:
+    """buckets with what lies between each and the one before it in its key: prev (its last row), the own first row's columns, _contiguous, _jump, _covered_s, _moving_s, _distance_m."""
+    w = Window.partitionBy(*key).orderBy("first.t_ms", "first.protocol")
+    step = buckets.withColumn("prev", F.lag("last").over(w)).withColumns({c: F.col(f"first.{c}") for c in _ENDS})
     contiguous = F.coalesce((F.col("t_ms") - F.col("prev.t_ms")).between(1, CONTIGUOUS_MS), F.lit(False))
     valid = F.coalesce(F.col("prev.valid_pos") & F.col("valid_pos"), F.lit(False))
-    step = step.withColumn("_covered", contiguous & valid & ~(contiguous & valid & drift_evidence().isNotNull()))
+    step = step.withColumns({"_contiguous": contiguous, "_jump": contiguous & valid & drift_evidence().isNotNull()}).withColumn("_covered", F.col("_contiguous") & valid & ~F.col("_jump"))
     seconds_ = (F.col("t_ms") - F.col("prev.t_ms")) / 1000
     moving = contiguous & F.coalesce((F.col("prev.motion_state") == "moving") & (F.col("motion_state") == "moving"), F.lit(False))
     both = F.col("speed").isNotNull() & F.col("prev.speed").isNotNull()
-    between = {
-        "covered_s": F.when(F.col("_covered"), seconds_).otherwise(0.0), "moving_s": F.when(moving, seconds_).otherwise(0.0),
-        "distance_m": F.when(F.col("_covered") & moving & both, (F.col("speed") + F.col("prev.speed")) / 2 * seconds_).otherwise(0.0)}
+    return step.withColumns({
+        "_covered_s": F.when(F.col("_covered"), seconds_).otherwise(0.0), "_moving_s": F.when(moving, seconds_).otherwise(0.0),
+        "_distance_m": F.when(F.col("_covered") & moving & both, (F.col("speed") + F.col("prev.speed")) / 2 * seconds_).otherwise(0.0)})
+
+
+def rerollup(fine: DataFrame, seconds: int = 600, metrics: list[str] = METRICS) -> DataFrame:
+    """Coarser buckets from finer ones, or parts of a bucket as one; transitions between neighbouring parts of one coarse bucket are added."""
+    step = seams(fine.withColumn("_coarse", bucket_start("bucket_ms", seconds)), ["device_id", "_coarse"])
+    between = {c: F.col(f"_{c}") for c in ("covered_s", "moving_s", "distance_m")}
     gap = F.coalesce(F.col("t_ms") - F.col("prev.t_ms") > CONTIGUOUS_MS, F.lit(False)).cast("int")
     merged = []
     for m in metrics:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, motion, rollup, series, vibration
+from ..operators import audit, motion, paths, rollup, series, vibration
+from ..operators.quality import assess, project
 from ..sources.telemetry import telemetry
 from .shared import assessed, distance_sql, drift_sql, rounded, span, sql, view
 from .telemetry import _SEGMENTS as SEGMENTS
@@ -68,9 +69,12 @@ SELECT device_id, count(*) AS points, round(sum(speed), 4) + 0.0 AS speed_sum, r
 FROM x WHERE t_ms BETWEEN {_LO} AND {_HI} GROUP BY device_id"""))
 def hybrid_range(spark, sf_dir):
     """The range from whole 60 s buckets and rows at its ends, merged over the seams; the SQL computes it from rows."""
-    v = view(spark, sf_dir)
     lo, hi = span(spark, sf_dir)
-    h = rollup.range_summary(rollup.hybrid_range(v, rollup.rollup(v), lo + 17_300, hi - 8_800, 60))
+    lo, hi = lo + 17_300, hi - 8_800
+    t = telemetry(spark, sf_dir).where(F.col("t_ms").between(lo - 3000, hi))
+    # Rows are cut to the range (with what a first row looks back) before they are assessed, and those of its ends are assessed by themselves.
+    ends = project(assess(t.where((F.col("t_ms") < lo + 60_000) | (F.col("t_ms") > hi - 63_000))))
+    h = rollup.range_summary(rollup.hybrid_range(ends, rollup.rollup(project(assess(t)), 60, ["speed"]), lo, hi, 60, ["speed"]), ["speed"])
     return rounded(h.select("device_id", "points", "speed_sum", "max_kmh", "covered_s", "moving_s", "distance_m", "gaps", F.array_join(F.array_sort(F.map_keys("fixes")), ",").alias("fixes")), 4)
 
 
@@ -85,7 +89,9 @@ bn AS (SELECT *, least(59, greatest(0, CAST(floor(((first_ms + last_ms) / 2.0::D
 def _series(spark, sf_dir):
     lo, hi = span(spark, sf_dir)
     quarter = (hi - lo) // 4
-    return rollup.display_series(rollup.rollup(view(spark, sf_dir)), lo + quarter, hi - quarter, 60)
+    # Whole buckets of the range, with what their first rows look back.
+    near = telemetry(spark, sf_dir).where(F.col("t_ms").between((lo + quarter) // 60_000 * 60_000 - 3000, (hi - quarter) // 60_000 * 60_000 + 59_999))
+    return rollup.display_series(rollup.rollup(project(assess(near)), 60, ["speed", "heading"]), lo + quarter, hi - quarter, 60)
 
 
 @query(sql(f"""{_BINNED}
@@ -131,6 +137,16 @@ def rollup_status(spark, sf_dir):
 _SEGMENTS = SEGMENTS
 
 
+def _paths_600(spark, sf_dir):
+    return paths.path_rerollup(paths.path_rollup(view(spark, sf_dir), 60, ["speed"]), 600, ["speed"])
+
+
+@query(sql(_SEGMENTS + "\nSELECT device_id, segment, motion_state, start_ms, end_ms, round(distance_m, 6) + 0.0 AS distance_m, round(max_kmh, 6) + 0.0 AS max_kmh, samples FROM seg"))
+def rollup_segments(spark, sf_dir):
+    """The motion segments from 600 s buckets that were merged from 60 s ones; the SQL computes them from rows."""
+    return rounded(paths.segments_from(_paths_600(spark, sf_dir)))
+
+
 @query(sql(_SEGMENTS + """,
 sb AS (SELECT *, unnest(range(CAST(floor(start_ms / 60000) AS BIGINT), CAST(floor(end_ms / 60000) AS BIGINT) + 1)) * 60000 AS bucket_ms FROM seg),
 bw AS (SELECT device_id, bucket_ms, motion_state, round(sum(greatest((least(end_ms, bucket_ms + 60000) - greatest(start_ms, bucket_ms)) / 1000.0::DOUBLE, 0.1)), 6) AS w FROM sb GROUP BY ALL)
@@ -429,6 +445,13 @@ def track(spark, sf_dir):
     return rounded(motion.track(view(spark, sf_dir)).select("device_id", "t_ms", "bucket_ms", "break_before", "lat"))
 
 
+@query(SQL["track"])
+def rollup_track(spark, sf_dir):
+    """The track from 600 s buckets that were merged from 60 s ones; the SQL computes it from rows."""
+    points = paths.track_from(_paths_600(spark, sf_dir)).withColumn("bucket_ms", F.floor(F.col("t_ms") / 60_000) * 60_000)
+    return rounded(points.select("device_id", "t_ms", "bucket_ms", "break_before", "lat"))
+
+
 @query(sql(""",
 th AS (SELECT device_id, t_ms, row_number() OVER (PARTITION BY device_id ORDER BY t_ms, protocol) - 1 AS r, count(*) OVER (PARTITION BY device_id) AS n FROM t),
 pk AS (SELECT DISTINCT device_id, CAST(round_even(i * (n - 1) / 99.0::DOUBLE, 0) AS BIGINT) AS r FROM (SELECT DISTINCT device_id, n FROM th), (SELECT unnest(range(0, 100)) AS i))
