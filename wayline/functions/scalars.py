@@ -15,55 +15,72 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def finite(x: Column | str) -> Column:
-    x = col(x)
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+def finite_sql(x: str) -> str:
+    return f"({x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) <> double('Infinity'))"
+
+
+# What every query over the measurements builds is SQL text: one expression parsed at once instead of a call for each of its parts.
+
+
+def finite(x: str) -> Column:
+    return F.expr(finite_sql(x))
+
+
+def _resultant_sql(ax="ax", ay="ay", az="az") -> str:
+    return f"CASE WHEN {finite_sql(ax)} AND {finite_sql(ay)} AND {finite_sql(az)} THEN sqrt({ax} * {ax} + {ay} * {ay} + {az} * {az}) END"
 
 
 def resultant(ax="ax", ay="ay", az="az") -> Column:
     """Length of the acceleration vector, null if an axis is missing."""
-    a = [col(x) for x in (ax, ay, az)]
-    return F.when(finite(a[0]) & finite(a[1]) & finite(a[2]), F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2]))
+    return F.expr(_resultant_sql(ax, ay, az))
+
+
+def _deviation_sql(ax="ax", ay="ay", az="az") -> str:
+    return f"abs({_resultant_sql(ax, ay, az)} - 1.0D)"
 
 
 def peak_deviation(ax="ax", ay="ay", az="az") -> Column:
-    return F.abs(resultant(ax, ay, az) - 1.0)
+    return F.expr(_deviation_sql(ax, ay, az))
+
+
+def _state_sql(threshold: float = MOTION_G) -> str:
+    d = _deviation_sql()
+    return f"CASE WHEN {d} IS NULL THEN 'unknown' WHEN {d} > {float(threshold)!r}D THEN 'moving' ELSE 'stationary' END"
 
 
 def motion_state(threshold: float = MOTION_G) -> Column:
-    d = peak_deviation()
-    return F.when(d.isNull(), "unknown").when(d > threshold, "moving").otherwise("stationary")
+    return F.expr(_state_sql(threshold))
 
 
-def ground_speed(drift: Column | str | None = None) -> Column:
-    """value, state, reason and raw_speed; drift says whether the position is quarantined."""
-    speed, state = F.col("speed"), motion_state()
+def ground_speed(drift: str | None = None) -> Column:
+    """value, state, reason and raw_speed; drift (a column or a condition in SQL) says whether the position is quarantined."""
+    state = _state_sql()
+    first = f"WHEN {drift} THEN 'navigation_drift' " if drift else ""
     reason = (
-        F.when(F.col("protocol") != "GPCHCX", "non_gpchcx").when(~finite(speed) | (speed < 0), "missing_speed").when(speed > MAX_SPEED, "velocity_solution_outlier")
-        .when(state == "unknown", "motion_unknown").when(state == "stationary", "vibration_stationary").otherwise("gpchcx_speed"))
-    if drift is not None:
-        reason = F.when(col(drift), "navigation_drift").otherwise(reason)
-    value = F.when(reason == "vibration_stationary", 0.0).when(reason == "gpchcx_speed", speed)
-    known = F.when(reason == "vibration_stationary", "stationary").when(reason == "gpchcx_speed", "moving").otherwise("unknown")
-    return F.struct(value.alias("value"), known.alias("state"), reason.alias("reason"), F.when(F.col("protocol") == "GPCHCX", speed).alias("raw_speed"))
+        f"CASE {first}WHEN protocol <> 'GPCHCX' THEN 'non_gpchcx' WHEN NOT {finite_sql('speed')} OR speed < 0 THEN 'missing_speed' WHEN speed > {float(MAX_SPEED)!r}D THEN 'velocity_solution_outlier' "
+        f"WHEN {state} = 'unknown' THEN 'motion_unknown' WHEN {state} = 'stationary' THEN 'vibration_stationary' ELSE 'gpchcx_speed' END")
+    value = f"CASE {reason} WHEN 'vibration_stationary' THEN 0.0D WHEN 'gpchcx_speed' THEN speed END"
+    known = f"CASE {reason} WHEN 'vibration_stationary' THEN 'stationary' WHEN 'gpchcx_speed' THEN 'moving' ELSE 'unknown' END"
+    return F.expr(f"named_struct('value', {value}, 'state', {known}, 'reason', {reason}, 'raw_speed', CASE WHEN protocol = 'GPCHCX' THEN speed END)")
 
 
 def valid_position(fix="fix_mode", lat="lat", lon="lon") -> Column:
-    fix, lat, lon = col(fix), col(lat), col(lon)
-    return F.coalesce(fix.between(1, 9) & finite(lat) & finite(lon) & ((lat != 0) | (lon != 0)), F.lit(False))
+    return F.expr(f"coalesce({fix} BETWEEN 1 AND 9 AND {finite_sql(lat)} AND {finite_sql(lon)} AND ({lat} <> 0 OR {lon} <> 0), false)")
 
 
 def velocity_outlier() -> Column:
-    horizontal = F.sqrt(F.col("ve") * F.col("ve") + F.col("vn") * F.col("vn"))
-    spread = F.greatest(F.abs("ve_std"), F.abs("vn_std"), F.abs("vu_std"))
-    tests = [F.col("speed") > MAX_SPEED, horizontal > MAX_SPEED, F.abs("vu") > MAX_VERTICAL, spread > MAX_VELOCITY_STD]
-    return F.coalesce(F.exists(F.array(*tests), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    most, vertical, spread = (f"{float(x)!r}D" for x in (MAX_SPEED, MAX_VERTICAL, MAX_VELOCITY_STD))
+    tests = [f"speed > {most}", f"sqrt(ve * ve + vn * vn) > {most}", f"abs(vu) > {vertical}", f"greatest(abs(ve_std), abs(vn_std), abs(vu_std)) > {spread}"]
+    return F.expr(f"exists(array({', '.join(tests)}), x -> coalesce(x, false))")
+
+
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a, b = f"sin((radians({lat2}) - radians({lat1})) / 2)", f"sin((radians({lon2}) - radians({lon1})) / 2)"
+    return f"({EARTH_M * 2!r}D * asin(sqrt(least(1.0D, {a} * {a} + cos(radians({lat1})) * cos(radians({lat2})) * {b} * {b}))))"
 
 
-def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    lat1, lon1, lat2, lon2 = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
-    a, b = F.sin((lat2 - lat1) / 2), F.sin((lon2 - lon1) / 2)
-    return EARTH_M * 2 * F.asin(F.sqrt(F.least(F.lit(1.0), a * a + F.cos(lat1) * F.cos(lat2) * b * b)))
+def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    return F.expr(haversine_sql(lat1, lon1, lat2, lon2))
 
 
 def angle_delta(a, b) -> Column:
@@ -188,4 +205,4 @@ def position_confidence() -> Column:
 
 def present(names: list[str]) -> Column:
     """Bits of the named channels that are not null."""
-    return sum((F.when(F.col(n).isNotNull(), F.lit(1 << CHANNELS.index(n)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for n in names), F.lit(0).cast("bigint"))
+    return F.expr(" + ".join(f"CASE WHEN {n} IS NOT NULL THEN {1 << CHANNELS.index(n)}L ELSE 0L END" for n in names))

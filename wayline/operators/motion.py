@@ -133,7 +133,7 @@ def stationary_anchor(view: DataFrame, stops: DataFrame, tolerance_m: float = 2.
     stop = Window.partitionBy("device_id", "stop")
     rows = rows.withColumn("_first", F.min(F.struct("t_ms", "lat", "lon")).over(stop))
     middle = lambda c: F.coalesce((F.col(f"before.{c}") + F.col(f"after.{c}")) / 2, F.col(f"before.{c}"), F.col(f"after.{c}"), F.col(f"_first.{c}"))
-    rows = rows.withColumn("_away", haversine_m(middle("lat"), middle("lon"), "lat", "lon")).withColumn("_least", F.min("_away").over(stop))
+    rows = rows.withColumns({"_mid_lat": middle("lat"), "_mid_lon": middle("lon")}).withColumn("_away", haversine_m("_mid_lat", "_mid_lon", "lat", "lon")).drop("_mid_lat", "_mid_lon").withColumn("_least", F.min("_away").over(stop))
     fit = rows.where(F.col("_away") <= F.col("_least") + tolerance_m)
     best = fit.groupBy("device_id", "stop").agg(F.max_by(F.struct("lat", "lon", "t_ms", "confidence"), F.struct("confidence", -F.col("_away"), -F.col("t_ms"))).alias("a"))
     return best.select("device_id", "stop", F.col("a.lat").alias("anchor_lat"), F.col("a.lon").alias("anchor_lon"), F.col("a.t_ms").alias("anchor_ms"), F.col("a.confidence").alias("confidence"))

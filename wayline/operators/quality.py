@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BITS, CHANNELS, CONTIGUOUS_MS, COURSE_FIELDS, DRIFT_FIELDS, EXCLUDING, HEADING_FIELDS, MAX_SPEED, MAX_VELOCITY_STD, MAX_VERTICAL, NAVIGATION_FIELDS, OTHER_SPEED_LABEL, OUTLIER_FIELDS, REASON_BITS, REASON_LABELS, REASONS, SPEED_LABELS
-from ..functions.scalars import bits_to_names, finite, ground_speed, haversine_m, motion_state, present, valid_position, velocity_outlier
+from ..functions.scalars import bits_to_names, finite_sql, ground_speed, haversine_sql, motion_state, present, valid_position, velocity_outlier
 from .timeline import with_previous
 
 VERSION = 10
@@ -14,17 +14,16 @@ VERSION = 10
 
 def drift_evidence(prev: str = "prev") -> Column:
     """distance_m, delta_s, limit_m, speed_change_ms and fast_inconsistent of a severe jump, else null."""
-    p = lambda c: F.col(f"{prev}.{c}")
-    delta = (F.col("t_ms") - p("t_ms")) / 1000
-    jump = haversine_m(p("lat"), p("lon"), "lat", "lon")
-    zero = F.lit(0.0)
-    speed = F.greatest(F.coalesce(p("speed"), zero), F.coalesce("speed", zero), zero)
-    reach = (speed + 15) * delta
-    tolerance = F.greatest(F.lit(20.0), 5 * F.coalesce("lat_std", zero), 5 * F.coalesce("lon_std", zero))
-    change = F.abs(F.coalesce("speed", zero) - F.coalesce(p("speed"), zero))
-    fast = (jump > reach) & (change > F.greatest(F.lit(1.0), 10 * delta))
-    near = finite(p("lat")) & finite(p("lon")) & finite("lat") & finite("lon") & (F.col("t_ms") - p("t_ms")).between(1, CONTIGUOUS_MS)
-    return F.when(near & ((jump > reach + tolerance) | fast), F.struct(jump.alias("distance_m"), delta.alias("delta_s"), (reach + tolerance).alias("limit_m"), change.alias("speed_change_ms"), fast.alias("fast_inconsistent")))
+    delta = f"((t_ms - {prev}.t_ms) / 1000)"
+    jump = haversine_sql(f"{prev}.lat", f"{prev}.lon", "lat", "lon")
+    speed, before = "coalesce(speed, 0.0D)", f"coalesce({prev}.speed, 0.0D)"
+    reach = f"((greatest({before}, {speed}, 0.0D) + 15) * {delta})"
+    tolerance = "greatest(20.0D, 5 * coalesce(lat_std, 0.0D), 5 * coalesce(lon_std, 0.0D))"
+    change = f"abs({speed} - {before})"
+    fast = f"({jump} > {reach} AND {change} > greatest(1.0D, 10 * {delta}))"
+    near = " AND ".join([*map(finite_sql, (f"{prev}.lat", f"{prev}.lon", "lat", "lon")), f"(t_ms - {prev}.t_ms) BETWEEN 1 AND {CONTIGUOUS_MS}"])
+    found = f"named_struct('distance_m', {jump}, 'delta_s', {delta}, 'limit_m', {reach} + {tolerance}, 'speed_change_ms', {change}, 'fast_inconsistent', {fast})"
+    return F.expr(f"CASE WHEN {near} AND ({jump} > {reach} + {tolerance} OR {fast}) THEN {found} END")
 
 
 def position_drift(points: DataFrame) -> DataFrame:
@@ -33,7 +32,7 @@ def position_drift(points: DataFrame) -> DataFrame:
 
 
 def _any(names: list[str]) -> Column:
-    return F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(True)) for n in names], F.lit(False))
+    return F.expr("(" + " OR ".join(f"{n} IS NOT NULL" for n in names) + ")")
 
 
 def complete(points: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def assess(points: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     mask = F.when(outlier, present(OUTLIER_FIELDS)).otherwise(zero).bitwiseOR(F.when(drift, present(DRIFT_FIELDS)).otherwise(zero))
     speed_bit = F.lit(BITS["speed"]).cast("bigint")
-    df = df.withColumn("_mask", mask).withColumn("ground", ground_speed(F.col("_mask").bitwiseAND(speed_bit) != 0))
+    df = df.withColumn("_mask", mask).withColumn("ground", ground_speed(f"(_mask & {BITS['speed']}L) <> 0"))
     hidden = F.col("ground.value").isNull()
 
     def reason(name: str, when: Column) -> Column:
@@ -68,7 +67,7 @@ def project(assessed: DataFrame) -> DataFrame:
 
     Rows without an assessment (mask null) show nothing and have an unknown state.
     """
-    shown = {c: F.when(F.coalesce(F.col("mask").bitwiseAND(F.lit(BITS[c]).cast("bigint")) == 0, F.lit(False)), F.col(c)) for c in CHANNELS if c != "speed"}
+    shown = {c: F.expr(f"CASE WHEN (mask & {BITS[c]}L) = 0 THEN {c} END") for c in CHANNELS if c != "speed"}
     df = assessed.withColumns(shown | {"speed": F.when(F.col("mask").isNotNull(), F.col("ground.value")), "motion_state": F.when(F.col("mask").isNull(), "unknown").otherwise(F.col("ground.state"))})
     return df.withColumn("valid_pos", valid_position())
 
