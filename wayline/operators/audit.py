@@ -189,11 +189,44 @@ def stream_histogram(decoded: DataFrame) -> DataFrame:
 
 def table_digest(df: DataFrame) -> DataFrame:
     """Row count and an order-free digest: the sum of 60 bits of the md5 of each row's columns, as text with the null sign \\N."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
-    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    h = _row_digest(df)
     return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
 
 
+def _row_digest(df: DataFrame):
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def digest_tree(df: DataFrame, hour_ms: int = 3_600_000) -> DataFrame:
+    """Digests of a table in a tree: level (0 the whole table, 1 a device, 2 a device's hour), device_id, hour, rows and digest.
+
+    A node's digest is the sum of those below it, so the upper levels come from the hours and not from rows.
+    """
+    hours = df.select("device_id", F.floor(F.col("t_ms") / hour_ms).alias("hour"), _row_digest(df).alias("_h")).groupBy("device_id", "hour").agg(F.count(F.lit(1)).alias("rows"), F.sum("_h").alias("digest"))
+    sums = [F.sum("rows").alias("rows"), F.sum("digest").alias("digest")]
+    nodes = hours.rollup("device_id", "hour").agg(F.grouping_id().alias("_g"), *sums)
+    level = F.when(F.col("_g") == 3, 0).when(F.col("_g") == 1, 1).otherwise(2)
+    return nodes.select(level.alias("level"), "device_id", "hour", "rows", F.col("digest").cast("string").alias("digest"))
+
+
+def tree_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """device_id, hour, rows_a and rows_b of the hours in which two tables differ, told from their trees from the top down.
+
+    Equal devices are left at their one row; hours are compared of the others only.
+    """
+    def differ(level: int, keys: list[str], x: DataFrame, y: DataFrame) -> DataFrame:
+        named = lambda t, n: t.where(F.col("level") == level).select(*[F.col(k).alias(f"_{n}_{k}") for k in keys], F.col("rows").alias(f"rows_{n}"), F.col("digest").alias(f"_{n}"))
+        same = reduce(lambda p, q: p & q, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys], F.lit(True))
+        both = named(x, "a").join(named(y, "b"), same, "full")
+        unequal = ~(F.col("_a").eqNullSafe(F.col("_b")) & F.col("rows_a").eqNullSafe(F.col("rows_b")))
+        return both.where(unequal).select(*[F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys], *[F.coalesce(f"rows_{n}", F.lit(0)).alias(f"rows_{n}") for n in "ab"])
+
+    devices = differ(1, ["device_id"], a, b).select(F.col("device_id").alias("_d"))
+    below = lambda t: t.join(devices, F.col("device_id").eqNullSafe(F.col("_d")), "left_semi")
+    return differ(2, ["device_id", "hour"], below(a), below(b))
+
+
 def densest_window(points: DataFrame, seconds: int = 3600) -> DataFrame:
     """The minute at whose end the most rows lie within the last hour, the latest of equal ones."""
     minutes = points.groupBy("device_id", (F.floor(F.col("t_ms") / 60_000) * 60).alias("minute")).agg(F.count(F.lit(1)).alias("n"))

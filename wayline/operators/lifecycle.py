@@ -209,6 +209,32 @@ def backfill(points: DataFrame, quality: DataFrame, version: int, assess) -> Dat
     return current.unionByName(fresh.select(*current.columns))
 
 
+def backfill_plan(points: DataFrame, quality: DataFrame, version: int, size: int) -> DataFrame:
+    """The hours of devices in which a point has no assessment of this version: device_id, _hour, missing and step, in order of device and hour.
+
+    A step has hours of at least size such points. Running sums are in two steps, by device and within one.
+    """
+    key = ["device_id", "t_ms", "protocol"]
+    missing = points.select(*key).join(quality.where(F.col("version") == version).select(*key), key, "left_anti")
+    hours = missing.groupBy("device_id", F.floor(F.col("t_ms") / 3_600_000).alias("_hour")).agg(F.count(F.lit(1)).alias("missing"))
+    devices = hours.groupBy("device_id").agg(F.sum("missing").alias("_all"))
+    before = devices.select("device_id", F.coalesce(F.sum("_all").over(Window.orderBy("device_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum("missing").over(Window.partitionBy("device_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = hours.withColumn("_inner", inner).join(before, "device_id")
+    return placed.select("device_id", "_hour", "missing", (F.floor((F.col("_before") + F.col("_inner")) / size) + 1).alias("step"))
+
+
+def backfill_step(points: DataFrame, quality: DataFrame, hours: DataFrame, version: int, assess) -> DataFrame:
+    """Assessments of the points of some hours (device_id, _hour) that have none of this version."""
+    key = ["device_id", "t_ms", "protocol"]
+    hour = lambda df: df.withColumn("_hour", F.floor(F.col("t_ms") / 3_600_000))
+    within = lambda df, h: hour(df).join(h, ["device_id", "_hour"], "left_semi").drop("_hour")
+    around = hours.select("device_id", F.explode(F.array("_hour", F.col("_hour") - 1)).alias("_hour")).distinct()
+    have = within(quality.where(F.col("version") == version).select(*key), hours)
+    fresh = within(assess(within(points, around)), hours).join(have, key, "left_anti")
+    return fresh.withColumn("version", F.lit(version)).select(*quality.columns)
+
+
 def retention_plan(files: DataFrame, used: float, total: float, now_ms: int, start: float = 0.8, target: float = 0.75, running: bool = False, protect_ms: int = 86_400_000) -> DataFrame:
     """files (path, day, mtime_ms, bytes, last_point_ms, pending) with eligible, freed_before and delete.
 

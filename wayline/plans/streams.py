@@ -9,15 +9,18 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.constants import RULES
-from ..operators.quality import assess, project
+from ..operators.quality import VERSION, assess, complete, project
 from ..sources.frames import build_frames
 from ..sources.logs import growing_logs
 from ..sources.telemetry import TELEMETRY_SQL, telemetry
+from ..streaming.backfill import run_backfill
 from ..streaming.episodes import stream_episodes as episodes_of
 from ..streaming.ingest import admit, counters, health_table, ingest_health, latest_episodes, latest_rollups, rejected, run_rollups, start_ingest, stored_points
 from .rollups import _rolled
 from .shared import rounded, span, sql
 from .telemetry import _EPISODES
+from .upkeep import SQL as _UPKEEP
+from .upkeep import _stored
 
 QUERIES, SQL = {}, {}
 
@@ -125,6 +128,15 @@ def stream_rejects(spark, sf_dir):
     return files.join(refused, "device_id", "left")
 
 
+def backfill_steps(spark, sf_dir):
+    """The backfill in steps of 500 missing points, stopped after two and begun again; the SQL assesses all rows."""
+    folder = _folder(spark)
+    t, have = complete(telemetry(spark, sf_dir)), _stored(spark, sf_dir)
+    run_backfill(t, have, VERSION, assess, folder, 500, steps=2)
+    full = run_backfill(t, have, VERSION, assess, folder, 500)
+    return rounded(full.groupBy("device_id", "mask", "reasons", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("ground.value").alias("total")), 4)
+
+
 def admitted_rows(spark, sf_dir):
     """Rows of the future and of before 2010 are refused, however old others are."""
     t = telemetry(spark, sf_dir)
@@ -166,7 +178,7 @@ def stream_episodes(spark, sf_dir):
     return _episodes_in(spark, folder)
 
 
-QUERIES |= {f.__name__: f for f in (stream_rollup, stream_episodes, stream_parents, stream_late_episodes, stream_health, stream_ingest, stream_rejects, admitted_rows, stream_rule_change)}
+QUERIES |= {f.__name__: f for f in (stream_rollup, stream_episodes, stream_parents, stream_late_episodes, stream_health, stream_ingest, stream_rejects, backfill_steps, admitted_rows, stream_rule_change)}
 SQL["stream_rollup"] = sql(f"\nSELECT device_id, bucket_ms, points, fixed, valid, round(speed_sum, 4) + 0.0 AS speed_sum FROM ({_rolled(60)})")
 SQL["stream_episodes"] = sql(""",
 se AS (SELECT device_id, t_ms, CASE WHEN speed * 3.6 > 85 AND protocol = 'GPCHCX' THEN speed * 3.6 END AS value FROM t),
@@ -182,6 +194,7 @@ SQL["stream_rejects"] = sql(_REFUSED + """
 SELECT device_id, count(*) AS points, count(*) FILTER (early AND NOT ahead) AS duplicates, count(*) FILTER (refused) AS rejected, count(*) + count(*) FILTER (early) AS valid_ascii, CAST(0 AS BIGINT) AS unparsed_bytes,
   CASE WHEN count(*) FILTER (refused) > 0 THEN 'clock_range' END AS reject_reason, CASE WHEN count(*) FILTER (refused) > 0 THEN count(*) FILTER (refused) END AS n, min(t_ms) FILTER (refused) AS first_ms FROM i GROUP BY device_id""")
 SQL["stream_ingest"] = sql("\nSELECT device_id, count(*) AS n, min(t_ms) AS first_ms, max(t_ms) AS last_ms, round(sum(speed), 4) + 0.0 AS speed_sum FROM t WHERE device_id <> 'D3' GROUP BY device_id")
+SQL["backfill_steps"] = _UPKEEP["backfill"]
 SQL["admitted_rows"] = sql("""
 , mo AS (SELECT device_id, CASE WHEN t_ms // 100 % 13 = 0 THEN t_ms + 3155760000000 WHEN t_ms // 100 % 17 = 0 THEN 1262303999999 WHEN t_ms // 100 % 19 = 0 THEN 1262304000000 ELSE t_ms END AS t_ms FROM t)
 SELECT device_id, count(*) AS n, min(t_ms) AS first_ms FROM mo WHERE t_ms BETWEEN 1262304000000 AND 1800000300000 GROUP BY device_id""")

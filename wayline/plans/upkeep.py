@@ -456,3 +456,14 @@ def rollup_histograms(spark, sf_dir):
     r = rollup.rerollup(rollup.rollup(view(spark, sf_dir)))
     one = lambda c, kind: r.select("device_id", "bucket_ms", F.lit(kind).alias("kind"), F.explode(c).alias("item", "n"))
     return one("fixes", "fix").unionByName(one("quality", "quality"))
+
+
+@query(sql("""
+SELECT device_id, CAST(floor(t_ms / 60000) AS BIGINT) AS hour, count(*) AS rows_a, count(*) - count(*) FILTER (t_ms // 100 % 499 = 3) AS rows_b FROM t GROUP BY ALL
+HAVING count(*) FILTER (t_ms // 100 % 499 = 3) > 0 OR count(*) FILTER (device_id = 'D1' AND t_ms // 100 % 701 = 5) > 0"""))
+def digest_differences(spark, sf_dir):
+    """The minutes in which a copy differs that lacks some rows and has others changed, told from two digest trees."""
+    t = telemetry(spark, sf_dir)
+    tick = F.floor(F.col("t_ms") / 100)
+    copy = t.where(tick % 499 != 3).withColumn("speed", F.when((F.col("device_id") == "D1") & (tick % 701 == 5), F.col("speed") + 1).otherwise(F.col("speed")))
+    return audit.tree_differences(audit.digest_tree(t, 60_000), audit.digest_tree(copy, 60_000))
