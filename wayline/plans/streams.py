@@ -14,10 +14,12 @@ from ..sources.frames import build_frames
 from ..sources.logs import growing_logs
 from ..sources.telemetry import TELEMETRY_SQL, telemetry
 from ..streaming.backfill import run_backfill
+from ..streaming.episodes import rule_inputs
+from ..streaming.episodes import stream_all_episodes as all_episodes_of
 from ..streaming.episodes import stream_episodes as episodes_of
 from ..streaming.ingest import admit, counters, health_table, ingest_health, latest_episodes, latest_rollups, rejected, run_rollups, start_ingest, stored_points
 from .rollups import _rolled
-from .shared import rounded, span, sql
+from .shared import rounded, span, sql, view
 from .telemetry import _EPISODES
 from .upkeep import SQL as _UPKEEP
 from .upkeep import _stored
@@ -128,6 +130,27 @@ def stream_rejects(spark, sf_dir):
     return files.join(refused, "device_id", "left")
 
 
+def stream_all_episodes(spark, sf_dir):
+    """Episodes of all kinds by a stateful stream that is restarted twice; a tenth of the first half's rows comes late, when the stream has gone on."""
+    folder = _folder(spark)
+    inputs = rule_inputs(view(spark, sf_dir))
+    lo, hi = span(spark, sf_dir)
+    late = F.pmod(F.xxhash64("device_id", "t_ms"), F.lit(10)) == 3
+    first = F.col("t_ms") <= (lo + hi) // 2
+    for part in (inputs.where(first & ~late), inputs.where(first & late), inputs.where(~first)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+        stream = spark.readStream.schema(inputs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+        updates = all_episodes_of(stream, hold_ms=hi - lo)
+
+        def keep(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{folder}/all/batch={batch_id}")
+
+        updates.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/detectors").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/all").where("state <> 'late'")
+    last = rows.groupBy("device_id", "kind", "start_ms").agg(F.max_by(F.struct("end_ms", "peak", "samples", "state"), F.struct("batch", F.col("state") == "closed")).alias("e"))
+    return rounded(last.where("e.state <> 'gone'").select("device_id", "kind", "start_ms", "e.end_ms", "e.peak", "e.samples"), 4)
+
+
 def backfill_steps(spark, sf_dir):
     """The backfill in steps of 500 missing points, stopped after two and begun again; the SQL assesses all rows."""
     folder = _folder(spark)
@@ -178,7 +201,7 @@ def stream_episodes(spark, sf_dir):
     return _episodes_in(spark, folder)
 
 
-QUERIES |= {f.__name__: f for f in (stream_rollup, stream_episodes, stream_parents, stream_late_episodes, stream_health, stream_ingest, stream_rejects, backfill_steps, admitted_rows, stream_rule_change)}
+QUERIES |= {f.__name__: f for f in (stream_rollup, stream_episodes, stream_parents, stream_late_episodes, stream_health, stream_ingest, stream_rejects, stream_all_episodes, backfill_steps, admitted_rows, stream_rule_change)}
 SQL["stream_rollup"] = sql(f"\nSELECT device_id, bucket_ms, points, fixed, valid, round(speed_sum, 4) + 0.0 AS speed_sum FROM ({_rolled(60)})")
 SQL["stream_episodes"] = sql(""",
 se AS (SELECT device_id, t_ms, CASE WHEN speed * 3.6 > 85 AND protocol = 'GPCHCX' THEN speed * 3.6 END AS value FROM t),
@@ -194,6 +217,7 @@ SQL["stream_rejects"] = sql(_REFUSED + """
 SELECT device_id, count(*) AS points, count(*) FILTER (early AND NOT ahead) AS duplicates, count(*) FILTER (refused) AS rejected, count(*) + count(*) FILTER (early) AS valid_ascii, CAST(0 AS BIGINT) AS unparsed_bytes,
   CASE WHEN count(*) FILTER (refused) > 0 THEN 'clock_range' END AS reject_reason, CASE WHEN count(*) FILTER (refused) > 0 THEN count(*) FILTER (refused) END AS n, min(t_ms) FILTER (refused) AS first_ms FROM i GROUP BY device_id""")
 SQL["stream_ingest"] = sql("\nSELECT device_id, count(*) AS n, min(t_ms) AS first_ms, max(t_ms) AS last_ms, round(sum(speed), 4) + 0.0 AS speed_sum FROM t WHERE device_id <> 'D3' GROUP BY device_id")
+SQL["stream_all_episodes"] = SQL["stream_late_episodes"]
 SQL["backfill_steps"] = _UPKEEP["backfill"]
 SQL["admitted_rows"] = sql("""
 , mo AS (SELECT device_id, CASE WHEN t_ms // 100 % 13 = 0 THEN t_ms + 3155760000000 WHEN t_ms // 100 % 17 = 0 THEN 1262303999999 WHEN t_ms // 100 % 19 = 0 THEN 1262304000000 ELSE t_ms END AS t_ms FROM t)

@@ -6,7 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from ..functions.constants import RULES
+from ..functions.scalars import ground_speed, peak_deviation
 
 OUT = "device_id string, kind string, start_ms bigint, end_ms bigint, peak double, samples bigint"
 GAP_MS = 3000
@@ -42,3 +47,127 @@ def stream_episodes(signals: DataFrame, kind: str, version: int = 1, gap_ms: int
             yield pd.DataFrame(out, columns=["device_id", "kind", "start_ms", "end_ms", "peak", "samples"])
 
     return signals.groupBy("device_id").applyInPandasWithState(step, OUT, "last_ms bigint, version int, start_ms bigint, peak double, n bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ALL_OUT = "device_id string, kind string, start_ms bigint, end_ms bigint, peak double, peak_ms bigint, samples bigint, state string"
+FAR_MS, NEAR_MS = 1500, 800
+
+
+def rule_inputs(points: DataFrame) -> DataFrame:
+    """What the rules look at of each point of a stream: device_id, at (its time), t_ms, protocol, speed (effective), roll, pitch and shock.
+
+    Rows of the measurement view have their effective speed; of others it is made of the row by itself, so that a drift of the position isn't seen.
+    """
+    speed = F.col("speed") if "motion_state" in points.columns else ground_speed()["value"]
+    return points.select("device_id", F.timestamp_millis("t_ms").alias("at"), "t_ms", "protocol", speed.alias("speed"), F.abs("roll").alias("roll"), F.abs("pitch").alias("pitch"), peak_deviation().alias("shock"))
+
+
+class Detector(StatefulProcessor):
+    """The episodes of one device, of all kinds.
+
+    State has the rows of the last hold_ms and of an episode that goes on, so that a late row stands among its neighbours as if it had
+    been in time: episodes of these rows are found anew, and those that differ from what was told are told again (gone, if no longer there). Rows
+    older than that are told as late, for the rebuild. Rules of a new version begin with no state. An event-time timer tells an episode closed
+    when no row can go on with it.
+    """
+
+    def __init__(self, rules: dict, version: int, gap_ms: int, hold_ms: int):
+        self.rules, self.version, self.gap_ms, self.hold_ms = rules, version, gap_ms, hold_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "t_ms bigint, protocol string, speed double, roll double, pitch double, shock double")
+        self.meta = handle.getValueState("meta", "version int, upto bigint, newest bigint")
+        self.told = handle.getMapState("told", "kind string, start_ms bigint", "end_ms bigint, peak double, peak_ms bigint, samples bigint, closed boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        version, upto, newest = self.meta.get() if self.meta.exists() else (self.version, -1, -1)
+        if version != self.version:
+            self.rows.clear()
+            self.told.clear()
+            upto = newest
+        kept = {(r[0], r[1]): tuple(r[2:]) for r in self.rows.get()} if self.rows.exists() else {}
+        late = 0
+        for frame in rows:
+            for t, protocol, *values in zip(*(frame[c].tolist() for c in ("t_ms", "protocol", "speed", "roll", "pitch", "shock"))):
+                if t <= upto:
+                    late += 1
+                else:
+                    kept.setdefault((t, protocol), tuple(None if v is None or v != v else v for v in values))
+                    newest = max(newest, t)
+        ordered = sorted((t, p, *v) for (t, p), v in kept.items())
+        signals = list(self._signals(ordered))
+        found = self._episodes(ordered, signals, upto)
+        told = {tuple(k): tuple(v) for k, v in self.told.iterator()} if self.told.exists() else {}
+        out = [(key[0], "late", upto, upto, 0.0, upto, late, "late")] if late else []
+        for k, v in found.items():
+            if told.get(k, ())[:4] != v:
+                self.told.updateValue(k, (*v, False))
+                out.append((key[0], k[0], k[1], *v, "open"))
+        for k, v in told.items():
+            if k not in found and k[1] > upto:
+                self.told.removeKey(k)
+                out.append((key[0], k[0], k[1], v[0], v[1], v[2], 0, "gone"))
+        upto = self._cut(ordered, signals, upto, newest - self.hold_ms)
+        for k, v in {**told, **{k: (*v, False) for k, v in found.items()}}.items():
+            if v[0] <= upto and self.told.containsKey(k):
+                self.told.removeKey(k)
+        self.rows.put([r for r in ordered if r[0] > upto - FAR_MS])
+        self.meta.update((self.version, upto, newest))
+        self.handle.registerTimer(max(newest + self.gap_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ALL_OUT.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for k, v in [(tuple(k), tuple(v)) for k, v in self.told.iterator()] if self.told.exists() else []:
+            if v[0] + self.gap_ms < now and not v[4]:
+                self.told.updateValue(k, (*v[:4], True))
+                out.append((key[0], k[0], k[1], *v[:4], "closed"))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ALL_OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+    def _signals(self, ordered: list[tuple]) -> Iterator[dict[str, float]]:
+        """The exceedances of each row, with the acceleration from the oldest row between FAR_MS and NEAR_MS before."""
+        base, rules = 0, self.rules
+        for t, _, speed, roll, pitch, shock in ordered:
+            while ordered[base][0] < t - FAR_MS:
+                base += 1
+            b = ordered[base]
+            accel = (speed - b[2]) / ((t - b[0]) / 1000) if b[0] <= t - NEAR_MS and speed is not None and b[2] is not None else None
+            values = {"overspeed": (None if speed is None else speed * 3.6, rules["speed_kmh"]), "acceleration": (accel, rules["accel_ms2"]), "braking": (None if accel is None else -accel, rules["brake_ms2"]), "roll": (roll, rules["roll_deg"]), "pitch": (pitch, rules["pitch_deg"]), "shock": (shock, rules["shock_g"])}
+            yield {k: v for k, (v, most) in values.items() if v is not None and v > most}
+
+    def _episodes(self, ordered: list[tuple], signals: list[dict], upto: int) -> dict:
+        open_, out, before, had = {}, {}, None, {}
+        for (t, *_), found in zip(ordered, signals):
+            if t <= upto:
+                continue
+            for kind, value in found.items():
+                k = open_[kind] if before is not None and t - before <= self.gap_ms and kind in had else (kind, t)
+                open_[kind] = k
+                _, peak, at, n = out.get(k, (t, value, t, 0))
+                out[k] = (t, value, t, n + 1) if value > peak else (t, peak, at, n + 1)
+            before, had = t, found
+        return out
+
+    def _cut(self, ordered: list[tuple], signals: list[dict], upto: int, wanted: int) -> int:
+        """The last time up to which rows can go: not after wanted, and not within an episode."""
+        best = upto
+        for (a, *_), x, (b, *_), y in zip(ordered, signals, ordered[1:], signals[1:]):
+            if a > wanted:
+                break
+            if a > upto and b > a and (b - a > self.gap_ms or not x.keys() & y.keys()):
+                best = a
+        return best
+
+
+def stream_all_episodes(inputs: DataFrame, rules: dict = RULES, version: int = 1, gap_ms: int = GAP_MS, hold_ms: int = 600_000) -> DataFrame:
+    """Updates of the episodes of all kinds of a stream of rule_inputs: the last row of a (device_id, kind, start_ms) is its state (open, closed or gone)."""
+    inputs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = inputs.withWatermark("at", f"{hold_ms} milliseconds")
+    return timed.groupBy("device_id").transformWithStateInPandas(Detector(rules, version, gap_ms, hold_ms), ALL_OUT, "Update", "eventTime")
