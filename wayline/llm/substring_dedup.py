@@ -45,7 +45,7 @@ from . import flat
 from .shared import partitions, table
 
 WINDOW = 13
-PART_BYTES, RANGE_KEYS = 16 << 20, 2_000_000
+PART_BYTES, RANGE_KEYS = 8 << 20, 2_000_000
 KEY_BYTES = 6
 
 _KEYS = "range int, part int, keys binary, places binary"
