@@ -224,3 +224,117 @@ def test_the_time_is_asked_each_batch(spark, tmp_path):
     finally:
         query.stop()
     assert ingest.stored_points(spark, str(folder)).count() == 3
+
+
+def _track_view(spark, n=3000):
+    """A device that stops, drives, jumps and is silent, with rows of two protocols at some times."""
+    t = F.lit(1_704_067_200_000) + F.col("id") * 700 + F.when(F.col("id") > 1500, 30_000).otherwise(0)
+    state = F.floor(F.col("id") / 97) % 2
+    rows = spark.range(n).select(
+        F.lit("A").alias("device_id"), t.alias("t_ms"), F.when(F.col("id") % 401 == 0, "GPCHC").otherwise("GPCHCX").alias("protocol"),
+        F.when(F.col("id") % 53 == 0, 0).otherwise(4).alias("fix_mode"), F.lit(2).alias("nav_mode"), (state * 8 + (F.col("id") % 5) / 10).alias("speed"),
+        (F.lit(31.2) + F.col("id") * 1e-5 + F.when(F.col("id") % 611 == 0, 0.05).otherwise(0.0)).alias("lat"), F.lit(121.6).alias("lon"),
+        (1.0 + 0.05 * state).alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("az"), F.lit(0).alias("warning"))
+    again = rows.where("t_ms % 49 = 0").withColumn("protocol", F.lit("GPCHC"))
+    return _view(rows.unionByName(again).dropDuplicates(["device_id", "t_ms", "protocol"]))
+
+
+def test_segments_and_track_of_a_range_come_from_its_buckets(spark):
+    """Head and tail from rows and 600 s buckets between: as from the rows of the range."""
+    from wayline.operators import motion, paths
+
+    view = _track_view(spark).persist()
+    lo, hi = view.agg(F.min("t_ms"), F.max("t_ms")).first()
+    lo, hi = lo + 333_300, hi - 222_200
+    whole = paths.path_rerollup(paths.path_rollup(view, 60, ["speed"]), 600, ["speed"])
+    a, b = -(-lo // 600_000) * 600_000, (hi + 1) // 600_000 * 600_000
+    edges = paths.path_rollup(view.where(F.col("t_ms").between(lo, a - 1) | F.col("t_ms").between(b, hi)), 60, ["speed"])
+    buckets = whole.where(F.col("bucket_ms").between(a, b - 1)).unionByName(edges, allowMissingColumns=True)
+    rows = view.where(F.col("t_ms").between(lo, hi))
+    key = lambda r: (r["segment"], r["motion_state"], r["start_ms"], r["end_ms"], round(r["distance_m"], 6), round(r["max_kmh"], 6) if r["max_kmh"] is not None else None, r["samples"])
+    got, want = ({key(r) for r in f.collect()} for f in (paths.segments_from(buckets), motion.motion_segments(rows)))
+    assert got == want and len(want) > 20
+    points = lambda f: sorted((r["t_ms"], r["break_before"], round(r["lat"], 9)) for r in f.select("t_ms", "break_before", "lat").collect())
+    assert points(paths.track_from(buckets)) == points(motion.track(rows))
+    view.unpersist()
+
+
+def test_backfill_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from wayline.operators import quality
+    from wayline.operators.lifecycle import backfill
+    from wayline.streaming import backfill as steps
+
+    hour = 3_600_000
+    rows = spark.createDataFrame([(d, 1_704_067_200_000 + h * hour + 1000 * k, "GPCHCX", float(k)) for d in "AB" for h in range(4) for k in range(10)], "device_id string, t_ms bigint, protocol string, speed double")
+    points = quality.complete(rows.withColumns({"fix_mode": F.lit(4), "nav_mode": F.lit(2)}))
+    have = quality.assess(points.where("device_id = 'A' AND t_ms % 2000 = 0")).withColumn("version", F.when(F.col("t_ms") % 3000 == 0, 9).otherwise(10))
+    have = have.select(*have.columns).persist()
+    whole = steps.backfill_step
+    made = []
+
+    def breaks(points, quality_, hours, *more):
+        made.append(1)
+        if len(made) == 3:
+            raise OSError("gone")
+        return whole(points, quality_, hours, *more)
+
+    monkeypatch.setattr(steps, "backfill_step", breaks)
+    with pytest.raises(OSError, match="gone"):
+        steps.run_backfill(points, have, 10, quality.assess, str(tmp_path / "b"), size=12)
+    full = steps.run_backfill(points, have, 10, quality.assess, str(tmp_path / "b"), size=12)
+    keys = lambda f: sorted((r["device_id"], r["t_ms"], r["mask"], r["reasons"], r["version"]) for r in f.collect())
+    assert keys(full) == keys(backfill(points, have, 10, quality.assess)) and len(keys(full)) == 80
+    assert len(made) == 1 + Ledger(spark, str(tmp_path / "b")).state()["totals"]["steps"]
+
+
+def test_a_changed_row_is_named_by_its_hour(spark):
+    from wayline.operators import audit
+
+    rows = spark.createDataFrame([(d, h * 3_600_000 + k, float(k)) for d in "ABC" for h in range(3) for k in range(5)] + [(None, 5, 1.0)], "device_id string, t_ms bigint, v double")
+    tree = audit.digest_tree(rows)
+    assert audit.tree_differences(tree, audit.digest_tree(rows.repartition(3))).count() == 0
+    changed = rows.where("NOT (device_id = 'A' AND t_ms = 2)").withColumn("v", F.when((F.col("device_id") == "C") & (F.col("t_ms") == 7_200_001), -1.0).otherwise(F.col("v"))).unionByName(spark.createDataFrame([("D", 1, 1.0)], rows.schema))
+    found = audit.tree_differences(tree, audit.digest_tree(changed)).collect()
+    assert sorted(map(tuple, found)) == [("A", 0, 5, 4), ("C", 2, 5, 5), ("D", 0, 0, 1)]
+    root = tree.where("level = 0").first()
+    assert root["rows"] == 46 and sum(int(r["digest"]) for r in tree.where("level = 2").collect()) == int(root["digest"])
+
+
+def test_detector_keeps_late_rows_and_tells_what_is_over(spark, tmp_path):
+    from wayline.functions.constants import RULES
+    from wayline.streaming import episodes
+
+    fast, slow = (RULES["speed_kmh"] + 10) / 3.6, 1.0
+    cols = "device_id string, at timestamp, t_ms bigint, protocol string, speed double, roll double, pitch double, shock double"
+    row = lambda t, v: ("A", None, t, "GPCHCX", v, 0.0, 0.0, 0.0)
+
+    def send(version, *rows):
+        spark.createDataFrame(list(rows), cols).withColumn("at", F.timestamp_millis("t_ms")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = episodes.stream_all_episodes(stream, version=version, hold_ms=20_000)
+
+        def keep(batch, batch_id):
+            batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={batch_id}"))
+
+        out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        told = spark.read.parquet(str(tmp_path / "out")).where("kind = 'overspeed'").collect()
+        last = {}
+        for r in sorted(told, key=lambda r: (r["batch"], r["state"] == "closed")):
+            last[r["start_ms"]] = (r["end_ms"], r["samples"], r["state"])
+        return {k: v for k, v in last.items() if v[2] != "gone"}
+
+    base = 1_704_067_200_000
+    at = lambda *ks: [row(base + 100 * k, fast) for k in ks]
+    assert send(1, *at(0, 1, 2, 40, 41)) == {base: (base + 200, 3, "open"), base + 4000: (base + 4100, 2, "open")}
+    # Late rows join two episodes; a late one without the signal parts what was one.
+    joined = send(1, *at(20))
+    assert {k: v[:2] for k, v in joined.items()} == {base: (base + 4100, 6)}
+    parted = send(1, row(base + 3000, slow))
+    assert {k: v[:2] for k, v in parted.items()} == {base: (base + 2000, 4), base + 4000: (base + 4100, 2)}
+    # New rules begin anew.
+    again = send(2, *at(42, 43))
+    assert again[base + 4200][:2] == (base + 4300, 2)
+    # When time has gone on, what is over is told so.
+    over = send(2, row(base + 100_000, slow))
+    over = send(2, row(base + 200_000, slow))
+    assert over[base + 4200] == (base + 4300, 2, "closed")

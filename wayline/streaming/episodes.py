@@ -110,9 +110,11 @@ class Detector(StatefulProcessor):
                 self.told.removeKey(k)
                 out.append((key[0], k[0], k[1], v[0], v[1], v[2], 0, "gone"))
         upto = self._cut(ordered, signals, upto, newest - self.hold_ms)
-        for k, v in {**told, **{k: (*v, False) for k, v in found.items()}}.items():
+        for k, v in {**told, **{k: (*v, False) for k, v in found.items() if told.get(k, ())[:4] != v}}.items():
             if v[0] <= upto and self.told.containsKey(k):
                 self.told.removeKey(k)
+                if not v[4]:  # no row can change it any more
+                    out.append((key[0], k[0], k[1], *v[:4], "closed"))
         self.rows.put([r for r in ordered if r[0] > upto - FAR_MS])
         self.meta.update((self.version, upto, newest))
         self.handle.registerTimer(max(newest + self.gap_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
