@@ -363,7 +363,30 @@ def robust_fit(spark, sf_dir):
     return rounded(audit.robust_fit(telemetry(spark, sf_dir), _FITTED))
 
 
-@query()
+def _fit_sql() -> str:
+    """Each field by quantile_cont; pitch and roll on the circle from their first value."""
+    delta = lambda a, b: f"((({a} - {b} + 180) % 360 + 360) % 360 - 180)"
+    one = "SELECT device_id, '{0}' AS field, CAST({0} AS DOUBLE) AS value, CAST({1} AS DOUBLE) AS base, CAST({2} AS DOUBLE) AS least FROM fv JOIN fn USING (device_id) WHERE valid_population >= 100 AND {0} IS NOT NULL"
+    each = [one.format(c, "NULL", "NULL") for c in ("lat", "lon")] + [one.format(c, "NULL", f) for c, f in audit.FLOORS.items()] + [one.format(c, f"first_{c}", f) for c, f in audit.CIRCULAR.items()]
+    out = "SELECT device_id, field, centre, mad, CASE WHEN least IS NOT NULL THEN greatest(least, 6 * 1.4826::DOUBLE * mad) END AS \"limit\" FROM fm"
+    return sql(f""",
+fv AS (SELECT * FROM t WHERE fix_mode BETWEEN 1 AND 9 AND nav_mode <> 0),
+fn AS (SELECT device_id, count(*) AS valid_population, arg_min(pitch, row(t_ms, protocol)) AS first_pitch, arg_min(roll, row(t_ms, protocol)) AS first_roll FROM fv GROUP BY device_id),
+fp AS (SELECT device_id, count(*) AS population FROM t GROUP BY device_id),
+fl AS ({' UNION ALL '.join(each)}),
+fc AS (SELECT device_id, field, base, least, quantile_cont(CASE WHEN base IS NULL THEN value ELSE {delta('value', 'base')} END, 0.5) AS c FROM fl GROUP BY ALL),
+fe AS (SELECT device_id, field, CASE WHEN base IS NULL THEN c ELSE {delta('(base + c)', '0')} END AS centre FROM fc),
+fm AS (SELECT fl.device_id, fl.field, least, centre, quantile_cont(abs(CASE WHEN base IS NULL THEN value - centre ELSE {delta('value', 'centre')} END), 0.5) AS mad FROM fl JOIN fe USING (device_id, field) GROUP BY ALL),
+fa AS (SELECT device_id, max(centre) FILTER (field = 'lat') AS la, max(centre) FILTER (field = 'lon') AS lo FROM fm GROUP BY device_id),
+fr AS (SELECT fv.device_id, {distance_sql('la', 'lo', 'lat', 'lon')} AS r FROM fv JOIN fa USING (device_id)),
+fs AS (SELECT device_id, quantile_cont(r, 0.5) AS centre FROM fr GROUP BY device_id),
+fw AS (SELECT fr.device_id, centre, quantile_cont(abs(r - centre), 0.5) AS mad FROM fr JOIN fs USING (device_id) GROUP BY ALL),
+fo AS ({out}),
+fz AS (SELECT * FROM fo UNION ALL SELECT device_id, 'radius', centre, mad, greatest(10.0, centre + 6 * 1.4826::DOUBLE * mad) FROM fw UNION ALL SELECT device_id, 'horizontal', NULL, NULL, max("limit") FROM fo WHERE field IN ('speed', 've', 'vn') GROUP BY device_id)
+SELECT device_id, field, round(centre, 6) + 0.0 AS centre, round(mad, 6) + 0.0 AS mad, round("limit", 6) + 0.0 AS "limit", valid_population, population FROM fz JOIN fn USING (device_id) JOIN fp USING (device_id)""")
+
+
+@query(_fit_sql())
 def context_fit(spark, sf_dir):
     """All fields of the fit, over the valid rows."""
     return rounded(audit.context_fit(telemetry(spark, sf_dir)))
