@@ -271,8 +271,8 @@ WITH RECURSIVE whole AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM whole a JOIN whole b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
-reach AS (SELECT vec_id AS at, vec_id AS least FROM embeddings UNION SELECT l.b, r.least FROM reach r JOIN link l ON l.a = r.at),
-component AS (SELECT at, min(least) AS component_id FROM reach GROUP BY at)
+reach AS (SELECT vec_id AS id, vec_id AS least FROM embeddings UNION SELECT l.b, r.least FROM reach r JOIN link l ON l.a = r.id),
+component AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id)
 SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
-FROM embeddings v JOIN component c ON c.at = v.vec_id""",
+FROM embeddings v JOIN component c ON c.id = v.vec_id""",
 }
