@@ -8,7 +8,7 @@ import pytest
 from wayline.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["trip_summary", "motion_segments", "quality_summary", "gated_events", "event_top10", "rollup_60", "rollup_600", "nearest_asof", "frame_decode", "reject_summary", "fulfilment", "scan_resolve", "retention_plan", "stream_rollup", "stream_episodes", "bucket_state", "context_rows", "backfill", "rebuilt_episodes", "evidence", "unbound", "table_digest", "admitted_rows", "stream_rule_change"]
+SOME = ["trip_summary", "motion_segments", "quality_summary", "gated_events", "event_top10", "rollup_60", "rollup_600", "nearest_asof", "frame_decode", "reject_summary", "fulfilment", "scan_resolve", "retention_plan", "stream_rollup", "stream_episodes", "bucket_state", "context_rows", "backfill", "rebuilt_episodes", "evidence", "unbound", "table_digest", "admitted_rows", "stream_rule_change", "context_install", "context_reassess", "context_close", "device_update", "device_audit", "event_review", "review_audit", "digest_differences", "rollup_segments", "rollup_track", "file_counters"]
 
 
 def rows(df):
