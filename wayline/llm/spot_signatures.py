@@ -94,7 +94,8 @@ def in_order():
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) between classes of equal fingerprints, and the class (class_id) of each doc_id."""
-    sets = with_spots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), "spots").drop("text")
+    # Made once: a filter on spots would otherwise be moved below and make the content words anew for each anchor.
+    sets = cut(with_spots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), "spots").drop("text"))
     classes = cut(sets.where(F.size("spots") > 0).groupBy("spots").agg(F.min("doc_id").alias("class_id")))
     members = sets.join(classes, "spots", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     # Partition k holds lengths from (1 / threshold) ** k up to that of k + 1; a partner is in k or k + 1.
