@@ -419,3 +419,17 @@ def test_median_steps_of_jittered_runs(spark):
         assert [(r["n"], r["last"], r["samples"]) for r in got] == [(n, n - 1, n)]
         assert got[0]["hz"] == pytest.approx(1000 / np.median(np.diff(t)))
     assert took[1] < 12 * took[0] + 5
+
+
+def test_neighbours_without_shrinking_frames(spark):
+    """A frame that ends with the partition is gone through anew for each row: an hour of a device then takes the square of its rows."""
+    import io
+    from contextlib import redirect_stdout
+
+    left = spark.createDataFrame([("A", 10, 1), ("A", 25, 2), ("A", 3_600_001, 3)], "device_id string, t_ms bigint, key int")
+    right = spark.createDataFrame([("A", 0, 1.0), ("A", 20, 2.0), ("A", 7_300_000, 3.0)], "device_id string, t_ms bigint, v double")
+    found = series.nearest_asof(left, right, "v")
+    with redirect_stdout(io.StringIO()) as plan:
+        found.explain()
+    assert "unboundedfollowing" not in plan.getvalue()
+    assert sorted((r["key"], r["near_ms"], r["next_ms"]) for r in found.collect()) == [(1, 0, 20), (2, 20, 7_300_000), (3, 20, 7_300_000)]

@@ -72,16 +72,16 @@ def with_neighbours(df: DataFrame, value: str, key: list[str], slice_: Column, o
     inner = Window.partitionBy(*key, "_part").orderBy(*order)
     ends = df.groupBy(*key, "_part").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"), F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_first"))
-    parts = Window.partitionBy(*key).orderBy("_part")
+    # What comes is read in the order turned round, so that the frame grows: one that shrinks is gone through anew for each row.
+    before = lambda *o: Window.partitionBy(*key).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *key, "_part", F.last("_last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
-        F.first("_first", ignorenulls=True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_coming"))
+        *key, "_part", F.last("_last", ignorenulls=True).over(before("_part")).alias("_carried"), F.last("_first", ignorenulls=True).over(before(F.desc("_part"))).alias("_coming"))
     out = df
     if back:
         out = out.withColumn("_b", F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     if on:
-        # The same order read backwards.
-        out = out.withColumn("_a", F.first(value, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)))
+        turned = Window.partitionBy(*key, "_part").orderBy(*[F.desc(c) for c in order])
+        out = out.withColumn("_a", F.last(value, ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.join(carried, [*key, "_part"])
     if back:
         out = out.withColumn(back, F.coalesce("_b", "_carried"))
