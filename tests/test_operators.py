@@ -433,3 +433,12 @@ def test_neighbours_without_shrinking_frames(spark):
         found.explain()
     assert "unboundedfollowing" not in plan.getvalue()
     assert sorted((r["key"], r["near_ms"], r["next_ms"]) for r in found.collect()) == [(1, 0, 20), (2, 20, 7_300_000), (3, 20, 7_300_000)]
+
+
+def test_points_meet_few_stops(spark):
+    """Stops are cut by minutes: a point isn't held against all stops of its day."""
+    stops = spark.range(1000).selectExpr("'A' AS device_id", "id AS stop", "id * 80000 AS start_ms", "id * 80000 + 70000 AS end_ms")
+    rows = spark.range(1000).selectExpr("'A' AS device_id", "id * 80000 + 65000 AS t_ms")
+    found = motion._in_stop(rows, stops)
+    assert "86400000" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("t_ms BETWEEN start_ms AND end_ms").count() == found.count() == 1000

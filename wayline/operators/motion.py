@@ -102,13 +102,13 @@ def stop_groups(segments: DataFrame, gap_ms: int = CONTIGUOUS_MS) -> DataFrame:
 
 
 def _in_stop(points: DataFrame, stops: DataFrame) -> DataFrame:
-    """points (device_id, t_ms) with the stop that holds them; days make the range join an equality join."""
-    day = 86_400_000
+    """points (device_id, t_ms) with the stop that holds them; minutes make the range join an equality join, so that few stops meet a point."""
+    minute = 60_000
     more = [c for c in stops.columns if c not in ("device_id", "stop", "start_ms", "end_ms", "samples", "parts")]
-    cells = stops.select(F.col("device_id").alias("_d"), "stop", "start_ms", "end_ms", *more, F.explode(F.sequence(F.floor(F.col("start_ms") / day), F.floor(F.col("end_ms") / day))).alias("_day"))
-    keyed = points.withColumn("_at", F.floor(F.col("t_ms") / day))
-    on = (keyed["device_id"] == cells["_d"]) & (keyed["_at"] == cells["_day"]) & F.col("t_ms").between(F.col("start_ms"), F.col("end_ms"))
-    return keyed.join(cells, on).drop("_d", "_day", "_at")
+    cells = stops.select(F.col("device_id").alias("_d"), "stop", "start_ms", "end_ms", *more, F.explode(F.sequence(F.floor(F.col("start_ms") / minute), F.floor(F.col("end_ms") / minute))).alias("_minute"))
+    keyed = points.withColumn("_at", F.floor(F.col("t_ms") / minute))
+    on = (keyed["device_id"] == cells["_d"]) & (keyed["_at"] == cells["_minute"]) & F.col("t_ms").between(F.col("start_ms"), F.col("end_ms"))
+    return keyed.join(cells, on).drop("_d", "_minute", "_at")
 
 
 def stop_neighbours(stops: DataFrame, moving: DataFrame) -> DataFrame:
