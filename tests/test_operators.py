@@ -442,3 +442,29 @@ def test_points_meet_few_stops(spark):
     found = motion._in_stop(rows, stops)
     assert "86400000" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("t_ms BETWEEN start_ms AND end_ms").count() == found.count() == 1000
+
+
+def test_heavy_rows_are_dealt_by_number(spark):
+    """A part of a scan may hold millions of rows: tasks get about so many."""
+    from wayline.sources.telemetry import spread
+
+    assert spread(spark.range(0, 10_000, 1, 1), 1000).rdd.getNumPartitions() == 10
+
+
+def test_counters_go_through_points_once(spark, tmp_path):
+    """A point that comes again, also from another source, is new once; refused frames count by reason; and the input is scanned once."""
+    rows = [("a", 1, "GPCHCX", "D", 10, None), ("b", 1, "GPCHCX", "D", 10, None), ("b", 2, "GPCHCX", "D", 10, None), ("b", 3, "GPCHC", "D", 11, None), ("b", 4, "GPCHCX", None, None, "checksum"), ("a", 5, "GPCHCX", "D", 12, "clock_range")]
+    spark.createDataFrame(rows, "source string, source_offset bigint, protocol string, device_id string, t_ms bigint, reject_reason string").write.parquet(str(tmp_path / "d"))
+    found = frames.ingest_counters(spark.read.parquet(str(tmp_path / "d")))
+    assert {r["source"]: r["counters"] for r in found.collect()} == {
+        "a": {"points": 1, "valid_ascii": 2, "protocol:GPCHCX": 2, "rejected": 1, "error:clock_range": 1},
+        "b": {"points": 1, "duplicates": 2, "valid_ascii": 3, "protocol:GPCHCX": 2, "protocol:GPCHC": 1, "rejected": 1, "error:checksum": 1}}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_evidence_decodes_once(spark):
+    """Stored points come from the table, not from another pass over the frames."""
+    from wayline.plans import registry
+
+    plan = registry.queries()["evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("crc32") == 1, plan.count("crc32")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import CHANNELS
 from ..functions.scalars import angle_delta, capped_rate, contains_ci, json_length, json_text, local_day, norm_digits, norm_sequence, process_no, repair_text
 from ..operators import audit, lifecycle, rollup, series, trace
 from ..operators.quality import assess, project
 from ..sources import exports, frames
-from ..sources.telemetry import spread, table, telemetry
+from ..sources.telemetry import table, telemetry
 from .shared import rounded, sql, view
 
 QUERIES, SQL = {}, {}
@@ -33,7 +34,7 @@ REASONS = ["checksum", "field_count", "unidentified_device", "invalid_sn", "malf
 
 def _frames(spark, sf_dir):
     """Frames built from telemetry, of which 14 in 64 are spoiled, each for another reason."""
-    t = spread(telemetry(spark, sf_dir)).withColumn("ax", F.coalesce("ax", F.lit(1.0))).withColumn("protocol", F.lit("GPCHCX"))
+    t = telemetry(spark, sf_dir, dealt=True).withColumn("ax", F.coalesce("ax", F.lit(1.0))).withColumn("protocol", F.lit("GPCHCX"))
     k = F.pmod(F.floor(F.col("t_ms") / 100), F.lit(64))
     bad = lambda reason, value: F.when(k == REASONS.index(reason) + 1, F.lit(value))
     changes = {
@@ -117,10 +118,12 @@ def file_counters(spark, sf_dir):
 SELECT device_id, CASE WHEN {_SPOILED} BETWEEN 1 AND 14 THEN 'missing' WHEN t_ms % 1700 = 0 THEN 'mismatch' ELSE 'verified' END AS evidence, count(*) AS n FROM t GROUP BY ALL"""))
 def evidence(spark, sf_dir):
     """Stored points against their frames: rejected frames are missing, some points were changed."""
-    decoded = frames.decode_points(_frames(spark, sf_dir), NOW_S)
-    good = decoded.where("reject_reason IS NULL").drop("reject_reason")
-    all_ = decoded.select("source", "source_offset", F.element_at(F.split("source", "/"), -1).alias("device_id"), F.col("source_offset").alias("t_ms")).join(good.drop("device_id", "t_ms"), ["source", "source_offset"], "left")
-    stored = all_.withColumn("speed", F.when(F.col("t_ms") % 1700 == 0, F.col("speed") + 1).otherwise(F.col("speed")))
+    good = frames.decode_points(_frames(spark, sf_dir), NOW_S).where("reject_reason IS NULL").drop("reject_reason")
+    t = telemetry(spark, sf_dir)
+    # A frame has 0 where a channel is missing, and 1 for a missing ax.
+    channels = [F.coalesce(F.col(c) if c in t.columns else F.lit(None), F.lit(1.0 if c == "ax" else 0.0)).alias(c) for c in CHANNELS]
+    stored = t.select("device_id", "t_ms", F.concat(F.lit("telemetry/"), "device_id").alias("source"), F.col("t_ms").alias("source_offset"), *channels)
+    stored = stored.withColumn("speed", F.when(F.col("t_ms") % 1700 == 0, F.col("speed") + 1).otherwise(F.col("speed")))
     return frames.verify_evidence(stored, good).groupBy("device_id", "evidence").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -47,12 +47,13 @@ def scan_frames(spark: SparkSession, path: str, glob: str = "*.log", step: int =
 
 
 def xor_checksum(body: Column) -> Column:
-    """XOR of the bytes of an ASCII text: folded seven bytes a step, then the seven into one."""
-    step = lambda a, k: a.bitwiseXOR(F.conv(F.hex(F.substring(body, k, F.lit(7))), 16, 10).cast("bigint"))
+    """XOR of the bytes of a text: folded seven bytes a step, then the seven into one."""
+    raw = body.cast("binary")  # a part of bytes is reached at once, one of characters by going through the text up to it
+    step = lambda a, k: a.bitwiseXOR(F.conv(F.hex(F.substring(raw, k, F.lit(7))), 16, 10).cast("bigint"))
     eight = lambda acc: [F.shiftright(acc, 8 * k) for k in range(8)]
     # The fold is finished inside the aggregate: outside, it would be worked out anew for every mention.
     last = lambda acc: reduce(lambda x, y: x.bitwiseXOR(y), eight(acc)).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body)), F.lit(7)), F.lit(0).cast("bigint"), step, last)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(raw)), F.lit(7)), F.lit(0).cast("bigint"), step, last)
 
 
 def crc32_plain(body: Column) -> Column:
@@ -126,6 +127,15 @@ def counter_rows(decoded: DataFrame, fresh: DataFrame, frames: DataFrame | None
     good = kinds.where(~bad).groupBy("source").agg(F.sum("n").alias("n"))
     again = good.join(new.withColumnRenamed("n", "_new"), "source", "left").select("source", F.lit("duplicates").alias("name"), (F.col("n") - F.coalesce("_new", F.lit(0))).alias("n"))
     out = out.unionByName(new.select("source", F.lit("points").alias("name"), "n")).unionByName(again.where("n > 0"))
+    return _with_other_counters(out, frames, files)
+
+
+def _with_other_counters(out: DataFrame, frames: DataFrame | None, files: DataFrame | None) -> DataFrame:
+    """Counters of points, with those of frames of other kinds and of bytes."""
+    def named(rows, names):
+        return rows.select("source", F.explode(F.array_compact(F.array(*names))).alias("name"), "n")
+
+    one = F.count(F.lit(1)).alias("n")
     if frames is not None:
         other = with_checksum(frames.where(~F.substring_index(F.substring("frame", 2, 20), ",", 1).isin(*FIELDS))).groupBy("source", "name", "checksum_ok").agg(one).withColumnRenamed("name", "kind")
         ok = F.col("checksum_ok")
@@ -139,10 +149,19 @@ def counter_rows(decoded: DataFrame, fresh: DataFrame, frames: DataFrame | None
 
 
 def ingest_counters(decoded: DataFrame, frames: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """A map of counters (see counter_rows) for each source; of repeated points the first is new."""
-    good = decoded.where("reject_reason IS NULL")
-    first = good.groupBy("device_id", "t_ms", "protocol").agg(F.min(F.struct("source", "source_offset")).alias("_first")).select("_first.source")
-    rows = counter_rows(decoded, first, frames, files)
+    """A map of counters (see counter_rows) for each source; of repeated points the first is new. decoded is gone through once."""
+    good = F.col("reject_reason").isNull()
+    # A good point's sources stand together, a refused frame's is part of its key.
+    key = [F.when(good, F.col(c)).alias(c) for c in ("device_id", "t_ms")] + ["protocol", "reject_reason", F.when(~good, F.col("source")).alias("_bad")]
+    met = decoded.groupBy(*key, "source").agg(F.count(F.lit(1)).alias("n"), F.min("source_offset").alias("_at"))
+    each = met.groupBy("device_id", "t_ms", "protocol", "reject_reason", "_bad").agg(F.collect_list(F.struct("source", "n")).alias("_in"), F.min(F.struct("source", "_at"))["source"].alias("_first"))
+    each = each.select("protocol", "reject_reason", "_first", F.inline("_in"))
+    new = (good & (F.col("source") == F.col("_first"))).cast("bigint")
+    sums = each.groupBy("source", "protocol", "reject_reason").agg(F.sum("n").alias("n"), F.sum(new).alias("_new"))
+    item = lambda when, name, n="n": F.when(when, F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), (F.col(n) if isinstance(n, str) else n).alias("n")))
+    parsed, again = good | (F.col("reject_reason") == "clock_range"), F.col("n") - F.col("_new")
+    items = [item(parsed, "valid_ascii"), item(parsed, F.concat(F.lit("protocol:"), "protocol")), item(~good, "rejected"), item(~good, F.concat(F.lit("error:"), "reject_reason")), item(good & (F.col("_new") > 0), "points", "_new"), item(good & (again > 0), "duplicates", again)]
+    rows = _with_other_counters(sums.select("source", F.inline(F.array_compact(F.array(*items)))), frames, files)
     return rows.groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("counters"))
 
 

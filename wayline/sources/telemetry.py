@@ -37,15 +37,22 @@ FROM (
 """
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of a task whose work is heavy for each row: some tens of seconds.
+TASK_ROWS = 100_000
+
+
+def telemetry(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The view over the events; dealt, if what follows is heavy for each row."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if dealt:  # its columns only: they are a sixth of the view's
+        events = spread(events.select("event_id", "user_id", "event_type", "value"))
     return spark.sql(TELEMETRY_SQL, events=events)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a scan of fewer parts than there are cores, dealt to all cores: for work that is heavy for each row. Of scans of many parts nothing moves."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Rows of a scan dealt to all cores, and to tasks of about so many rows, if it has fewer parts than that: for work that is heavy for each row. A part of a scan may hold millions of rows, or none."""
+    parts = max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // rows))
+    return scan.repartition(parts) if scan.rdd.getNumPartitions() < parts else scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
