@@ -468,3 +468,11 @@ def test_evidence_decodes_once(spark):
 
     plan = registry.queries()["evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("crc32") == 1, plan.count("crc32")
+
+
+def test_units_are_made_after_the_shuffle(spark):
+    rows = spark.createDataFrame([(1, 1, 7, 2.0), (1, 1, 8, 3.0), (1, 1, 8, 3.0), (1, 2, None, 1.0), (1, 2, 7, 1.5), (2, 1, 7, None), (3, 1, 7, -1.0)], "order_key int, line int, part_key int, quantity double")
+    found = trace.unit_counts(rows)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 3), (1, 1, 2, 3), (1, 1, 3, 2), (1, 2, 1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # nothing is exchanged above it

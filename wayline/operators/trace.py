@@ -16,6 +16,15 @@ def expand_requirements(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.select("order_key", "line", F.explode(bad).alias("violation"))
 
 
+def unit_counts(rows: DataFrame) -> DataFrame:
+    """order_key, line, unit and n: how many requirements of a line have a unit. Units are made after lines have met, so that none is shuffled."""
+    good = rows.where((F.col("quantity") > 0) & (F.col("quantity") == F.floor("quantity")))
+    same = good.groupBy("order_key", "line", "quantity").agg(F.count(F.lit(1)).alias("n"))
+    lines = same.groupBy("order_key", "line").agg(F.max("quantity").alias("quantity"), F.lit(0).alias("part_key"), F.collect_list(F.struct("quantity", "n")).alias("_of"))
+    reach = F.aggregate(F.filter("_of", lambda q: q["quantity"] >= F.col("unit")), F.lit(0).cast("bigint"), lambda a, q: a + q["n"])
+    return expand_requirements(lines)[0].select("order_key", "line", "unit", reach.alias("n"))
+
+
 def conflicting_orders(rows: DataFrame, attributes: list[str]) -> DataFrame:
     """Orders whose lines disagree on an attribute."""
     n = rows.groupBy("order_key").agg(*[(F.min(a) != F.max(a)).alias(a) for a in attributes])

@@ -190,8 +190,7 @@ def _bindings(spark, sf_dir):
 
 @query("SELECT order_key, line, CAST(unit AS INTEGER) AS unit, count(*) AS n FROM (SELECT l_orderkey AS order_key, l_linenumber AS line, unnest(range(1, CAST(l_quantity AS BIGINT) + 1)) AS unit FROM lineitem WHERE l_quantity > 0 AND l_quantity = floor(l_quantity)) GROUP BY ALL")
 def requirement_expand(spark, sf_dir):
-    good, _ = trace.expand_requirements(_requirements(spark, sf_dir))
-    return good.groupBy("order_key", "line", "unit").agg(F.count(F.lit(1)).alias("n"))
+    return trace.unit_counts(_requirements(spark, sf_dir))
 
 
 @query("""
