@@ -338,3 +338,13 @@ def test_detector_keeps_late_rows_and_tells_what_is_over(spark, tmp_path):
     over = send(2, row(base + 100_000, slow))
     over = send(2, row(base + 200_000, slow))
     assert over[base + 4200] == (base + 4300, 2, "closed")
+
+
+def test_small_files_share_a_task(tmp_path):
+    from wayline.sources.logs import LogReader
+
+    for k in range(20):
+        (tmp_path / f"{k:02d}.log").write_bytes(b"x" * 99 + b"\n")
+    reader = LogReader(Folder(str(tmp_path), step=500))
+    parts = reader.partitions()
+    assert len(parts) == 4 and sorted(r[0] for p in parts for r in reader.read(p)) == [f"{k:02d}.log" for k in range(20)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import RULES
 from ..operators.quality import VERSION, assess, complete, project
 from ..sources.frames import build_frames
-from ..sources.logs import growing_logs
+from ..sources.logs import Folder
 from ..sources.telemetry import TELEMETRY_SQL, telemetry
 from ..streaming.backfill import run_backfill
 from ..streaming.episodes import rule_inputs
@@ -107,7 +107,7 @@ def _ingest(spark, sf_dir):
     rows = _frames_of(spark, sf_dir).select(name.alias("minute"), F.concat("frame", F.lit("\r")).alias("value"), (minute % 2).alias("half"))
     for k, part in enumerate((rows.where("half = 0"), rows)):
         part.select("minute", "value").repartition("minute").write.partitionBy("minute").text(f"{folder}/logs/{k}")
-        files = growing_logs(spark, f"{folder}/logs", "*.txt").select("path").distinct()
+        files = spark.createDataFrame([(name,) for name in Folder(f"{folder}/logs", "*.txt").sizes()], "path string")
         retired = files.where(F.contains("path", F.lit("minute=D3-")))
         clock = (lo + hi) / 2000 + 86_400 * k
         start_ingest(spark, f"{folder}/logs", folder, {"availableNow": True}, "*.txt", retired, lambda at=clock: at).awaitTermination()

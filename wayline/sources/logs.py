@@ -2,7 +2,7 @@
 
 ``spark.read.format("growing_logs")`` and ``spark.readStream.format("growing_logs")`` give path (below the root), start,
 content and size (of the file when it was listed). Options: path, the root; glob, of file names; step, the bytes of a
-range, which is one task. A stream's offset tells for each file how far it was read, always up to a line's end, so that a
+range. A task reads one range, or several smaller ones of up to so many bytes together. A stream's offset tells for each file how far it was read, always up to a line's end, so that a
 restart goes on at that byte, and what is appended later is read then. A file that got shorter, or whose first bytes
 are others, is a new one and read from its start.
 
@@ -41,6 +41,26 @@ class Bytes(InputPartition):
     last: bool
 
 
+@dataclass
+class Pack(InputPartition):
+    """What one task reads: ranges of one or more files, as small files would else cost a task each."""
+
+    ranges: list[Bytes]
+
+
+def packed(ranges: list[Bytes], step: int) -> list[Pack]:
+    """The ranges in their order, in packs of at most step bytes or of one range."""
+    out, held = [], 0
+    for r in ranges:
+        n = r.stop - r.start
+        if not out or held + n > step:
+            out.append(Pack([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += n
+    return out
+
+
 class Folder:
     """The log files below a root."""
 
@@ -86,7 +106,11 @@ class Folder:
         cuts = [*range(start, stop, self.step), stop]
         return [Bytes(name, a, b, size, a == start, b == stop) for a, b in zip(cuts, cuts[1:])]
 
-    def read(self, part: Bytes) -> Iterator[tuple]:
+    def read(self, part: Bytes | Pack) -> Iterator[tuple]:
+        if isinstance(part, Pack):
+            for r in part.ranges:
+                yield from self.read(r)
+            return
         try:
             data = self.bytes(part.path, max(0, part.start - 1), part.stop + LINE - max(0, part.start - 1))
         except FileNotFoundError:
@@ -108,10 +132,10 @@ class LogReader(DataSourceReader):
     def __init__(self, folder: Folder):
         self.folder = folder
 
-    def partitions(self) -> list[Bytes]:
-        return [r for name, size in sorted(self.folder.sizes().items()) for r in self.folder.ranges(name, 0, size, size)]
+    def partitions(self) -> list[Pack]:
+        return packed([r for name, size in sorted(self.folder.sizes().items()) for r in self.folder.ranges(name, 0, size, size)], self.folder.step)
 
-    def read(self, partition: Bytes) -> Iterator[tuple]:
+    def read(self, partition: Pack) -> Iterator[tuple]:
         return self.folder.read(partition)
 
 
@@ -139,12 +163,12 @@ class LogStream(DataSourceStreamReader):
         self.known = now
         return {name: entry for name, (_, entry) in sorted(now.items())}
 
-    def partitions(self, start: dict, end: dict) -> list[Bytes]:
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
         out = []
         for name, entry in end.items():
             if entry != (before := start.get(name)):
                 out += self.folder.ranges(name, self._goes_on(name, before, entry), entry[0], entry[0])
-        return out
+        return packed(out, self.folder.step)
 
     def _goes_on(self, name: str, before: list | None, now: list) -> int:
         try:
@@ -153,7 +177,7 @@ class LogStream(DataSourceStreamReader):
             same = False
         return before[0] if same else 0
 
-    def read(self, partition: Bytes) -> Iterator[tuple]:
+    def read(self, partition: Pack) -> Iterator[tuple]:
         return self.folder.read(partition)
 
     def commit(self, end: dict) -> None:
