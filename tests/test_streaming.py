@@ -364,3 +364,42 @@ def test_a_backfill_step_reads_its_own_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(steps, "backfill_step", step)
     assert steps.run_backfill(points, have, 1, None, str(tmp_path / "b"), size=10).count() == 60
     assert seen == [(10, True)] + [(20, True)] * 5  # an hour and the one before
+
+
+def test_detector_parts_meet_at_full_hours(spark, tmp_path):
+    """State is an hour's, so that a device's rows are not those of one task; an episode over a full hour is whole again, also when a late row parts or joins it."""
+    from wayline.functions.constants import RULES
+    from wayline.streaming import episodes
+
+    fast, slow = (RULES["speed_kmh"] + 10) / 3.6, 1.0
+    cols = "device_id string, at timestamp, t_ms bigint, protocol string, speed double, roll double, pitch double, shock double"
+    hour = 1_704_067_200_000 + 3_600_000
+    row = lambda t, v=fast: ("A", None, hour + t, "GPCHCX", v, 0.0, 0.0, 0.0)
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), cols).withColumn("at", F.timestamp_millis("t_ms")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = episodes.stream_all_episodes(spark.readStream.schema(cols).parquet(str(tmp_path / "in")), hold_ms=20_000)
+
+        def keep(batch, batch_id):
+            batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={batch_id}"))
+
+        out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        told = spark.read.parquet(str(tmp_path / "out")).where("state <> 'late'")
+        last = told.groupBy("device_id", "kind", "start_ms").agg(F.max_by(F.struct("end_ms", "peak", "peak_ms", "samples", "joined", "version", "state"), F.struct("batch", F.col("state") == "closed")).alias("e"))
+        last = last.where("e.state <> 'gone' AND kind = 'overspeed'").select("device_id", "kind", "start_ms", "e.*")
+        parts = {r["start_ms"] - hour: r["state"] for r in last.collect()}
+        return {r["start_ms"] - hour: (r["end_ms"] - hour, r["samples"], round(r["peak"], 3), r["peak_ms"] - hour) for r in episodes.whole_episodes(last).collect()}, parts
+
+    peak = round(fast * 3.6, 3)
+    whole, parts = send(row(-200), row(-100), row(0), row(100, fast + 1), row(8000))
+    assert whole == {-200: (100, 4, round(peak + 3.6, 3), 100), 8000: (8000, 1, peak, 8000)} and set(parts) == {-200, 0, 8000}
+    whole, _ = send(row(-50, slow))  # a late row of the hour before parts it
+    assert whole == {-200: (-100, 2, peak, -200), 0: (100, 2, round(peak + 3.6, 3), 100), 8000: (8000, 1, peak, 8000)}
+    whole, _ = send(row(-20), row(2500))  # and one joins it again; what comes after goes on
+    assert whole == {-200: (-100, 2, peak, -200), -20: (2500, 4, round(peak + 3.6, 3), 100), 8000: (8000, 1, peak, 8000)}
+    # When time has gone on by hours, all is told over and an old row changes nothing.
+    send(row(3 * 3_600_000, slow))
+    again, parts = send(row(3 * 3_600_000 + 60_000, slow))
+    assert again == whole and set(parts.values()) == {"closed"}
+    again, _ = send(row(-10))
+    assert again == whole

@@ -14,7 +14,7 @@ from ..sources.frames import build_frames
 from ..sources.logs import Folder
 from ..sources.telemetry import TELEMETRY_SQL, telemetry
 from ..streaming.backfill import run_backfill
-from ..streaming.episodes import rule_inputs
+from ..streaming.episodes import rule_inputs, whole_episodes
 from ..streaming.episodes import stream_all_episodes as all_episodes_of
 from ..streaming.episodes import stream_episodes as episodes_of
 from ..streaming.ingest import admit, counters, health_table, ingest_health, latest_episodes, latest_rollups, rejected, run_rollups, start_ingest, stored_points
@@ -137,9 +137,10 @@ def stream_all_episodes(spark, sf_dir):
     lo, hi = span(spark, sf_dir)
     late = F.pmod(F.xxhash64("device_id", "t_ms"), F.lit(10)) == 3
     first = F.col("t_ms") <= (lo + hi) // 2
-    for part in (inputs.where(first & ~late), inputs.where(first & late), inputs.where(~first)):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
-        stream = spark.readStream.schema(inputs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+    inputs.withColumn("part", F.when(~first, 2).when(late, 1).otherwise(0)).write.partitionBy("part").parquet(f"{folder}/parts")  # the view is made once
+    for k in range(3):
+        spark.read.parquet(f"{folder}/parts").where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{folder}/landed")
+        stream = spark.readStream.schema(inputs.schema).parquet(f"{folder}/landed")
         updates = all_episodes_of(stream, hold_ms=hi - lo)
 
         def keep(batch, batch_id):
@@ -147,8 +148,9 @@ def stream_all_episodes(spark, sf_dir):
 
         updates.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/detectors").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/all").where("state <> 'late'")
-    last = rows.groupBy("device_id", "kind", "start_ms").agg(F.max_by(F.struct("end_ms", "peak", "samples", "state"), F.struct("batch", F.col("state") == "closed")).alias("e"))
-    return rounded(last.where("e.state <> 'gone'").select("device_id", "kind", "start_ms", "e.end_ms", "e.peak", "e.samples"), 4)
+    last = rows.groupBy("device_id", "kind", "start_ms").agg(F.max_by(F.struct("end_ms", "peak", "peak_ms", "samples", "joined", "version", "state"), F.struct("batch", F.col("state") == "closed")).alias("e"))
+    out = whole_episodes(last.where("e.state <> 'gone'").select("device_id", "kind", "start_ms", "e.*"))
+    return rounded(out.select("device_id", "kind", "start_ms", "end_ms", "peak", "samples"), 4)
 
 
 def backfill_steps(spark, sf_dir):

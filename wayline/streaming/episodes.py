@@ -1,17 +1,20 @@
-"""Episodes on a stream, with state for each device."""
+"""Episodes on a stream, with state for each device, or each device and hour."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.constants import RULES
 from ..functions.scalars import ground_speed, peak_deviation
+from ..operators.timeline import SLICE_MS, sliced
 
 OUT = "device_id string, kind string, start_ms bigint, end_ms bigint, peak double, samples bigint"
 GAP_MS = 3000
@@ -50,8 +53,12 @@ def stream_episodes(signals: DataFrame, kind: str, version: int = 1, gap_ms: int
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ALL_OUT = "device_id string, kind string, start_ms bigint, end_ms bigint, peak double, peak_ms bigint, samples bigint, state string"
+ALL_OUT = "device_id string, kind string, start_ms bigint, end_ms bigint, peak double, peak_ms bigint, samples bigint, joined boolean, version int, state string"
 FAR_MS, NEAR_MS = 1500, 800
+#: The kinds and the limits of each.
+LIMITS = {"overspeed": "speed_kmh", "acceleration": "accel_ms2", "braking": "brake_ms2", "roll": "roll_deg", "pitch": "pitch_deg", "shock": "shock_g"}
+ROW = ["t_ms", "protocol", "speed", "roll", "pitch", "shock"]
+TOLD = ["kind", "start_ms", "end_ms", "peak", "peak_ms", "samples", "joined", "closed"]
 
 
 def rule_inputs(points: DataFrame) -> DataFrame:
@@ -63,13 +70,25 @@ def rule_inputs(points: DataFrame) -> DataFrame:
     return points.select("device_id", F.timestamp_millis("t_ms").alias("at"), "t_ms", "protocol", speed.alias("speed"), F.abs("roll").alias("roll"), F.abs("pitch").alias("pitch"), peak_deviation().alias("shock"))
 
 
+def _packed(frame: pd.DataFrame) -> bytes:
+    out = io.BytesIO()
+    frame.reset_index(drop=True).to_feather(out)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes | None, columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(columns=columns) if data is None else pd.read_feather(io.BytesIO(data))
+
+
 class Detector(StatefulProcessor):
-    """The episodes of one device, of all kinds.
+    """The episodes of one device within one hour, of all kinds.
 
     State has the rows of the last hold_ms and of an episode that goes on, so that a late row stands among its neighbours as if it had
     been in time: episodes of these rows are found anew, and those that differ from what was told are told again (gone, if no longer there). Rows
     older than that are told as late, for the rebuild. Rules of a new version begin with no state. An event-time timer tells an episode closed
-    when no row can go on with it.
+    when no row can go on with it, and drops the state of an hour of which no row can come any more.
+
+    The last rows of the hour before come as guests: they make no episodes, but tell whether the hour's first part goes on from there (joined).
     """
 
     def __init__(self, rules: dict, version: int, gap_ms: int, hold_ms: int):
@@ -77,99 +96,131 @@ class Detector(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "t_ms bigint, protocol string, speed double, roll double, pitch double, shock double")
-        self.meta = handle.getValueState("meta", "version int, upto bigint, newest bigint")
-        self.told = handle.getMapState("told", "kind string, start_ms bigint", "end_ms bigint, peak double, peak_ms bigint, samples bigint, closed boolean")
+        # Rows and what was told are tables in Arrow's format: a state that holds an hour is read and written at once.
+        self.hour = handle.getValueState("hour", "version int, upto bigint, newest bigint, rows binary, told binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        version, upto, newest = self.meta.get() if self.meta.exists() else (self.version, -1, -1)
+        device, hour = key
+        version, upto, newest, held, told = self.hour.get() if self.hour.exists() else (self.version, -1, -1, None, None)
         if version != self.version:
-            self.rows.clear()
-            self.told.clear()
-            upto = newest
-        kept = {(r[0], r[1]): tuple(r[2:]) for r in self.rows.get()} if self.rows.exists() else {}
-        late = 0
-        for frame in rows:
-            for t, protocol, *values in zip(*(frame[c].tolist() for c in ("t_ms", "protocol", "speed", "roll", "pitch", "shock"))):
-                if t <= upto:
-                    late += 1
-                else:
-                    kept.setdefault((t, protocol), tuple(None if v is None or v != v else v for v in values))
-                    newest = max(newest, t)
-        ordered = sorted((t, p, *v) for (t, p), v in kept.items())
-        signals = list(self._signals(ordered))
-        found = self._episodes(ordered, signals, upto)
-        told = {tuple(k): tuple(v) for k, v in self.told.iterator()} if self.told.exists() else {}
-        out = [(key[0], "late", upto, upto, 0.0, upto, late, "late")] if late else []
+            upto, held, told = newest, None, None
+        new = pd.concat(list(rows))[ROW]
+        at = new["t_ms"].to_numpy()
+        late = int(((at <= upto) & (at // SLICE_MS == hour)).sum())
+        new = new[at > upto].sort_values(ROW)
+        if len(new):
+            newest = max(newest, int(new["t_ms"].max()))
+        kept = pd.concat([_unpacked(held, ROW), new]) if held is not None else new
+        kept = kept.drop_duplicates(ROW[:2]).sort_values(ROW[:2])
+        t = kept["t_ms"].to_numpy(dtype="int64")
+        values = self._values(t, kept)
+        over = values > np.array([self.rules[name] for name in LIMITS.values()])
+        found = self._parts(t, values, over, (t // SLICE_MS == hour) & (t > upto), upto)
+        told = {tuple(r[:2]): tuple(r[2:]) for r in _unpacked(told, TOLD).to_numpy(dtype=object).tolist()}
+        out = [("late", upto, upto, 0.0, upto, late, False, "late")] if late else []
+        now = {}
         for k, v in found.items():
-            if told.get(k, ())[:4] != v:
-                self.told.updateValue(k, (*v, False))
-                out.append((key[0], k[0], k[1], *v, "open"))
+            was = told.get(k, ())
+            now[k] = was if was[:5] == v else (*v, False)
+            if was[:5] != v:
+                out.append((*k, *v, "open"))
         for k, v in told.items():
             if k not in found and k[1] > upto:
-                self.told.removeKey(k)
-                out.append((key[0], k[0], k[1], v[0], v[1], v[2], 0, "gone"))
-        upto = self._cut(ordered, signals, upto, newest - self.hold_ms)
-        for k, v in {**told, **{k: (*v, False) for k, v in found.items() if told.get(k, ())[:4] != v}}.items():
-            if v[0] <= upto and self.told.containsKey(k):
-                self.told.removeKey(k)
-                if not v[4]:  # no row can change it any more
-                    out.append((key[0], k[0], k[1], *v[:4], "closed"))
-        self.rows.put([r for r in ordered if r[0] > upto - FAR_MS])
-        self.meta.update((self.version, upto, newest))
+                out.append((*k, *v[:3], 0, v[4], "gone"))
+        upto = self._cut(t, over, upto, newest - self.hold_ms)
+        # No row can change what ends before.
+        out += [(*k, *v[:5], "closed") for k, v in now.items() if v[0] <= upto and not v[5]]
+        now = [(*k, *v) for k, v in now.items() if v[0] > upto]
+        self.hour.update((self.version, upto, newest, _packed(kept[t > upto - FAR_MS]), _packed(pd.DataFrame(now, columns=TOLD)) if now else None))
         self.handle.registerTimer(max(newest + self.gap_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ALL_OUT.split(", ")])
+            yield self._told(device, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for k, v in [(tuple(k), tuple(v)) for k, v in self.told.iterator()] if self.told.exists() else []:
-            if v[0] + self.gap_ms < now and not v[4]:
-                self.told.updateValue(k, (*v[:4], True))
-                out.append((key[0], k[0], k[1], *v[:4], "closed"))
+        if not self.hour.exists():
+            return
+        device, hour = key
+        version, upto, newest, held, told = self.hour.get()
+        told, now = _unpacked(told, TOLD), timerValues.getCurrentWatermarkInMs()
+        past = now >= (hour + 1) * SLICE_MS  # rows before the watermark don't come any more
+        over = ~told["closed"].astype(bool) & (past | (told["end_ms"] + self.gap_ms < now))
+        out = told[over].drop(columns="closed").to_numpy(dtype=object).tolist()
+        if past:
+            self.hour.clear()
+        else:
+            self.hour.update((version, upto, newest, held, _packed(told.assign(closed=told["closed"].astype(bool) | over)) if len(told) else None))
+            self.handle.registerTimer(max((hour + 1) * SLICE_MS, now + 1))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ALL_OUT.split(", ")])
+            yield self._told(device, [(*r, "closed") for r in out], version)
 
     def close(self) -> None:
         pass
 
-    def _signals(self, ordered: list[tuple]) -> Iterator[dict[str, float]]:
-        """The exceedances of each row, with the acceleration from the oldest row between FAR_MS and NEAR_MS before."""
-        base, rules = 0, self.rules
-        for t, _, speed, roll, pitch, shock in ordered:
-            while ordered[base][0] < t - FAR_MS:
-                base += 1
-            b = ordered[base]
-            accel = (speed - b[2]) / ((t - b[0]) / 1000) if b[0] <= t - NEAR_MS and speed is not None and b[2] is not None else None
-            values = {"overspeed": (None if speed is None else speed * 3.6, rules["speed_kmh"]), "acceleration": (accel, rules["accel_ms2"]), "braking": (None if accel is None else -accel, rules["brake_ms2"]), "roll": (roll, rules["roll_deg"]), "pitch": (pitch, rules["pitch_deg"]), "shock": (shock, rules["shock_g"])}
-            yield {k: v for k, (v, most) in values.items() if v is not None and v > most}
-
-    def _episodes(self, ordered: list[tuple], signals: list[dict], upto: int) -> dict:
-        open_, out, before, had = {}, {}, None, {}
-        for (t, *_), found in zip(ordered, signals):
-            if t <= upto:
+    def _told(self, device: str, rows: list[tuple], version: int | None = None) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*TOLD[:-1], "state"]).assign(device_id=device, version=self.version if version is None else version)
+        return out[[c.split()[0] for c in ALL_OUT.split(", ")]]
+
+    def _values(self, t: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+        """What the limits of each kind are held against, a column a kind; the acceleration is that from the oldest row between FAR_MS and NEAR_MS before."""
+        speed, roll, pitch, shock = (rows[c].to_numpy(dtype="float64") for c in ROW[2:])
+        base = np.searchsorted(t, t - FAR_MS)
+        before = t[base] <= t - NEAR_MS
+        seconds = np.where(before, t - t[base], 1) / 1000
+        accel = np.where(before, (speed - speed[base]) / seconds, np.nan)
+        return np.stack([speed * 3.6, accel, -accel, roll, pitch, shock], axis=1)
+
+    def _parts(self, t: np.ndarray, values: np.ndarray, over: np.ndarray, own: np.ndarray, upto: int) -> dict:
+        """end_ms, peak, peak_ms, samples and joined by kind and start_ms."""
+        near, out = np.zeros(len(t), dtype=bool), {}
+        near[1:] = (np.diff(t) <= self.gap_ms) & (t[:-1] > upto)
+        for k, kind in enumerate(LIMITS):
+            at = np.flatnonzero(over[:, k] & own)
+            if not len(at):
                 continue
-            for kind, value in found.items():
-                k = open_[kind] if before is not None and t - before <= self.gap_ms and kind in had else (kind, t)
-                open_[kind] = k
-                _, peak, at, n = out.get(k, (t, value, t, 0))
-                out[k] = (t, value, t, n + 1) if value > peak else (t, peak, at, n + 1)
-            before, had = t, found
+            goes_on = near.copy()
+            goes_on[1:] &= over[:-1, k]
+            new = ~goes_on[at]
+            joined = not new[0]  # only a guest can stand before the hour's first row of the kind
+            new[0] = True
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            value, when = values[at, k], t[at]
+            peak = np.maximum.reduceat(value, first)
+            peak_ms = np.minimum.reduceat(np.where(value == peak[np.cumsum(new) - 1], when, np.iinfo("int64").max), first)
+            for i, v in enumerate(zip(when[first].tolist(), when[last].tolist(), peak.tolist(), peak_ms.tolist(), (last - first + 1).tolist())):
+                out[kind, v[0]] = (*v[1:], joined and i == 0)
         return out
 
-    def _cut(self, ordered: list[tuple], signals: list[dict], upto: int, wanted: int) -> int:
+    def _cut(self, t: np.ndarray, over: np.ndarray, upto: int, wanted: int) -> int:
         """The last time up to which rows can go: not after wanted, and not within an episode."""
-        best = upto
-        for (a, *_), x, (b, *_), y in zip(ordered, signals, ordered[1:], signals[1:]):
-            if a > wanted:
-                break
-            if a > upto and b > a and (b - a > self.gap_ms or not x.keys() & y.keys()):
-                best = a
-        return best
+        a, b = t[:-1], t[1:]
+        at = a[(a <= wanted) & (a > upto) & (b > a) & ((b - a > self.gap_ms) | ~(over[:-1] & over[1:]).any(axis=1))]
+        return int(at[-1]) if len(at) else upto
 
 
 def stream_all_episodes(inputs: DataFrame, rules: dict = RULES, version: int = 1, gap_ms: int = GAP_MS, hold_ms: int = 600_000) -> DataFrame:
-    """Updates of the episodes of all kinds of a stream of rule_inputs: the last row of a (device_id, kind, start_ms) is its state (open, closed or gone)."""
+    """Updates of the episodes of all kinds of a stream of rule_inputs: the last row of a (device_id, kind, start_ms) is its state (open, closed or gone).
+
+    State and work are those of a device's hour, so an episode that goes on over full hours is told in parts, of which all but the first are joined: ``whole_episodes``.
+    """
     inputs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = inputs.withWatermark("at", f"{hold_ms} milliseconds")
-    return timed.groupBy("device_id").transformWithStateInPandas(Detector(rules, version, gap_ms, hold_ms), ALL_OUT, "Update", "eventTime")
+    reach = FAR_MS + gap_ms  # what decides on the hour's first row
+    hold_ms = max(hold_ms, reach)
+    timed = sliced(inputs.withWatermark("at", f"{hold_ms} milliseconds"), reach).drop("_own")
+    return timed.groupBy("device_id", "_slice").transformWithStateInPandas(Detector(rules, version, gap_ms, hold_ms), ALL_OUT, "Update", "eventTime")
+
+
+def whole_episodes(parts: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """Episodes (device_id, kind, start_ms, end_ms, peak, peak_ms, samples) from the last state of each part, those that are gone left out.
+
+    Only parts at full hours are put in order.
+    """
+    cols = ["device_id", "kind", "start_ms", "end_ms", "peak", "peak_ms", "samples"]
+    edge = F.col("joined") | (F.pmod("end_ms", F.lit(SLICE_MS)) >= SLICE_MS - gap_ms)
+    w = Window.partitionBy("device_id", "kind").orderBy("start_ms", "end_ms")
+    goes_on = F.col("joined") & (F.lag("version").over(w) == F.col("version")) & (F.col("start_ms") - F.lag("end_ms").over(w) <= gap_ms)
+    runs = parts.where(edge).withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    peak = F.max(F.struct("peak", (-F.col("peak_ms")).alias("at")))
+    merged = runs.groupBy("device_id", "kind", "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), peak.alias("_p"), F.sum("samples").alias("samples"))
+    merged = merged.select("device_id", "kind", "start_ms", "end_ms", F.col("_p.peak").alias("peak"), (-F.col("_p.at")).alias("peak_ms"), "samples")
+    return parts.where(~edge).select(*cols).unionByName(merged)
