@@ -403,3 +403,18 @@ def test_detector_parts_meet_at_full_hours(spark, tmp_path):
     assert again == whole and set(parts.values()) == {"closed"}
     again, _ = send(row(-10))
     assert again == whole
+
+
+def test_a_part_of_a_stream_lands_by_many_tasks(spark, monkeypatch):
+    from wayline.plans import streams
+
+    seen = []
+    landed = lambda folder: spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/landed").inputFiles()
+    monkeypatch.setattr(streams, "run_rollups", lambda rows, folder, *more: seen.append(len(landed(folder))))
+    folder = streams._run_late(spark, "/root/testdata/sf0.001")
+    tasks = spark.sparkContext.defaultParallelism
+    assert tasks > 1 and seen == [tasks, 2 * tasks, 3 * tasks]
+    counts = []
+    query = streams._landed(spark, folder).writeStream.foreachBatch(lambda b, n: counts.append(b.count())).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(counts) == 1 and counts[0] > spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()  # one batch, with the repeats

@@ -12,7 +12,7 @@ from ..functions.constants import RULES
 from ..operators.quality import VERSION, assess, complete, project
 from ..sources.frames import build_frames
 from ..sources.logs import Folder
-from ..sources.telemetry import TELEMETRY_SQL, telemetry
+from ..sources.telemetry import TELEMETRY_SQL, spread, telemetry
 from ..streaming.backfill import run_backfill
 from ..streaming.episodes import rule_inputs, whole_episodes
 from ..streaming.episodes import stream_all_episodes as all_episodes_of
@@ -42,10 +42,15 @@ def _stream(spark, sf_dir):
     return spark.sql(TELEMETRY_SQL, events=events)
 
 
+def _land(part, folder, k):
+    """One part of the events landed in the folder, in as many files as make tasks of a size."""
+    spread(part).write.parquet(f"{folder}/landed/{k}")
+
+
 def _landed(spark, folder):
-    """A stream over the parts of the events that are landed in the folder, a file a batch."""
+    """A stream over the parts of the events that are landed in the folder; a run reads what was landed since the last as one batch."""
     schema = spark.read.parquet(f"{folder}/landed/0").schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/landed")
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/landed")
     return spark.sql(TELEMETRY_SQL, events=events)
 
 
@@ -66,7 +71,7 @@ def _run_late(spark, sf_dir, parents=(), rules=None):
     n = events.agg(F.max("event_id")).first()[0]
     third = [events.where(f"event_id BETWEEN {lo} AND {hi}") for lo, hi in ((n // 3, 2 * n // 3), (2 * n // 3 - 100, n), (0, n // 3))]
     for k, part in enumerate(third):
-        part.coalesce(1).write.parquet(f"{folder}/landed/{k}")
+        _land(part, folder, k)
         run_rollups(_landed(spark, folder), folder, _view, 60, ["t_ms"], ["speed"], parents, rules)
     return folder
 
@@ -176,7 +181,7 @@ def stream_rule_change(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = events.agg(F.max("event_id")).first()[0]
     for version, part in ((1, events.where(f"event_id <= {n // 2}")), (2, events.where(f"event_id > {n // 2}"))):
-        part.coalesce(1).write.parquet(f"{folder}/landed/{version - 1}")
+        _land(part, folder, version - 1)
         _run_states(_landed(spark, folder), folder, version)
     return _episodes_in(spark, folder)
 
