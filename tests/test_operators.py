@@ -476,3 +476,15 @@ def test_units_are_made_after_the_shuffle(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 3), (1, 1, 2, 3), (1, 1, 3, 2), (1, 2, 1, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # nothing is exchanged above it
+
+
+def test_a_review_is_dealt_by_rows(spark, monkeypatch):
+    """Tasks of a review hold so many rows, however well these pack."""
+    from wayline.operators import lifecycle
+
+    monkeypatch.setattr(lifecycle, "KEYED_ROWS", 1000, raising=False)
+    events = spark.range(6000).select(F.col("id").alias("event_id"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("note"))
+    changes = events.select("event_id", F.lit(1).alias("seq"), F.lit("acknowledged").alias("new_status"), F.lit(None).cast("string").alias("new_note"))
+    _, log, refused = lifecycle.review_events(events, changes)
+    sizes = log.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 12 and max(r["count"] for r in sizes) < 1000 and sum(r["count"] for r in sizes) == 6000 and refused.count() == 0

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import LEGACY_RULES, RULES
 
+#: Rows of a task that puts keys together. Parts measured by their packed bytes would hold tens of millions of rows with few distinct values.
+KEYED_ROWS = 500_000
+
 AUTOMATIC = ["overspeed", "acceleration", "braking", "pitch", "roll", "shock"]
 
 
@@ -77,6 +80,12 @@ def _in_order(key: str):
     return w, w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _dealt(key: str, *tables: DataFrame) -> list[DataFrame]:
+    """Tables that meet on a key, dealt by it to tasks of about KEYED_ROWS rows in all."""
+    parts = max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-sum(t.count() for t in tables) // KEYED_ROWS))
+    return [t.repartition(parts, key) for t in tables]
+
+
 def update_devices(devices: DataFrame, changes: DataFrame, bounds: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Devices with changed rules, an audit row for each change that changes something, and the changes refused (out of bounds, or of no known device).
 
@@ -106,7 +115,8 @@ def review_events(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     note = F.substring(F.trim(F.coalesce("new_note", F.lit(""))), 1, 1000)
     known = events.select("event_id", F.col("status").alias("_status"), F.lit(True).alias("_there"))
     reason = F.when(~F.coalesce(F.col("new_status").isin("open", "acknowledged", "resolved"), F.lit(False)), "status").when((F.col("new_status") == "resolved") & (note == ""), "note").when(F.col("_there").isNull(), "unknown_event")
-    marked = changes.join(known, "event_id", "left").withColumn("refused", reason)
+    dealt, known = _dealt("event_id", changes, known)
+    marked = dealt.join(known, "event_id", "left").withColumn("refused", reason)
     steps = marked.where("refused IS NULL").withColumn("new_note", note)
     w, _ = _in_order("event_id")
     audit = steps.select("event_id", "seq", F.coalesce(F.lag("new_status").over(w), "_status").alias("old_status"), "new_status", "new_note")
