@@ -488,3 +488,11 @@ def test_a_review_is_dealt_by_rows(spark, monkeypatch):
     _, log, refused = lifecycle.review_events(events, changes)
     sizes = log.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 12 and max(r["count"] for r in sizes) < 1000 and sum(r["count"] for r in sizes) == 6000 and refused.count() == 0
+
+
+def test_quantile_marks_are_compiled(spark):
+    """What is done for each value has no function over arrays (which is interpreted)."""
+    df = spark.range(100).select(F.lit("A").alias("device_id"), F.col("id").cast("double").alias("value"))
+    out = audit.interpolated(df, ["device_id"], {"m": 0.5, "q": 0.9, "top": 1.0})
+    assert tuple(out.first()) == ("A", 49.5, pytest.approx(89.1), 99.0)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -44,10 +44,11 @@ def interpolated(rows: DataFrame, by: list[str], at: dict[str, float], value: st
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
     joined = known.join(sketch, same)
     # A row counts below the brackets whose lower ends are above it (a mark, _j the first of them), and stands in those that hold it.
-    first = F.size(F.filter("_low", lambda x: x <= F.col("_v")))
-    mark = F.array(F.struct(F.lit(True).alias("below"), first.alias("_j"), F.lit(None).cast("double").alias("_v")))
-    inside = F.filter(F.transform(F.arrays_zip("_low", "_high"), lambda x, i: F.when((x["_low"] <= F.col("_v")) & (F.col("_v") <= x["_high"]), F.struct(F.lit(False).alias("below"), i.alias("_j"), F.col("_v").alias("_v")))), lambda x: x.isNotNull())
-    placed = joined.select(*by, "_total", F.inline(F.concat(mark, inside))).groupBy(*by, "_total", "below", "_j", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # Those below no bracket need no mark. Written out for each quantile: functions over arrays aren't compiled, and this is done for every value.
+    first = reduce(lambda a, b: a + b, [(F.col("_low")[i] <= F.col("_v")).cast("int") for i in range(m)])
+    mark = F.when(first < m, F.struct(F.lit(True).alias("below"), first.alias("_j"), F.lit(None).cast("double").alias("_v")))
+    inside = [F.when((F.col("_low")[i] <= F.col("_v")) & (F.col("_v") <= F.col("_high")[i]), F.struct(F.lit(False).alias("below"), F.lit(i).alias("_j"), F.col("_v").alias("_v"))) for i in range(m)]
+    placed = joined.select(*by, "_total", F.inline(F.array(mark, *inside))).where("below IS NOT NULL").groupBy(*by, "_total", "below", "_j", "_v").agg(F.count(F.lit(1)).alias("_n"))
     each = F.when(~F.col("below"), F.array("_j")).when(F.col("_j") < m, F.sequence("_j", F.lit(m - 1)))
     placed = placed.select(*by, "_total", "_n", "_v", F.explode(each).alias("_j"))
     w = Window.partitionBy(*by, "_j").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
