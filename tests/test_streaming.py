@@ -366,6 +366,57 @@ def test_a_backfill_step_reads_its_own_rows(spark, tmp_path, monkeypatch):
     assert seen == [(10, True)] + [(20, True)] * 5  # an hour and the one before
 
 
+def _hours_of(spark, counts):
+    """Points of devices: so many in each of their hours, by their number."""
+    rows = [(d, h * 3_600_000 + k, "GPCHCX") for d, hours in counts.items() for h, n in enumerate(hours) for k in range(n)]
+    return spark.createDataFrame(rows, "device_id string, t_ms bigint, protocol string")
+
+
+def test_backfill_steps_have_no_gaps_and_no_empty_ones(spark):
+    from wayline.operators.lifecycle import backfill_plan
+
+    points = _hours_of(spark, {"A": [50, 3, 40], "B": [2, 2, 2], "C": [1], "D": [25, 0, 1, 12, 4]})
+    have = points.where("t_ms < 0").withColumn("version", F.lit(1))
+    plan = {(r["device_id"], r["_hour"]): (r["missing"], r["step"]) for r in backfill_plan(points, have, 1, 10).collect()}
+    # In order: 50 | 3 40 (begun at 50 and 53) | 2 2 2 1 (93 to 99) | 25 (100) | 1 (125) 12 (126) | 4 (138).
+    assert plan == {
+        ("A", 0): (50, 1), ("A", 1): (3, 2), ("A", 2): (40, 2), ("B", 0): (2, 3), ("B", 1): (2, 3), ("B", 2): (2, 3), ("C", 0): (1, 3),
+        ("D", 0): (25, 4), ("D", 2): (1, 5), ("D", 3): (12, 5), ("D", 4): (4, 6)}
+
+
+def test_a_backfill_of_many_steps_runs_as_few_jobs(spark, tmp_path, monkeypatch):
+    """Jobs have several steps; a run may stop or break within them, and looks back over the hour before each."""
+    from pyspark.sql import Window
+
+    from wayline.operators.lifecycle import backfill
+    from wayline.streaming import backfill as steps
+
+    points = _hours_of(spark, {"A": [9] * 11, "B": [9] * 12})
+    have = points.where("t_ms % 3 = 0").select("*", F.lit(0).cast("bigint").alias("back_ms"), F.lit(1).alias("version"))
+    assess = lambda p: p.withColumn("back_ms", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("device_id").orderBy("t_ms")))
+    whole, made = steps.backfill_step, []
+
+    def breaks(near, have_, hours, *more):
+        made.append((hours.count(), near.count(), near.distinct().count()))
+        if len(made) == 4:
+            raise OSError("gone")
+        return whole(near, have_, hours, *more)
+
+    monkeypatch.setattr(steps, "backfill_step", breaks)
+    monkeypatch.setattr(steps, "JOBS", 5)
+    run = lambda **more: steps.run_backfill(points, have, 1, assess, str(tmp_path / "b"), size=6, **more)
+    assert run(steps=2).count() == 23 * 3 + 2 * 6  # 2 of the 5 steps of the first job
+    assert run(steps=0).count() == 23 * 3 + 2 * 6
+    with pytest.raises(OSError, match="gone"):
+        run()  # the rest of the first job, the second, and the third breaks
+    monkeypatch.setattr(steps, "JOBS", 23)  # a run that goes on keeps to what was laid out
+    full = run()
+    assert [m[0] for m in made] == [2, 3, 5, 5, 5, 5, 3] and all(n == d <= 7 * 9 for _, n, d in made)
+    rows = lambda f: sorted((r["device_id"], r["t_ms"], r["back_ms"], r["version"]) for r in f.collect() if r["t_ms"] % 3)
+    assert rows(full) == rows(backfill(points, have, 1, assess)) and full.count() == 23 * 9
+    assert run().count() == 23 * 9 and len(made) == 7
+
+
 def test_detector_parts_meet_at_full_hours(spark, tmp_path):
     """State is an hour's, so that a device's rows are not those of one task; an episode over a full hour is whole again, also when a late row parts or joins it."""
     from wayline.functions.constants import RULES

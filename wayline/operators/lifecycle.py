@@ -222,16 +222,25 @@ def backfill(points: DataFrame, quality: DataFrame, version: int, assess) -> Dat
 def backfill_plan(points: DataFrame, quality: DataFrame, version: int, size: int) -> DataFrame:
     """The hours of devices in which a point has no assessment of this version: device_id, _hour, missing and step, in order of device and hour.
 
-    A step has hours of at least size such points. Running sums are in two steps, by device and within one.
+    A step has hours of at least size such points. Steps are numbered from 1 without gaps: an hour of many times size is one step, and no number is left
+    out for it. Running sums are in two steps, by device and within one.
     """
     key = ["device_id", "t_ms", "protocol"]
     missing = points.select(*key).join(quality.where(F.col("version") == version).select(*key), key, "left_anti")
     hours = missing.groupBy("device_id", F.floor(F.col("t_ms") / 3_600_000).alias("_hour")).agg(F.count(F.lit(1)).alias("missing"))
     devices = hours.groupBy("device_id").agg(F.sum("missing").alias("_all"))
-    before = devices.select("device_id", F.coalesce(F.sum("_all").over(Window.orderBy("device_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = F.coalesce(F.sum("missing").over(Window.partitionBy("device_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = hours.withColumn("_inner", inner).join(before, "device_id")
-    return placed.select("device_id", "_hour", "missing", (F.floor((F.col("_before") + F.col("_inner")) / size) + 1).alias("step"))
+    order = Window.partitionBy("device_id").orderBy("_hour")
+    earlier = Window.orderBy("device_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = devices.select("device_id", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum("missing").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = hours.withColumn("_inner", inner).join(before, "device_id").withColumn("_at", F.floor((F.col("_before") + F.col("_inner")) / size))
+    # What begins a step within its device is counted; a device's first hours may go on with the last step of the device before.
+    placed = placed.withColumn("_new", F.coalesce(F.col("_at") != F.lag("_at").over(order), F.lit(True)).cast("bigint"))
+    ends = placed.groupBy("device_id").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.sum("_new").alias("_steps"))
+    ends = ends.withColumn("_on", F.coalesce(F.col("_first") == F.lag("_last").over(Window.orderBy("device_id")), F.lit(False)).cast("bigint"))
+    ends = ends.select("device_id", (F.coalesce(F.sum(F.col("_steps") - F.col("_on")).over(earlier), F.lit(0)) - F.col("_on")).alias("_done"))
+    numbered = placed.withColumn("_nth", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(ends, "device_id")
+    return numbered.select("device_id", "_hour", "missing", (F.col("_done") + F.col("_nth")).alias("step"))
 
 
 def backfill_step(points: DataFrame, quality: DataFrame, hours: DataFrame, version: int, assess) -> DataFrame:

@@ -161,7 +161,9 @@ def stream_all_episodes(spark, sf_dir):
 def backfill_steps(spark, sf_dir):
     """The backfill in steps of 500 missing points, stopped after two and begun again; the SQL assesses all rows."""
     folder = _folder(spark)
-    t, have = complete(telemetry(spark, sf_dir)), _stored(spark, sf_dir)
+    t = complete(telemetry(spark, sf_dir))
+    _stored(spark, sf_dir).write.parquet(f"{folder}/stored")  # a table, so that it is made once
+    have = spark.read.parquet(f"{folder}/stored")
     run_backfill(t, have, VERSION, assess, folder, 500, steps=2)
     full = run_backfill(t, have, VERSION, assess, folder, 500)
     return rounded(full.groupBy("device_id", "mask", "reasons", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("ground.value").alias("total")), 4)
